@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quakelens.llm import exact, quality, tiff, urls
+from quakelens.llm import exact, minhash, quality, tiff, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": minhash.op1,
     "op3_exact_dedup": exact.op3,
     "op4_quality": quality.op4,
     "op5_tiff": tiff.op5,

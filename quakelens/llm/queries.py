@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quakelens.llm import exact, minhash, quality, tiff, urls
+from quakelens.llm import bpe, exact, minhash, packing, quality, tiff, tokcount, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": minhash.op1,
     "op3_exact_dedup": exact.op3,
     "op4_quality": quality.op4,
     "op5_tiff": tiff.op5,
+    "op6_packing": packing.op6,
+    "op7_bpe": bpe.op7,
     "op8_url_filter": urls.op8,
+    "op9_token_counts": tokcount.op9,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact.ORACLE, "op8_url_filter": urls.ORACLE}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quakelens.llm import bpe, exact, minhash, packing, quality, tiff, tokcount, urls
+from quakelens.llm import bpe, exact, html, minhash, packing, quality, tiff, tokcount, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": minhash.op1,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe": bpe.op7,
     "op8_url_filter": urls.op8,
     "op9_token_counts": tokcount.op9,
+    "op10_html": html.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact.ORACLE, "op8_url_filter": urls.ORACLE}

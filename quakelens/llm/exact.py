@@ -88,7 +88,8 @@ def deduplicate(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     third = second.filter("row = won.row").select(
         "row", F.first(winner).over(overall.orderBy(*order)).alias("keep"), F.sum("m").over(overall).alias("group_size")
     )
-    steps = second.select(F.col("row").alias("local"), F.col("won.row").alias("salted")).join(third.withColumnRenamed("row", "salted"), "salted")
+    # Both uses of the salted groups read the same columns, so that their one exchange of contents serves both.
+    steps = second.filter("m > 0").select(F.col("row").alias("local"), F.col("won.row").alias("salted")).join(third.withColumnRenamed("row", "salted"), "salted")
     return (
         local.select("row", "doc_id", "digest", "local")
         .join(steps, "local")

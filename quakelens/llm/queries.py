@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quakelens.llm import bpe, exact, html, minhash, packing, quality, tiff, tokcount, urls
+from quakelens.llm import bpe, exact, html, minhash, packing, quality, secrets, tiff, tokcount, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": minhash.op1,
+    "op2_secrets": secrets.op2,
     "op3_exact_dedup": exact.op3,
     "op4_quality": quality.op4,
     "op5_tiff": tiff.op5,

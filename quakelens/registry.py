@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from quakelens.plans import graph_queries, metric_queries
+from quakelens.sources.projections import Query
+
+MODULES = (metric_queries, graph_queries)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q for m in MODULES for name, q in m.ORACLE.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anomalies of every bundle, ranked."""
+    return metric_queries.QUERIES["t01_rank_anomalies"](spark, sf_dir)

@@ -32,7 +32,7 @@ def canary_hits(texts: DataFrame, canaries: DataFrame, text: str, text_key: str,
     refused = F.raise_error(F.lit("a marker needs four words"))
     long_ = canaries.withColumn("__k", F.when(F.size(words) < 4, refused.cast("string")).otherwise(F.array_join(F.slice(words, 2, 2), " ")))
     grams = texts.withColumn("__w", F.split(F.regexp_replace(F.col(text), "\n", " "), " ")).select(
-        text_key, text, F.explode(F.array_distinct(F.expr("transform(sequence(0, greatest(size(__w) - 2, 0)), i -> concat_ws(' ', __w[i], __w[i + 1]))"))).alias("__k")
+        text_key, text, F.explode(F.array_distinct(F.expr("transform(sequence(0, greatest(size(__w) - 2, 0)), i -> concat_ws(' ', __w[i], get(__w, i + 1)))"))).alias("__k")
     )
     hits = grams.join(long_, "__k").filter(F.contains(F.col(text), F.col(canary)))
     return hits.select(key, text_key).distinct()

@@ -17,7 +17,6 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +25,6 @@ from quakelens.llm.pretokens import SPECIAL, SPECIAL_ID, Encoder
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 _NEVER = 1 << 60
-_SPLIT = regex.compile(public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
 def byte_letters() -> list[str]:
@@ -48,8 +46,7 @@ class Vocabulary:
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[ids[left], ids[right]] = rank, ids[left + right]
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.encode = Encoder(self._chunk)
+        self.encode = Encoder(self.pre_tokens)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """The ids of one pre-token, given its bytes' ids."""
@@ -97,18 +94,8 @@ class Vocabulary:
                     k >>= 1
         return [s for s in symbols if s >= 0]
 
-    def pre_token(self, piece: str) -> tuple[int, ...]:
-        got = self.known.get(piece)
-        if got is None:
-            got = tuple(self.merge([self.of_byte[b] for b in piece.encode("utf-8")]))
-            if len(piece) <= 40:
-                if len(self.known) >= 200_000:
-                    self.known.clear()
-                self.known[piece] = got
-        return got
-
-    def _chunk(self, text: str) -> bytes:
-        return np.array([i for piece in _SPLIT.findall(text) for i in self.pre_token(piece)], dtype="<u4").tobytes()
+    def pre_tokens(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(self.merge([self.of_byte[b] for b in p.encode("utf-8")]), dtype="<u4").tobytes() for p in pieces]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")

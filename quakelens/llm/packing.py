@@ -14,7 +14,9 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,8 +41,9 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def encoder(path: str) -> Encoder:
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     own = Tokenizer.from_file(path)
-    return Encoder(lambda text: np.array(own.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
+    return Encoder(lambda pieces: [array("I", e.ids).tobytes() for e in own.encode_batch_fast(pieces, add_special_tokens=False)])
 
 
 def _cut(path: str, capacity: int):

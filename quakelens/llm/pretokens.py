@@ -9,10 +9,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import public_tokenizers
+import regex
+
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256  # fixed values of the vocabulary
 _TWO = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _LONG = 80
+_SPLIT = regex.compile(public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
 def chunks(text: str) -> list[str]:
@@ -20,34 +24,54 @@ def chunks(text: str) -> list[str]:
     return _SAFE.split(text) if _TWO.search(text) else text.split(" ")
 
 
-class Known(dict):
-    """What `of` gives for prefix + chunk; long chunks aren't kept, and a full table is emptied."""
-
-    def __init__(self, of: Callable[[str], bytes], prefix: str, limit: int = 250_000):
-        super().__init__()
-        self.of, self.prefix, self.limit = of, prefix, limit
-
-    def __missing__(self, chunk: str) -> bytes:
-        got = self.of(self.prefix + chunk)
-        if len(chunk) <= _LONG:
-            if len(self) >= self.limit:
-                self.clear()
-            self[chunk] = got
-        return got
+def pre_tokens(text: str) -> list[str]:
+    """The vocabulary's own pre-tokens of a text without special strings."""
+    return _SPLIT.findall(text)
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, from a function for texts without special strings."""
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, from a function for lists of pre-tokens.
 
-    def __init__(self, of: Callable[[str], bytes]):
-        self.first, self.rest = Known(of, "", 20_000), Known(of, " ")
+    What it has learned is kept for later texts: chunks, and the pre-tokens that chunks consist of. Long ones aren't
+    kept, and a table that has grown too large is emptied.
+    """
+
+    def __init__(self, of: Callable[[list[str]], list[bytes]], chunk_limit: int = 400_000, piece_limit: int = 700_000):
+        self.of, self.chunk_limit, self.piece_limit = of, chunk_limit, piece_limit
+        self.chunks: dict[str, bytes] = {}  # by the chunk without its space
+        self.pieces: dict[str, bytes] = {}
         self.special = SPECIAL_ID.to_bytes(4, "little")
 
+    def of_pieces(self, split: list[list[str]]) -> list[bytes]:
+        """Ids of each list of pre-tokens."""
+        known = self.pieces
+        if len(known) > self.piece_limit:
+            known.clear()
+        new = list({p for pieces in split for p in pieces if p not in known})
+        if new:
+            known.update(zip(new, self.of(new), strict=True))
+        got = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+        for p in new:
+            if len(p) > _LONG:
+                del known[p]
+        return got
+
     def segment(self, text: str) -> bytes:
         if not text:
             return b""
         first, *rest = chunks(text)
-        return (self.first[first] if first else b"") + b"".join(map(self.rest.__getitem__, rest))
+        known = self.chunks
+        if len(known) > self.chunk_limit:
+            known.clear()
+        new = list({c for c in rest if c not in known})
+        split = [_SPLIT.findall(first), *(_SPLIT.findall(" " + c) for c in new)]
+        start, *ids = self.of_pieces(split)
+        known.update(zip(new, ids, strict=True))
+        whole = start + b"".join(map(known.__getitem__, rest))
+        for c in new:
+            if len(c) > _LONG:
+                del known[c]
+        return whole
 
     def __call__(self, text: str) -> bytes:
         if SPECIAL not in text:

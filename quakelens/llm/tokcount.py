@@ -20,13 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakelens.llm.bpe import _SPLIT
 from quakelens.llm.common import small_batches, staged, table
-from quakelens.llm.pretokens import SPECIAL, chunks
+from quakelens.llm.pretokens import SPECIAL, chunks, pre_tokens
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-SAMPLE_ROWS = 4_000
-HEAD = 60_000
+SAMPLE_ROWS = 8_000
+HEAD = 150_000
 LIMIT = 512
 _SEEN = "doc_id long, row long, n_bytes long, known long, rest array<struct<piece:string,times:int>>"
 
@@ -64,7 +63,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for chunk, times in _parts(text or "")[0].items():
                 whole = _whole(chunk)
                 found[whole] += times
-                if len(pre := _SPLIT.findall(whole)) > 1:
+                if len(pre := pre_tokens(whole)) > 1:
                     for p in pre:
                         found[p] += times
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["piece", "times"])
@@ -94,7 +93,7 @@ def _seen(head):
                     if n is not None:
                         total += n * times
                         continue
-                    for piece in _SPLIT.findall(whole):
+                    for piece in pre_tokens(whole):
                         n = tokens.get(piece)
                         if n is not None:
                             total += n * times

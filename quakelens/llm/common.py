@@ -1,38 +1,20 @@
-"""Shared helpers: staging tables in the cluster's shared folder and batch sizes."""
+"""Shared helpers: reading tables, staging, and batch sizes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in one Arrow batch; documents can be very long, so a batch is kept small.
-BATCH_ROWS = 500
-
+from quakelens.sources.staging import importable, shared_dir, staged
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where the setting is missing (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+__all__ = ["BATCH_ROWS", "shared_dir", "small_batches", "staged", "table"]
 
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
-
-    This cuts the lineage and stops work from being repeated; a lost executor costs a reread, nothing more.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows in one Arrow batch; documents can be very long, so a batch is kept small.
+BATCH_ROWS = 500
 
 
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, so that very long texts stay within an executor's memory."""
+    importable(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

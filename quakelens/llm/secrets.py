@@ -28,6 +28,8 @@ ACCESS, HEX, TOKEN = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}", r"[A-Za-z0-9+/_=-]{
 KINDS = ["assign", "access", "hex", "random"]
 MIN_VALUE = 6
 MIN_RATIO = 1.0
+#: A longer word would outweigh all others in training.
+MAX_WORD = 64
 SAMPLE_ROWS, GENERATED = 2_000, 1_500
 MARK = "[SECRET]"
 _START = "~"  # stands before a token's first character; no token holds it
@@ -76,7 +78,7 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[float]:
     generated = spark.range(GENERATED).select(F.explode(F.array(F.substring(digest, 1, 40), F.substring(F.base64(F.unhex(digest)), 1, 40), F.upper(F.substring(F.base64(F.unhex(F.md5(digest))), 1, 20)))).alias("word"))
     random = based.select(F.explode(values).alias("word")).filter(F.length("word") >= MIN_VALUE).unionByName(generated).select(F.regexp_replace("word", "[^A-Za-z0-9+/_=-]", "").alias("word"))
     words = based.select(F.explode(F.array_except(F.regexp_extract_all("__text", F.lit(r"[A-Za-z0-9+/_=-]{8,}"), F.lit(0)), values)).alias("word")).filter(F.col("word").rlike("^[A-Za-z_=/+-]+$"))
-    labelled = random.withColumn("label", F.lit(1)).unionByName(words.withColumn("label", F.lit(0))).filter("word <> ''")
+    labelled = random.withColumn("label", F.lit(1)).unionByName(words.withColumn("label", F.lit(0))).filter(F.length("word").between(MIN_VALUE, MAX_WORD))
     alphabet = 68  # characters of a token; the table of pairs is bounded by its square
     counts = [[0.0] * (128 * 128) for _ in range(2)]
     totals = [[0.0] * 128 for _ in range(2)]

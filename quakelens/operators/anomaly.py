@@ -60,7 +60,7 @@ def score_services(facts: DataFrame, windows: DataFrame, directions: DataFrame,
     signed = C.robust_z(F.col("baseline_median"), F.col("incident_median"), F.col("scale"))
     delta = zero("incident_median") - zero("baseline_median")
     return stats.select(
-        *SERIES, "direction", F.round(C.directed(signed, F.col("direction")), 4).alias("score"), zero("baseline_median").alias("baseline_median"), zero("incident_median").alias("incident_median"),
+        *SERIES, "direction", (F.round(C.directed(signed, F.col("direction")), 4) + 0.0).alias("score"), zero("baseline_median").alias("baseline_median"), zero("incident_median").alias("incident_median"),
         points("baseline_points").alias("baseline_points"), points("incident_points").alias("incident_points"),
         ((points("baseline_points") >= MIN_BASELINE_POINTS) & (points("incident_points") >= MIN_INCIDENT_POINTS)).alias("trustworthy"),
         F.round(delta, 6).alias("delta"), F.round(delta / F.nullif(zero("baseline_median"), F.lit(0.0)), 6).alias("relative_delta"),

@@ -83,8 +83,14 @@ add("a18_cost_summary", lambda s, d: grading.cost_summary(_costs(s, d), ["tier"]
     "WITH c AS (SELECT o_orderpriority AS tier, o_orderkey % 17 AS calls, o_totalprice / 1e6 AS usd, CAST(floor(o_totalprice / 100) AS BIGINT) AS tokens, o_orderkey % 997 AS seconds FROM orders), q AS (SELECT tier, list(seconds ORDER BY seconds) AS l FROM c GROUP BY 1) SELECT tier, mean_calls, mean_usd, median_usd, tokens, l[least(CAST(floor(0.5::DOUBLE * len(l)) AS BIGINT), len(l) - 1) + 1] AS p50_seconds, l[least(CAST(floor(0.95::DOUBLE * len(l)) AS BIGINT), len(l) - 1) + 1] AS p95_seconds FROM (SELECT tier, round(avg(calls), 6) AS mean_calls, round(avg(usd), 6) AS mean_usd, round(median(usd), 6) AS median_usd, CAST(sum(tokens) AS BIGINT) AS tokens FROM c GROUP BY 1) JOIN q USING (tier)")
 add("a20_split_summary", lambda s, d: grading.split_summary(P.table(s, d, "customer").select(governance.split_of(F.col("c_custkey").cast("string")).alias("split"), F.col("c_mktsegment").alias("family"))).withColumn("families", F.array_join("families", ",")),
     "SELECT split, count(*) AS tasks, array_to_string(list_sort(list(DISTINCT family)), ',') AS families FROM (SELECT c_mktsegment AS family, CASE WHEN f < 0.5 THEN 'train' WHEN f < 0.7 THEN 'validation' ELSE 'test_id' END AS split FROM (SELECT *, ('0x' || substr(sha256('split:' || c_custkey), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS f FROM customer)) GROUP BY 1")
-_SPLITS = F.when(F.col("p_partkey") % 3 == 0, "train").when(F.col("p_partkey") % 3 == 1, "test_id").otherwise("test_ood")
-add("u04_split_soundness", lambda s, d: grading.split_soundness(P.table(s, d, "part").select(_SPLITS.alias("split"), F.concat("p_brand", "p_type", F.col("p_size").cast("string")).alias("family"))),
+
+
+def _families(s, d):
+    k = F.col("p_partkey") % 3
+    return P.table(s, d, "part").select(F.when(k == 0, "train").when(k == 1, "test_id").otherwise("test_ood").alias("split"), F.concat("p_brand", "p_type", F.col("p_size").cast("string")).alias("family"))
+
+
+add("u04_split_soundness", lambda s, d: grading.split_soundness(_families(s, d)),
     "WITH p AS (SELECT p_partkey % 3 AS m, p_brand || p_type || p_size AS family FROM part) SELECT DISTINCT family, 'overlap' AS finding FROM p WHERE m = 2 AND family IN (SELECT family FROM p WHERE m = 0) UNION ALL SELECT DISTINCT family, 'never trained' FROM p WHERE m = 1 AND family NOT IN (SELECT family FROM p WHERE m = 0)")
 add("a23_by_group", lambda s, d: stats.brier(grading.by_group(P.fx_forecast(s, d), P.table(s, d, "documents").filter("lang <> 'fr'").select("doc_id", "lang"), "doc_id"), ["lang"]), oracle("SELECT lang, round(avg((confidence - outcome::INT) ** 2), 6) AS brier FROM fx_forecast JOIN (SELECT doc_id, lang FROM documents WHERE lang <> 'fr') USING (doc_id) GROUP BY 1", "fx_forecast"))
 add("a24_call_costs", lambda s, d: grading.call_costs(P.table(s, d, "lineitem").select(F.col("l_returnflag").alias("model"), F.col("l_partkey").alias("input_tokens"), F.col("l_suppkey").alias("output_tokens")), s.createDataFrame([("A", 3.0, 15.0), ("R", 0.25, 1.25)], "model string, input_price double, output_price double")),

@@ -120,6 +120,8 @@ def pagerank(graph: DataFrame, restart: DataFrame, damping: float = 1 - RESTART_
     Bundles are the unit of parallelism here; a graph too large for one task goes through pagerank_rounds.
     """
     importable(graph.sparkSession)
+    # Both sides may come from one table; new names tell their columns apart.
+    graph, restart = (x.toDF(*(f"{p}_{c}" for c in x.columns)).toDF(*x.columns) for p, x in (("g", graph), ("r", restart)))
     return graph.groupBy("bundle_id").cogroup(restart.groupBy("bundle_id")).applyInPandas(_walk(damping, tolerance, max_rounds), "bundle_id string, service string, graph_score double")
 
 

@@ -22,7 +22,7 @@ CENTRED = "SELECT *, median(value) FILTER (b) OVER s AS bm, median(value) FILTER
 STATS = """SELECT bundle_id, service_name, metric_name, first(bm) AS bm, first(im) AS im, count(*) FILTER (b) AS bn, count(*) FILTER (i) AS in_, median(abs(value - bm)) FILTER (b) AS mad FROM centred GROUP BY ALL"""
 SCALED = """SELECT *, CASE WHEN bn < 2 THEN CASE WHEN coalesce(im, 0) <> 0 THEN abs(im) * 0.05::DOUBLE ELSE 1e-9::DOUBLE END
  ELSE greatest(mad * 1.4826::DOUBLE, abs(bm) * 0.05::DOUBLE, CASE WHEN bm = 0 AND coalesce(im, 0) <> 0 THEN abs(im) * 0.05::DOUBLE ELSE 1e-9::DOUBLE END) END AS scale FROM stats"""
-SCORES = """SELECT bundle_id, service_name, metric_name, direction, round(CASE direction WHEN 'UP' THEN greatest(z, 0) WHEN 'DOWN' THEN greatest(-z, 0) ELSE abs(z) END, 4) AS score,
+SCORES = """SELECT bundle_id, service_name, metric_name, direction, round(CASE direction WHEN 'UP' THEN greatest(z, 0) WHEN 'DOWN' THEN greatest(-z, 0) ELSE abs(z) END, 4) + 0 AS score,
  coalesce(bm, 0) AS baseline_median, coalesce(im, 0) AS incident_median, bn AS baseline_points, in_ AS incident_points, bn >= 4 AND in_ >= 1 AS trustworthy,
  round(coalesce(im, 0) - coalesce(bm, 0), 6) AS delta, round((coalesce(im, 0) - coalesce(bm, 0)) / nullif(coalesce(bm, 0), 0), 6) AS relative_delta
  FROM (SELECT *, coalesce((im - bm) / scale, 0) AS z FROM scaled) JOIN fx_directions USING (metric_name)"""

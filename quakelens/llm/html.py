@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakelens.llm.common import small_batches, table
+from quakelens.llm.common import small_batches, staged, table
 
 #: A subtree is template from this many pages of a host on, and from this share of the host's pages on.
 MANY_PAGES, MANY_SHARE = 3, 0.1
@@ -216,7 +216,7 @@ def extract(pages: DataFrame, many_pages: int = MANY_PAGES, many_share: float =
     small_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^:/?#]*://([^/?#]*)", 1))
     rows = pages.select(F.monotonically_increasing_id().alias("row"), host.alias("host"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    keyed = rows.select("row", "host", "html").mapInArrow(_keys, "row long, host string, keys array<long>")
+    keyed = staged(rows.select("row", "host", "html").mapInArrow(_keys, "row long, host string, keys array<long>"), "subtrees")
     each = keyed.select("row", "host", F.explode("keys").alias("key"))
     totals = keyed.groupBy("host").agg(F.count("*").alias("pages"))
     counts = each.groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= many_pages)

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quakelens.llm.common import staged
+
 #: (verdict, host, path) of the filter's own rules.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 DEFAULT_VERDICT = "allow"
@@ -86,7 +88,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDI
     events = _boundaries(rules).withColumns({"host": F.lit(None).cast("string"), "path": F.lit(None).cast("string")}).unionByName(
         probes.withColumns({"kind": F.lit(1), "top": F.lit(None).cast("struct<rule:struct<host:string,path:string,verdict:string>>")})
     )
-    dealt = events.repartitionByRange(n, "k").withColumn("part", F.spark_partition_id())
+    # Written once: range bounds come from a sample, and a second exchange would draw others.
+    dealt = staged(events.repartitionByRange(n, "k").withColumn("part", F.spark_partition_id()), "urls")
     ordered = Window.partitionBy("part").orderBy("k", "kind").rowsBetween(Window.unboundedPreceding, 0)
     swept = dealt.withColumn("top", F.last("top", ignorenulls=True).over(ordered))
     # What is on top where a range begins: the last top of the ranges before it. A row for each range at most.

@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quakelens.llm import bpe, exact, html, minhash, packing, quality, secrets, tiff, tokcount, urls
@@ -229,6 +230,16 @@ def test_urls_nested_rules(spark):
         assert r.rule == (max(fits)[2] if fits else None)
 
 
+def test_urls_ranges_from_samples(spark):
+    """Many more distinct urls than the sample that deals the ranges: a rule holds up to its interval's end whatever range that is in."""
+    rules = [(("allow", "block")[i % 2], f"h{i:03}.com", "/b") for i in range(150)]
+    pages = spark.range(120_000).select(F.col("id").alias("page_id"), F.format_string("http://h%03d.com/%s%06d", F.pmod(F.hash("id"), F.lit(150)), F.element_at(F.array(*map(F.lit, "abc")), F.pmod(F.hash("id", F.lit(1)), F.lit(3)) + 1), "id").alias("url"))
+    found = urls.filter_urls(pages, urls.rule_frame(spark, rules), partitions=40)
+    own = F.col("path").startswith("/b")
+    want = F.when(own & (F.substring("host", 2, 3).cast("int") % 2 == 1), "block").otherwise("allow")
+    assert found.count() == 120_000 and found.filter((F.col("verdict") != want) | ~F.col("rule").eqNullSafe(F.when(own, F.concat("host", F.lit("/b"))))).count() == 0
+
+
 def test_html(spark, none):
     page = '<html><head><title>t</title></head><body><nav><a>m</a></nav><header>site</header>{}<footer>f</footer><script>var a="</p>";</script></body></html>'
     article = "<article><header><h1>A &amp; B</h1></header><p>one&nbsp; <b>two</b><p>three<br>four<div class='comments'><p>c</p></div><ul><li>x<li>y</ul></article>"

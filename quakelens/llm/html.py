@@ -8,7 +8,7 @@ article is never counted as template, so texts that a site repeats stay whole.
 Defined results: null or empty html gives an empty text; null or scheme-less urls share the empty host; unclosed, stray
 or truncated tags are read as browsers do in the simple cases (a new paragraph or item ends the last, an end tag closes
 down to its start tag or is ignored); a page without an article or main element is taken from its body; repeated rows
-are extracted each for itself but a page counts once for a subtree. Other columns are ignored.
+are extracted each for itself, but rows of one host with equal main text count as one page. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +27,7 @@ from quakelens.llm.common import small_batches, staged, table
 #: A subtree is template from this many pages of a host on, and from this share of the host's pages on.
 MANY_PAGES, MANY_SHARE = 3, 0.1
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
-_NAMES = re.compile(r"""\b(class|id|role|hidden|aria-label)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-_WORD = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 _BLOCKS = frozenset(
@@ -39,6 +38,13 @@ _DROPPED = frozenset("head script style textarea title noscript iframe nav foote
 _MARKS = frozenset(
     "ad ads advert advertisement adverts advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside widget footer header masthead topbar toolbar share sharing social related recommended comment comments commentlist disqus respond reply replies search login form pagination pager skip copyright".split()
 )
+#: Compound names that count like the words above; any other name that merely holds such a word does not.
+_MARKS |= frozenset(
+    "ad-banner ad-box ad-container ad-slot ad-unit ad-wrapper google-ad cookie-banner cookie-bar cookie-consent cookie-notice consent-banner gdpr-banner newsletter-form newsletter-signup signup-form subscribe-form search-form login-form"
+    " site-header site-footer site-nav page-header page-footer main-header main-footer main-nav main-menu top-nav top-bar top-menu nav-bar nav-menu nav-links side-bar side-nav left-sidebar right-sidebar breadcrumb-nav skip-link footer-links footer-nav"
+    " share-bar share-buttons share-links social-buttons social-links social-share social-media related-articles related-content related-links related-posts related-stories recommended-posts comment-form comment-list comments-area comments-section"
+    " pop-up modal-dialog site-notice site-banner promo-banner sponsored-content sponsored-links copyright-notice".split()
+)
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
 _CLOSED_BY = {  # a start tag of the values' kind ends an open element of the key's kind
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]),
@@ -106,10 +112,12 @@ def _given_away(node: Node, inside: bool) -> bool:
         return True
     if not node.attributes or node.tag in ("article", "main", "body", "html"):
         return False
-    for name, value in _NAMES.findall(node.attributes):
+    for name, value in _ATTRIBUTE.findall(node.attributes):
         name = name.lower()
-        words = _WORD.findall(value.lower())
-        if name == "hidden" or name == "role" and not _ROLES.isdisjoint(words) or name in ("class", "id") and not _MARKS.isdisjoint(words):
+        if name not in ("hidden", "role", "class", "id"):
+            continue
+        words = value.strip("\"'").lower().replace("_", "-").split()
+        if name == "hidden" or name == "role" and not _ROLES.isdisjoint(words) or not _MARKS.isdisjoint(words) and (name == "class" or name == "id" and node.tag not in _PROSE):
             return True
     return False
 
@@ -199,8 +207,10 @@ def main_text(root: Node, templates: set[int]) -> str:
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = [sorted(template_keys(parse(h))) if h else [] for h in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["row", "host", "keys"])
+        trees = [parse(h) if h else None for h in batch.column(2).to_pylist()]
+        pages = [xxhash.xxh64_intdigest(main_text(t, set())) >> 1 if t else 0 for t in trees]
+        keys = [sorted(template_keys(t)) if t else [] for t in trees]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pages, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "host", "page", "keys"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,10 +226,10 @@ def extract(pages: DataFrame, many_pages: int = MANY_PAGES, many_share: float =
     small_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^:/?#]*://([^/?#]*)", 1))
     rows = pages.select(F.monotonically_increasing_id().alias("row"), host.alias("host"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    keyed = staged(rows.select("row", "host", "html").mapInArrow(_keys, "row long, host string, keys array<long>"), "subtrees")
-    each = keyed.select("row", "host", F.explode("keys").alias("key"))
-    totals = keyed.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = each.groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= many_pages)
+    keyed = staged(rows.select("row", "host", "html").mapInArrow(_keys, "row long, host string, page long, keys array<long>"), "subtrees")
+    each = keyed.select("row", "host", "page", F.explode("keys").alias("key"))
+    totals = keyed.groupBy("host").agg(F.count_distinct("page").alias("pages"))
+    counts = each.groupBy("host", "key").agg(F.count_distinct("page").alias("n")).filter(F.col("n") >= many_pages)
     templates = counts.join(totals, "host").filter(F.col("n") >= many_share * F.col("pages")).select("host", "key")
     of_page = each.join(templates, ["host", "key"]).groupBy("row").agg(F.collect_list("key").alias("keys"))  # no more than the page has
     return rows.join(of_page, "row", "left").select("page_id", "url", "html", "keys").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")

@@ -252,3 +252,18 @@ def test_html(spark, none):
     assert len(got) == len(rows) and text[2] == "" == text[3] and text[4] == "in" and text[5] == "open text" and text[12] == "own 2"
     assert Counter(r.text for r in got)["A & B\none two\nthree four\nx\ny"] == 2
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_html_keeps_articles(spark):
+    """Copies of a page count once, and attributes that merely hold a mark's letters give nothing away."""
+    kept = ["style='overflow:hidden'", "aria-hidden='false'", "data-id='menu'", "class='no-sidebar search-and-rescue'", "title='id=menu'", "CLASS=formed"]
+    for attributes in kept:
+        assert html.main_text(html.parse(f"<article><p>a</p><div {attributes}>b</div></article>"), set()) == "a\nb", attributes
+    links = "<article><h2 id='related-work'>w</h2><p id='search'>see <a href='/hidden-gems'>one</a> <a href='?id=menu'>two</a></p></article>"
+    assert html.main_text(html.parse(links), set()) == "w\nsee one two"
+    for attributes in ("hidden", "HIDDEN=''", "class='x site_footer'", "id=comments", "role='navigation'", 'class="ad"'):
+        assert html.main_text(html.parse(f"<article><p>a</p><div {attributes}>b</div></article>"), set()) == "a", attributes
+    pages = ["<script>track({i})</script><article><h1>t</h1><div><p>body</p></div></article>", "<script>track({i})</script><div><p>whole</p></div>"]
+    rows = [(10 * i + k, f"http://h{k}/{i}", page.replace("{i}", str(i))) for k, page in enumerate(pages) for i in range(5)]
+    got = Counter(r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == {"t\nbody": 5, "whole": 5}

@@ -2,8 +2,9 @@
 
 Every page becomes a tree of elements. Subtrees are hashed (tag, attributes, text, children) and counted per host in
 Spark; what recurs on many pages of a host is template and is deleted, together with menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and comments that their tags, roles or class names give away. Prose inside an
-article is never counted as template, so texts that a site repeats stay whole.
+notices, adverts, forms, scripts, styles and comments that their tags, roles or class names give away. Passages
+(paragraphs, lists, tables, quotations) and headings recur by articles of different headings, so that copies and versions
+of one article keep what they share; an article's h1 is never counted.
 
 Defined results: null or empty html gives an empty text; null or scheme-less urls share the empty host; unclosed, stray
 or truncated tags are read as browsers do in the simple cases (a new paragraph or item ends the last, an end tag closes
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from quakelens.llm.common import small_batches, staged, table
 
-#: A subtree is template from this many pages of a host on, and from this share of the host's pages on.
-MANY_PAGES, MANY_SHARE = 3, 0.1
+#: A subtree is template from this many pages of a host on.
+MANY_PAGES = 3
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,6 +35,9 @@ _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dd dt li td th b i em strong span a code table tbody tr ul ol dl u s sub sup small mark q cite".split())
+_PASSAGES = frozenset("p blockquote pre figcaption ul ol dl table".split())  # counted by articles, and in articles as a whole
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_FLOWING = _HEADINGS | {"p", "pre", "figcaption"}  # what stands in these is never counted by itself
 _DROPPED = frozenset("head script style textarea title noscript iframe nav footer aside form button select option input template svg canvas dialog menu object audio video map xmp noembed noframes".split())
 _MARKS = frozenset(
     "ad ads advert advertisement adverts advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside widget footer header masthead topbar toolbar share sharing social related recommended comment comments commentlist disqus respond reply replies search login form pagination pager skip copyright".split()
@@ -45,6 +49,7 @@ _MARKS |= frozenset(
     " share-bar share-buttons share-links social-buttons social-links social-share social-media related-articles related-content related-links related-posts related-stories recommended-posts comment-form comment-list comments-area comments-section"
     " pop-up modal-dialog site-notice site-banner promo-banner sponsored-content sponsored-links copyright-notice".split()
 )
+_KEPT = frozenset(["body", "html", "head", "article", "main", "br", "wbr", "img", "hr"])  # never counted
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
 _CLOSED_BY = {  # a start tag of the values' kind ends an open element of the key's kind
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]),
@@ -54,10 +59,10 @@ _FENCE = frozenset(["table", "ul", "ol", "div", "section", "article", "main", "b
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "key")
+    __slots__ = ("tag", "attributes", "children", "key", "linked")
 
     def __init__(self, tag: str, attributes: str):
-        self.tag, self.attributes, self.children, self.key = tag, attributes, [], 0
+        self.tag, self.attributes, self.children, self.key, self.linked = tag, attributes, [], 0, tag == "a"
 
 
 def parse(html: str) -> Node:
@@ -123,7 +128,7 @@ def _given_away(node: Node, inside: bool) -> bool:
 
 
 def _hash(node: Node) -> int:
-    """Sets the keys of a subtree, without recursion (pages may nest deeply)."""
+    """Sets the keys of a subtree, and whether it has links, without recursion (pages may nest deeply)."""
     order, rest = [], [node]
     while rest:
         n = rest.pop()
@@ -132,43 +137,27 @@ def _hash(node: Node) -> int:
     for n in reversed(order):
         parts = [n.tag, " ".join(n.attributes.split())]
         parts += [str(c.key) if isinstance(c, Node) else " ".join(c.split()) for c in n.children]
+        n.linked = n.tag == "a" or any(c.linked for c in n.children if isinstance(c, Node))
         n.key = xxhash.xxh64_intdigest("\0".join(p for p in parts if p)) >> 1
     return node.key
 
 
-def template_keys(root: Node) -> set[int]:
-    """Keys of the subtrees that may be template: all but prose within an article and what holds the article."""
-    _hash(root)
-    found, rest = set(), [(root, False)]
-    holders = _holders(root)
-    while rest:
-        node, inside = rest.pop()
-        inside = inside or node.tag in ("article", "main")
-        if id(node) not in holders and not (inside and node.tag in _PROSE) and node.tag not in ("body", "html", "head", "article", "main", "br"):
-            found.add(node.key)
-        rest.extend((c, inside) for c in node.children if isinstance(c, Node) and not (inside and node.tag in _PROSE))
-    return found
-
+def _counted(node: Node, inside: bool, flowing: bool) -> bool:
+    """Whether a subtree can be template by its count: passages, headings but an article's h1, and whatever is no prose.
 
-def _holders(root: Node) -> set[int]:
-    """The elements that an article or main stands in."""
-    found, rest = set(), [(root, ())]
-    while rest:
-        node, above = rest.pop()
-        if node.tag in ("article", "main"):
-            for a in above:
-                found.add(id(a))
-        below = (*above, node) if len(above) < 200 else above
-        rest.extend((c, below) for c in node.children if isinstance(c, Node))
-    return found
+    Items, cells and inline elements are words of their list, table or line. Only outside an article, where menus are
+    bare lists, do those with links count."""
+    if flowing or node.tag in _KEPT:
+        return False
+    if node.tag in _PASSAGES or node.tag in _HEADINGS:
+        return not (inside and node.tag == "h1")
+    return node.tag not in _PROSE or not inside and node.linked
 
 
-def main_text(root: Node, templates: set[int]) -> str:
-    """The blocks of the article (or of the body) without templates, joined by newlines."""
-    _hash(root)
-    tops: list[Node] = []
+def _tops(root: Node) -> list[Node]:
+    """The articles, or else the main elements, of a page."""
     for wanted in ("article", "main"):
-        rest = [root]
+        tops, rest = [], [root]
         while rest:
             node = rest.pop()
             if node.tag == wanted:
@@ -176,41 +165,98 @@ def main_text(root: Node, templates: set[int]) -> str:
             elif not _given_away(node, False) or node is root:
                 rest.extend(c for c in reversed(node.children) if isinstance(c, Node))
         if tops:
-            break
+            return tops
+    return []
+
+
+def _walk(root: Node, templates: set[int], found: dict[int, bool] | None = None) -> list[tuple[str, str]]:
+    """Tag and text of each block that is left; an empty text stands for what the count takes. found gets the keys that can count, and whether articles count them."""
+    _hash(root)
+    tops = _tops(root)
     inside = bool(tops)
-    blocks: list[str] = []
+    blocks: list[tuple[str, str]] = []
     held: list[str] = []
+    tag = ""
 
     def close() -> None:
         text = " ".join(unescape("".join(held)).split())
         if text:
-            blocks.append(text)
+            blocks.append((tag, text))
         held.clear()
 
-    todo: list[Node | str | None] = [x for top in reversed(tops or [root]) for x in (None, top)]
+    # Of each element: the tag of its block, whether it stands in a line of text, whether in a list or table of an article.
+    todo: list[tuple[Node | str | None, str, bool]] = [x for top in reversed(tops or [root]) for x in ((None, "", False), (top, "", False))]
     while todo:
-        x = todo.pop()
+        x, of, flowing = todo.pop()
         if x is None:
             close()
+            tag = of
         elif isinstance(x, str):
             held.append(x)
         elif x.tag == "br" or x.tag == "wbr":
             held.append(" " if x.tag == "br" else "")
-        elif x in tops or not (_given_away(x, inside) or x.key in templates and not (inside and x.tag in _PROSE) and x.tag not in ("article", "main", "body", "html")):
+        elif x in tops or not _given_away(x, inside):
+            counted = x not in tops and _counted(x, inside, flowing)
+            if counted and found is not None:
+                found[x.key] = x.tag in _PASSAGES or x.tag in _HEADINGS
+            if counted and x.key in templates:
+                if x.tag not in _HEADINGS:
+                    if x.tag in _BLOCKS:
+                        close()
+                    blocks.append((x.tag, ""))
+                    continue
+                below = x.tag.upper()  # goes if nothing of the article follows it
+            else:
+                below = x.tag
+            flowing = flowing or x.tag in _FLOWING or inside and x.tag in _PASSAGES and x.tag != "blockquote"
             if x.tag in _BLOCKS:
                 close()
-                todo.append(None)
-            todo.extend(reversed(x.children))
+                todo.append((None, of, False))
+                tag = below
+            else:
+                below = of
+            todo.extend((c, below, flowing) for c in reversed(x.children))
     close()
-    return "\n".join(blocks)
+    return blocks
+
+
+def main_text(root: Node, templates: set[int]) -> str:
+    """The blocks of the article (or of the body) without templates, joined by newlines.
+
+    A recurring heading goes with what stands below it. A page of which the count would leave no more than headings is kept whole."""
+    kept: list[tuple[str, str]] = []
+    gone, own = False, "h0"  # what follows belongs to headings above the level of own
+    for tag, text in reversed(_walk(root, templates)):
+        heading = tag.lower() in _HEADINGS
+        if not text or tag != tag.lower() and tag.lower() >= own:
+            gone = True
+        else:
+            kept.append((tag, text))
+            own = tag.lower() if heading else "h7"
+    if gone and all(tag.lower() in _HEADINGS for tag, _ in kept):
+        return main_text(root, set())
+    return "\n".join(text for _, text in reversed(kept))
+
+
+def page_keys(root: Node) -> tuple[int, int, dict[int, bool]]:
+    """Hashes of a page's text and of its first heading (or else the text), and the keys of the subtrees that may be template: True for those that count by heading."""
+    found: dict[int, bool] = {}
+    blocks = _walk(root, set(), found)
+    page = xxhash.xxh64_intdigest("\n".join(text for _, text in blocks)) >> 1
+    title = next((text for tag, text in blocks if tag in _HEADINGS), None)
+    return page, page if title is None else xxhash.xxh64_intdigest(title) >> 1, found
+
+
+_KEYS = pa.list_(pa.struct([("key", pa.int64()), ("page", pa.int64())]))
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        trees = [parse(h) if h else None for h in batch.column(2).to_pylist()]
-        pages = [xxhash.xxh64_intdigest(main_text(t, set())) >> 1 if t else 0 for t in trees]
-        keys = [sorted(template_keys(t)) if t else [] for t in trees]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pages, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "host", "page", "keys"])
+        keys = []
+        for h in batch.column(2).to_pylist():
+            page, title, found = page_keys(parse(h)) if h else (0, 0, {})
+            keys.append([{"key": k, "page": title if passage else page} for k, passage in sorted(found.items())])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, _KEYS)], names=["row", "host", "keys"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,16 +267,14 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def extract(pages: DataFrame, many_pages: int = MANY_PAGES, many_share: float = MANY_SHARE) -> DataFrame:
+def extract(pages: DataFrame, many_pages: int = MANY_PAGES) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages (page_id, url, html). pages is read twice, as a scan of files."""
     small_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^:/?#]*://([^/?#]*)", 1))
     rows = pages.select(F.monotonically_increasing_id().alias("row"), host.alias("host"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    keyed = staged(rows.select("row", "host", "html").mapInArrow(_keys, "row long, host string, page long, keys array<long>"), "subtrees")
-    each = keyed.select("row", "host", "page", F.explode("keys").alias("key"))
-    totals = keyed.groupBy("host").agg(F.count_distinct("page").alias("pages"))
-    counts = each.groupBy("host", "key").agg(F.count_distinct("page").alias("n")).filter(F.col("n") >= many_pages)
-    templates = counts.join(totals, "host").filter(F.col("n") >= many_share * F.col("pages")).select("host", "key")
+    keyed = staged(rows.select("row", "host", "html").mapInArrow(_keys, "row long, host string, keys array<struct<key:long,page:long>>"), "subtrees")
+    each = keyed.select("row", "host", F.inline("keys"))
+    templates = each.groupBy("host", "key").agg(F.count_distinct("page").alias("n")).filter(F.col("n") >= many_pages).select("host", "key")
     of_page = each.join(templates, ["host", "key"]).groupBy("row").agg(F.collect_list("key").alias("keys"))  # no more than the page has
     return rows.join(of_page, "row", "left").select("page_id", "url", "html", "keys").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
 

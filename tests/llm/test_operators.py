@@ -267,3 +267,16 @@ def test_html_keeps_articles(spark):
     rows = [(10 * i + k, f"http://h{k}/{i}", page.replace("{i}", str(i))) for k, page in enumerate(pages) for i in range(5)]
     got = Counter(r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
     assert got == {"t\nbody": 5, "whole": 5}
+
+
+def test_html_counts_inside_articles(spark):
+    """Unmarked notices, menus and tables go from articles, on hosts of any size; titles, versions of an article and words within lines stay."""
+    notice = "<p>All <b>rights</b> kept.</p><h2>More</h2><ul><li>one<li>two</ul><table><tr><td>x</td></tr></table>"
+    own = "<article><h1>T{i}</h1><h2>Part</h2><h3>{i}</h3><p>own {i} <b>Note</b></p><ul><li>yes<li>{i}</ul>{n}</article>"
+    rows = [(i, f"http://a/{i}", own.replace("{i}", str(i)).replace("{n}", notice if i < 4 else "")) for i in range(60)]
+    rows += [(100 + i, f"http://b/{i}", f"<article><h1>same</h1><p>shared</p><p>version {i}</p></article>") for i in range(5)]
+    rows += [(200 + i, f"http://c/{i}", f"<article><h1>t{i}</h1><p>only this</p></article>") for i in range(4)]
+    rows += [(300 + i, f"http://d/{i}", f"<ul><li><a href='/'>home</a><li>now {i}</ul><table><tr><td>yes<td>{i}</table><p><b>Note</b> {i}</p>") for i in range(4)]
+    text = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(text[i] == f"T{i}\nPart\n{i}\nown {i} Note\nyes\n{i}" for i in range(60))
+    assert all(text[100 + i] == f"same\nshared\nversion {i}" and text[200 + i] == f"t{i}\nonly this" and text[300 + i] == f"now {i}\nyes\n{i}\nNote {i}" for i in range(4))

@@ -136,3 +136,19 @@ def test_queries_against_their_twins(spark, name):
     text = lambda v: f"{v:.6f}" if isinstance(v, float) else str(v)
     theirs = sorted(tuple(text(dict(zip(names, r, strict=True))[c]) for c in columns) for r in want)
     assert sorted(tuple(text(r[c]) for c in columns) for r in mine.collect()) == theirs
+
+
+def test_triage_edges_are_whole(spark):
+    """All pairs of services with events in one hour make an edge, with the smaller counts summed."""
+    from collections import Counter
+
+    from quakelens.plans import triage_queries
+    from quakelens.sources import projections as P
+
+    d = "/root/testdata/sf0.001"
+    hours, want = Counter((r.bundle_id, r.timestamp.replace(minute=0, second=0, microsecond=0), r.service_name) for r in P.fx_metrics(spark, d).collect()), Counter()
+    for (bundle, hour, a), x in hours.items():
+        for b in {k[2] for k in hours if k[:2] == (bundle, hour) and k[2] > a}:
+            want[bundle, a, b] += min(x, hours[bundle, hour, b])
+    got = {(r.bundle_id, r.client, r.server): round(r.requests_per_second * 86400) for r in triage_queries._edges(spark, d).collect()}
+    assert got == want and len({k[1:] for k in got}) == 28

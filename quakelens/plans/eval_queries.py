@@ -123,17 +123,17 @@ add("e17_compare", lambda s, d: gate.compare(_side(s, d, "a"), _side(s, d, "b"),
     oracle(f"SELECT *, lower > 0 OR upper < 0 AS excludes_zero, (SELECT count(*) FILTER (n = 1) FROM (SELECT task, count(*) AS n FROM fx_forecast GROUP BY 1)) AS unpaired FROM ({_boot('tasks', 'grader', 'grader')})", "fx_forecast", tasks=PAIRED, placed=PPLACED))
 
 
-def _checks(s, d):
+def _checks(s, d, resamples=N_BOOT):
     named = lambda c: _side(s, d, c).withColumn("grader", F.lit("root_cause"))
-    return gate.gate_checks(stats.paired_bootstrap(named("a"), named("b"), ["grader"], N_BOOT))
+    return gate.gate_checks(stats.paired_bootstrap(named("a"), named("b"), ["grader"], resamples))
 
 
 def _verdict(s, d):
     b = lambda c: P.fx_forecast(s, d).filter(F.col("configuration") == c)
     error = lambda c: b(c).select(F.lit("c").alias("grader"), "task", F.pow(F.col("confidence") - F.col("outcome").cast("double"), 2).alias("value"))
-    calibration = stats.paired_bootstrap(error("a"), error("b"), ["grader"], N_BOOT).select("estimate", "upper")
+    calibration = stats.paired_bootstrap(error("a"), error("b"), ["grader"], stats.RESAMPLES).select("estimate", "upper")
     costs = b("a").agg(F.median(F.col("n_chars") / 1e4).alias("candidate")).crossJoin(b("b").agg(F.median(F.col("n_chars") / 1e4).alias("baseline")))
-    return gate.gate_verdict(_checks(s, d), calibration, costs, b("a").agg(F.count_distinct("task").alias("tasks")))
+    return gate.gate_verdict(_checks(s, d, stats.RESAMPLES), calibration, costs, b("a").agg(F.count_distinct("task").alias("tasks")))
 
 
 _CHECKED = f"SELECT estimate, lower, CASE WHEN lower >= -0.03 THEN 'passed' WHEN estimate >= -0.03 THEN 'underpowered' ELSE 'regressed' END AS c FROM ({_boot('tasks', 'grader', 'grader')})"

@@ -152,3 +152,11 @@ def test_triage_edges_are_whole(spark):
             want[bundle, a, b] += min(x, hours[bundle, hour, b])
     got = {(r.bundle_id, r.client, r.server): round(r.requests_per_second * 86400) for r in triage_queries._edges(spark, d).collect()}
     assert got == want and len({k[1:] for k in got}) == 28
+
+
+def test_gate_verdict_takes_all_resamples(spark, monkeypatch):
+    """The registered verdict rests on the operator's own number of draws."""
+    taken, whole = [], stats.bootstrap
+    monkeypatch.setattr(stats, "bootstrap", lambda tasks, by, resamples=stats.RESAMPLES, *more: taken.append(resamples) or whole(tasks, by, resamples, *more))
+    registry.queries()["e18_gate_verdict"](spark, "/root/testdata/sf0.001")
+    assert taken == [10_000, 10_000]

@@ -1,11 +1,20 @@
-"""Best-fit packing of token pieces into sequences, in bulk-synchronous rounds.
+"""Best-fit packing of token pieces into sequences, in bulk-synchronous rounds of distributed sweeps.
 
-Lengths are whole numbers up to the capacity, so range-sorted pieces are runs of equal length, and range-sorted gaps runs
-of equal room. Each round takes the pieces of one length, from the longest down: a sweep over the gap runs in order
-gives each its successor, the smallest gaps that are large enough; pieces and gaps meet by rank, so no gap is taken twice;
-the gaps that were used shrink and join the runs of their new size, and what fits nowhere opens new sequences. This is
-best-fit decreasing. The rounds work on the runs (at most `capacity` of each kind, whatever the number of documents);
-the pieces themselves are ranked in Spark, by length and salt, and each finds its place from its rank.
+Pieces longer than half a sequence open one each. The others go in bands of length, from the longest down; a round a band:
+
+1. Range sort: the band's pieces and the gaps are sorted together by size, largest first, over as many ranges as their
+   number asks for. A gap with room for several of the band's longest piece stands as that many slots of equal size.
+2. Successor sweep: a gap raises the height by one, a piece lowers it. Each range sums its own steps, the ranges' totals
+   are carried on, and so every piece and gap knows its height.
+3. Conflicts by rank: a piece that wants the successor that another has taken gets the next one. These ranks are the
+   heights: a piece takes the gap that reached the piece's height last, the smallest that fits and is free. At one height
+   gaps and pieces alternate, and sizes are whole numbers up to the capacity, so a height has few rows.
+4. Pieces that find no gap have the ranks 0, 1, ... and open new sequences: as many of the band's longest as fit share one,
+   or, of short pieces, as many as have their summed length in one share.
+5. The gaps shrink by what they took, new ones join, and the next band follows.
+
+Where a band's pieces fit a sequence at most eight times this is best-fit decreasing, but that the last sequence a band
+opens may stay half empty; bands of shorter pieces may open a few sequences more.
 
 Defined results: a null text is empty and gives one piece, of the end id alone; documents of more than `capacity` ids are
 cut, the first piece being the shorter one; repeated rows are packed each for itself; an empty table gives no pieces.
@@ -14,36 +23,46 @@ Other columns are ignored.
 
 from __future__ import annotations
 
-import os
+import json
 import zlib
-from array import array
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
+from quakelens.llm.bpe import byte_letters
 from quakelens.llm.common import small_batches, staged, table
-from quakelens.llm.pretokens import Encoder
+from quakelens.llm.pretokens import SPECIAL, SPECIAL_ID
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 CAPACITY = 2048
-SALTS = 64
-_END = b"\0\0\0\0"
+#: Bands end where one piece more fits into a sequence; short pieces need fewer bands. The last takes what is left.
+DIVISORS = (2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 21, 32, 64)
+#: Pieces and slots in one range of a sweep, about.
+RANGE_ROWS = 400_000
+_END = np.zeros(1, np.uint32)
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    from tokenizers import Tokenizer
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    own = Tokenizer.from_file(path)
-    return Encoder(lambda pieces: [array("I", e.ids).tobytes() for e in own.encode_batch_fast(pieces, add_special_tokens=False)])
+def encoder(path: str) -> Callable[[str], np.ndarray]:
+    """Ids of a text under a byte-level vocabulary file; its ids must follow the order of its merges, as ranks."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    back = {c: b for b, c in enumerate(byte_letters())}
+    ids = model["vocab"]
+    merged = [ids["".join(pair.split(" ") if isinstance(pair, str) else pair)] for pair in model["merges"]]
+    if merged != sorted(merged) or any(ids[c] > merged[0] for c in back):
+        raise ValueError(f"the ids in {path} are no merge ranks")
+    ranks = {bytes(back[c] for c in word): i for word, i in ids.items() if word != SPECIAL}
+    own = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
+    return lambda text: own.encode_to_numpy(text, allowed_special="all")
 
 
 def _cut(path: str, capacity: int):
@@ -52,11 +71,10 @@ def _cut(path: str, capacity: int):
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text or "") + _END
-                n = len(ids) // 4
-                start, length = 0, (n - 1) % capacity + 1
-                for piece in range(-(-n // capacity)):
-                    rows.append((doc, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
+                ids = np.concatenate([encode(text or ""), _END]).astype("<u4", copy=False)
+                start, length = 0, (len(ids) - 1) % capacity + 1
+                for piece in range(-(-len(ids) // capacity)):
+                    rows.append((doc, piece, start, length, zlib.crc32(ids[start : start + length])))
                     start, length = start + length, capacity
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
@@ -71,73 +89,92 @@ def pieces(docs: DataFrame, path: str = VOCABULARY, capacity: int = CAPACITY) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(path, capacity), _PIECES)
 
 
-def plan(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
-    """Where the pieces of each length go, by rank, and the number of sequences.
+def _slots(rooms: dict[int, int], widest: int, least: int, wanted: int) -> Column:
+    """How often a gap is offered, by its room: no more slots in all than are wanted, the smallest gaps first.
 
-    counts: of each length from 0 to capacity. Rows of the result: length, first rank, first sequence, pieces in each
-    sequence, offset of the first of these; in order of length and rank.
+    rooms: gaps by room. A gap left out has `wanted` free slots before it that fit every piece, so no piece would reach it.
     """
-    gaps: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # by room: runs of (first sequence, sequences)
-    places: list[tuple[int, ...]] = []
-    opened = 0
-    for length in range(capacity, 0, -1):
-        left, rank = int(counts[length]), 0
-        used: list[tuple[int, int, int]] = []  # room afterwards, and the run
-        for room in range(length, capacity + 1):
-            while left and gaps[room]:
-                first, n = gaps[room].pop()
-                each = room // length
-                full, some = divmod(min(left, n * each), each)
-                places.append((length, rank, first, each, capacity - room))
-                for run, held in (((first, full), each), ((first + full, int(some > 0)), some)):
-                    if run[1]:
-                        used.append((room - held * length, *run))
-                taken = full + (some > 0)
-                if taken < n:
-                    gaps[room].append((first + taken, n - taken))
-                left, rank = left - full * each - some, rank + full * each + some
-            if not left:
+    offered, free = [], 0
+    for room in sorted(r for r in rooms if r > least):
+        each = max(1, room // widest)
+        if room >= widest:
+            each = min(each, -(-(wanted - free) // rooms[room]))
+            if each <= 0:
                 break
-        if left:
-            each = capacity // length
-            full, some = divmod(left, each)
-            places.append((length, rank, opened, each, 0))
-            for first, n, held in ((opened, full, each), (opened + full, int(some > 0), some)):
-                if n:
-                    used.append((capacity - held * length, first, n))
-            opened += full + (some > 0)
-        for room, first, n in used:
-            gaps[room].append((first, n))
-    return np.array(sorted(places), dtype=np.int64).reshape(-1, 5), opened
-
-
-def pack(cut: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece", "ids_crc32")) -> DataFrame:
-    """The rows of cut (length, ...) with sequence_id and offset. cut is read twice: it should be a written table."""
-    salted = cut.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int"))
-    # At most capacity * SALTS rows, whatever the size of cut.
-    counted = salted.groupBy("length", "__salt").count().collect()
-    by_salt = np.zeros((capacity + 1, SALTS), dtype=np.int64)
-    for length, salt, n in counted:
-        by_salt[length, salt] = n
-    places, _ = plan(by_salt.sum(axis=1), capacity)
-    before = np.cumsum(by_salt, axis=1) - by_salt
-    key = (places[:, 0] << 44) + places[:, 1]
+            free += each * rooms[room]
+        offered.append((room, each))
+    table_ = F.create_map(*(F.lit(x) for pair in offered for x in pair)) if offered else F.create_map().cast("map<int,int>")
+    return F.coalesce(table_[F.col("room").cast("int")], F.lit(0))
+
+
+def _swept(docs: DataFrame, gaps: DataFrame, slots: Column, events: int) -> DataFrame:
+    """Each piece (id, length) with the sequence whose gap it takes, or with its rank among those that find none."""
+    offered = gaps.withColumn("slots", slots).filter("slots > 0").select(
+        F.expr("room div slots").alias("size"), F.lit(0).alias("kind"), F.col("sequence_id").alias("id"), F.explode(F.expr("sequence(1, slots)")).alias("slot")
+    )
+    both = offered.unionByName(docs.select(F.col("length").alias("size"), F.lit(1).alias("kind"), "id", F.lit(0).alias("slot")))
+    order = [F.desc("size"), F.col("kind"), F.col("id"), F.col("slot")]
+    ranges = -(-events // RANGE_ROWS)
+    # Written once: range bounds come from a sample, and a second exchange would draw others.
+    dealt = staged(both.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id()), "packing-ranges")
+    step = F.when(F.col("kind") == 0, 1).otherwise(-1)
+    totals = dealt.groupBy("part").agg(F.sum(step).alias("total"))  # a row for each range
+    carried = totals.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("carried"))
+    within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    height = F.col("own") + F.col("carried") + F.col("kind")  # the upper end of the step, up or down
+    stepped = dealt.withColumn("own", F.sum(step).over(within)).join(F.broadcast(carried), "part").withColumn("height", height)
+    taken = F.lag(F.when(F.col("kind") == 0, F.col("id"))).over(Window.partitionBy("height").orderBy(*order))
+    return stepped.withColumn("sequence_id", taken).filter("kind = 1").select(
+        "id", F.col("size").alias("length"), "sequence_id", F.when(F.col("sequence_id").isNull(), -F.col("height")).alias("rank")
+    )
+
+
+def _opened(swept: DataFrame, first: int, widest: int, capacity: int) -> DataFrame:
+    """id, length and sequence_id of every piece; those with a rank open sequences of ids below `first`."""
+    if widest * 8 >= capacity:
+        group = F.expr(f"rank div {capacity // widest}")
+    else:
+        # Ranks follow the lengths, so a run of equal lengths tells the summed length before each of its pieces.
+        runs = swept.filter("rank is not null").groupBy("length").agg(F.min("rank").alias("from"), F.count("*").alias("n"))  # at most `capacity` rows
+        longer = Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
+        runs = runs.select("length", "from", F.coalesce(F.sum(F.col("length") * F.col("n")).over(longer), F.lit(0)).alias("before"))
+        swept = swept.join(F.broadcast(runs), "length", "left")
+        group = F.expr(f"(before + (rank - from) * length) div {capacity - widest}")
+    return swept.select("id", "length", F.coalesce("sequence_id", F.lit(first) - group).alias("sequence_id"))
+
+
+def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The rows of cut (length from 1 to capacity, ...) with sequence_id and offset."""
     names = cut.columns
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, salt, number = (batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("length", "__salt", "__number"))
-            rank = before[length, salt] + number - 1
-            _, lo, first, each, base = places[np.searchsorted(key, (length << 44) + rank, side="right") - 1].T
-            out = batch.select(names)
-            yield out.append_column("sequence_id", pa.array(first + (rank - lo) // each, pa.int64())).append_column("offset", pa.array(base + (rank - lo) % each * length, pa.int64()))
-
-    numbered = salted.withColumn("__number", F.row_number().over(Window.partitionBy("length", "__salt").orderBy(*order)))
-    return numbered.mapInArrow(place, StructType(list(cut.schema)).add("sequence_id", "long").add("offset", "long"))
+    rows = staged(cut.select("*", F.monotonically_increasing_id().alias("__id"), F.col("length").cast("long").alias("__length")), "pieces")
+    items = rows.select(F.col("__id").alias("id"), F.col("__length").alias("length"))
+    lengths = {r.length: r["count"] for r in items.groupBy("length").count().collect()}  # at most `capacity` rows
+    large = items.filter(2 * F.col("length") > capacity)
+    placed = [large.select("id", "length", F.col("id").alias("sequence_id"), F.lit(0).alias("round"))]
+    gaps = large.select(F.col("id").alias("sequence_id"), (capacity - F.col("length")).alias("room")).filter("room > 0")
+    ends = [capacity // d for d in DIVISORS if capacity >= d] + [0]
+    for turn, (most, least) in enumerate(zip(ends, ends[1:], strict=False), 1):
+        wanted = sum(n for x, n in lengths.items() if least < x <= most)
+        if not wanted:
+            continue
+        widest = max(x for x in lengths if least < x <= most)
+        rooms = {r.room: r["count"] for r in gaps.groupBy("room").count().collect()}  # at most `capacity` rows
+        slots = _slots(rooms, widest, least, wanted)
+        band = items.filter((F.col("length") > least) & (F.col("length") <= most))
+        swept = staged(_swept(band, gaps, slots, wanted + sum(n for r, n in rooms.items() if r > least)), "packing-swept")
+        first = -(turn << 44) - 1
+        filled = _opened(swept, first, widest, capacity)
+        placed.append(filled.withColumn("round", F.lit(turn)))
+        changes = gaps.union(filled.select("sequence_id", -F.col("length")))
+        room = F.sum("room") + F.when(F.col("sequence_id") <= first, capacity).otherwise(0)
+        gaps = staged(changes.groupBy("sequence_id").agg(room.alias("room")).filter("room > 0"), "packing-gaps")
+    places = reduce(DataFrame.unionByName, placed).select(F.col("id").alias("__id"), "sequence_id", F.col("round").alias("__round"))
+    before = Window.partitionBy("sequence_id").orderBy("__round", "__id").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(places, "__id").select(*names, "sequence_id", F.coalesce(F.sum("__length").over(before), F.lit(0)).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, path: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
-    return pack(staged(pieces(docs, path, capacity), "pieces"), capacity)
+    return pack(pieces(docs, path, capacity), capacity)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

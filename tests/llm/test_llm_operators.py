@@ -181,17 +181,37 @@ def test_packing(docs, none, library):
     assert len(by_sequence) <= -(-sum(r.length for r in rows) // 2048) + 1 and packing.pack_documents(none).count() == 0
 
 
-def test_plan_is_best_fit_decreasing():
-    for _ in range(30):
-        lengths = sorted((random.randint(1, 40) for _ in range(random.randint(1, 200))), reverse=True)
-        gaps = []
-        for x in lengths:  # the plain version
-            fits = [g for g in range(len(gaps)) if gaps[g] >= x]
-            if fits:
-                gaps[min(fits, key=lambda g: gaps[g])] -= x
-            else:
-                gaps.append(40 - x)
-        assert packing.plan(np.bincount(lengths, minlength=41), 40)[1] == len(gaps)
+def best_fit(lengths, capacity):
+    """Plain best-fit decreasing: the number of sequences."""
+    gaps = []
+    for x in sorted(lengths, reverse=True):
+        fits = [g for g in range(len(gaps)) if gaps[g] >= x]
+        if fits:
+            gaps[min(fits, key=lambda g: gaps[g])] -= x
+        else:
+            gaps.append(capacity - x)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("capacity,least,most,n,ranges", [(2048, 230, 2048, 1500, 97), (2048, 500, 1024, 900, 400_000), (40, 1, 40, 600, 50), (2048, 1, 60, 900, 400_000), (2048, 10, 10, 500, 33)])
+def test_packing_against_best_fit(spark, monkeypatch, capacity, least, most, n, ranges):
+    monkeypatch.setattr(packing, "RANGE_ROWS", ranges)  # many ranges: heights are carried over them
+    lengths = [random.randint(least, most) for _ in range(n)]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long").repartition(3), capacity).collect()
+    assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(lengths))
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    want = best_fit(lengths, capacity)
+    assert max(ends.values()) <= capacity and len(ends) <= want + 1 + (want // 50 if 9 * least < capacity else 0)
+
+
+def test_encoder_of_pieces(library):
+    encode = packing.encoder(packing.VOCABULARY)
+    parts = ["a", "the", " ", "  ", "\n", "\n\n", "\t", "é", "日本", "1", "'s", "<|endoftext|>", "!", "_", "\x00", "\x1c", "\x85", "\u180e", "\u3000", "\U0001f600", "ing", "\r\n"]
+    for x in ["".join(random.choice(parts) for _ in range(random.randint(0, 12))) for _ in range(3000)] + ["a" * 300_000, " " * 300_000 + "x", "ab" * 100_000]:
+        assert encode(x).tolist() == library.encode(x, add_special_tokens=False).ids
 
 
 def test_tokens(docs, none, library):

@@ -39,29 +39,22 @@ def tokenizer(path: str):
 
 def _parts(text: str) -> tuple[Counter, int]:
     """Frequencies of the text's chunks (a pre-token or a few that stand together), and its special strings."""
-    if SPECIAL not in text:
-        segments = [text]
-    else:
-        segments = text.split(SPECIAL)
-    found: Counter = Counter()
+    segments = text.split(SPECIAL) if SPECIAL in text else [text]
+    firsts, found = [], Counter()
     for segment in segments:
         first, *rest = chunks(segment)
+        firsts.append(first)
         found.update(rest)
-        if first:
-            found["\0" + first] += 1  # a text's first chunk has no space in front
-    return found, len(segments) - 1
-
-
-def _whole(chunk: str) -> str:
-    return chunk[1:] if chunk[:1] == "\0" else " " + chunk
+    whole = Counter({" " + chunk: times for chunk, times in found.items()})
+    whole.update(filter(None, firsts))  # a segment's first chunk has no space in front
+    return whole, len(segments) - 1
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: Counter = Counter()
         for text in batch.column(0).to_pylist():
-            for chunk, times in _parts(text or "")[0].items():
-                whole = _whole(chunk)
+            for whole, times in _parts(text or "")[0].items():
                 found[whole] += times
                 if len(pre := pre_tokens(whole)) > 1:
                     for p in pre:
@@ -87,8 +80,7 @@ def _seen(head):
             for text in batch.column(2).to_pylist():
                 found, total = _parts(text or "")
                 more: Counter = Counter()
-                for chunk, times in found.items():
-                    whole = _whole(chunk)
+                for whole, times in found.items():
                     n = tokens.get(whole)
                     if n is not None:
                         total += n * times

@@ -225,6 +225,13 @@ def test_tokens(docs, none, library):
     assert bpe.decode(bpe.encode(docs)).count() == docs.count()
 
 
+def test_tokens_of_texts_with_nul(spark, library):
+    texts = ["a \0b", "x \0hello there", "a \0 b", "\0", "\0\0 a", " \0", "\0<|endoftext|>\0 \0x", " a", "a  \0"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r, c in zip(bpe.round_trip(rows).orderBy("doc_id").collect(), tokcount.count_tokens(rows).orderBy("doc_id").collect(), strict=True):
+        assert r.n_tokens == c.n_tokens == len(library.encode(texts[r.doc_id], add_special_tokens=False).ids)
+
+
 def test_pre_token_splits(library):
     own = bpe.vocabulary(bpe.VOCABULARY)
     parts = ["a", "the", " ", "  ", "\n", "\n\n", "\t", "é", "日本", "1", "'s", "<|endoftext|>", "!", "_", "\x1c", "\x85", "\U0001f600", "ing", "\r\n"]

@@ -114,12 +114,44 @@ def test_secrets_against_finditer(docs, none):
 
 @pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="the provided tables are missing")
 def test_secrets_markov(spark):
-    odd = spark.createDataFrame([(1, "a x8Kd92LqPz7Rt5Vw1Yb3Nc6Mf b"), (2, "a internationalisation_of_names b 4111111111111111 getUserAccountInformation")], "doc_id long, text string")
+    odd = spark.createDataFrame([(1, "a x8Kd92LqPz7Rt5Vw1Yb3Nc6Mf b"), (2, "a internationalisation_of_names b 4111111111111111 getUserAccountInformation user2NameOfAccount")], "doc_id long, text string")
     model = secrets.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
-    found = {r.doc_id: r.n for r in secrets.with_spans(odd, model).selectExpr("doc_id", "size(__spans) as n").collect()}
+    found = {r.doc_id: r.n for r in secrets.with_spans(odd, model).selectExpr("doc_id", "size(__secret_spans) as n").collect()}
     assert found == {1: 1, 2: 0}
 
 
+def test_secrets_of_long_texts(spark):
+    """Megabytes with many thousands of matches; places, redaction and clashing names."""
+    words = ["".join(random.choice("abcXYZ0123456789") for _ in range(20)) if i % 3 else f"token=é{i} token = abcdef{i}" for i in range(60_000)]
+    text = " ".join(words) + "\n" + "z" * 2_000_000
+    rows = spark.createDataFrame([(1, text, 2, "x"), (2, "", 0, "y"), (3, None, None, None)], "doc_id long, text string, n_chars long, __spans string")
+    model = [0.0] * (128 * 128)
+    flat = secrets.with_spans(rows, model)
+    found = flat.filter("doc_id = 1").first()["__secret_base"]
+    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    assert [(s.start, s.end) for s in found] == [m.span() for m in assign.finditer(text) if len(m[2]) >= 6]
+    cleaned = {r.doc_id: r for r in secrets.redact(rows).collect()}
+    assert "abcdef" not in cleaned[1].text and cleaned[1].text.count("token=é") == 20_000 and cleaned[1].n_chars == len(cleaned[1].text)
+    assert cleaned[1]["__spans"] == "x" and cleaned[2].text == "" and cleaned[3].text is None
+
+
+def test_secrets_do_not_depend_on_partitions(spark, docs):
+    a, b = (secrets.scan(docs.repartition(n)).orderBy("doc_id", "spans").collect() for n in (1, 7))
+    assert a == b
+
+
+def test_secrets_redaction_of_overlapping_spans(spark):
+    spans = sorted((a, a + random.randint(1, 9)) for a in random.sample(range(3000), 700))
+    text = "".join(random.choice("abcé\U0001f600") for _ in range(3010))
+    kept, at = [], 0
+    for a, b in spans:
+        if a >= at:
+            kept += [text[at:a], "#"]
+        at = max(at, b)
+    rows = spark.createDataFrame([(text, [(a, 0, b) for a, b in spans])], "text string, spans array<struct<start:int,kind:int,end:int>>")
+    assert rows.select(secrets._redacted(F.col("text"), secrets._merged(F.col("spans")), "#")).first()[0] == "".join(kept) + text[at:]
+
+
 def test_quality(spark, docs, none):
     good = [(i, prose(40) + ".\n" + prose(20), 1) for i in range(200)]
     bad = [(i, " ".join(f"{w.upper()}!!" for w in prose(50).split()), 0) for i in range(200, 300)]

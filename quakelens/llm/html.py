@@ -6,15 +6,16 @@ notices, adverts, forms, scripts, styles and comments that their tags, roles or
 (paragraphs, lists, tables, quotations) and headings recur by articles of different headings, so that copies and versions
 of one article keep what they share; an article's h1 is never counted.
 
-Defined results: null or empty html gives an empty text; null or scheme-less urls share the empty host; unclosed, stray
-or truncated tags are read as browsers do in the simple cases (a new paragraph or item ends the last, an end tag closes
-down to its start tag or is ignored); a page without an article or main element is taken from its body; repeated rows
+Defined results: null or empty html gives an empty text; null or scheme-less urls share the empty host; unclosed and stray
+tags are read as browsers do in the simple cases (a new paragraph or item ends the last, an end tag closes down to its
+start tag or is ignored), and a < that another < or the end follows before its > is text; a page without an article or main element is taken from its body; repeated rows
 are extracted each for itself, but rows of one host with equal main text count as one page. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -27,7 +28,10 @@ from quakelens.llm.common import small_batches, staged, table
 
 #: A subtree is template from this many pages of a host on.
 MANY_PAGES = 3
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
+#: A whole tag without < or > in its attributes, as nearly all are.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/><]*+)((?:[^<>"']++|"[^"<>]*+"|'[^'<>]*+')*+)>""")
+_NAME = re.compile(r"</?([a-zA-Z][^\s/><]*)")
+_PLAIN = re.compile(r"""[^<>"']*""")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -55,6 +59,8 @@ _CLOSED_BY = {  # a start tag of the values' kind ends an open element of the ke
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]),
     "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"]), "p": _BLOCKS - {"body", "html", "head", "title"},
 }
+#: By start tag: the open elements that it ends.
+_CLOSES = {tag: {k for k, tags in _CLOSED_BY.items() if tag in tags} for tag in _BLOCKS | set(_CLOSED_BY)}
 _FENCE = frozenset(["table", "ul", "ol", "div", "section", "article", "main", "body", "html", "aside", "nav", "td", "th", "dl", "blockquote", "form", "footer", "header"])
 
 
@@ -65,49 +71,92 @@ class Node:
         self.tag, self.attributes, self.children, self.key, self.linked = tag, attributes, [], 0, tag == "a"
 
 
+def _tag_end(html: str, at: int, unclosed: dict[str, bool]) -> int:
+    """The place of the > that ends a tag whose name ends at `at`, or -1 where a < or the page's end comes first.
+
+    A quote that is never closed is an ordinary character; unclosed remembers this for what follows."""
+    while True:
+        at = _PLAIN.match(html, at).end()
+        mark = html[at : at + 1]
+        if mark == ">":
+            return at
+        if not mark or mark == "<":
+            return -1
+        close = -1 if unclosed.get(mark) else html.find(mark, at + 1)
+        unclosed[mark] = close < 0
+        at = max(at, close) + 1
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """Text ("", "", text), start tags ("name", "", attributes) and end tags ("name", "/", ...), in one pass over the page."""
+    at, text = 0, 0
+    unclosed: dict[str, bool] = {}
+    last = html.rfind(">")
+    while (at := html.find("<", at)) >= 0:
+        tag = _TAG.match(html, at)
+        if tag:
+            end, found = tag.end() - 1, (tag[2].lower(), tag[1], tag[3])
+        elif html[at + 1 : at + 2] in ("!", "?"):
+            close = html.find("-->", at + 4) + 2 if html.startswith("<!--", at) else html.find(">", at)
+            end, found = close if close > at else len(html) - 1, ("", "", "")
+        else:
+            name = _NAME.match(html, at) if at < last else None
+            end = _tag_end(html, name.end(), unclosed) if name else -1
+            if end < 0:
+                at += 1
+                continue
+            found = (name[1].lower(), "/" if html[at + 1] == "/" else "", html[name.end() : end])
+        if at > text:
+            yield "", "", html[text:at]
+        at = text = end + 1
+        if not found[0]:
+            continue
+        yield found
+        if found[0] in _RAW and not found[1]:
+            close_tag = re.compile(rf"</{re.escape(found[0])}\b[^>]*>", re.I).search(html, at)
+            at = text = close_tag.end() if close_tag else len(html)
+    if text < len(html):
+        yield "", "", html[text:]
+
+
 def parse(html: str) -> Node:
     """The page's tree; texts are strings among the children, still with their character references."""
     root = Node("html", "")
-    stack, at = [root], 0
-    end = len(html)
-    while at < end:
-        m = _TOKEN.search(html, at)
-        if m is None:
-            stack[-1].children.append(html[at:])
-            break
-        if m.start() > at:
-            stack[-1].children.append(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    stack = [root]
+    open_: Counter[str] = Counter()
+
+    def close(i: int) -> None:
+        open_.subtract(n.tag for n in stack[i:])
+        del stack[i:]
+
+    for tag, end, rest in tokens(html):
+        if not tag:
+            stack[-1].children.append(rest)
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if end:
+            if not open_[tag]:
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in _FENCE and tag not in _BLOCKS:
                     break
             continue
         if tag == "html":
             continue
-        if tag in _BLOCKS or tag in _CLOSED_BY:
+        if any(open_[k] for k in _CLOSES.get(tag, ())):
             for i in range(len(stack) - 1, 0, -1):
-                open_ = stack[i].tag
-                if tag in _CLOSED_BY.get(open_, ()):
-                    del stack[i:]
+                if stack[i].tag in _CLOSES[tag]:
+                    close(i)
                     break
-                if open_ in _FENCE:
+                if stack[i].tag in _FENCE:
                     break
-        node = Node(tag, m[3])
+        node = Node(tag, rest)
         stack[-1].children.append(node)
-        if tag in _RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-            at = close.end() if close else end
-        elif tag not in _VOID and not m[3].endswith("/"):
-            stack.append(node)
-        elif m[3].endswith("/") and tag not in _VOID:
+        if tag not in _RAW and tag not in _VOID:
             stack.append(node)
+            open_[tag] += 1
     return root
 
 
@@ -115,7 +164,7 @@ def _given_away(node: Node, inside: bool) -> bool:
     """Whether tag, role, class or id say that this is no part of the article. inside: within an article or main."""
     if node.tag in _DROPPED or node.tag == "header" and not inside:
         return True
-    if not node.attributes or node.tag in ("article", "main", "body", "html"):
+    if not node.attributes or node.tag in ("main", "body", "html"):
         return False
     for name, value in _ATTRIBUTE.findall(node.attributes):
         name = name.lower()
@@ -160,7 +209,7 @@ def _tops(root: Node) -> list[Node]:
         tops, rest = [], [root]
         while rest:
             node = rest.pop()
-            if node.tag == wanted:
+            if node.tag == wanted and not _given_away(node, False):  # not a reader's comment
                 tops.append(node)
             elif not _given_away(node, False) or node is root:
                 rest.extend(c for c in reversed(node.children) if isinstance(c, Node))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quakelens.llm import bpe, exact, html, minhash, packing, quality, secrets, tiff, tokcount, urls
+from quakelens.llm.common import staged
 
 random.seed(5)
 WORDS = ["the", "erth", "tion", "anble", "of", "shed", "ing", "wh", "Ünd", "日本", "42", "é"]
@@ -313,6 +315,37 @@ def test_html(spark, none):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_of_broken_pages():
+    """Time in proportion to a page's length, whatever it holds; comments of readers go; a < that opens no tag is text."""
+    begin = time.process_time()
+    for bad in ("<a ", '<a "', "<a href='", "<div>", "</p>", "<b>", "<p>", "<!--", "<script>", "<", "<a b='<'", "<li>", "a<b ", "<a b=\"'>"):
+        html.main_text(html.parse(bad * 100_000), set())
+    assert time.process_time() - begin < 60
+    for page, text in (
+        ("<article><p>Body</p><article class='comment'><p>nice post</p></article></article><article id='comments'>no</article>", "Body"),
+        ("<p>6 & a<b then", "6 & a<b then"), ("<p>1 < 2 <b>x</b> <3", "1 < 2 x <3"), ("<p title='a>b'>x</p><p title=\"<i>\">y", "x\ny"), ("<p title='open>z</p>", "z"), ("", ""),
+    ):
+        assert html.main_text(html.parse(page), set()) == text
+
+
+def test_html_counts_remove(spark):
+    """What the counts of subtrees remove, against a plain count over pages: menus and adverts that no tag or name gives away."""
+    page = "<div><div><a href=/>home</a> <a href=/x>more</a></div><div><p>{own}</p>{same}</div><div>Buy now at our shop</div></div>"
+    rows = [(i, f"http://h{i % 3}/{i}", page.format(own=f"own words {i}", same="<p>seen by all</p>" if i % 2 else "")) for i in range(90)] + [(100 + i, f"http://few/{i}", page.format(own=f"own {i}", same="")) for i in range(2)]
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, keys string, row int").repartition(5)
+    got = {r.page_id: r.text for r in html.extract(staged(table, "pages")).collect()}
+    trees = {i: html.parse(h) for i, _, h in rows}
+    plain, seen = {}, {}
+    for i, url, _ in rows:
+        text, title, found = html.page_keys(trees[i])
+        for key, passage in found.items():
+            seen.setdefault((url.split("/")[2], key), set()).add(title if passage else text)
+    for i, url, _ in rows:
+        plain[i] = html.main_text(trees[i], {k for (h, k), pages in seen.items() if h == url.split("/")[2] and len(pages) >= html.MANY_PAGES})
+    assert got == plain
+    assert all(got[i] == f"own words {i}" for i in range(90)) and all(got[100 + i] == f"home more\nown {i}\nBuy now at our shop" for i in range(2))
+
+
 def test_html_keeps_articles(spark):
     """Copies of a page count once, and attributes that merely hold a mark's letters give nothing away."""
     kept = ["style='overflow:hidden'", "aria-hidden='false'", "data-id='menu'", "class='no-sidebar search-and-rescue'", "title='id=menu'", "CLASS=formed"]

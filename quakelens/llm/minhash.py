@@ -8,16 +8,15 @@
    below 0.55 go, over seven standard deviations below the threshold), then on the full sets.
 4. Components of these links. Buckets that still hold several components are looked at again. Where they have at most
    CROSS pairs across components for each row, those pairs are checked. The documents of all other mixed buckets (many
-   that share a passage, say) are compared without listing pairs: a document that met a component of BIG members or more
-   in a bucket goes against blocks of its members and of others that met it, and a block is left out as a whole where
-   even the union of its other sets holds too little of the document. Buckets without such a component are joined by a
-   prefix filter, which loses nothing: similar sets share one of their first quarter of shingles in any order of
-   shingles, and an order that puts common shingles last leaves few pairs.
+   that share a passage, say) are compared by their rarest shingles, which loses nothing: of a similar pair each holds
+   three quarters of the other's set, so the pair shares one of any quarter (and one more) of it. A document that met a
+   component of BIG members or more in a bucket is compared with its members and with others that met it, and takes the
+   shingles that the fewest of these hold, all others as one group. Shingles that a single component holds make no rows.
 5. Components by alternating large-star and small-star, each round written to the shared folder.
 
 Defined results: null and blank texts have an empty set and stand alone; with fewer than five words the whole sequence
-is the one shingle; rows with a null id are never linked and are kept; repeated rows get the same values. Other columns
-are ignored.
+is the one shingle; rows with a null id are never linked and are kept; repeated rows get the same values; ids should
+name one text: where rows of one id differ, one of them makes the links. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +24,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quakelens.llm.common import small_batches, staged, table
@@ -38,9 +36,7 @@ BANDS, ROWS = 50, 5
 HASHES = BANDS * ROWS
 SIMILAR, ESTIMATED = 0.75, 0.55
 CROSS = 4
-BIG, BLOCK, CANDIDATES = 32, 256, 1024
-#: Shingles that several of about that many sampled documents hold come last in a prefix, the most frequent ones at its end.
-COMMON_ROWS = 1_000
+BIG = 32
 _rng = np.random.default_rng(20240101)
 _A = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -195,84 +191,41 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return parts.groupBy("key").agg(F.sum("c").alias("members"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("across")).filter("across > 0")
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each document: h, what precedes the text, and the number of shingles."""
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(shingles(text).view(np.int64))], names=["h"])
-
-
-def _prefix_rows(common: np.ndarray, times: np.ndarray):
-    """Rows (h, id, n, component) for the first quarter of each document's shingles, in the order of their frequency."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, component, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                own = shingles(text)
-                n = len(own)
-                at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-                frequency = np.where(common[at] == own, times[at], 0) if len(common) else np.zeros(n, np.int64)
-                first = own[np.lexsort((own, frequency))][: n - -(-3 * n // 4) + 1]
-                k = len(first)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(first.view(np.int64)), pa.array(np.full(k, doc)), pa.array(np.full(k, n)), pa.array(np.full(k, component))], names=["h", "id", "n", "component"]
-                )
-
-    return run
+        texts = batch.column(batch.num_columns - 1).to_pylist()
+        for i, text in enumerate(texts):
+            own = shingles(text)
+            k = len(own)
+            given = [pa.array(np.full(k, batch.column(c)[i].as_py())) for c in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), *given, pa.array(np.full(k, k))], names=["h", *batch.schema.names[:-1], "n"])
 
 
-def _prefix_pairs(held: DataFrame) -> DataFrame:
-    """Pairs of documents (id, component, text) of different components that share a shingle of their prefixes.
+def _rare_pairs(held: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs of documents of one group and different components that share one of the first one's rarest shingles there.
 
-    Any order of shingles gives all similar pairs; the sample only makes it a good one.
-    """
-    share = min(1.0, COMMON_ROWS / max(1, held.count()))
-    hashes = held.sample(False, share, 3).select("text").mapInArrow(_hashes, "h long")
-    # No more than the sample's shingles; the text's own length bounds a document's.
-    common = np.array([tuple(r) for r in hashes.groupBy("h").count().filter("count > 1").collect()], dtype=np.int64).reshape(-1, 2)
-    key, times = common[:, 0].copy().view(np.uint64), common[:, 1]
-    order = np.argsort(key)
-    rows = staged(held.select("id", "component", "text").mapInArrow(_prefix_rows(key[order], times[order]), "h long, id long, n long, component long"), "near-prefixes")
-    x, y = (rows.select("h", F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("component").alias(f"c_{s}")) for s in "ab")
-    return x.join(y, "h").filter("a < b and c_a <> c_b and 100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)").select("a", "b").distinct()
-
-
-def _against_blocks(key: tuple, members: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-    """Links of candidates with members of a block, one for each component there; its members are linked already."""
-    sets = [shingles(t) for t in members["text"]]
-    sizes, components_, ids = np.array([len(x) for x in sets]), members["component"].to_numpy(), members["id"].to_numpy()
-    whole, times = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    found = []
-    for doc, component, text in zip(candidates["id"], candidates["component"], candidates["text"], strict=True):
-        own = shingles(text)
-        at = np.minimum(np.searchsorted(whole, own), max(0, len(whole) - 1))
-        others = np.where(whole[at] == own, times[at], 0) - int((ids == doc).any()) if len(whole) else np.zeros(len(own))
-        # A pair needs 7 * intersection >= 3 * (sum of sizes); the intersection is within what all others of the block hold.
-        done = {component}
-        for i in np.flatnonzero(7 * int((others > 0).sum()) >= 3 * (len(own) + sizes)):
-            if components_[i] not in done and similar(own, sets[i]):
-                found.append((int(ids[i]), int(doc)))
-                done.add(components_[i])
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-
-def _block_links(held: DataFrame, met: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Links of documents with the large components that they met, and with others that met the same (id, against).
-
-    held: id, component, text.
+    held: id, component, text. groups: id, against, asks. Pairs are sought for the rows that ask. A similar document holds
+    at least three quarters of the asking one's shingles, and so one of any quarter and one more; those that the fewest in
+    the group hold are taken. A document with a quarter of its shingles to itself makes no pair at all. Given both sizes,
+    a similar pair has 3/7 of their sum in common, and so the other lacks few of these shingles.
     """
-    asked = met.groupBy("against").agg(F.count("*").alias("asked"))
-    shape = sizes.join(asked, F.col("component") == F.col("against")).select("against", F.ceil((F.col("size") + F.col("asked")) / BLOCK).alias("blocks"), F.ceil(F.col("asked") / CANDIDATES).alias("parts"))
-    of = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    inside = held.join(sizes, "component").select("id", F.col("component").alias("against")).unionByName(met)
-    rows = held.select("id", "component", "text")
-    members = inside.join(shape, "against").select("against", of("blocks").alias("block"), each("parts").alias("part"), "id").join(rows, "id")
-    candidates = met.join(shape, "against").select("against", each("blocks").alias("block"), of("parts").alias("part"), "id").join(rows, "id")
-    at = ["against", "block", "part"]
-    # Both sides come from one table; new names tell their columns apart.
-    names = [*at, "id", "component", "text"]
-    members, candidates = (x.select(*names).toDF(*(f"{p}_{c}" for c in names)).toDF(*names) for p, x in (("m", members), ("c", candidates)))
-    return members.groupBy(*at).cogroup(candidates.groupBy(*at)).applyInPandas(_against_blocks, "a long, b long")
+    rows = groups.join(held, "id").select("against", "asks", "id", "component", "text")
+    rows = staged(rows.mapInArrow(_shingle_rows, "h long, against long, asks boolean, id long, component long, n long"), "near-shingles")
+    at = ["against", "h"]
+    # What the asking ones hold, with the number of others that hold it.
+    counts = rows.groupBy(*at).agg(F.count("*").alias("holders"), F.max("asks").alias("asked"), F.min("component").alias("low"), F.max("component").alias("high")).filter("asked")
+    # A shingle that only one component holds makes no pair.
+    rare = F.when(F.col("low") < F.col("high"), F.col("holders") - 1).otherwise(0)
+    counts = staged(counts.select(*at, rare.alias("others")), "near-counts")
+    order = Window.partitionBy("against", "id").orderBy("others", "h")
+    prefix = rows.filter("asks").join(counts, at).withColumn("place", F.row_number().over(order)).filter("others > 0 and place <= n - ceil(0.75 * n) + 1")
+    a = prefix.select(*at, F.col("id").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"))
+    b = rows.select(*at, F.col("id").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"))
+    met = a.join(b, at).filter("a <> b and c_a <> c_b and 100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")
+    pairs = met.groupBy("against", "a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    pairs = pairs.filter("shared >= n_a - ceil(0.75 * n_a) + 1 - (n_a - ceil(3 * (n_a + n_b) / 7))")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def link_table(docs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -302,17 +255,16 @@ def link_table(docs: DataFrame, signed: DataFrame) -> DataFrame:
     large = mixed.filter(F.col("across") > CROSS * F.col("members")).select("key")
     in_large = staged(labelled.join(large, "key", "left_semi"), "near-large-rows")
     held = staged(in_large.select("id", "component").distinct().join(known.select("id", "text"), "id"), "near-large")
-    links = None
     if not held.isEmpty():
         sizes = staged(held.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") >= BIG), "near-sizes")
         big = in_large.join(sizes, "component").select("key", F.col("component").alias("against")).distinct()
-        met = staged(in_large.join(big, "key").filter("component <> against").select("id", "against").distinct(), "near-met")
-        links = staged(_block_links(held, met, sizes), "near-blocks")
-        # Two documents of a bucket with a large component have both met it; the prefix filter is for all other buckets.
-        rest = in_large.join(big.select("key").distinct(), "key", "left_anti").select("id").distinct()
-        pairs = pairs.union(_prefix_pairs(held.join(rest, "id", "left_semi"))).distinct()
+        met = in_large.join(big, "key").filter("component <> against").select("id", "against").distinct()
+        # Two documents of a bucket with a large component have both met it; those of all other buckets are one group.
+        rest = in_large.join(big.select("key").distinct(), "key", "left_anti").select("id", F.lit(-1).cast("long").alias("against")).distinct()
+        asking = met.unionByName(rest).withColumn("asks", F.lit(True))
+        members = held.join(sizes, "component").select("id", F.col("component").alias("against"), F.lit(False).alias("asks"))
+        pairs = pairs.union(_rare_pairs(held, staged(asking.unionByName(members), "near-groups"))).distinct()
     across = _links(staged(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs"), known, "near-across")
-    across = across if links is None else across.unionByName(links)
     # The components so far are stars already; the new links join them.
     return components(found.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(across))
 

@@ -86,6 +86,33 @@ def test_large_group_with_outliers(spark):
     assert rows[:60] == [0] * 60 and rows[60:] == list(range(60, 120))
 
 
+@pytest.mark.parametrize("cross,big", [(0, 1), (0, 6), (0, 10**9), (10**9, 32)])
+def test_near_duplicates_by_each_comparison(spark, monkeypatch, cross, big):
+    """Groups of near copies, borderline versions and shared passages; every way of comparing mixed buckets gives brute force's classes."""
+    monkeypatch.setattr(minhash, "CROSS", cross)
+    monkeypatch.setattr(minhash, "BIG", big)
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    bases = [[rng.choice(vocabulary) for _ in range(90)] for _ in range(3)]
+    texts = []
+    for i in range(150):
+        words = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 6])):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randint(0, 3)] = [rng.choice(vocabulary) for _ in range(rng.randint(0, 3))]
+        texts.append(" ".join(words[: rng.choice([90, 90, 80, 70, 60])]))
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in map(str.split, texts)]
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert len(set(label)) > 5
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.component_id for r in got] == label
+
+
 def test_exact(docs, none):
     group = {}
     for i, t in enumerate([*TEXTS, BASE]):

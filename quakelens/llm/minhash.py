@@ -208,7 +208,7 @@ def _rare_pairs(held: DataFrame, groups: DataFrame) -> DataFrame:
     held: id, component, text. groups: id, against, asks. Pairs are sought for the rows that ask. A similar document holds
     at least three quarters of the asking one's shingles, and so one of any quarter and one more; those that the fewest in
     the group hold are taken. A document with a quarter of its shingles to itself makes no pair at all. Given both sizes,
-    a similar pair has 3/7 of their sum in common, and so the other lacks few of these shingles.
+    a similar pair has 3/7 of their sum in common, so that the other lacks fewer still and fewer need be looked at.
     """
     rows = groups.join(held, "id").select("against", "asks", "id", "component", "text")
     rows = staged(rows.mapInArrow(_shingle_rows, "h long, against long, asks boolean, id long, component long, n long"), "near-shingles")
@@ -220,11 +220,9 @@ def _rare_pairs(held: DataFrame, groups: DataFrame) -> DataFrame:
     counts = staged(counts.select(*at, rare.alias("others")), "near-counts")
     order = Window.partitionBy("against", "id").orderBy("others", "h")
     prefix = rows.filter("asks").join(counts, at).withColumn("place", F.row_number().over(order)).filter("others > 0 and place <= n - ceil(0.75 * n) + 1")
-    a = prefix.select(*at, F.col("id").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"))
+    a = prefix.select(*at, F.col("id").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"), "place")
     b = rows.select(*at, F.col("id").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"))
-    met = a.join(b, at).filter("a <> b and c_a <> c_b and 100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")
-    pairs = met.groupBy("against", "a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
-    pairs = pairs.filter("shared >= n_a - ceil(0.75 * n_a) + 1 - (n_a - ceil(3 * (n_a + n_b) / 7))")
+    pairs = a.join(b, at).filter("a <> b and c_a <> c_b and 100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b) and place <= n_a - ceil(3 * (n_a + n_b) / 7) + 1")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

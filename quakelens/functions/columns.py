@@ -73,6 +73,14 @@ def pass_hat_k(correct: Column, trials: Column, k: int) -> Column:
     return F.when(correct < k, F.lit(0.0)).otherwise(_falling(correct, k) / _falling(trials, k))
 
 
+#: A word boundary as ASCII has it, whatever the regex library takes for a letter.
+_BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+
+
+def ascii_bounded(pattern: str) -> str:
+    return pattern.replace(r"\b", _BOUNDARY)
+
+
 #: Patterns of a log line's variable parts and what stands for them, in this order: fixed values.
 MASK = [
     (r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", "<uuid>"),
@@ -88,7 +96,7 @@ MASK = [
 def mask_log(body: Column) -> Column:
     """A log line with its variable parts replaced, so that lines of one kind are equal."""
     for pattern, mark in MASK:
-        body = F.regexp_replace(body, pattern, mark)
+        body = F.regexp_replace(body, ascii_bounded(pattern), mark)
     return body
 
 

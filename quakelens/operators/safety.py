@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quakelens.functions import columns as C
 
+SHORT_MARKERS = 1_000
+
 
 def classified(rows: DataFrame, column: str) -> DataFrame:
     """Rows with the categories of orders in a text column."""
@@ -25,17 +27,24 @@ def sanitised(rows: DataFrame, fields: list[str]) -> DataFrame:
 def canary_hits(texts: DataFrame, canaries: DataFrame, text: str, text_key: str, key: str, canary: str) -> DataFrame:
     """Which markers occur in which texts.
 
-    Marker and text meet where both hold the marker's second and third words, an equi-join; the whole marker is looked
-    for there. A marker of fewer than four words stops the job.
+    Marker and text meet where both hold the marker's second and third words, an equi-join on ids and words alone; then
+    the whole marker is looked for once in each text that it met. Markers of fewer than four words, of which there may be
+    SHORT_MARKERS, are looked for in every text.
     """
-    words = F.split(F.regexp_replace(F.col(canary), "\n", " "), " ")
-    refused = F.raise_error(F.lit("a marker needs four words"))
-    long_ = canaries.withColumn("__k", F.when(F.size(words) < 4, refused.cast("string")).otherwise(F.array_join(F.slice(words, 2, 2), " ")))
-    grams = texts.withColumn("__w", F.split(F.regexp_replace(F.col(text), "\n", " "), " ")).select(
-        text_key, text, F.explode(F.array_distinct(F.expr("transform(sequence(0, greatest(size(__w) - 2, 0)), i -> concat_ws(' ', __w[i], get(__w, i + 1)))"))).alias("__k")
-    )
-    hits = grams.join(long_, "__k").filter(F.contains(F.col(text), F.col(canary)))
-    return hits.select(key, text_key).distinct()
+    words = F.split(F.regexp_replace(F.col(canary), r"\s", " "), " ")
+    pairs = F.array_distinct(F.expr("transform(sequence(0, greatest(size(__w) - 2, 0)), i -> concat_ws(' ', __w[i], get(__w, i + 1)))"))
+    markers = canaries.select(F.col(key), F.col(canary).alias("__marker"), words.alias("__words"))
+    long_ = markers.filter(F.size("__words") >= 4).select(key, "__marker", F.array_join(F.slice("__words", 2, 2), " ").alias("__k"))
+    grams = texts.select(text_key, F.split(F.regexp_replace(F.col(text), r"\s", " "), " ").alias("__w")).select(text_key, F.explode(pairs).alias("__k"))
+    met = grams.join(long_, "__k").select(text_key, key, "__marker").distinct()
+    hits = met.join(texts.select(text_key, text), text_key).filter(F.contains(F.col(text), F.col("__marker"))).select(key, text_key)
+    short = markers.filter(F.size("__words") < 4).select(key, "__marker").limit(SHORT_MARKERS + 1).collect()
+    if len(short) > SHORT_MARKERS:
+        raise ValueError(f"more than {SHORT_MARKERS} markers of under four words")
+    if short:
+        listed = F.broadcast(canaries.sparkSession.createDataFrame([(r[0], r[1]) for r in short], canaries.select(key, F.col(canary).alias("__marker")).schema))
+        hits = hits.unionByName(texts.join(listed, F.contains(F.col(text), F.col("__marker"))).select(key, text_key))
+    return hits.distinct()
 
 
 def vocabulary_findings(texts: DataFrame, words: DataFrame, text: str, key: str, rule: str) -> DataFrame:

@@ -38,7 +38,7 @@ def red(spans: DataFrame, seconds: int = 15) -> DataFrame:
     """A10: rate by service and status in each window, with exact median and 95th percentile of durations."""
     return spans.groupBy(F.window("start_time", f"{seconds} seconds").alias("w"), "service_name", "status_code").agg(
         (F.count("*") / float(seconds)).alias("rate"), F.percentile("duration_ms", F.lit(0.5)).alias("p50"), F.percentile("duration_ms", F.lit(0.95)).alias("p95")
-    ).select(F.col("w.start").alias("window_start"), "service_name", "status_code", F.round("rate", 6).alias("rate"), F.round("p50", 6).alias("p50_ms"), F.round("p95", 6).alias("p95_ms"))
+    ).select(F.col("w.start").alias("window_start"), "service_name", "status_code", "rate", F.col("p50").alias("p50_ms"), F.col("p95").alias("p95_ms"))
 
 
 def service_signals(spans: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quakelens.sources.staging import staged
 
 MAX_HOPS = 40
+ERROR_SPANS = 20  # fixed value
 
 
 def roots(spans: DataFrame) -> DataFrame:
@@ -45,13 +46,26 @@ def self_times(spans: DataFrame) -> DataFrame:
     return own.select("trace_id", "span_id", "service_name", "duration_ms", F.greatest(F.col("duration_ms") - F.coalesce("held", F.lit(0.0)), F.lit(0.0)).alias("self_ms"))
 
 
-def breakdown(spans: DataFrame, paths: DataFrame) -> DataFrame:
-    """Each trace's path length, total and slowest self time on it, and its error spans (no more than 20)."""
+def path_rows(spans: DataFrame, paths: DataFrame) -> DataFrame:
+    """The hops of each trace's critical path with their self times."""
     timed = paths.join(self_times(spans).select("trace_id", "span_id", "self_ms"), ["trace_id", "span_id"])
+    return timed.select("trace_id", "hop", "span_id", "service_name", "span_name", "duration_ms", "self_ms")
+
+
+def error_rows(spans: DataFrame, limit: int = ERROR_SPANS) -> DataFrame:
+    """The first error spans of each trace."""
+    order = Window.partitionBy("trace_id").orderBy("start_time", "span_id")
+    found = spans.filter("status_code = 'ERROR'").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+    return found.select("trace_id", "span_id", "service_name", "span_name", "duration_ms", "place")
+
+
+def breakdown(spans: DataFrame, paths: DataFrame) -> DataFrame:
+    """Each trace's path length, total and slowest self time on it, and the number of its error spans."""
+    timed = path_rows(spans, paths)
     path = timed.groupBy("trace_id").agg(
         F.count("*").alias("hops"), F.round(F.sum("self_ms"), 6).alias("path_self_ms"), F.max_by("service_name", F.struct("self_ms", "span_id")).alias("slowest_service"), F.round(F.max("self_ms"), 6).alias("slowest_self_ms")
     )
-    errors = spans.filter("status_code = 'ERROR'").groupBy("trace_id").agg(F.least(F.count("*"), F.lit(20)).alias("error_spans"))
+    errors = spans.filter("status_code = 'ERROR'").groupBy("trace_id").agg(F.count("*").alias("error_spans"))
     return path.join(errors, "trace_id", "left").withColumn("error_spans", F.coalesce("error_spans", F.lit(0)))
 
 

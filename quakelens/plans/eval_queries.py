@@ -97,14 +97,16 @@ add("a24_call_costs", lambda s, d: grading.call_costs(P.table(s, d, "lineitem").
     "SELECT model, count(*) AS calls, round(sum((l_partkey * i + l_suppkey * o) / 1e6), 6) AS usd, count(*) FILTER (i IS NULL) AS unpriced FROM (SELECT l_returnflag AS model, * FROM lineitem) LEFT JOIN (VALUES ('A', 3.0::DOUBLE, 15.0::DOUBLE), ('R', 0.25::DOUBLE, 1.25::DOUBLE)) v(model, i, o) USING (model) GROUP BY 1")
 
 # Statistics
-N_BOOT, SEED = 200, stats.SEED
+N_BOOT, SEED = stats.RESAMPLES, stats.SEED
+_H = f"((r * {stats.DRAW[0]} + i * {stats.DRAW[1]} + {SEED}) & {stats.BITS})"
+_DRAWN = f"SELECT *, h % n AS j FROM (SELECT * EXCLUDE h, xor(h, h >> 15) AS h FROM (SELECT * EXCLUDE h, (xor(h, h >> 12) * {stats.DRAW[3]}) & {stats.BITS} AS h FROM (SELECT * EXCLUDE h, (xor(h, h >> 15) * {stats.DRAW[2]}) & {stats.BITS} AS h FROM (SELECT *, {_H} AS h FROM @placed@, range({N_BOOT}) t(r)))))"
 TASKS = "SELECT source, doc_id AS task, outcome::INT::DOUBLE AS value FROM fx_forecast"
 
 
-def _boot(source: str, by: str, out: str) -> str:
+def _boot(source: str, by: str, out: str, placed: str = "placed") -> str:
     return f"""SELECT {by} AS {out}, estimate, tasks, lower, upper FROM (SELECT {by}, round(avg(value), 6) AS estimate, count(*) AS tasks FROM {source} GROUP BY 1) JOIN (
  SELECT {by}, round(quantile_cont(m, 0.025), 6) AS lower, round(quantile_cont(m, 0.975), 6) AS upper FROM (SELECT d.{by}, r, avg(value) AS m FROM (
-  SELECT {by}, r, ('0x' || substr(md5('{SEED}:' || r || ':' || i), 1, 8))::BIGINT % n AS i FROM placed, range({N_BOOT}) t(r)) d JOIN placed p ON p.{by} = d.{by} AND p.i = d.i GROUP BY ALL) GROUP BY 1) USING ({by})"""
+  SELECT {by}, r, j AS i FROM ({_DRAWN.replace('@placed@', placed)})) d JOIN {placed} p ON p.{by} = d.{by} AND p.i = d.i GROUP BY ALL) GROUP BY 1) USING ({by})"""
 
 
 PLACED = "SELECT *, row_number() OVER (PARTITION BY source ORDER BY task) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM tasks"
@@ -138,7 +140,17 @@ def _verdict(s, d):
 
 _CHECKED = f"SELECT estimate, lower, CASE WHEN lower >= -0.03 THEN 'passed' WHEN estimate >= -0.03 THEN 'underpowered' ELSE 'regressed' END AS c FROM ({_boot('tasks', 'grader', 'grader')})"
 add("e18_gate_checks", lambda s, d: _checks(s, d).select("grader", "estimate", "lower", "check"), oracle(f"SELECT 'root_cause' AS grader, estimate, lower, c AS \"check\" FROM ({_CHECKED})", "fx_forecast", tasks=PAIRED, placed=PPLACED))
-add("e18_gate_verdict", lambda s, d: _verdict(s, d), None)
+ERRORS = "SELECT 'c' AS grader, task, pow(a.confidence - a.outcome::INT, 2) - pow(b.confidence - b.outcome::INT, 2) AS value FROM fx_forecast a JOIN fx_forecast b USING (task) WHERE a.configuration = 'a' AND b.configuration = 'b'"
+add(
+    "e18_gate_verdict", lambda s, d: _verdict(s, d),
+    oracle(
+        f"""SELECT n AS tasks, regressed, underpowered, CASE WHEN n < 10 THEN 'INCONCLUSIVE' WHEN regressed > 0 THEN 'FAIL_QUALITY' WHEN underpowered > 0 THEN 'INCONCLUSIVE'
+ WHEN upper > 0.02 AND estimate <= 0.02 THEN 'INCONCLUSIVE' WHEN upper > 0.02 THEN 'FAIL_CALIBRATION' WHEN greatest(x, y) >= 0.01 AND y > 0 AND (x - y) / y > 0.2 THEN 'FAIL_COST' ELSE 'PASS' END AS verdict
+ FROM (SELECT count(*) FILTER (c = 'regressed') AS regressed, count(*) FILTER (c = 'underpowered') AS underpowered FROM ({_CHECKED})), (SELECT estimate, upper FROM ({_boot("errors", "grader", "grader", "eplaced")})),
+ (SELECT count(DISTINCT task) FILTER (configuration = 'a') AS n, median(n_chars / 1e4) FILTER (configuration = 'a') AS x, median(n_chars / 1e4) FILTER (configuration = 'b') AS y FROM fx_forecast)""",
+        "fx_forecast", tasks=PAIRED, placed=PPLACED, errors=ERRORS, eplaced=PPLACED.replace("tasks", "errors"),
+    ),
+)
 add("e11_percentile", lambda s, d: stats.percentile(P.fx_forecast(s, d), "confidence", ["source"], 0.9), oracle("SELECT source, round(quantile_cont(confidence, 0.9), 6) AS percentile FROM fx_forecast GROUP BY 1", "fx_forecast"))
 add("e12_brier", lambda s, d: stats.brier(P.fx_forecast(s, d), ["configuration"]), oracle("SELECT configuration, round(avg((confidence - outcome::INT) ** 2), 6) AS brier FROM fx_forecast GROUP BY 1", "fx_forecast"))
 BIN = "least(CAST(floor(confidence / 0.1::DOUBLE) AS BIGINT), 9)"
@@ -238,6 +250,32 @@ def _chain(s, d):
     return c.withColumns({"previous_hash": previous, "record_hash": digest(F.col("sequence"))}).withColumn("record_hash", F.when(altered, "0").otherwise(F.col("record_hash")))
 
 
-add("w07_chain", lambda s, d: governance.chain_breaks(_chain(s, d).withColumn("record_hash", F.when(F.col("record_hash") == "0", "0").otherwise(governance.record_hash(F.col("previous_hash"), [F.col("sequence").cast("string"), F.col("role"), F.col("reason")]))).withColumn("previous_hash", F.coalesce(F.when(F.col("sequence") == 0, ""), F.col("previous_hash"))), "conv_id", ["role", "reason"]), None)
+add("w07_chain", lambda s, d: governance.chain_breaks(_chain(s, d).withColumn("record_hash", F.when(F.col("record_hash") == "0", "0").otherwise(governance.record_hash(F.col("previous_hash"), [F.col("sequence").cast("string"), F.col("role"), F.col("reason")]))).withColumn("previous_hash", F.coalesce(F.when(F.col("sequence") == 0, ""), F.col("previous_hash"))), "conv_id", ["role", "reason"]),
+    """WITH c AS (SELECT conv_id, turn AS q, role, md5(text) AS reason, CASE WHEN turn = 0 THEN '' ELSE sha256(conv_id || '|' || (turn - 1)) END AS previous FROM conversations),
+ own AS (SELECT *, sha256(concat_ws('|', previous, q, role, reason)) AS h FROM c), held AS (SELECT *, CASE WHEN conv_id % 5 = 0 AND q = 2 THEN '0' ELSE h END AS record FROM own)
+ SELECT r.conv_id, min(r.q) AS first_break FROM held r LEFT JOIN held b ON b.conv_id = r.conv_id AND b.q = r.q - 1
+ WHERE r.h <> r.record OR r.q <> 0 AND r.previous IS DISTINCT FROM b.record GROUP BY 1""")
 add("w10_stalls", lambda s, d: governance.stalls(P.fx_calls(s, d).withColumn("held", F.floor(F.col("tokens") / 200)), "conv_id", "held", 1).select("conv_id", "round"), oracle("SELECT conv_id, round FROM (SELECT conv_id, round, tokens // 200 AS h, lag(tokens // 200) OVER (PARTITION BY conv_id ORDER BY round) AS p FROM fx_calls) WHERE h = p", "fx_calls"))
 add("w10_repeated_calls", lambda s, d: governance.repeated_calls(P.fx_calls(s, d), "conv_id", "call"), oracle("SELECT conv_id, call, count(*) AS times FROM fx_calls GROUP BY ALL HAVING count(*) >= 3", "fx_calls"))
+
+
+def _files(s, d):
+    return P.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("name"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), "lang", "source")
+
+
+#: Every document is in the manifest but German ones; French files are gone, Spanish ones have other contents.
+add(
+    "v10_checksums", lambda s, d: governance.checksum_findings(_files(s, d).filter("lang <> 'fr'").select("name", F.when(F.col("lang") == "es", F.reverse("sha256")).otherwise(F.col("sha256")).alias("sha256")), _files(s, d).filter("lang <> 'de'").select("name", "sha256")),
+    "SELECT CAST(doc_id AS VARCHAR) AS name, CASE lang WHEN 'fr' THEN 'missing' WHEN 'de' THEN 'unlisted' ELSE 'changed' END AS finding FROM documents WHERE lang IN ('fr', 'de', 'es')",
+)
+
+
+def _reviews(s, d):
+    both = P.table(s, d, "documents").join(P.table(s, d, "labels"), "doc_id")
+    return both.select(F.col("doc_id").alias("incident_id"), F.when(F.col("quality") == 1, F.col("source")).alias("true_cause"), F.when(F.col("lang") != "en", F.col("lang")).alias("fault_class"), F.when(F.col("toxic") == 0, F.col("n_chars")).alias("onset"), F.col("doc_id").alias("received_at"))
+
+
+add(
+    "v14_promoted", lambda s, d: governance.promoted(_reviews(s, d), P.table(s, d, "conversations").select(F.col("conv_id").alias("incident_id")).distinct()).select("incident_id", F.array_join("remaining", ",").alias("remaining")),
+    "SELECT doc_id AS incident_id, concat_ws(',', CASE WHEN quality IS DISTINCT FROM 1 THEN 'cause' END, CASE WHEN NOT coalesce(lang <> 'en', false) THEN 'fault class' END, CASE WHEN toxic IS DISTINCT FROM 0 OR n_chars IS NULL THEN 'onset' END) AS remaining FROM documents JOIN labels USING (doc_id) WHERE doc_id NOT IN (SELECT conv_id FROM conversations)",
+)

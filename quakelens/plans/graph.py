@@ -172,6 +172,7 @@ def dependencies(edges: DataFrame, starts: DataFrame, direction: str = "downstre
     """From each start (bundle_id, start), a row for each edge that reaches a service new at its level."""
     near, far = ("client", "server") if direction == "downstream" else ("server", "client")
     hops = edges.select("bundle_id", F.col(near).alias("service"), F.col(far).alias("neighbour"), "client", "server").distinct()
+    hops = staged(hops, "hops")  # read again at each level
     frontier = starts.select("bundle_id", "start", F.col("start").alias("service"))
     visited, found = frontier, None
     for level in range(1, depth + 1):
@@ -197,6 +198,7 @@ def reachable(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
 def blast_radius(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """All transitive callers of each start, at any depth, by the level at which they are met first."""
     hops = edges.select("bundle_id", F.col("server").alias("service"), F.col("client").alias("caller")).distinct()
+    hops = staged(hops, "hops")  # read again at each level
     frontier = starts.select("bundle_id", "start", F.col("start").alias("service"))
     visited, level = frontier.withColumn("level", F.lit(0)), 0
     while True:

@@ -8,10 +8,12 @@ from quakelens.operators import governance, grading, lookups, topology, traces
 from quakelens.plans import graph
 from quakelens.sources import projections as P
 from quakelens.sources.projections import Query, oracle
+from quakelens.sources.staging import staged
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 ROUNDS = 12
+SETTLED = 130  # rounds after which 0.85 ** rounds is below the walk's tolerance
 
 
 def add(name: str, query: Query, sql: str | None) -> None:
@@ -33,10 +35,10 @@ MOVES = "SELECT bundle_id, client, server, 0.85::DOUBLE * weight / sum(weight) O
 LEAF = "SELECT r.*, NOT EXISTS (SELECT 1 FROM scaled x WHERE x.bundle_id = r.bundle_id AND x.client = r.service) AS leaf FROM restart r"
 
 
-def _walk() -> str:
+def walk(rounds: int) -> str:
     """A fixed number of rounds as a chain of materialised tables."""
     parts = ["r0 AS MATERIALIZED (SELECT bundle_id, service, restart AS rank FROM nodes)"]
-    for k in range(ROUNDS):
+    for k in range(rounds):
         parts.append(
             f"r{k + 1} AS MATERIALIZED (SELECT n.bundle_id, n.service, (0.85::DOUBLE * l.lost + 0.15::DOUBLE) * n.restart + coalesce(s.got, 0) AS rank FROM nodes n "
             f"JOIN (SELECT bundle_id, coalesce(sum(rank) FILTER (leaf), 0) AS lost FROM r{k} JOIN nodes USING (bundle_id, service) GROUP BY 1) l USING (bundle_id) "
@@ -45,9 +47,9 @@ def _walk() -> str:
     return ", ".join(parts)
 
 
-def _ranked(body: str) -> str:
+def _ranked(body: str, rounds: int = SETTLED) -> str:
     head = oracle("", "fx_edges", "fx_anomaly", g=GRAPH, scored=SCORED, scaled=SCALED, restart=RESTART, nodes=LEAF, moves=MOVES).rstrip()
-    return f"{head}, {_walk()} {body}"
+    return f"{head}, {walk(rounds)} {body}"
 
 
 def _graph(s, d):
@@ -67,18 +69,18 @@ add("g05_restart", lambda s, d: graph.restart_vector(graph.graph_nodes(_graph(s,
 add(
     "g06_pagerank_rounds",
     lambda s, d: graph.pagerank_rounds(graph.scaled_by_endpoints(_graph(s, d), _scores(s, d)), graph.restart_vector(graph.graph_nodes(_graph(s, d), _scores(s, d)), _scores(s, d)), ROUNDS).withColumn("graph_score", F.round("graph_score", 8)),
-    _ranked(f"SELECT bundle_id, service, round(rank, 8) AS graph_score FROM r{ROUNDS}"),
+    _ranked(f"SELECT bundle_id, service, round(rank, 8) AS graph_score FROM r{ROUNDS}", ROUNDS),
 )
-add("g06_pagerank", lambda s, d: graph.pagerank(graph.scaled_by_endpoints(_graph(s, d), _scores(s, d)), graph.restart_vector(graph.graph_nodes(_graph(s, d), _scores(s, d)), _scores(s, d))).withColumn("graph_score", F.round("graph_score", 6)), None)
+add("g06_pagerank", lambda s, d: graph.pagerank(graph.scaled_by_endpoints(_graph(s, d), _scores(s, d)), graph.restart_vector(graph.graph_nodes(_graph(s, d), _scores(s, d)), _scores(s, d))).withColumn("graph_score", F.round("graph_score", 6)), _ranked(f"SELECT bundle_id, service, round(rank, 6) AS graph_score FROM r{SETTLED}"))
 
 
 def _candidates(s, d):
-    return graph.rank_candidates(P.fx_edges(s, d), _scores(s, d), rounds=ROUNDS)
+    return graph.rank_candidates(P.fx_edges(s, d), _scores(s, d))
 
 
-PLACED = f"SELECT bundle_id, service, round(rank, 8) AS graph_score, row_number() OVER (PARTITION BY bundle_id ORDER BY round(rank, 10) DESC, service) AS place FROM r{ROUNDS}"
-add("g07_rank_candidates", lambda s, d: _candidates(s, d).select("bundle_id", "service", F.round("graph_score", 8).alias("graph_score"), "place"), _ranked(PLACED))
-CONFIDENCE = f"SELECT bundle_id, service, CASE WHEN b IS NULL THEN 0.35::DOUBLE WHEN b <= 0 THEN 0.85::DOUBLE ELSE round(0.35::DOUBLE + 0.5::DOUBLE * (1 - 1 / greatest(a / b, 1)), 4) END AS confidence FROM (SELECT bundle_id, max(service) FILTER (place = 1) AS service, max(g) FILTER (place = 1) AS a, max(g) FILTER (place = 2) AS b FROM (SELECT *, round(rank, 10) AS g, row_number() OVER (PARTITION BY bundle_id ORDER BY round(rank, 10) DESC, service) AS place FROM r{ROUNDS}) GROUP BY 1)"
+PLACED = f"SELECT bundle_id, service, round(rank, 6) AS graph_score, row_number() OVER (PARTITION BY bundle_id ORDER BY round(rank, 10) DESC, service) AS place FROM r{SETTLED}"
+add("g07_rank_candidates", lambda s, d: _candidates(s, d).select("bundle_id", "service", F.round("graph_score", 6).alias("graph_score"), "place"), _ranked(PLACED))
+CONFIDENCE = f"SELECT bundle_id, service, CASE WHEN b IS NULL THEN 0.35::DOUBLE WHEN b <= 0 THEN 0.85::DOUBLE ELSE round(0.35::DOUBLE + 0.5::DOUBLE * (1 - 1 / greatest(a / b, 1)), 4) END AS confidence FROM (SELECT bundle_id, max(service) FILTER (place = 1) AS service, max(g) FILTER (place = 1) AS a, max(g) FILTER (place = 2) AS b FROM (SELECT *, round(rank, 10) AS g, row_number() OVER (PARTITION BY bundle_id ORDER BY round(rank, 10) DESC, service) AS place FROM r{SETTLED}) GROUP BY 1)"
 add("g11_confidence", lambda s, d: graph.confidence(_candidates(s, d)), _ranked(CONFIDENCE))
 
 
@@ -125,6 +127,18 @@ add("u03_set_sizes", lambda s, d: lookups.set_sizes(P.fx_edges(s, d).filter("bun
     oracle("SELECT count(*) FILTER (t IS NOT NULL AND c IS NOT NULL) AS shared, count(*) FILTER (c IS NULL) AS only_treatment, count(*) FILTER (t IS NULL) AS only_control FROM (SELECT DISTINCT client || '>' || server AS t FROM fx_edges WHERE bundle_id = '1997') FULL JOIN (SELECT DISTINCT client || '>' || server AS c FROM fx_edges WHERE bundle_id = '2003') ON t = c", "fx_edges"))
 
 # Traces
+
+
+def _spans(s, d):
+    """The spans, numbered and written once; paths read them several times."""
+    return staged(P.fx_spans(s, d), "spans")
+
+
+def _with_paths(s, d, of):
+    spans = _spans(s, d)
+    return of(spans, traces.critical_paths(spans))
+
+
 add("s02_scan_spans", lambda s, d: P.fx_spans(s, d).groupBy("service_name").agg(F.count("*").alias("spans")), oracle("SELECT service_name, count(*) AS spans FROM fx_spans GROUP BY 1", "fx_spans"))
 add("p04_find_spans", lambda s, d: lookups.find_spans(P.fx_spans(s, d), "ERROR", 50.0, ["supp-1", "supp-2"]).select("trace_id", "span_id", "duration_ms"), oracle("SELECT trace_id, span_id, duration_ms FROM fx_spans WHERE status_code = 'ERROR' AND duration_ms >= 50 AND service_name IN ('supp-1', 'supp-2') ORDER BY duration_ms DESC, trace_id, span_id LIMIT 50", "fx_spans"))
 add("p05_trace_spans", lambda s, d: lookups.trace_spans(P.fx_spans(s, d), 77), oracle("SELECT * FROM fx_spans WHERE trace_id = 77", "fx_spans"))
@@ -134,20 +148,24 @@ add("j03_parents", lambda s, d: topology.with_parents(P.fx_spans(s, d)).select("
 PAIRS = f"SELECT trace_id, parent_service AS client, service_name AS server, start_time, duration_ms, status_code = 'ERROR' AS failed FROM ({PARENTS}) WHERE parent_service <> service_name"
 add("j04_span_edges", lambda s, d: topology.span_edges(P.fx_spans(s, d)), oracle(PAIRS, "fx_spans"))
 add("a11_span_topology", lambda s, d: topology.span_topology(P.fx_spans(s, d), 86_400.0), oracle(f"SELECT client, server, round(count(*) / 86400.0::DOUBLE, 9) AS requests_per_second, round(count(*) FILTER (failed) / 86400.0::DOUBLE, 9) AS failures_per_second FROM ({PAIRS}) GROUP BY ALL", "fx_spans"))
-add("a10_red", lambda s, d: topology.red(P.fx_spans(s, d), 604_800).withColumns({"p50_ms": F.round("p50_ms", 4), "p95_ms": F.round("p95_ms", 4)}), oracle("SELECT time_bucket(INTERVAL 7 DAYS, start_time, TIMESTAMP '1970-01-01') AS window_start, service_name, status_code, round(count(*) / 604800.0::DOUBLE, 6) AS rate, round(round(quantile_cont(duration_ms, 0.5), 6), 4) AS p50_ms, round(round(quantile_cont(duration_ms, 0.95), 6), 4) AS p95_ms FROM fx_spans GROUP BY ALL", "fx_spans"))
+add("a10_red", lambda s, d: topology.red(P.fx_spans(s, d), 604_800).withColumns({c: F.round(c, 8) for c in ("rate", "p50_ms", "p95_ms")}), oracle("SELECT time_bucket(INTERVAL 7 DAYS, start_time, TIMESTAMP '1970-01-01') AS window_start, service_name, status_code, round(count(*) / 604800.0::DOUBLE, 8) AS rate, round(quantile_cont(duration_ms, 0.5), 8) AS p50_ms, round(quantile_cont(duration_ms, 0.95), 8) AS p95_ms FROM fx_spans GROUP BY ALL", "fx_spans"))
 add("x07_service_signals", lambda s, d: topology.service_signals(P.fx_spans(s, d)), oracle("SELECT service_name, count(*) AS spans, count(*) FILTER (status_code = 'ERROR') AS error_spans, round(avg(duration_ms), 6) AS mean_ms, max(duration_ms) AS max_ms FROM fx_spans GROUP BY 1", "fx_spans"))
 ROOTS = "SELECT * FROM fx_spans c WHERE parent_span_id IS NULL OR NOT EXISTS (SELECT 1 FROM fx_spans p WHERE p.trace_id = c.trace_id AND p.span_id = c.parent_span_id)"
 add("x01_roots", lambda s, d: traces.roots(P.fx_spans(s, d)).select("trace_id", "span_id"), oracle(f"SELECT trace_id, span_id FROM ({ROOTS})", "fx_spans"))
 BEST = "SELECT trace_id, parent_span_id AS parent, max((duration_ms, span_id, service_name, span_name)) AS b FROM fx_spans WHERE parent_span_id IS NOT NULL GROUP BY ALL"
 PATHS = f"SELECT trace_id, max((duration_ms, span_id, service_name, span_name)) AS b, 0 AS hop FROM ({ROOTS}) GROUP BY 1 UNION ALL SELECT p.trace_id, best.b, hop + 1 FROM path p JOIN best ON best.trace_id = p.trace_id AND best.parent = p.b[2] WHERE hop < 40"
 HOPS = "SELECT trace_id, hop, b[1] AS duration_ms, b[2] AS span_id, b[3] AS service_name, b[4] AS span_name FROM path"
-add("x02_critical_path", lambda s, d: traces.critical_paths(P.fx_spans(s, d)), oracle("SELECT * FROM hops", "fx_spans", best=BEST, path=PATHS, hops=HOPS))
+add("x02_critical_path", lambda s, d: traces.critical_paths(_spans(s, d)), oracle("SELECT * FROM hops", "fx_spans", best=BEST, path=PATHS, hops=HOPS))
 SELF = "SELECT s.trace_id, s.span_id, s.service_name, s.duration_ms, greatest(s.duration_ms - coalesce(h, 0), 0) AS self_ms FROM fx_spans s LEFT JOIN (SELECT trace_id, parent_span_id AS span_id, sum(duration_ms) AS h FROM fx_spans GROUP BY ALL) USING (trace_id, span_id)"
 add("x03_self_time", lambda s, d: traces.self_times(P.fx_spans(s, d)).withColumn("self_ms", F.round("self_ms", 6)), oracle(f"SELECT trace_id, span_id, service_name, duration_ms, round(self_ms, 6) AS self_ms FROM ({SELF})", "fx_spans"))
 add(
-    "x04_breakdown", lambda s, d: traces.breakdown(P.fx_spans(s, d), traces.critical_paths(P.fx_spans(s, d))),
-    oracle("SELECT trace_id, hops, path_self_ms, slowest_service, slowest_self_ms, coalesce(error_spans, 0) AS error_spans FROM (SELECT trace_id, count(*) AS hops, round(sum(self_ms), 6) AS path_self_ms, max_by(h.service_name, (self_ms, span_id)) AS slowest_service, round(max(self_ms), 6) AS slowest_self_ms FROM hops h JOIN self_ USING (trace_id, span_id) GROUP BY 1) LEFT JOIN (SELECT trace_id, least(count(*), 20) AS error_spans FROM fx_spans WHERE status_code = 'ERROR' GROUP BY 1) USING (trace_id)", "fx_spans", best=BEST, path=PATHS, hops=HOPS, self_=SELF),
+    "x04_breakdown", lambda s, d: _with_paths(s, d, traces.breakdown),
+    oracle("SELECT trace_id, hops, path_self_ms, slowest_service, slowest_self_ms, coalesce(error_spans, 0) AS error_spans FROM (SELECT trace_id, count(*) AS hops, round(sum(self_ms), 6) AS path_self_ms, max_by(h.service_name, (self_ms, span_id)) AS slowest_service, round(max(self_ms), 6) AS slowest_self_ms FROM hops h JOIN self_ USING (trace_id, span_id) GROUP BY 1) LEFT JOIN (SELECT trace_id, count(*) AS error_spans FROM fx_spans WHERE status_code = 'ERROR' GROUP BY 1) USING (trace_id)", "fx_spans", best=BEST, path=PATHS, hops=HOPS, self_=SELF),
 )
+add("x04_path_rows", lambda s, d: _with_paths(s, d, traces.path_rows).withColumn("self_ms", F.round("self_ms", 6)),
+    oracle("SELECT h.trace_id, hop, span_id, h.service_name, h.span_name, h.duration_ms, round(self_ms, 6) AS self_ms FROM hops h JOIN self_ USING (trace_id, span_id)", "fx_spans", best=BEST, path=PATHS, hops=HOPS, self_=SELF))
+add("x04_error_spans", lambda s, d: traces.error_rows(P.fx_spans(s, d)),
+    oracle("SELECT trace_id, span_id, service_name, span_name, duration_ms, place FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY start_time, span_id) AS place FROM fx_spans WHERE status_code = 'ERROR') WHERE place <= 20", "fx_spans"))
 TEXT = "SELECT trace_id, string_agg(service_name || ':' || span_name, ' -> ' ORDER BY hop) || ' (' || CAST(round(max_by(duration_ms, (duration_ms, -hop))) AS BIGINT) || 'ms slowest: ' || max_by(service_name, (duration_ms, -hop)) || ')' AS path FROM hops GROUP BY 1"
 add("x06_path_text", lambda s, d: traces.path_text(traces.critical_paths(P.fx_spans(s, d))), oracle(TEXT, "fx_spans", best=BEST, path=PATHS, hops=HOPS))
 add(

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quakelens.operators import gate
+from quakelens.operators import anomaly, gate
 from quakelens.operators.windows import choose_windows
 from quakelens.plans import graph, triage
+from quakelens.plans.graph_queries import LEAF, MOVES, SETTLED, walk
+from quakelens.plans.metric_queries import CHAIN, ONSETS
 from quakelens.sources import projections as P
-from quakelens.sources.projections import Query
+from quakelens.sources.projections import Query, oracle
 
 QUERIES: dict[str, Query] = {}
-#: The walk runs to convergence here; its fixed-round form has an oracle as g06_pagerank_rounds.
 ORACLE: dict[str, str] = {}
 
 
@@ -24,23 +25,67 @@ def _edges(s, d):
     return near.groupBy("bundle_id", "client", "server").agg((F.sum(F.least("x", "y")) / 86400.0).alias("requests_per_second"))
 
 
-def _triage(s, d, threshold: float = 0.6):
+THRESHOLD = 0.6
+
+
+def _triage(s, d, threshold: float = THRESHOLD):
     return triage.triage(P.fx_metrics(s, d), P.fx_windows(s, d), _edges(s, d), P.fx_directions(s, d), threshold)
 
 
 def _report(s, d):
-    found = triage.report_rows(_triage(s, d), P.fx_windows(s, d), _edges(s, d), P.fx_changes(s, d).withColumn("at", F.timestamp_micros(F.unix_micros("at") + 820_000_000_000_000 - 730_000_000_000_000)))
-    return found.withColumns({"candidates": F.array_join("candidates", ","), "blast_radius": F.array_join("blast_radius", ",")})
+    moved = P.fx_changes(s, d).withColumn("at", F.timestamp_micros(F.unix_micros("at") + 820_000_000_000_000 - 730_000_000_000_000))
+    onset_times = anomaly.onsets(P.fx_metrics(s, d), choose_windows(P.fx_windows(s, d)))
+    found = triage.report_rows(_triage(s, d), P.fx_windows(s, d), _edges(s, d), moved, onset_times, THRESHOLD)
+    return found.withColumns({c: F.array_join(c, ",") for c in ("candidates", "blast_radius", "onset_order", "cited")})
 
 
-SWEEP = {"default": {}, "no_scaling": {"scaling": False}, "self_loops": {"loops": 0.5}, "backward": {"backward": 0.3}, "published": {"loops": 0.5, "backward": 0.3}, "sharp2": {"sharpness": 2.0}, "sharp3": {"sharpness": 3.0}, "no_bonus": {"bonus": 1.0}}
+SWEEP = {"default": {}, "no_scaling": {"scaling": False}, "self_loops": {"loops": 0.5}, "backward": {"backward": 0.3}, "published": {"loops": 0.5, "backward": 0.3, "sharpness": 2.0}, "sharp2": {"sharpness": 2.0}, "sharp3": {"sharpness": 3.0}, "no_bonus": {"bonus": 1.0}}
 
 
 def _scores(s, d):
     return P.fx_edges(s, d).select("bundle_id").distinct().crossJoin(F.broadcast(P.fx_anomaly(s, d)))  # a score of every node in every bundle
 
 
+# The twin of g13: scores and onsets as in metric_queries, the walk as in graph_queries.
+_HOURS = "SELECT bundle_id, date_trunc('hour', timestamp) AS h, service_name AS service, count(*) AS n FROM fx_metrics GROUP BY ALL"
+_VIEWS = {
+    **{{"scaled": "scales"}.get(k, k): v.replace("FROM scaled)", "FROM scales)") for k, v in CHAIN.items()},
+    "worst": "SELECT bundle_id, service_name AS service, greatest(max(score), 0) AS anomaly FROM scores WHERE trustworthy GROUP BY ALL",
+    "onsets": ONSETS.format(k="3"),
+    "hours": _HOURS,
+    "g": "SELECT a.bundle_id, a.service AS client, b.service AS server, sum(least(a.n, b.n)) / 86400.0::DOUBLE AS weight FROM hours a JOIN hours b USING (bundle_id, h) WHERE a.service < b.service GROUP BY ALL",
+    "scaled": """SELECT g.bundle_id, client, server, weight * sqrt(1 + coalesce(a.anomaly, 0)) * sqrt(1 + coalesce(b.anomaly, 0)) AS weight FROM g
+ LEFT JOIN worst a ON a.bundle_id = g.bundle_id AND a.service = client LEFT JOIN worst b ON b.bundle_id = g.bundle_id AND b.service = server""",
+    "raw": """SELECT n.bundle_id, n.service, coalesce(w.anomaly, 0.0::DOUBLE) AS anomaly FROM (SELECT bundle_id, client AS service FROM g UNION SELECT bundle_id, server FROM g UNION SELECT bundle_id, service FROM worst) n
+ LEFT JOIN worst w USING (bundle_id, service)""",
+    "restart": """SELECT bundle_id, service, anomaly, CASE WHEN sum(anomaly) OVER p > 0 THEN anomaly / sum(anomaly) OVER p ELSE 1.0::DOUBLE / count(*) OVER p END AS restart
+ FROM raw WINDOW p AS (PARTITION BY bundle_id)""",
+    "nodes": LEAF,
+    "moves": MOVES,
+}
+_CANDIDATES = f"""SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY score DESC, service) AS place FROM (
+ SELECT bundle_id, service, round(rank, 10) AS g, round(rank * CASE WHEN onset_seconds <= min(onset_seconds) OVER (PARTITION BY bundle_id) THEN 1.25::DOUBLE ELSE 1 END, 10) AS score
+ FROM r{SETTLED} LEFT JOIN (SELECT bundle_id, service_name AS service, onset_seconds FROM onsets) USING (bundle_id, service))"""
+ORACLE["g13_triage"] = f"""{oracle("", "fx_metrics", "fx_windows", "fx_directions", **_VIEWS).rstrip()}, {walk(SETTLED)}, candidates AS ({_CANDIDATES}),
+ pairs AS (SELECT bundle_id, max(service) FILTER (place = 1) AS service, max(g) FILTER (place = 1) AS a, max(g) FILTER (place = 2) AS b, string_agg(service, ',' ORDER BY place) FILTER (place <= 5) AS candidates FROM candidates GROUP BY 1),
+ tops AS (SELECT bundle_id, max(anomaly) AS top FROM worst GROUP BY 1)
+SELECT bundle_id, coalesce(top, 0) AS top_anomaly, coalesce(top, 0) < {THRESHOLD} AS abstained, CASE WHEN top >= {THRESHOLD} THEN service END AS root_cause,
+ CASE WHEN top >= {THRESHOLD} THEN CASE WHEN b IS NULL THEN 0.35::DOUBLE WHEN b <= 0 THEN 0.85::DOUBLE ELSE round(0.35::DOUBLE + 0.5::DOUBLE * (1 - 1 / greatest(a / b, 1)), 4) END END AS confidence, candidates
+FROM pairs LEFT JOIN tops USING (bundle_id)"""
 QUERIES["g13_triage"] = lambda s, d: _triage(s, d).withColumn("candidates", F.array_join("candidates", ","))
 QUERIES["g15_report_rows"] = _report
 QUERIES["e21_sweep"] = lambda s, d: gate.sweep(lambda c: graph.rank_candidates(P.fx_edges(s, d), _scores(s, d), **c).filter("place <= 3").select("bundle_id", "service", "place"), SWEEP)
-QUERIES["e21_fraction_sweep"] = lambda s, d: gate.sweep(lambda c: choose_windows(P.fx_windows(s, d), **c), {f"fraction_{f}": {"fraction": f} for f in (0.2, 0.25, 0.33, 0.4)})
+FRACTIONS = (0.2, 0.25, 0.3333333333333333, 0.4)
+
+
+def _truths(s, d):
+    """The service with the most errors of each bundle."""
+    errors = P.fx_metrics(s, d).filter("metric_name = 'error'").groupBy("bundle_id", "service_name").agg(F.count("*").alias("n"))
+    return errors.groupBy("bundle_id").agg(F.max_by("service_name", F.struct("n", "service_name")).alias("truth"))
+
+
+def _trials(s, d, fraction: float):
+    return triage.fraction_trials(P.fx_metrics(s, d), P.fx_windows(s, d), _edges(s, d), P.fx_directions(s, d), _truths(s, d), fraction)
+
+
+QUERIES["e21_fraction_sweep"] = lambda s, d: gate.sweep(lambda c: _trials(s, d, **c), {f"fraction_{f:.4f}": {"fraction": f} for f in FRACTIONS})

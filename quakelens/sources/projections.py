@@ -47,9 +47,9 @@ def fx_error_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fx_windows(spark: SparkSession, d: str) -> DataFrame:
-    """A manifest row for each block; blocks of even number have an alert in the middle."""
+    """A manifest row for each block with events; blocks of even number have an alert in the middle."""
     start = F.col("id") * BLOCK_SECONDS + 1_704_067_200
-    return spark.range(BLOCKS).select(
+    return fx_metrics(spark, d).select("bundle_id").distinct().select(F.substring_index("bundle_id", "_", -1).cast("long").alias("id")).select(
         F.concat(F.lit("inc_"), F.col("id").cast("string")).alias("bundle_id"),
         F.timestamp_seconds(start).alias("window_start"),
         F.timestamp_seconds(start + BLOCK_SECONDS).alias("window_end"),
@@ -86,7 +86,7 @@ def fx_edges(spark: SparkSession, d: str) -> DataFrame:
         lines.join(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-        .filter("c_nationkey <> s_nationkey and (c_nationkey * 7 + s_nationkey * 3) % 11 = 0")
+        .filter("c_nationkey <> s_nationkey")
         .groupBy("bundle", "c_nationkey", "s_nationkey")
         .agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("f"))
     )
@@ -124,14 +124,14 @@ def split_fraction(key: Column) -> Column:
 def fx_memory(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(
         F.col("doc_id").alias("incident_id"),
-        F.substring("text", 1, 400).alias("symptom_summary"),
+        F.col("text").alias("symptom_summary"),
         F.array_distinct(F.array(F.concat(F.lit("svc-"), (F.col("doc_id") % 8).cast("string")), F.concat(F.lit("svc-"), (F.col("doc_id") % 3).cast("string")))).alias("services_involved"),
         F.when(split_fraction(F.col("doc_id").cast("string")) < 0.5, "train").otherwise("held_out").alias("split"),
     )
 
 
 def fx_queries(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 200).alias("text"), F.concat(F.lit("svc-"), (F.col("item_id") % 8).cast("string")).alias("service"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.concat(F.lit("svc-"), (F.col("item_id") % 8).cast("string")).alias("service"))
 
 
 def fx_runbooks(spark: SparkSession, d: str) -> DataFrame:
@@ -160,7 +160,7 @@ def fx_outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fx_canaries(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("canary"))
+    return table(spark, d, "benchmark").select("item_id", F.col("text").alias("canary"))
 
 
 def fx_calls(spark: SparkSession, d: str) -> DataFrame:
@@ -169,24 +169,24 @@ def fx_calls(spark: SparkSession, d: str) -> DataFrame:
 
 SQL: dict[str, str] = {
     "fx_metrics": "SELECT 'inc_' || CAST(floor((floor(epoch_us(ts) / 1000000.0) - 1704067200) / 518400.0) AS BIGINT) AS bundle_id, ts AS timestamp, event_type AS metric_name, 'svc-' || (user_id % 8) AS service_name, props AS labels_json, CASE WHEN event_type = 'error' THEN 'STATUS_CODE_ERROR' ELSE 'STATUS_CODE_OK' END AS status_code, value FROM events",
-    "fx_windows": "SELECT 'inc_' || i AS bundle_id, TIMESTAMP '2024-01-01' + to_seconds(i * 518400) AS window_start, TIMESTAMP '2024-01-01' + to_seconds((i + 1) * 518400) AS window_end, CASE WHEN i % 2 = 0 THEN TIMESTAMP '2024-01-01' + to_seconds(i * 518400 + 259200) END AS alert_fired_at FROM range(5) t(i)",
+    "fx_windows": "SELECT 'inc_' || i AS bundle_id, TIMESTAMP '2024-01-01' + to_seconds(i * 518400) AS window_start, TIMESTAMP '2024-01-01' + to_seconds((i + 1) * 518400) AS window_end, CASE WHEN i % 2 = 0 THEN TIMESTAMP '2024-01-01' + to_seconds(i * 518400 + 259200) END AS alert_fired_at FROM (SELECT DISTINCT CAST(substr(bundle_id, 5) AS BIGINT) AS i FROM fx_metrics)",
     "fx_error_counts": "SELECT g.bundle_id, g.service_name, g.timestamp, 'error_count' AS metric_name, CAST(coalesce(n, 0) AS DOUBLE) AS value FROM (SELECT 'inc_' || (h * 3600 // 518400) AS bundle_id, TIMESTAMP '2024-01-01' + to_seconds(h * 3600) AS timestamp, 'svc-' || s AS service_name FROM range(720) a(h), range(8) b(s)) g LEFT JOIN (SELECT bundle_id, service_name, date_trunc('hour', timestamp) AS timestamp, count(*) AS n FROM fx_metrics WHERE metric_name = 'error' GROUP BY ALL) USING (bundle_id, service_name, timestamp)",
     "fx_directions": "SELECT * FROM (VALUES ('click', 'EITHER'), ('error', 'UP'), ('purchase', 'DOWN'), ('signup', 'UP'), ('view', 'UP')) t(metric_name, direction)",
     "fx_spans": "SELECT o_orderkey AS trace_id, 'o' AS span_id, CAST(NULL AS VARCHAR) AS parent_span_id, 'prio-' || o_orderpriority AS service_name, o_orderstatus AS span_name, o_orderdate AS start_time, o_totalprice / 1000 AS duration_ms, 'OK' AS status_code FROM orders UNION ALL SELECT l_orderkey, 'l' || rn, CASE WHEN l_returnflag = 'A' AND rn % 5 = 0 THEN 'x' WHEN rn = 1 THEN 'o' ELSE 'l' || (rn // 2) END, 'supp-' || (l_suppkey % 12), 'op-' || (l_partkey % 5), l_shipdate, l_extendedprice / 1000, CASE WHEN l_returnflag = 'R' THEN 'ERROR' ELSE 'OK' END FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS rn FROM lineitem)",
-    "fx_edges": "SELECT CAST(year(l_shipdate) AS VARCHAR) AS bundle_id, c.n_name AS client, s.n_name AS server, count(*) / 86400.0::DOUBLE AS requests_per_second, count(*) FILTER (l_returnflag = 'R') / 86400.0::DOUBLE AS failures_per_second FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation c ON c.n_nationkey = c_nationkey JOIN nation s ON s.n_nationkey = s_nationkey WHERE c_nationkey <> s_nationkey AND (c_nationkey * 7 + s_nationkey * 3) % 11 = 0 GROUP BY ALL",
+    "fx_edges": "SELECT CAST(year(l_shipdate) AS VARCHAR) AS bundle_id, c.n_name AS client, s.n_name AS server, count(*) / 86400.0::DOUBLE AS requests_per_second, count(*) FILTER (l_returnflag = 'R') / 86400.0::DOUBLE AS failures_per_second FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation c ON c.n_nationkey = c_nationkey JOIN nation s ON s.n_nationkey = s_nationkey WHERE c_nationkey <> s_nationkey GROUP BY ALL",
     "fx_anomaly": "SELECT n_name AS service, coalesce(a, 0.0::DOUBLE) AS anomaly FROM nation LEFT JOIN (SELECT s_nationkey, round(greatest(avg(s_acctbal), 0.0::DOUBLE) / 1000, 6) AS a FROM supplier GROUP BY 1) ON n_nationkey = s_nationkey",
     "fx_logs": "SELECT TIMESTAMP '2024-01-01' + to_seconds(doc_id * 60 + line) AS timestamp, service_name, severity, body, doc_id, line FROM (SELECT doc_id, source AS service_name, CASE WHEN toxic = 1 THEN 'FATAL' WHEN quality = 0 THEN 'ERROR' WHEN doc_id % 5 = 0 THEN 'WARN' ELSE 'INFO' END AS severity, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents LEFT JOIN labels USING (doc_id))",
     "fx_changes": "SELECT o_orderkey AS change_id, o_orderdate AS at, o_orderstatus AS kind, 'svc-' || (o_custkey % 8) AS service, o_orderpriority AS detail FROM orders",
-    "fx_memory": "SELECT doc_id AS incident_id, substr(text, 1, 400) AS symptom_summary, list_distinct(['svc-' || (doc_id % 8), 'svc-' || (doc_id % 3)]) AS services_involved, CASE WHEN ('0x' || substr(sha256('split:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < 0.5 THEN 'train' ELSE 'held_out' END AS split FROM documents",
-    "fx_queries": "SELECT item_id AS query_id, substr(text, 1, 200) AS text, 'svc-' || (item_id % 8) AS service FROM benchmark",
+    "fx_memory": "SELECT doc_id AS incident_id, text AS symptom_summary, list_distinct(['svc-' || (doc_id % 8), 'svc-' || (doc_id % 3)]) AS services_involved, CASE WHEN ('0x' || substr(sha256('split:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < 0.5 THEN 'train' ELSE 'held_out' END AS split FROM documents",
+    "fx_queries": "SELECT item_id AS query_id, text, 'svc-' || (item_id % 8) AS service FROM benchmark",
     "fx_runbooks": "SELECT doc_id AS runbook_id, 'runbook ' || lang AS title, [source] AS covers, text AS body FROM documents",
     "fx_forecast": "SELECT doc_id, least(n_chars, 4000) / 4000.0::DOUBLE AS confidence, quality = 1 AS outcome, n_chars >= 200 AS answered, CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS configuration, doc_id // 2 AS task, doc_id % 2 AS trial, source, n_chars FROM documents JOIN labels USING (doc_id)",
     "fx_raters": "SELECT doc_id, quality = 1 AS first, n_chars >= 800 AS second FROM documents JOIN labels USING (doc_id)",
     "fx_outcomes": "SELECT bundle_id, list(service ORDER BY place) FILTER (place <= 5) AS ranked_candidates, max(service) FILTER (worst = 1) AS truth FROM (SELECT bundle_id, service, row_number() OVER (PARTITION BY bundle_id ORDER BY round(r, 9) DESC, service) AS place, row_number() OVER (PARTITION BY bundle_id ORDER BY round(f, 9) DESC, service) AS worst FROM (SELECT bundle_id, server AS service, sum(requests_per_second) AS r, sum(failures_per_second) AS f FROM fx_edges GROUP BY ALL)) GROUP BY bundle_id",
-    "fx_canaries": "SELECT item_id, substr(text, 1, 60) AS canary FROM benchmark",
+    "fx_canaries": "SELECT item_id, text AS canary FROM benchmark",
     "fx_calls": "SELECT conv_id, turn AS round, role AS call, length(text) // 4 AS tokens FROM conversations",
 }
-_NEEDS = {"fx_error_counts": ["fx_metrics"], "fx_outcomes": ["fx_edges"]}
+_NEEDS = {"fx_windows": ["fx_metrics"], "fx_error_counts": ["fx_metrics"], "fx_outcomes": ["fx_edges"]}
 
 
 def oracle(body: str, *views: str, **more: str) -> str:

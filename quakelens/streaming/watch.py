@@ -15,34 +15,43 @@ from quakelens.sources.staging import importable
 
 def _recovery(run_length: int, seconds: float):
     def run(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, done = state.get if state.exists else (0, False)
-        out = []
+        count, seen, done = state.get if state.exists else (0, False, False)
+        if state.hasTimedOut:
+            # The deadline has passed in event time: no run of good readings, or no reading that says anything.
+            state.remove()
+            yield pd.DataFrame([] if done else [(key[0], "not_recovered" if seen else "unknown", None)], columns=["watch", "status", "after_seconds"])
+            return
+        out, deadline = [], None
         for row in pd.concat(list(frames)).sort_values("at").itertuples():
-            if done or row.value is None or row.value != row.value:
-                continue  # readings that are missing neither count nor break a run
+            deadline = row.acted_at + pd.Timedelta(seconds=seconds)
+            if done or row.value is None or row.value != row.value or row.baseline is None or row.baseline != row.baseline:
+                continue  # readings that are missing neither count nor break a run; without a baseline they say nothing
             since = (row.at - row.acted_at).total_seconds()
             if since < 0:
                 continue
             if since > seconds:
                 done = True
-                out.append((key[0], "not_recovered", None))
+                out.append((key[0], "not_recovered" if seen else "unknown", None))
                 continue
+            seen = True
             ceiling = row.baseline * RECOVERY_FACTOR if row.baseline > 0 else RECOVERY_FLOOR
             count = count + 1 if row.value <= ceiling else 0
             if count >= run_length:
                 done = True
                 out.append((key[0], "recovered", since))
-        state.update((count, done))
+        state.update((count, seen, done))
+        if deadline is not None:
+            state.setTimeoutTimestamp(max(int(deadline.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["watch", "status", "after_seconds"])
 
     return run
 
 
 def recovery_watch(signal: DataFrame, run_length: int = RECOVERY_RUN, seconds: float = RECOVERY_SECONDS) -> DataFrame:
-    """Recovered or not, once for each watch (watch, at, value, baseline, acted_at)."""
+    """Recovered, not_recovered or unknown, once for each watch (watch, at, value, baseline, acted_at); at the deadline in event time at the latest."""
     importable(signal.sparkSession)
     return signal.withWatermark("at", "30 seconds").groupBy("watch").applyInPandasWithState(
-        _recovery(run_length, seconds), "watch string, status string, after_seconds double", "count int, done boolean", "append", GroupStateTimeout.NoTimeout
+        _recovery(run_length, seconds), "watch string, status string, after_seconds double", "count int, seen boolean, done boolean", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quakelens import registry
 from quakelens.functions import columns as C
-from quakelens.operators import anomaly, evidence, governance, retrieval, stats, traces
+from quakelens.operators import anomaly, evidence, governance, logs, retrieval, safety, stats, traces
 from quakelens.operators.windows import choose_windows
 from quakelens.plans import graph
 
@@ -160,3 +160,30 @@ def test_gate_verdict_takes_all_resamples(spark, monkeypatch):
     monkeypatch.setattr(stats, "bootstrap", lambda tasks, by, resamples=stats.RESAMPLES, *more: taken.append(resamples) or whole(tasks, by, resamples, *more))
     registry.queries()["e18_gate_verdict"](spark, "/root/testdata/sf0.001")
     assert taken == [10_000, 10_000]
+
+
+def test_markers_of_any_length(spark):
+    texts = spark.createDataFrame([(1, "say the quick brown\nfox jumps now"), (2, "a canary-7 here"), (3, "nothing"), (4, None)], "doc_id int, text string")
+    marks = spark.createDataFrame([("long", "the quick brown\nfox"), ("inner", "ay the quick brown"), ("short", "canary-7"), ("none", "the quick red fox")], "item_id string, canary string")
+    got = {tuple(r) for r in safety.canary_hits(texts, marks, "text", "doc_id", "item_id", "canary").collect()}
+    assert got == {("long", 1), ("inner", 1), ("short", 2)}
+
+
+def test_masks_next_to_accents(spark):
+    rows = spark.createDataFrame([("é12345678ab ü 10.0.0.1é x",), ("plain deadbeef99",)], "body string")
+    assert [r.template for r in logs.masked(rows).collect()] == ["é<hex> ü <ip>é x", "plain <hex>"]
+
+
+def test_path_rows_and_error_rows(spark):
+    spans = spark.createDataFrame(
+        [(1, "r", None, "web", "get", 9.0, "OK", 0), (1, "a", "r", "pay", "x", 3.0, "ERROR", 2), (1, "b", "r", "pay", "y", 5.0, "ERROR", 1)],
+        "trace_id int, span_id string, parent_span_id string, service_name string, span_name string, duration_ms double, status_code string, start_time int",
+    )
+    rows = traces.path_rows(spans, traces.critical_paths(spans)).orderBy("hop").collect()
+    assert [(r.span_id, r.self_ms) for r in rows] == [("r", 1.0), ("b", 5.0)]
+    assert [r.span_id for r in traces.error_rows(spans, 1).collect()] == ["b"]
+
+
+def test_draws_are_even(spark):
+    counts = [r["count"] for r in spark.range(20_000).select(stats.draw(7, F.col("id"), F.lit(3), F.lit(10)).alias("i")).groupBy("i").count().collect()]
+    assert len(counts) == 10 and all(1_800 < n < 2_200 for n in counts)

@@ -195,6 +195,16 @@ def test_quality(spark, docs, none):
     assert quality.score(none, unlabelled).count() == 0
 
 
+def test_quality_decisions_agree(spark):
+    """What the pipeline keeps is what the score accepts; null and contradicting labels, null texts and clashing names are fine."""
+    texts = [prose(10 + i % 60) + ("!! " * (i % 4)) for i in range(150)] + ["", None]
+    table = spark.createDataFrame([(i, t, "a", 0.5) for i, t in enumerate(texts)], "doc_id long, text string, upper string, score double")
+    labels = spark.createDataFrame([(i, int(i % 4 < 2)) for i in range(150)] + [(3, 1), (4, None), (None, 1), (999, 0)], "doc_id long, quality int")
+    good = {r.doc_id for r in quality.score(table, labels).collect() if r.predicted == 1}
+    kept = quality.accepted(table, labels)
+    assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == good and 0 < len(good) < 152
+
+
 def test_quality_ignores_held_out_labels(spark):
     table = spark.createDataFrame([(i, prose(30) + ("!! " * (i % 3))) for i in range(120)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
@@ -328,6 +338,24 @@ def test_urls_ranges_from_samples(spark):
     assert found.count() == 120_000 and found.filter((F.col("verdict") != want) | ~F.col("rule").eqNullSafe(F.when(own, F.concat("host", F.lit("/b"))))).count() == 0
 
 
+def test_urls_of_empty_tables_and_long_urls(spark):
+    rows = [(1, "http://a.com/" + "x" * 200_000, "v", "h", "p"), (2, None, None, None, None), (3, "http://a.com/" + "x" * 199_999 + "y", "v", "h", "p")]
+    pages = spark.createDataFrame(rows, "page_id int, url string, verdict string, host string, path string")
+    no_rules = spark.createDataFrame([], "verdict string, host string, path string")
+    assert [r.verdict for r in urls.filter_urls(pages, no_rules).collect()] == ["allow"] * 3 and urls.filter_urls(pages.limit(0), urls.rule_frame(spark, urls.RULES)).count() == 0
+    long_ = urls.rule_frame(spark, [("block", "a.com", "/" + "x" * 5_000), ("allow", "com", "/")])
+    assert {r.page_id: r.verdict for r in urls.filter_urls(pages, long_).collect()} == {1: "block", 2: "allow", 3: "block"}
+
+
+@pytest.mark.parametrize("partitions", [1, 8, 64, 211])
+def test_urls_against_plain_rules(spark, partitions):
+    rules = [(random.choice(["allow", "block"]), h, p) for h in ("com", "a.com", "net") for p in ("/", "/a", "/a/b", "/a/bc", "/d") if random.random() < 0.8]
+    pages = [(i, f"http://{random.choice(['com', 'x.a.com', 'a.com', 'net', 'b.net', 'org'])}/{random.choice(['a', 'a/b', 'a/bc/d', 'd', 'e'])}{random.randint(0, 300)}") for i in range(3000)]
+    for r in urls.filter_urls(spark.createDataFrame(pages, "page_id int, url string"), urls.rule_frame(spark, rules), partitions=partitions).collect():
+        fits = [(len(h) + len(p), len(h), h + p, v) for v, h, p in rules if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        assert (r.rule, r.verdict) == (max(fits)[2:] if fits else (None, "allow"))
+
+
 def test_html(spark, none):
     page = '<html><head><title>t</title></head><body><nav><a>m</a></nav><header>site</header>{}<footer>f</footer><script>var a="</p>";</script></body></html>'
     article = "<article><header><h1>A &amp; B</h1></header><p>one&nbsp; <b>two</b><p>three<br>four<div class='comments'><p>c</p></div><ul><li>x<li>y</ul></article>"

@@ -2,6 +2,8 @@
 
 1. Locally: within each Arrow batch, rows of equal content are combined into the best of them.
 2. Salted groups: what is left is dealt by digest and a salt (from the batch), so a hot digest spreads over many tasks.
+   There are as many salts as the square root of the number of batches, so that neither a salted group nor the global
+   one of its winners holds more than about that many rows of a digest, however many copies there are.
 3. Globally: the winners of the salted groups are combined by digest.
 
 At each stage rows are equal only if digest and content are equal. Each stage says which row won over which, and every
@@ -15,6 +17,7 @@ group_size; rows with a null id sort after others. Empty tables give empty resul
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from quakelens.llm.common import BATCH_ROWS, small_batches, table
 
 WHITE = b" \t\n\x0b\x0c\r"
+#: The fewest salts.
 SALTS = 16
 _LOCAL = "row long, doc_id long, digest binary, content binary, points long, local long, n long, salt int"
 
@@ -70,9 +74,15 @@ def _rank(points: int, doc_id: int | None, row: int) -> tuple:
     return (-points, doc_id is None, doc_id or 0, row)
 
 
-def deduplicate(docs: DataFrame, salts: int = SALTS) -> DataFrame:
+def salts_for(rows: int) -> int:
+    """The number of salts for a table of some number of rows."""
+    return max(SALTS, math.isqrt(rows // BATCH_ROWS))
+
+
+def deduplicate(docs: DataFrame, salts: int | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row of docs (doc_id, text, ...)."""
     small_batches(docs.sparkSession)
+    salts = salts_for(docs.count()) if salts is None else salts
     # A row's own number, as ids may repeat. docs is read twice and must give the same rows in the same partitions each
     # time, as a scan of files does.
     named = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -127,6 +127,19 @@ def test_exact(docs, none):
     assert exact.kept_documents(docs).count() == len(group) and exact.deduplicate(none).count() == 0
 
 
+@pytest.mark.parametrize("salts", [1, 3, 200])
+def test_exact_salts(spark, monkeypatch, salts):
+    """One text in a third of all rows, over many batches and partitions: any number of salts gives the same rows."""
+    monkeypatch.setattr(exact, "BATCH_ROWS", 7)
+    texts = [BASE + " " * (i % 11) if i % 3 == 0 else f"text {i // 4}" for i in range(600)]
+    rows = exact.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(9), salts).collect()
+    group = {}
+    for i, t in enumerate(texts):
+        group.setdefault(re.sub(" ", "", t), []).append((-len(t), i))
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in rows) == [(i, min(g)[1], len(g)) for i, g in ((i, group[re.sub(" ", "", t)]) for i, t in enumerate(texts))]
+    assert exact.salts_for(0) == exact.SALTS and exact.salts_for(10**10) > 4000
+
+
 def test_secrets_against_finditer(docs, none):
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     for r in secrets.scan(docs).collect():

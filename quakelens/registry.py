@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quakelens.plans import eval_queries, graph_queries, metric_queries, stream_queries, text_queries, triage_queries
+from quakelens.plans import eval_queries, graph_queries, metric_queries, source_queries, stream_queries, text_queries, triage_queries
 from quakelens.sources.projections import Query
 
-MODULES = (metric_queries, graph_queries, text_queries, eval_queries, stream_queries, triage_queries)
+MODULES = (metric_queries, graph_queries, text_queries, eval_queries, source_queries, stream_queries, triage_queries)
 
 
 def queries() -> dict[str, Query]:

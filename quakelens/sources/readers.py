@@ -23,9 +23,9 @@ def read_facts(spark: SparkSession, root: str, kind: str) -> DataFrame:
     return _with_bundle(spark.read.schema(contract).parquet(f"{root}/*/{kind}.parquet")).select("bundle_id", *contract.names)
 
 
-def read_topology(spark: SparkSession, root: str) -> DataFrame:
+def read_topology(spark: SparkSession, root: str, files: str = "topology.json") -> DataFrame:
     """Call edges of all bundles; an edge without ends or with a missing or negative rate stops the job."""
-    whole = _with_bundle(spark.read.schema(schemas.TOPOLOGY).option("multiLine", True).option("mode", "FAILFAST").json(f"{root}/*/topology.json"))
+    whole = _with_bundle(spark.read.schema(schemas.TOPOLOGY).option("multiLine", True).option("mode", "FAILFAST").json(f"{root}/*/{files}"))
     edges = whole.select("bundle_id", F.inline("edges"))
     bad = F.col("client").isNull() | F.col("server").isNull() | ~F.coalesce(F.col("requests_per_second") >= 0, F.lit(False)) | ~F.coalesce(F.col("failures_per_second") >= 0, F.lit(False))
     rate = F.when(bad, F.raise_error(F.lit("an edge is malformed")).cast("double")).otherwise(F.col("requests_per_second"))
@@ -51,9 +51,9 @@ def read_alerts(spark: SparkSession, path: str) -> DataFrame:
     return alert_deliveries(spark.read.schema(ALERTS).json(path))
 
 
-def library_index(spark: SparkSession, root: str) -> DataFrame:
+def library_index(spark: SparkSession, root: str, files: str = "manifest.json") -> DataFrame:
     """A row for each recorded bundle with the row counts of its files."""
-    return spark.read.schema(schemas.MANIFEST).option("multiLine", True).json(f"{root}/*/manifest.json").select(
+    return spark.read.schema(schemas.MANIFEST).option("multiLine", True).json(f"{root}/*/{files}").select(
         "bundle_id", "run_id", "recorded_at", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "alert_fired_at", F.map_from_entries(F.transform("files", lambda f: F.struct(f["name"], f["rows"]))).alias("rows")
     )
 

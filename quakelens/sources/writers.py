@@ -9,6 +9,9 @@ from pyspark.sql.types import StructType
 from quakelens.operators.governance import without_known
 from quakelens.sources.schemas import enforced
 
+#: Spark's own format for times in JSON ends at milliseconds.
+MICROSECONDS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
 
 def write_table(df: DataFrame, contract: StructType, path: str) -> int:
     """Write df under a contract and return its number of rows, counted on the way."""
@@ -24,7 +27,7 @@ def append_new(new: DataFrame, held: DataFrame, key: str, order: list[str], path
 
 def append_feedback(rows: DataFrame, path: str) -> None:
     """Append rows as JSON lines; nothing is ever overwritten."""
-    rows.write.mode("append").json(path)
+    rows.write.mode("append").option("timestampFormat", MICROSECONDS).json(path)
 
 
 def upsert_windows(edges: DataFrame, window: str, path: str) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from quakelens.functions.columns import injection_categories, mask_log
 
@@ -16,6 +17,14 @@ def _late(rows: DataFrame, column: str, lateness: str) -> DataFrame:
     return rows.withWatermark(column, lateness) if rows.isStreaming else rows
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a query has dropped as later than its watermark, by its recent progress.
+
+    Spark drops before each stateful operator; an aggregation has combined its rows by then and counts what is left.
+    """
+    return sum(operator["numRowsDroppedByWatermark"] for progress in query.recentProgress for operator in progress["stateOperators"])
+
+
 def red(spans: DataFrame, step: str = STEP, lateness: str = LATENESS) -> DataFrame:
     """Calls by service and status in tumbling windows."""
     rows = _late(spans, "start_time", lateness)

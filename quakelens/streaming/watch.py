@@ -11,82 +11,97 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quakelens.operators.governance import RECOVERY_FACTOR, RECOVERY_FLOOR, RECOVERY_RUN, RECOVERY_SECONDS
 from quakelens.sources.staging import importable
+from quakelens.streaming import ordered
+
+SECOND = 1_000_000
+_READING = ["us", "value", "baseline", "acted_us"]
 
 
 def _recovery(run_length: int, seconds: float):
-    def run(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, seen, done = state.get if state.exists else (0, False, False)
-        if state.hasTimedOut:
-            # The deadline has passed in event time: no run of good readings, or no reading that says anything.
-            state.remove()
-            yield pd.DataFrame([] if done else [(key[0], "not_recovered" if seen else "unknown", None)], columns=["watch", "status", "after_seconds"])
-            return
-        out, deadline = [], None
-        for row in pd.concat(list(frames)).sort_values("at").itertuples():
-            deadline = row.acted_at + pd.Timedelta(seconds=seconds)
-            if done or row.value is None or row.value != row.value or row.baseline is None or row.baseline != row.baseline:
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        *waiting, count, seen, done, deadline = state.get if state.exists else ([], [], [], [], 0, False, False, None)
+        rows = ordered.waiting_and_new(waiting, frames, _READING, state)
+        if deadline is None:
+            deadline = rows[0][3] + int(seconds * SECOND)
+        ready, later = ordered.split(rows, state.getCurrentWatermarkMs())
+        out = []
+        for at, value, baseline, acted in ready:
+            if done or value is None or baseline is None:
                 continue  # readings that are missing neither count nor break a run; without a baseline they say nothing
-            since = (row.at - row.acted_at).total_seconds()
-            if since < 0:
-                continue
-            if since > seconds:
-                done = True
-                out.append((key[0], "not_recovered" if seen else "unknown", None))
-                continue
             seen = True
-            ceiling = row.baseline * RECOVERY_FACTOR if row.baseline > 0 else RECOVERY_FLOOR
-            count = count + 1 if row.value <= ceiling else 0
+            ceiling = baseline * RECOVERY_FACTOR if baseline > 0 else RECOVERY_FLOOR
+            count = count + 1 if value <= ceiling else 0
             if count >= run_length:
                 done = True
-                out.append((key[0], "recovered", since))
-        state.update((count, seen, done))
-        if deadline is not None:
-            state.setTimeoutTimestamp(max(int(deadline.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+                out.append((key[0], "recovered", (at - acted) / SECOND))
+        if state.getCurrentWatermarkMs() * 1000 > deadline:
+            # No reading within the deadline can come any more.
+            if not done:
+                out.append((key[0], "not_recovered" if seen else "unknown", None))
+            if state.exists:
+                state.remove()
+        else:
+            state.update((*ordered.by_column(later, 4), count, seen, done, deadline))
+            ordered.call_again(state, min([later[0][0]] if later else [deadline + 1000]))
         yield pd.DataFrame(out, columns=["watch", "status", "after_seconds"])
 
     return run
 
 
-def recovery_watch(signal: DataFrame, run_length: int = RECOVERY_RUN, seconds: float = RECOVERY_SECONDS) -> DataFrame:
-    """Recovered, not_recovered or unknown, once for each watch (watch, at, value, baseline, acted_at); at the deadline in event time at the latest."""
+def recovery_watch(signal: DataFrame, run_length: int = RECOVERY_RUN, seconds: float = RECOVERY_SECONDS, lateness: str = "30 seconds") -> DataFrame:
+    """Recovered, not_recovered or unknown, once for each watch (watch, at, value, baseline, acted_at); at the deadline in event time at the latest.
+
+    A watch opens with any row from the action to the deadline, such as one without a value at the action itself; rows
+    outside that time only move the watermark. Readings count in the order of their times.
+    """
     importable(signal.sparkSession)
-    return signal.withWatermark("at", "30 seconds").groupBy("watch").applyInPandasWithState(
-        _recovery(run_length, seconds), "watch string, status string, after_seconds double", "count int, seen boolean, done boolean", "append", GroupStateTimeout.EventTimeTimeout
+    rows = signal.withWatermark("at", lateness).withColumns({"us": F.unix_micros("at"), "acted_us": F.unix_micros("acted_at")})
+    rows = rows.filter((F.col("us") >= F.col("acted_us")) & (F.col("us") <= F.col("acted_us") + int(seconds * SECOND)))
+    values = {c: F.when(~F.isnan(c), F.col(c)) for c in ("value", "baseline")}
+    rows = rows.withColumns(values).withColumn("watch", F.col("watch").cast("string"))
+    state = "times array<bigint>, readings array<double>, baselines array<double>, acted array<bigint>, count int, seen boolean, done boolean, deadline bigint"
+    return rows.groupBy("watch").applyInPandasWithState(
+        _recovery(run_length, seconds), "watch string, status string, after_seconds double", state, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
 def _first(key: tuple[str, str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(frames))
-    if state.exists:
-        yield pd.DataFrame(columns=["bundle_id", "service_name", "onset_at"])
-        return
-    state.update((True,))
-    yield pd.DataFrame([(key[0], key[1], rows["timestamp"].min())], columns=["bundle_id", "service_name", "onset_at"])
-
-
-def first_crossings(facts: DataFrame, baseline: DataFrame, threshold: float = 3.0) -> DataFrame:
+    onset, done = state.get if state.exists else (None, False)
+    if not state.hasTimedOut and not done:
+        onset = min([*(int(f["us"].min()) for f in frames if len(f)), *([] if onset is None else [onset])])
+    out = []
+    if not done:
+        # Only once the watermark has passed it can no earlier crossing come.
+        if onset <= state.getCurrentWatermarkMs() * 1000:
+            done = True
+            out.append((*key, onset))
+        state.update((onset, done))
+        if not done:
+            ordered.call_again(state, onset)
+    yield pd.DataFrame(out, columns=["bundle_id", "service_name", "us"])
+
+
+def first_crossings(facts: DataFrame, baseline: DataFrame, threshold: float = 3.0, lateness: str = "30 seconds") -> DataFrame:
     """The first sample of each service over its static baseline (bundle_id, service_name, metric_name, median, scale)."""
     importable(facts.sparkSession)
-    over = facts.withWatermark("timestamp", "30 seconds").join(baseline, ["bundle_id", "service_name", "metric_name"]).filter((F.col("value") - F.col("median")) / F.col("scale") >= threshold)
-    return over.select("bundle_id", "service_name", "timestamp").groupBy("bundle_id", "service_name").applyInPandasWithState(
-        _first, "bundle_id string, service_name string, onset_at timestamp", "seen boolean", "append", GroupStateTimeout.NoTimeout
+    over = facts.withWatermark("timestamp", lateness).join(baseline, ["bundle_id", "service_name", "metric_name"]).filter((F.col("value") - F.col("median")) / F.col("scale") >= threshold)
+    found = over.select("bundle_id", "service_name", "timestamp", F.unix_micros("timestamp").alias("us")).groupBy("bundle_id", "service_name").applyInPandasWithState(
+        _first, "bundle_id string, service_name string, us long", "onset bigint, done boolean", "append", GroupStateTimeout.EventTimeTimeout
     )
+    return found.select("bundle_id", "service_name", F.timestamp_micros("us").alias("onset_at"))
 
 
 def _silence(seconds: int):
     def run(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        empty = pd.DataFrame(columns=["bundle_id", "silent_since"])
+        out = []
         if state.hasTimedOut:
-            (last,) = state.get
+            out = [(key[0], state.get[0])]
             state.remove()
-            yield pd.DataFrame([(key[0], last)], columns=empty.columns)
-            return
-        last = pd.concat(list(frames))["timestamp"].max()
-        if state.exists:
-            last = max(last, pd.Timestamp(state.get[0]))
-        state.update((last,))
-        state.setTimeoutTimestamp(max(int(last.timestamp() * 1000) + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield empty
+        else:
+            last = max([*(int(f["us"].max()) for f in frames if len(f)), *(state.getOption or ())])
+            state.update((last,))
+            ordered.call_again(state, last + seconds * SECOND)
+        yield pd.DataFrame(out, columns=["bundle_id", "us"])
 
     return run
 
@@ -94,6 +109,7 @@ def _silence(seconds: int):
 def silences(facts: DataFrame, seconds: int = 120, lateness: str = "30 seconds") -> DataFrame:
     """Bundles from which nothing has come for some time of event time."""
     importable(facts.sparkSession)
-    return facts.withWatermark("timestamp", lateness).groupBy("bundle_id").applyInPandasWithState(
-        _silence(seconds), "bundle_id string, silent_since timestamp", "last timestamp", "append", GroupStateTimeout.EventTimeTimeout
+    found = facts.withWatermark("timestamp", lateness).withColumn("us", F.unix_micros("timestamp")).groupBy("bundle_id").applyInPandasWithState(
+        _silence(seconds), "bundle_id string, us long", "last bigint", "append", GroupStateTimeout.EventTimeTimeout
     )
+    return found.select("bundle_id", F.timestamp_micros("us").alias("silent_since"))

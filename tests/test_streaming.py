@@ -1,5 +1,6 @@
 """Streams against their batch twins; a row far in the future pushes the watermark past all windows."""
 
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -41,11 +42,115 @@ def test_hold(spark, tmp_path):
 def test_recovery_and_first_crossing(spark, tmp_path):
     values = [9.0, 1.0, None, 1.0, 9.0, 1.0, 1.0, 1.0]
     rows = [("w", T0 + timedelta(seconds=15 * i), v, 1.0, T0) for i, v in enumerate(values)]
+    rows.append(("w", T0 + timedelta(seconds=200), None, 1.0, T0))  # readings count once the watermark has passed them
     _, stream = source(spark, rows, "watch string, at timestamp, value double, baseline double, acted_at timestamp", tmp_path, 1)
     (r,) = run(spark, watch.recovery_watch(stream), tmp_path, "recovery").collect()
     assert (r.status, r.after_seconds) == ("recovered", 105.0)
 
 
+def in_batches(spark, batches, schema, tmp_path, name, transform):
+    """The stream's rows when each list of rows comes in a batch of its own."""
+    path = tmp_path / f"in-{name}"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(path))
+        found = run_again(spark, transform(spark.readStream.schema(schema).parquet(str(path))), tmp_path, name)
+    return found
+
+
+def run_again(spark, stream, tmp_path, name):
+    out, checkpoint = str(tmp_path / f"out-{name}"), str(tmp_path / f"c-{name}")
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out).collect()
+
+
+def test_hold_of_late_samples(spark, tmp_path):
+    """A break that comes late, but before the watermark, counts where it belongs; a firing alert is resolved."""
+    at = lambda i, f: ("r", "s", T0 + timedelta(seconds=30 * i), f)
+    batches = [[at(i, True) for i in (0, 1, 3, 4, 5)], [at(2, False), *(at(i, True) for i in (6, 7, 8))], [at(9, None), at(60, True)]]
+    schema = "rule string, service_name string, at timestamp, firing boolean"
+    got = in_batches(spark, batches, schema, tmp_path, "late-hold", lambda s: alerts.changes_stream(s, 120, "4 minutes"))
+    want = {("r", "s", T0 + timedelta(seconds=30 * 7), "firing"), ("r", "s", T0 + timedelta(seconds=30 * 9), "resolved")}
+    assert {tuple(r) for r in got} == want and len(got) == 2
+    flat = spark.createDataFrame([r for b in batches for r in b], schema)
+    assert {tuple(r) for r in alerts.changes(flat, 120).select("rule", "service_name", "at", "status").collect()} == want
+
+
+def looked_at_each_second(changed, last, wait, interval, repeat):
+    """R7 by a clock: what a group of one alert delivers, second by second."""
+    tick = sent = told = None
+    firing, out, changed = False, [], dict(changed)
+    for now in range(last + 1):
+        if now in changed:
+            firing = changed[now] == "firing"
+            if firing and tick is None:
+                tick = now + wait
+        if tick == now:
+            status = "firing" if firing else "resolved"
+            if told is None and not firing:
+                tick = None
+                continue
+            if told != status or now - sent >= repeat:
+                out.append((now, status))
+                sent, told = now, status
+            tick = now + interval if firing else None
+            if not firing:
+                told = None
+    return out
+
+
+def test_notifications_against_a_clock(spark, tmp_path):
+    rng = random.Random(4)
+    changed, batches = {}, [[], [], []]
+    for key in "abcdef":
+        now = rng.randint(0, 40)
+        changed[key] = []
+        while now < 1500:
+            changed[key].append((now, "firing" if len(changed[key]) % 2 == 0 else "resolved"))
+            now += rng.choice([3, 8, 10, 17, 40, 55, 130, 400])
+        for n, (second, status) in enumerate(changed[key]):
+            batches[min(2, second // 600) if n % 4 else max(0, second // 600 - 1)].append((key, "s", T0 + timedelta(seconds=second), status))
+    batches[2].append(("end", "s", T0 + timedelta(seconds=1630), "resolved"))
+    got = in_batches(spark, batches, "rule string, service_name string, at timestamp, status string", tmp_path, "notify", lambda s: alerts.notifications(s, 10, 30, 200, "30 minutes").filter("rule <> 'end'"))
+    assert got == []  # nothing has passed the watermark yet
+    more = [[("end", "s", T0 + timedelta(seconds=1600 + 1800), "resolved")]]
+    got = in_batches(spark, more, "rule string, service_name string, at timestamp, status string", tmp_path, "notify", lambda s: alerts.notifications(s, 10, 30, 200, "30 minutes").filter("rule <> 'end'"))
+    want = sorted((k, *x) for k, c in changed.items() for x in looked_at_each_second(c, 1600, 10, 30, 200))
+    assert sorted((r.rule, int((r.sent_at - T0).total_seconds()), r.status) for r in got) == want and len(want) > 20
+
+
+def test_recovery_at_the_deadline(spark, tmp_path):
+    """Late readings count in order; watches end once, as recovered, not_recovered or unknown."""
+    row = lambda w, i, v, b=1.0: (w, T0 + timedelta(seconds=i), v, b, T0)
+    batches = [
+        [row("late", 15, 1.0), row("late", 60, 1.0), row("late", 75, 1.0), row("high", 15, 9.0), row("silent", 0, None), row("bare", 15, 1.0, None)],
+        [row("late", 30, 9.0), row("late", 90, 9.0), row("late", 45, 1.0), row("high", 30, 9.0), row("after", 400, 1.0)],
+        [row("clock", 1000, 9.0), row("high", 900, 1.0)],
+    ]
+    schema = "watch string, at timestamp, value double, baseline double, acted_at timestamp"
+    got = in_batches(spark, batches, schema, tmp_path, "deadline", lambda s: watch.recovery_watch(s, 3, 300.0, "5 minutes"))
+    assert sorted(tuple(r) for r in got) == [("bare", "unknown", None), ("high", "not_recovered", None), ("late", "recovered", 75.0), ("silent", "unknown", None)]
+
+
+def test_earlier_crossing_that_comes_late(spark, tmp_path):
+    row = lambda i, v, s="s": ("b", s, "m", T0 + timedelta(seconds=i), v)
+    base = spark.createDataFrame([("b", s, "m", 1.0, 1.0) for s in ("s", "clock")], "bundle_id string, service_name string, metric_name string, median double, scale double")
+    schema = "bundle_id string, service_name string, metric_name string, timestamp timestamp, value double"
+    got = in_batches(spark, [[row(100, 9.0)], [row(80, 9.0), row(60, 2.0)], [row(500, 1.0, "clock"), row(120, 9.0)]], schema, tmp_path, "first", lambda s: watch.first_crossings(s, base, lateness="1 minute"))
+    assert [(r.service_name, r.onset_at) for r in got] == [("s", T0 + timedelta(seconds=80))]
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    path = str(tmp_path / "in")
+    late = []
+    for seconds in ((0, 1000), (5, 6, 990)):
+        spark.createDataFrame([(s, T0 + timedelta(seconds=s)) for s in seconds], "id long, at timestamp").write.mode("append").parquet(path)
+        stream = spark.readStream.schema("id long, at timestamp").parquet(path).withWatermark("at", "1 minute").dropDuplicatesWithinWatermark(["id"])
+        query = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        late.append(rollups.late_rows(query))
+    assert late == [0, 2]
+
+
 def test_onset_and_silence(spark, tmp_path):
     rows = [("b", "s", "m", T0 + timedelta(seconds=15 * i), float(i)) for i in range(10)] + [("far", "s", "m", T0 + timedelta(hours=2), 0.0)]
     _, stream = source(spark, rows, "bundle_id string, service_name string, metric_name string, timestamp timestamp, value double", tmp_path, 1)
@@ -53,7 +158,7 @@ def test_onset_and_silence(spark, tmp_path):
     (r,) = run(spark, watch.first_crossings(stream, base), tmp_path, "onset").collect()
     assert r.onset_at == rows[4][3]
     silent = run(spark, watch.silences(stream), tmp_path, "silent").collect()
-    assert [(r.bundle_id, r.silent_since) for r in silent] in ([("b", rows[9][3])], [])  # fires with the batch after the watermark has passed
+    assert [(r.bundle_id, r.silent_since) for r in silent] == [("b", rows[9][3])]
 
 
 def test_pairs_repeats_and_delivery(spark, tmp_path):

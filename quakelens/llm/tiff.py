@@ -5,7 +5,7 @@ with PackBits, LZW or deflate, undoing the horizontal predictor, for 8- and 16-b
 variety from a payload, chosen by the payload alone, so equal payloads give equal files.
 
 Defined results: a null text is an empty payload, which is padded to one row of 64 zeros; a null, empty or damaged image
-gives one row with page -1 and a message in `error`, and no pixels; repeated rows give repeated pages. Pages come in file
+gives, after the pages before the damage, one row with page -1 and a message in `error`, and no pixels; repeated rows give repeated pages. Pages come in file
 order and a file's pages stand together in a partition. Memory is bounded by one image at a time.
 """
 
@@ -205,8 +205,11 @@ def read(data: bytes) -> Iterator[dict]:
         tiled = 324 in f
         across, down = (f[322][0], f[323][0]) if tiled else (width, min(height, f.get(278, [height])[0]))
         offsets, lengths = (f[324], f[325]) if tiled else (f[273], f[279])
-        page = np.zeros((height, width, samples), kind)
         per_row = -(-width // across)
+        # No way of packing gives more than LZW's 4096 bytes for 12 bits, so a directory that claims more is damaged.
+        if len(offsets) != per_row * -(-height // down) or height * width * samples * kind.itemsize > 4096 * len(data):
+            raise ValueError("the directory doesn't fit the image data")
+        page = np.zeros((height, width, samples), kind)
         for i, (offset, length) in enumerate(zip(offsets, lengths, strict=True)):
             top, left = i // per_row * down, i % per_row * across
             rows = down if tiled else min(down, height - top)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import time
 import zlib
 from collections import Counter
@@ -236,6 +237,57 @@ def test_tiff_round_trip(compression):
                         assert b"".join(p["pixels"] for p in got) == data and len(got) == -(-n // (64 * tiff.PAGE_ROWS))
 
 
+def hand_made(order, pages):
+    """A TIFF file put together field by field: for each page its fields and its packed blocks."""
+    out = bytearray({"<": b"II", ">": b"MM"}[order] + struct.pack(order + "HI", 42, 0))
+    link = 4
+    for fields, blocks in pages:
+        places = []
+        for block in blocks:
+            places.append(len(out))
+            out += block + b"\0" * (len(block) % 2)
+        tiled = 322 in fields
+        fields = dict(sorted((fields | {324 if tiled else 273: places, 325 if tiled else 279: [len(b) for b in blocks]}).items()))
+        entries = bytearray()
+        for tag, values in fields.items():
+            packed = struct.pack(f"{order}{len(values)}I", *values)
+            if len(values) > 1:
+                entries += struct.pack(order + "HHII", tag, 4, len(values), len(out))
+                out += packed
+            else:
+                entries += struct.pack(order + "HHI", tag, 4, 1) + packed
+        struct.pack_into(order + "I", out, link, len(out))
+        link = len(out) + 2 + len(entries)
+        out += struct.pack(order + "H", len(fields)) + entries + struct.pack(order + "I", 0)
+    return bytes(out)
+
+
+@pytest.mark.parametrize("order", "<>")
+def test_tiff_of_other_writers(order):
+    """Strips of three 16-bit samples with differences, tiles several across with ragged edges, the old deflate code."""
+    rng = np.random.default_rng(1)
+    deep = rng.integers(0, 1 << 16, (5, 7, 3), np.uint16)
+    differences = np.diff(deep, axis=1, prepend=np.uint16(0)).astype(order + "u2")
+    strips = [zlib.compress(differences[i : i + 2].tobytes()) for i in (0, 2, 4)]
+    wide = rng.integers(0, 256, (40, 50), np.uint8)
+    padded = np.zeros((48, 64), np.uint8)
+    padded[:40, :50] = wide
+    tiles = [padded[y : y + 16, x : x + 16].tobytes() for y in (0, 16, 32) for x in (0, 16, 32, 48)]
+    runs = np.repeat(np.arange(4, dtype=np.uint8), 30).reshape(4, 30)
+    data = hand_made(order, [
+        ({256: [7], 257: [5], 258: [16, 16, 16], 259: [32946], 277: [3], 278: [2], 317: [2]}, strips),
+        ({256: [50], 257: [40], 258: [8], 322: [16], 323: [16]}, tiles),
+        ({256: [30], 257: [4], 258: [8], 259: [32773]}, [b"".join(bytes((257 - 30, v)) for v in range(4))]),
+    ])
+    got = list(tiff.read(data))
+    assert [(p["width"], p["height"], p["samples"], p["depth"], p["tiled"]) for p in got] == [(7, 5, 3, 16, False), (50, 40, 1, 8, True), (30, 4, 1, 8, False)]
+    assert (np.frombuffer(got[0]["pixels"], order + "u2").reshape(5, 7, 3) == deep).all()
+    assert got[1]["pixels"] == wide.tobytes() and got[2]["pixels"] == runs.tobytes()
+    for claim in ({256: [1 << 30], 257: [1 << 30]}, {256: [30], 257: [4], 278: [1]}):
+        with pytest.raises(ValueError):
+            list(tiff.read(hand_made(order, [(claim, [b"abc"])])))
+
+
 def test_tiff_digests_and_damage(spark, docs, none):
     for r in tiff.digests(docs).collect():
         payload = tiff.payload_of(TEXTS[r.doc_id] if r.doc_id is not None else BASE)

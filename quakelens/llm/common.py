@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quakelens.sources.staging import importable, shared_dir, staged
+from quakelens.sources.staging import importable, shared_dir, staged, staged_at
 
-__all__ = ["BATCH_ROWS", "shared_dir", "small_batches", "staged", "table"]
+__all__ = ["BATCH_ROWS", "shared_dir", "small_batches", "staged", "staged_at", "table"]
 
 #: Rows in one Arrow batch; documents can be very long, so a batch is kept small.
 BATCH_ROWS = 500

@@ -23,22 +23,17 @@ Other columns are ignored.
 
 from __future__ import annotations
 
-import json
 import zlib
-from collections.abc import Callable, Iterator
-from functools import lru_cache, reduce
+from collections.abc import Iterator
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quakelens.llm.bpe import byte_letters
-from quakelens.llm.common import small_batches, staged, table
-from quakelens.llm.pretokens import SPECIAL, SPECIAL_ID
+from quakelens.llm.common import small_batches, staged, staged_at, table
+from quakelens.llm.ids import VOCABULARY, encoder
 
-VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 CAPACITY = 2048
 #: Bands end where one piece more fits into a sequence; short pieces need fewer bands. The last takes what is left.
 DIVISORS = (2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 21, 32, 64)
@@ -48,23 +43,6 @@ _END = np.zeros(1, np.uint32)
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Callable[[str], np.ndarray]:
-    """Ids of a text under a byte-level vocabulary file; its ids must follow the order of its merges, as ranks."""
-    import tiktoken
-
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
-    back = {c: b for b, c in enumerate(byte_letters())}
-    ids = model["vocab"]
-    merged = [ids["".join(pair.split(" ") if isinstance(pair, str) else pair)] for pair in model["merges"]]
-    if merged != sorted(merged) or any(ids[c] > merged[0] for c in back):
-        raise ValueError(f"the ids in {path} are no merge ranks")
-    ranks = {bytes(back[c] for c in word): i for word, i in ids.items() if word != SPECIAL}
-    own = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
-    return lambda text: own.encode_to_numpy(text, allowed_special="all")
-
-
 def _cut(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
@@ -144,14 +122,20 @@ def _opened(swept: DataFrame, first: int, widest: int, capacity: int) -> DataFra
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The rows of cut (length from 1 to capacity, ...) with sequence_id and offset."""
+    """The rows of cut (length from 1 to capacity, ...) with sequence_id and offset.
+
+    Each round writes its placements and the gaps that it leaves; the next one starts from these files, and the result
+    reads all placements in one scan, so no plan holds more than one round.
+    """
     names = cut.columns
+    spark = cut.sparkSession
     rows = staged(cut.select("*", F.monotonically_increasing_id().alias("__id"), F.col("length").cast("long").alias("__length")), "pieces")
     items = rows.select(F.col("__id").alias("id"), F.col("__length").alias("length"))
     lengths = {r.length: r["count"] for r in items.groupBy("length").count().collect()}  # at most `capacity` rows
-    large = items.filter(2 * F.col("length") > capacity)
-    placed = [large.select("id", "length", F.col("id").alias("sequence_id"), F.lit(0).alias("round"))]
-    gaps = large.select(F.col("id").alias("sequence_id"), (capacity - F.col("length")).alias("room")).filter("room > 0")
+    large = items.filter(2 * F.col("length") > capacity).select("id", "length", F.col("id").alias("sequence_id"), F.lit(0).alias("round"))
+    written = [staged_at(large, "packing-placed")]
+    placed = spark.read.schema(large.schema)
+    gaps = placed.parquet(written[0]).select("sequence_id", (capacity - F.col("length")).alias("room")).filter("room > 0")
     ends = [capacity // d for d in DIVISORS if capacity >= d] + [0]
     for turn, (most, least) in enumerate(zip(ends, ends[1:], strict=False), 1):
         wanted = sum(n for x, n in lengths.items() if least < x <= most)
@@ -163,12 +147,11 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         band = items.filter((F.col("length") > least) & (F.col("length") <= most))
         swept = staged(_swept(band, gaps, slots, wanted + sum(n for r, n in rooms.items() if r > least)), "packing-swept")
         first = -(turn << 44) - 1
-        filled = _opened(swept, first, widest, capacity)
-        placed.append(filled.withColumn("round", F.lit(turn)))
-        changes = gaps.union(filled.select("sequence_id", -F.col("length")))
+        written.append(staged_at(_opened(swept, first, widest, capacity).select("id", "length", "sequence_id", F.lit(turn).alias("round")), "packing-placed"))
+        changes = gaps.union(placed.parquet(written[-1]).select("sequence_id", -F.col("length")))
         room = F.sum("room") + F.when(F.col("sequence_id") <= first, capacity).otherwise(0)
         gaps = staged(changes.groupBy("sequence_id").agg(room.alias("room")).filter("room > 0"), "packing-gaps")
-    places = reduce(DataFrame.unionByName, placed).select(F.col("id").alias("__id"), "sequence_id", F.col("round").alias("__round"))
+    places = placed.parquet(*written).select(F.col("id").alias("__id"), "sequence_id", F.col("round").alias("__round"))
     before = Window.partitionBy("sequence_id").orderBy("__round", "__id").rowsBetween(Window.unboundedPreceding, -1)
     return rows.join(places, "__id").select(*names, "sequence_id", F.coalesce(F.sum("__length").over(before), F.lit(0)).alias("offset"))
 

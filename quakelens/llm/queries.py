@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quakelens.llm import bpe, exact, html, minhash, packing, quality, secrets, tiff, tokcount, urls
+from quakelens.llm import binary_packing, bpe, exact, hard_negatives, html, minhash, packing, quality, secrets, spelling, tiff, tokcount, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": minhash.op1,
@@ -19,6 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": urls.op8,
     "op9_token_counts": tokcount.op9,
     "op10_html": html.op10,
+    "op11_binary_packing": binary_packing.op11,
+    "op12_spelling": spelling.op12,
+    "op13_hard_negatives": hard_negatives.op13,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact.ORACLE, "op8_url_filter": urls.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_dedup": exact.ORACLE,
+    "op8_url_filter": urls.ORACLE,
+    "op12_spelling": spelling.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
+}

@@ -11,6 +11,7 @@ from quakelens.sources import readers
 from quakelens.sources.projections import Query, oracle
 from quakelens.sources.staging import shared_path
 from quakelens.streaming import alerts, rollups, watch
+from quakelens.streaming.totals import Totals
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -62,6 +63,26 @@ def watermark(column: str, table: str, seconds: int) -> str:
     return f"(SELECT epoch_us(max({column})) // 1000 * 1000 - {seconds}000000 FROM {table})"
 
 
+# Every second line's order is missing among the calls, so that lone spans are on both sides.
+_CALLS, _SERVED = "(span_id <> 'o' OR trace_id % 2 = 0)", "parent_span_id IS NOT NULL"
+
+
+def _unmatched(s: SparkSession, d: str) -> DataFrame:
+    """Calling and called spans as two streams: pairs, and lone spans once the watermark has passed their time to live."""
+    calls, served = (_source(P.fx_spans(s, d).filter(part), "spans") for part in (_CALLS, _SERVED))
+    return _to_end(rollups.paired_or_unknown(calls, served, "40 days"), "pairs").select("trace_id", "client", "server", "start_time", "duration_ms", "status_code")
+
+
+add("r05_unmatched", _unmatched,
+    oracle(f"""SELECT a.trace_id, a.service_name AS client, b.service_name AS server, b.start_time, b.duration_ms, b.status_code FROM a JOIN b ON a.trace_id = b.trace_id AND a.span_id = b.parent_span_id
+ WHERE b.start_time BETWEEN a.start_time - INTERVAL 40 DAYS AND a.start_time + INTERVAL 40 DAYS
+ UNION ALL SELECT a.trace_id, a.service_name, 'unknown', a.start_time, NULL, NULL FROM a, w WHERE epoch_us(a.start_time) + 40 * 86400000000 < w
+  AND NOT EXISTS (SELECT 1 FROM b WHERE a.trace_id = b.trace_id AND a.span_id = b.parent_span_id AND b.start_time BETWEEN a.start_time - INTERVAL 40 DAYS AND a.start_time + INTERVAL 40 DAYS)
+ UNION ALL SELECT b.trace_id, 'unknown', b.service_name, b.start_time, b.duration_ms, b.status_code FROM b, w WHERE epoch_us(b.start_time) + 40 * 86400000000 < w
+  AND NOT EXISTS (SELECT 1 FROM a WHERE a.trace_id = b.trace_id AND a.span_id = b.parent_span_id AND b.start_time BETWEEN a.start_time - INTERVAL 40 DAYS AND a.start_time + INTERVAL 40 DAYS)""",
+    "fx_spans", a=f"SELECT * FROM fx_spans WHERE {_CALLS}", b=f"SELECT * FROM fx_spans WHERE {_SERVED}", w=f"SELECT least({watermark('start_time', 'a', 30)}, {watermark('start_time', 'b', 30)}) AS w"))
+
+
 CHANGES = """SELECT service_name, f, (SELECT min(b.t) FROM runs b WHERE b.service_name = h.service_name AND b.run = h.run + 1) AS r FROM (
  SELECT service_name, run, min(t) AS f FROM (SELECT *, min(t) OVER (PARTITION BY service_name, run) AS since FROM runs WHERE firing) WHERE epoch_us(t) - epoch_us(since) >= 7200000000 GROUP BY ALL) h"""
 RUNS = 'SELECT service_name, x."at" AS t, firing, sum((NOT firing)::INT) OVER (PARTITION BY service_name ORDER BY x."at" ROWS UNBOUNDED PRECEDING) AS run FROM x'
@@ -121,12 +142,13 @@ def _late(s: SparkSession, d: str) -> DataFrame:
     events = P.table(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("at"))
     path = shared_path(s, "events")
     late = 0
-    for part in ("at >= timestamp'2024-01-20'", "at < timestamp'2024-01-20'"):
-        events.filter(part).write.mode("append").parquet(path)
-        stream = s.readStream.schema(events.schema).parquet(path).withWatermark("at", "10 days").dropDuplicatesWithinWatermark(["event_id"])
-        query = stream.writeStream.format("parquet").option("path", f"{path}-out").option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
-        query.awaitTermination()
-        late += rollups.late_rows(query)
+    with Totals(s) as totals:
+        for part in ("at >= timestamp'2024-01-20'", "at < timestamp'2024-01-20'"):
+            events.filter(part).write.mode("append").parquet(path)
+            stream = s.readStream.schema(events.schema).parquet(path).withWatermark("at", "10 days").dropDuplicatesWithinWatermark(["event_id"])
+            query = stream.writeStream.format("parquet").option("path", f"{path}-out").option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
+            query.awaitTermination()
+            late += totals.late_rows(query)
     return s.read.schema(events.schema).parquet(f"{path}-out").agg(F.count("*").alias("kept")).withColumn("late", F.lit(late).cast("long"))
 
 

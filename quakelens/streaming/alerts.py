@@ -13,50 +13,53 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from quakelens.sources.staging import importable
 from quakelens.sources.writers import MICROSECONDS
 from quakelens.streaming import ordered
+from quakelens.streaming.keyed import InOrder, prepared, processed
 
 HOLD_SECONDS, GROUP_GAP, REPEAT = 120, "30 seconds", "1 hour"
+FORGET_SECONDS = 7 * 86_400
 WAIT_SECONDS, INTERVAL_SECONDS, REPEAT_SECONDS = 10, 30, 3600  # fixed values
 SECOND = 1_000_000
 _CHANGED = "rule string, service_name string, us long, status string"
 _SENT = "rule string, service_name string, us long, status string"
 
 
-def _hold(seconds: int):
-    def run(key: tuple[str, str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        *waiting, since, fired = state.get if state.exists else ([], [], None, False)
-        rows = ordered.waiting_and_new(waiting, frames, ["us", "firing"], state)
-        ready, later = ordered.split(rows, state.getCurrentWatermarkMs())
+class _Hold(InOrder):
+    columns, waiting_schema = ["us", "firing"], "us bigint, firing boolean"
+    state_schema = "since bigint, fired boolean, last bigint"
+    given = ["rule", "service_name", "us", "status"]
+
+    def __init__(self, seconds: int, forget: int):
+        self.seconds, self.forget = seconds * SECOND, forget * SECOND
+
+    def advance(self, key, state, ready, waiting, watermark):
+        since, fired, last = state or (None, False, None)
         out = []
         for at, firing in ready:
+            last = at
             if not firing:
                 if fired:
                     out.append((*key, at, "resolved"))
                 since, fired = None, False
                 continue
             since = at if since is None else since
-            if not fired and at - since >= seconds * SECOND:
+            if not fired and at - since >= self.seconds:
                 fired = True
                 out.append((*key, at, "firing"))
-        if later or since is not None:
-            state.update((*ordered.by_column(later, 2), since, fired))
-            if later:
-                ordered.call_again(state, later[0][0])
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["rule", "service_name", "us", "status"])
-
-    return run
+        # A condition that is false needs no state, nor does one of which nothing has come for long.
+        if since is None or not waiting and watermark > last + self.forget:
+            return out, None, None
+        return out, (since, fired, last), last + self.forget + 1000
 
 
-def changes_stream(samples: DataFrame, seconds: int = HOLD_SECONDS, lateness: str = "30 seconds") -> DataFrame:
+def changes_stream(samples: DataFrame, seconds: int = HOLD_SECONDS, lateness: str = "30 seconds", forget: int = FORGET_SECONDS) -> DataFrame:
     """A row when a condition (rule, service_name, at, firing) has been true for some time without a break, and one when it ends.
 
     Samples are taken in the order of their times once the watermark has passed them, so late ones count where they belong.
+    A condition of which no sample has come for `forget` seconds of event time is forgotten without a row.
     """
-    importable(samples.sparkSession)
+    prepared(samples.sparkSession)
     rows = samples.withWatermark("at", lateness).withColumns({"us": F.unix_micros("at"), "firing": F.coalesce("firing", F.lit(False))})
-    state = "waiting array<bigint>, flags array<boolean>, since bigint, fired boolean"
-    found = rows.groupBy("rule", "service_name").applyInPandasWithState(_hold(seconds), _CHANGED, state, "append", GroupStateTimeout.EventTimeTimeout)
+    found = processed(rows.groupBy("rule", "service_name"), _Hold(seconds, forget), _CHANGED)
     return found.select("rule", "service_name", F.timestamp_micros("us").alias("at"), "status")
 
 

@@ -2,29 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from quakelens.functions.columns import injection_categories, mask_log
 
 LATENESS, STEP, SPAN = "30 seconds", "15 seconds", "5 minutes"
+TTL, UNKNOWN = "10 seconds", "unknown"  # fixed values
 LEAST_REQUESTS, ERROR_LIMIT, LATENCY_LIMIT, EDGE_LIMIT = 0.001, 0.05, 1000.0, 0.10  # fixed values
 
 
 def _late(rows: DataFrame, column: str, lateness: str) -> DataFrame:
-    """Rows later than the watermark are dropped and counted in the query's progress; tables drop nothing."""
+    """Rows later than the watermark are dropped, and counted by totals.Totals; tables drop nothing."""
     return rows.withWatermark(column, lateness) if rows.isStreaming else rows
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that a query has dropped as later than its watermark, by its recent progress.
-
-    Spark drops before each stateful operator; an aggregation has combined its rows by then and counts what is left.
-    """
-    return sum(operator["numRowsDroppedByWatermark"] for progress in query.recentProgress for operator in progress["stateOperators"])
-
-
 def red(spans: DataFrame, step: str = STEP, lateness: str = LATENESS) -> DataFrame:
     """Calls by service and status in tumbling windows."""
     rows = _late(spans, "start_time", lateness)
@@ -46,14 +38,41 @@ def slow_services(spans: DataFrame, span: str = SPAN, step: str = STEP, lateness
     return found.select(F.col("w.start").alias("window_start"), "service_name", "p95_ms", (F.col("p95_ms") > limit).alias("firing"))
 
 
-def paired(callers: DataFrame, called: DataFrame, ttl: str = "10 seconds", lateness: str = LATENESS) -> DataFrame:
-    """Calling and called spans of one trace within a time to live; what finds no partner is dropped."""
-    a = _late(callers.select(F.col("trace_id"), F.col("span_id").alias("parent"), F.col("service_name").alias("client"), F.col("start_time").alias("called_at")), "called_at", lateness)
+def _sides(callers: DataFrame, called: DataFrame, ttl: str, lateness: str) -> tuple[DataFrame, DataFrame, Column]:
+    a = _late(callers.select("trace_id", F.col("span_id").alias("parent"), F.col("service_name").alias("client"), F.col("start_time").alias("called_at")), "called_at", lateness)
     b = _late(called.select(F.col("trace_id").alias("trace"), F.col("parent_span_id"), F.col("service_name").alias("server"), "start_time", "duration_ms", "status_code"), "start_time", lateness)
     near = F.expr(f"trace_id = trace and parent = parent_span_id and start_time >= called_at - interval {ttl} and start_time <= called_at + interval {ttl}")
+    return a, b, near
+
+
+def paired(callers: DataFrame, called: DataFrame, ttl: str = TTL, lateness: str = LATENESS) -> DataFrame:
+    """Calling and called spans of one trace within a time to live."""
+    a, b, near = _sides(callers, called, ttl, lateness)
     return a.join(b, near).select("trace_id", "client", "server", "start_time", "duration_ms", "status_code")
 
 
+def paired_or_unknown(callers: DataFrame, called: DataFrame, ttl: str = TTL, lateness: str = LATENESS) -> DataFrame:
+    """Pairs as `paired` has them, and once each calling or called span that finds no partner within the time to live.
+
+    The side that is missing is `unknown`. On a stream a span without partner is given when the watermark has passed the last
+    time at which one could come, and its state goes with it. Called spans without a parent's id are roots: nobody called
+    them, and they are left out. Batches observe `matched`, `unknown_server` and `unknown_client`, which totals.Totals sums.
+    """
+    a, b, near = _sides(callers, called.filter("parent_span_id is not null"), ttl, lateness)
+    both = a.join(b, near, "full_outer").select(
+        F.coalesce("trace_id", "trace").alias("trace_id"), F.coalesce("client", F.lit(UNKNOWN)).alias("client"), F.coalesce("server", F.lit(UNKNOWN)).alias("server"),
+        F.coalesce("start_time", "called_at").alias("start_time"), "duration_ms", "status_code", F.col("parent_span_id").isNull().alias("lone_call"), F.col("parent").isNull().alias("lone_span"),
+    )
+    counts = [F.count_if(~F.col("lone_call") & ~F.col("lone_span")).alias("matched"), F.count_if("lone_call").alias("unknown_server"), F.count_if("lone_span").alias("unknown_client")]
+    return both.observe("pairs", *counts).drop("lone_call", "lone_span")
+
+
+def unknown_calls(pairs: DataFrame) -> DataFrame:
+    """How many calls of each service found no server, and how many of its spans no client."""
+    sides = [pairs.filter(F.col(there) == UNKNOWN).select(F.col(here).alias("service_name"), F.lit(there).alias("missing")) for here, there in (("client", "server"), ("server", "client"))]
+    return sides[0].unionByName(sides[1]).groupBy("service_name", "missing").agg(F.count("*").alias("spans"))
+
+
 def signatures(logs: DataFrame, span: str = SPAN, lateness: str = LATENESS) -> DataFrame:
     """Lines and first appearance of each template in tumbling windows; lines that give orders are left out."""
     rows = _late(logs.filter(F.size(injection_categories(F.col("body"))) == 0), "timestamp", lateness)

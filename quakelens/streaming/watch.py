@@ -7,23 +7,30 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quakelens.operators.governance import RECOVERY_FACTOR, RECOVERY_FLOOR, RECOVERY_RUN, RECOVERY_SECONDS
 from quakelens.sources.staging import importable
 from quakelens.streaming import ordered
+from quakelens.streaming.keyed import InOrder, prepared, processed
 
 SECOND = 1_000_000
-_READING = ["us", "value", "baseline", "acted_us"]
+#: A service that has crossed is remembered so long after its last crossing: longer than any bundle lasts.
+FORGET_SECONDS = 7 * 86_400
 
 
-def _recovery(run_length: int, seconds: float):
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        *waiting, count, seen, done, deadline = state.get if state.exists else ([], [], [], [], 0, False, False, None)
-        rows = ordered.waiting_and_new(waiting, frames, _READING, state)
-        if deadline is None:
-            deadline = rows[0][3] + int(seconds * SECOND)
-        ready, later = ordered.split(rows, state.getCurrentWatermarkMs())
+class _Recovery(InOrder):
+    columns = ["us", "value", "baseline", "acted_us"]
+    waiting_schema = "us bigint, value double, baseline double, acted_us bigint"
+    state_schema = "count int, seen boolean, done boolean, deadline bigint"
+    given = ["watch", "status", "after_seconds"]
+
+    def __init__(self, run_length: int, seconds: float):
+        self.run_length, self.seconds = run_length, int(seconds * SECOND)
+
+    def advance(self, key, state, ready, waiting, watermark):
+        count, seen, done, deadline = state or (0, False, False, (ready + waiting)[0][3] + self.seconds)
         out = []
         for at, value, baseline, acted in ready:
             if done or value is None or baseline is None:
@@ -31,21 +38,15 @@ def _recovery(run_length: int, seconds: float):
             seen = True
             ceiling = baseline * RECOVERY_FACTOR if baseline > 0 else RECOVERY_FLOOR
             count = count + 1 if value <= ceiling else 0
-            if count >= run_length:
+            if count >= self.run_length:
                 done = True
                 out.append((key[0], "recovered", (at - acted) / SECOND))
-        if state.getCurrentWatermarkMs() * 1000 > deadline:
-            # No reading within the deadline can come any more.
+        if watermark > deadline:
+            # No reading within the deadline can come any more, and the watch is forgotten.
             if not done:
                 out.append((key[0], "not_recovered" if seen else "unknown", None))
-            if state.exists:
-                state.remove()
-        else:
-            state.update((*ordered.by_column(later, 4), count, seen, done, deadline))
-            ordered.call_again(state, min([later[0][0]] if later else [deadline + 1000]))
-        yield pd.DataFrame(out, columns=["watch", "status", "after_seconds"])
-
-    return run
+            return out, None, None
+        return out, (count, seen, done, deadline), deadline + 1000
 
 
 def recovery_watch(signal: DataFrame, run_length: int = RECOVERY_RUN, seconds: float = RECOVERY_SECONDS, lateness: str = "30 seconds") -> DataFrame:
@@ -54,40 +55,64 @@ def recovery_watch(signal: DataFrame, run_length: int = RECOVERY_RUN, seconds: f
     A watch opens with any row from the action to the deadline, such as one without a value at the action itself; rows
     outside that time only move the watermark. Readings count in the order of their times.
     """
-    importable(signal.sparkSession)
+    prepared(signal.sparkSession)
     rows = signal.withWatermark("at", lateness).withColumns({"us": F.unix_micros("at"), "acted_us": F.unix_micros("acted_at")})
     rows = rows.filter((F.col("us") >= F.col("acted_us")) & (F.col("us") <= F.col("acted_us") + int(seconds * SECOND)))
     values = {c: F.when(~F.isnan(c), F.col(c)) for c in ("value", "baseline")}
     rows = rows.withColumns(values).withColumn("watch", F.col("watch").cast("string"))
-    state = "times array<bigint>, readings array<double>, baselines array<double>, acted array<bigint>, count int, seen boolean, done boolean, deadline bigint"
-    return rows.groupBy("watch").applyInPandasWithState(
-        _recovery(run_length, seconds), "watch string, status string, after_seconds double", state, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    return processed(rows.groupBy("watch"), _Recovery(run_length, seconds), "watch string, status string, after_seconds double")
+
+
+class _First(StatefulProcessor):
+    """The earliest crossing of a service; only that, whether it has been told, and the latest crossing are kept."""
+
+    def __init__(self, forget: int):
+        self.forget = forget * SECOND
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("crossing", "onset bigint, told boolean, last bigint")
 
-def _first(key: tuple[str, str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    onset, done = state.get if state.exists else (None, False)
-    if not state.hasTimedOut and not done:
-        onset = min([*(int(f["us"].min()) for f in frames if len(f)), *([] if onset is None else [onset])])
-    out = []
-    if not done:
+    def _step(self, key: tuple, times: list[int], timers) -> pd.DataFrame:
+        onset, told, last = self.state.get() if self.state.exists() else (None, False, None)
+        last = max([*times, *([] if last is None else [last])])
+        if not told:
+            onset = min([*times, *([] if onset is None else [onset])])
+        watermark = timers.getCurrentWatermarkInMs() * 1000
+        out = []
         # Only once the watermark has passed it can no earlier crossing come.
-        if onset <= state.getCurrentWatermarkMs() * 1000:
-            done = True
+        if not told and onset <= watermark:
+            told = True
             out.append((*key, onset))
-        state.update((onset, done))
-        if not done:
-            ordered.call_again(state, onset)
-    yield pd.DataFrame(out, columns=["bundle_id", "service_name", "us"])
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if told and watermark > last + self.forget:
+            self.state.clear()
+        else:
+            self.state.update((onset, told, last))
+            self.handle.registerTimer(max(-(-(onset if not told else last + self.forget + 1000) // 1000) - 1, timers.getCurrentWatermarkInMs()))
+        return pd.DataFrame(out, columns=["bundle_id", "service_name", "us"])
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        yield self._step(key, [t for f in rows for t in (int(f["us"].min()), int(f["us"].max()))], timerValues)
 
-def first_crossings(facts: DataFrame, baseline: DataFrame, threshold: float = 3.0, lateness: str = "30 seconds") -> DataFrame:
-    """The first sample of each service over its static baseline (bundle_id, service_name, metric_name, median, scale)."""
-    importable(facts.sparkSession)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._step(key, [], timerValues)
+
+    def close(self) -> None:
+        pass
+
+
+def first_crossings(facts: DataFrame, baseline: DataFrame, threshold: float = 3.0, lateness: str = "30 seconds", forget: int = FORGET_SECONDS) -> DataFrame:
+    """The first sample of each service over its static baseline (bundle_id, service_name, metric_name, median, scale).
+
+    A service is forgotten `forget` seconds of event time after its last crossing, so at the latest that long after its
+    bundle's last sample; it is told once as long as no bundle has two crossings of a service further apart than that.
+    """
+    prepared(facts.sparkSession)
     over = facts.withWatermark("timestamp", lateness).join(baseline, ["bundle_id", "service_name", "metric_name"]).filter((F.col("value") - F.col("median")) / F.col("scale") >= threshold)
-    found = over.select("bundle_id", "service_name", "timestamp", F.unix_micros("timestamp").alias("us")).groupBy("bundle_id", "service_name").applyInPandasWithState(
-        _first, "bundle_id string, service_name string, us long", "onset bigint, done boolean", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    keyed = over.select("bundle_id", "service_name", "timestamp", F.unix_micros("timestamp").alias("us")).groupBy("bundle_id", "service_name")
+    found = processed(keyed, _First(forget), "bundle_id string, service_name string, us long")
     return found.select("bundle_id", "service_name", F.timestamp_micros("us").alias("onset_at"))
 
 

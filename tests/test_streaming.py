@@ -1,11 +1,14 @@
 """Streams against their batch twins; a row far in the future pushes the watermark past all windows."""
 
 import random
+import time
+from collections import Counter
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from quakelens.streaming import alerts, rollups, watch
+from quakelens.streaming.totals import Totals
 
 T0 = datetime(2024, 1, 1)
 
@@ -139,16 +142,113 @@ def test_earlier_crossing_that_comes_late(spark, tmp_path):
     assert [(r.service_name, r.onset_at) for r in got] == [("s", T0 + timedelta(seconds=80))]
 
 
-def test_late_rows_are_counted(spark, tmp_path):
+def test_late_rows_are_counted_over_all_batches(spark, tmp_path):
+    """More batches than Spark keeps the progress of: from the third on each brings two rows that are too late.
+
+    Spark drops by the watermark that it had a batch before.
+    """
     path = str(tmp_path / "in")
-    late = []
-    for seconds in ((0, 1000), (5, 6, 990)):
-        spark.createDataFrame([(s, T0 + timedelta(seconds=s)) for s in seconds], "id long, at timestamp").write.mode("append").parquet(path)
-        stream = spark.readStream.schema("id long, at timestamp").parquet(path).withWatermark("at", "1 minute").dropDuplicatesWithinWatermark(["id"])
-        query = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        for i in range(7):
+            seconds = (0, 1000) if i == 0 else (5 + i, 20 + i, 1000 + i)
+            spark.createDataFrame([(100 * i + s, T0 + timedelta(seconds=s)) for s in seconds], "id long, at timestamp").coalesce(1).write.mode("append").parquet(path)
+            time.sleep(0.02)  # files are read in the order of their times
+        stream = spark.readStream.schema("id long, at timestamp").option("maxFilesPerTrigger", 1).parquet(path).withWatermark("at", "1 minute").dropDuplicatesWithinWatermark(["id"])
+        with Totals(spark) as totals:
+            query = stream.observe("rows", F.count("*").alias("kept")).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+            query.awaitTermination()
+            assert totals.late_rows(query) == totals.late_so_far(query) == 10
+            assert totals.observed(query) == {"kept": 10}
+            assert totals.batches[str(query.runId)] > len(query.recentProgress) <= 2
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+
+
+SPAN = "trace_id string, span_id string, parent_span_id string, service_name string, status_code string, start_time timestamp, duration_ms double"
+
+
+def test_lone_calls_go_out_once_as_unknown(spark, tmp_path):
+    """A call is unknown only when no partner can come any more; partners may come in later batches, on either side first."""
+    span = lambda t, i, p, s, at: (t, i, p, s, "OK", T0 + timedelta(seconds=at), 1.0)
+    batches = [
+        [span("t", "a", None, "web", 0), span("t", "b", "a", "cart", 4), span("u", "a", None, "web", 2), span("v", "k", "j", "pay", 3)],
+        [span("u", "x", "a", "stock", 9), span("v", "j", None, "late", 5), span("w", "q", "p", "lost", 6), span("x", "a", None, "far", 1), span("x", "z", "a", "far", 30)],
+        [span("end", "e", "none", "end", 300)],
+        [span("end", "f", "none", "end", 600)],
+    ]
+    path, name = tmp_path / "in", "lone"
+    roots = F.col("span_id").isin("a", "j", "e", "f")
+    observed = Counter()
+    for rows in batches:
+        spark.createDataFrame(rows, SPAN).coalesce(1).write.mode("append").parquet(str(path))
+        stream = spark.readStream.schema(SPAN).parquet(str(path))
+        found = rollups.paired_or_unknown(stream.filter(roots), spark.readStream.schema(SPAN).parquet(str(path)))
+        with Totals(spark) as totals:
+            query = found.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+            query.awaitTermination()
+            observed.update(totals.observed(query))
+    got = spark.read.schema(found.schema).parquet(str(tmp_path / name))
+    rows = [(r.trace_id, r.client, r.server) for r in got.collect() if r.trace_id != "end"]
+    assert sorted(rows) == [("t", "web", "cart"), ("u", "web", "stock"), ("v", "late", "pay"), ("w", "unknown", "lost"), ("x", "far", "unknown"), ("x", "unknown", "far")]
+    whole = spark.createDataFrame([r for b in batches for r in b], SPAN)
+    flat = rollups.paired_or_unknown(whole.filter(roots), whole).filter("trace_id <> 'end'")
+    assert sorted((r.trace_id, r.client, r.server) for r in flat.collect()) == sorted(rows)
+    ends = got.filter("trace_id = 'end'").count()  # those of the last watermark are still open
+    assert observed["matched"] == 3 and observed["unknown_server"] + observed["unknown_client"] == 3 + ends
+    counts = rollups.unknown_calls(got.filter("trace_id <> 'end'")).collect()
+    assert {(r.service_name, r.missing, r.spans) for r in counts} == {("lost", "client", 1), ("far", "server", 1), ("far", "client", 1)}
+
+
+def state_rows(query):
+    return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]][-1]
+
+
+def in_steps(spark, batches, schema, tmp_path, name, transform):
+    """The state's rows after each batch, and all rows given."""
+    path, sizes = str(tmp_path / f"in-{name}"), []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = transform(spark.readStream.schema(schema).parquet(path))
+        query = stream.writeStream.format("parquet").option("path", f"{path}-out").option("checkpointLocation", f"{path}-c").trigger(availableNow=True).start()
         query.awaitTermination()
-        late.append(rollups.late_rows(query))
-    assert late == [0, 2]
+        sizes.append(state_rows(query))
+    return sizes, spark.read.schema(stream.schema).parquet(f"{path}-out").collect()
+
+
+def test_crossings_are_forgotten(spark, tmp_path):
+    """A service's flag goes an hour after its last crossing; until then further crossings are not told again."""
+    row = lambda b, s, i, v=9.0: (b, s, "m", T0 + timedelta(seconds=i), v)
+    base = spark.createDataFrame([(b, f"s{i}", "m", 1.0, 1.0) for b in ("b", "clock") for i in range(40)], "bundle_id string, service_name string, metric_name string, median double, scale double")
+    schema = "bundle_id string, service_name string, metric_name string, timestamp timestamp, value double"
+    clock = lambda i: row("clock", "s0", i, 0.0)
+    batches = [
+        [row("b", f"s{i}", 10 + i) for i in range(40)] + [clock(200)],
+        [row("b", "s7", 900), clock(1200)],
+        [clock(3600 + 300)],  # an hour after all first crossings, but not after s7's last one
+        [clock(3600 + 1200)],
+    ]
+    sizes, got = in_steps(spark, batches, schema, tmp_path, "forget", lambda s: watch.first_crossings(s, base, lateness="30 seconds", forget=3600))
+    assert sorted((r.service_name, r.onset_at) for r in got) == sorted((f"s{i}", T0 + timedelta(seconds=10 + i)) for i in range(40))
+    assert sizes[0] == sizes[1] >= 40 and 0 < sizes[2] <= sizes[1] // 40 and sizes[3] == 0
+
+
+def test_watches_and_holds_are_forgotten(spark, tmp_path):
+    reading = lambda w, i, v: (w, T0 + timedelta(seconds=i), v, 1.0, T0)
+    batches = [[reading(f"w{i}", 15 * k, 1.0) for i in range(20) for k in range(4)] + [reading("clock", 100, 9.0)], [reading("clock", 1000, 9.0)], [reading("clock", 2000, 9.0)]]
+    schema = "watch string, at timestamp, value double, baseline double, acted_at timestamp"
+    sizes, got = in_steps(spark, batches, schema, tmp_path, "watches", watch.recovery_watch)
+    assert sizes[0] >= 20 and sizes[-1] == 0 and {(r.watch, r.status) for r in got} == {*((f"w{i}", "recovered") for i in range(20)), ("clock", "not_recovered")}
+    sample = lambda s, i, f: ("r", s, T0 + timedelta(seconds=i), f)
+    batches = [
+        [sample(f"s{i}", 30 * k, True) for i in range(20) for k in range(6)] + [sample("clock", 300, False)],
+        [sample("s0", 400, True), sample("clock", 600, False)],
+        [sample("clock", 900, False)],  # ten minutes after the last sample of all but s0
+        [sample("s0", 901, False), sample("clock", 1000, False)],
+    ]
+    sizes, got = in_steps(spark, batches, "rule string, service_name string, at timestamp, firing boolean", tmp_path, "holds", lambda s: alerts.changes_stream(s, 120, "30 seconds", forget=600))
+    assert sizes[0] >= 20 and 0 < sizes[2] < sizes[0] // 5
+    assert sorted((r.service_name, r.status) for r in got if r.service_name != "clock") == sorted([*((f"s{i}", "firing") for i in range(20)), ("s0", "resolved")])
 
 
 def test_onset_and_silence(spark, tmp_path):

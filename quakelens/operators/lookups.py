@@ -98,18 +98,44 @@ def requests_with_failures(requests: DataFrame, failures: DataFrame) -> DataFram
     return joined.withColumn("failures_per_second", F.coalesce("failures_per_second", F.lit(0.0)))
 
 
-def first_alert_after(points: DataFrame, alerts: DataFrame, timeout_seconds: int) -> DataFrame:
-    """The first alert of the same key at or after each point (key, point_id, at), within a timeout."""
-    near = points.join(alerts.select("key", F.col("at").alias("alert_at"), "alert"), "key").filter(
-        (F.col("alert_at") >= F.col("at")) & (F.unix_micros("alert_at") <= F.unix_micros("at") + timeout_seconds * 1_000_000)
-    )
-    first = near.groupBy("key", "point_id").agg(F.min(F.struct("alert_at", "alert")).alias("first"))
-    return points.join(first, ["key", "point_id"], "left").select("key", "point_id", "at", F.col("first.alert_at").alias("alert_at"), F.col("first.alert").alias("alert"))
+def _slice(at: Column, width_us: int) -> Column:
+    return F.floor(F.unix_micros(at) / width_us)
+
+
+def first_alert_after(points: DataFrame, alerts: DataFrame, timeout_seconds: int, slices: int = 8) -> DataFrame:
+    """The first alert of the same key at or after each point (key, point_id, at), within a timeout.
+
+    Both sides are sorted together by time and the next alert is carried back to the points, so no point meets more than
+    one alert. A key is cut into slices of time, as many to the timeout as `slices` says; a slice also gets the first alert
+    of each slice that a point's timeout can reach. Of alerts at one time the smallest counts; rows without a key or a time
+    find nothing.
+    """
+    width = max(1, -(-timeout_seconds * 1_000_000 // slices))
+    told = alerts.filter("key is not null and at is not null").select("key", F.col("at").alias("time"), "alert").withColumn("slice", _slice(F.col("time"), width))
+    firsts = told.groupBy("key", "slice").agg(F.min(F.struct("time", "alert")).alias("found"))
+    reach = F.explode(F.sequence(F.lit(1), F.lit(slices)))
+    carried = firsts.select("key", "found", "slice", reach.alias("back")).select("key", (F.col("slice") - F.col("back")).alias("slice"), "found")
+    ours = points.select("key", "point_id", "at", _slice(F.col("at"), width).alias("slice"))
+    both = ours.unionByName(told.select("key", "slice", F.struct("time", "alert").alias("found")).unionByName(carried), allowMissingColumns=True)
+    both = both.withColumns({"is_alert": F.col("found").isNotNull(), "time": F.coalesce("found.time", "at")})
+    # From the latest to the earliest, of one time the alerts first and of these the smallest last.
+    back = Window.partitionBy("key", "slice").orderBy(F.desc("time"), F.desc("is_alert"), F.desc("found.alert")).rowsBetween(Window.unboundedPreceding, 0)
+    next_ = both.withColumn("next", F.last("found", ignorenulls=True).over(back)).filter("not is_alert")
+    soon = F.unix_micros("next.time") <= F.unix_micros("at") + timeout_seconds * 1_000_000
+    return next_.select("key", "point_id", "at", F.when(soon, F.col("next.time")).alias("alert_at"), F.when(soon, F.col("next.alert")).alias("alert"))
 
 
 def changes_near(onset_times: DataFrame, changes: DataFrame, before_seconds: int) -> DataFrame:
-    """Changes of a service within some time before its onset (service, onset_at); nearness, not cause."""
-    near = onset_times.join(changes, "service").filter((F.col("at") <= F.col("onset_at")) & (F.unix_micros("at") >= F.unix_micros("onset_at") - before_seconds * 1_000_000))
+    """Changes of a service within some time before its onset (service, onset_at); nearness, not cause.
+
+    Slices of time as long as the nearness meet: an onset's own slice and the one before. Rows made are those of the result
+    and at most those of as much time again around it, whatever a service's history holds.
+    """
+    width = max(1, before_seconds * 1_000_000)
+    own = _slice(F.col("onset_at"), width)
+    sliced = onset_times.withColumn("__slice", F.explode(F.array(own, own - 1)))
+    near = sliced.join(changes.withColumn("__slice", _slice(F.col("at"), width)), ["service", "__slice"]).drop("__slice")
+    near = near.filter((F.col("at") <= F.col("onset_at")) & (F.unix_micros("at") >= F.unix_micros("onset_at") - before_seconds * 1_000_000))
     return near.withColumn("seconds_before", C.seconds_between(F.col("at"), F.col("onset_at")))
 
 

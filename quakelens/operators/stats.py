@@ -2,38 +2,106 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakelens.functions import columns as C
+from quakelens.sources.staging import importable
 
-#: Odd multipliers of the draws, and 31 bits, so that products stay within 64.
-DRAW, BITS = (2_654_435_761, 2_246_822_519, 739_982_445, 695_872_825), (1 << 31) - 1
+#: Odd multipliers of the mixed bits, and 31 of these, so that products stay within 64.
+MIX, BITS = (2_654_435_761, 2_246_822_519, 739_982_445, 695_872_825), (1 << 31) - 1
 RESAMPLES, SEED, CONFIDENCE, BINS = 10_000, 20_260, 0.95, 10
 KAPPA_ROWS, KAPPA_LEAST = 60, 0.4  # fixed values
-
-
-def draw(seed: int, resample: Column, place: Column, n: Column) -> Column:
-    """An index below n that depends on the seed, the resample and the place alone: 31 mixed bits of them."""
-    h = (resample * DRAW[0] + place * DRAW[1] + seed).bitwiseAND(BITS)
-    for factor, shift in zip(DRAW[2:], (15, 12), strict=True):
-        h = (h.bitwiseXOR(F.shiftright(h, shift)) * factor).bitwiseAND(BITS)
-    return h.bitwiseXOR(F.shiftright(h, 15)) % n
+#: Weights are drawn from so many of the mixed bits: a weight of k or more from the k-th of these steps on.
+WEIGHT_BITS = 20
+STEPS = [round((1 << WEIGHT_BITS) * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(9)]
+#: Tasks to one partition at least, and those that are weighed together.
+_PART_TASKS, _STRIP = 2_000, 32
+
+
+def task_bits(task: Column) -> Column:
+    """31 bits of a task's name."""
+    return F.conv(F.substring(F.md5(F.coalesce(task.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long").bitwiseAND(BITS)
+
+
+def weights(bits: np.ndarray, resamples: int, seed: int) -> np.ndarray:
+    """How often each resample takes each task: Poisson numbers of mean 1 (a row for each task), from name, resample and seed alone."""
+    h = (np.arange(resamples, dtype=np.int64) * MIX[0])[None, :] + (bits * MIX[1] + seed)[:, None]
+    h &= BITS
+    for factor, shift in zip(MIX[2:], (15, 12), strict=True):
+        h ^= h >> shift
+        h *= factor
+        h &= BITS
+    h ^= h >> 15
+    return _table()[h >> (31 - WEIGHT_BITS)]
+
+
+@lru_cache(maxsize=1)
+def _table() -> np.ndarray:
+    return np.searchsorted(STEPS, np.arange(1 << WEIGHT_BITS), side="right").astype(np.float32)
+
+
+def _weighed(keys: int, resamples: int, seed: int):
+    """A partition's rows (keys, bits, value), sorted by the keys, to a row for each group and resample: weight and weighted sum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple | None = None
+        kinds: list = []
+        total, summed = np.zeros(resamples), np.zeros(resamples)
+
+        def group() -> pa.RecordBatch:
+            of = [pa.repeat(pa.scalar(k, t), resamples) for k, t in zip(at, kinds, strict=True)]
+            batch = pa.RecordBatch.from_arrays([*of, pa.array(np.arange(resamples)), pa.array(total.copy()), pa.array(summed.copy())], names=[*(f"k{i}" for i in range(keys)), "r", "w", "s"])
+            total[:], summed[:] = 0, 0
+            return batch
+
+        for batch in batches:
+            kinds = [c.type for c in batch.columns[:keys]]
+            rows = list(zip(*(c.to_pylist() for c in batch.columns[:keys]), strict=True)) if keys else [()] * batch.num_rows
+            bits, values = (batch.column(keys + i).to_numpy(zero_copy_only=False) for i in range(2))
+            ends = [i for i in range(1, len(rows)) if rows[i] != rows[i - 1]] + [len(rows)]
+            start = 0
+            for end in ends if rows else []:
+                if at is not None and rows[start] != at:
+                    yield group()
+                at = rows[start]
+                for i in range(start, end, _STRIP):
+                    some = slice(i, min(end, i + _STRIP))
+                    w = weights(bits[some], resamples, seed)
+                    total += w.sum(axis=0)
+                    summed += values[some] @ w.astype(np.float64)
+                start = end
+        if at is not None:
+            yield group()
+
+    return run
 
 
 def bootstrap(tasks: DataFrame, by: list[str], resamples: int = RESAMPLES, seed: int = SEED, confidence: float = CONFIDENCE) -> DataFrame:
     """Percentile interval of the mean over tasks (by, task, value), resampling tasks.
 
-    Rows multiply by the resamples and are drawn and averaged in place by an equi-join on the drawn index.
+    A resample takes each task a Poisson number of times (mean 1), which needs nothing but the task: partitions sum weights
+    and weighted values of all resamples in arrays, and only a row for each group, resample and partition is shuffled. A
+    resample's mean is over what it took; one that took nothing has none. Rows of one task are taken together, null values
+    never. The numbers depend on task, resample and seed alone, so results don't depend on partitions.
     """
-    of = Window.partitionBy(*by)
-    placed = tasks.withColumns({"i": F.row_number().over(of.orderBy("task")) - 1, "n": F.count("*").over(of)})
     spark = tasks.sparkSession
-    runs = spark.range(resamples).withColumnRenamed("id", "r")
-    drawn = placed.select(*by, "i", "n").crossJoin(runs).select(*by, "r", draw(seed, F.col("r"), F.col("i"), F.col("n")).alias("i"))  # one row for each draw: the resampling itself
-    means = drawn.join(placed.select(*by, "i", "value"), [*by, "i"]).groupBy(*by, "r").agg(F.avg("value").alias("mean"))
+    importable(spark)
+    named = tasks.filter("value is not null").select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(by)), task_bits(F.col("task")).alias("bits"), F.col("value").cast("double").alias("value"))
+    parts = max(1, min(spark.sparkContext.defaultParallelism, tasks.count() // _PART_TASKS))
+    keys = [f"k{i}" for i in range(len(by))]
+    kinds = ", ".join(f"{k} {dict(named.dtypes)[k]}" for k in keys)
+    dealt = named.repartition(parts, "bits").sortWithinPartitions(*keys, "bits")
+    sums = dealt.mapInArrow(_weighed(len(by), resamples, seed), f"{kinds}{', ' if keys else ''}r long, w double, s double")
+    means = sums.groupBy(*keys, "r").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("mean"))
     tail = (1 - confidence) / 2
-    bounds = means.groupBy(*by).agg(F.round(F.percentile("mean", F.lit(tail)), 6).alias("lower"), F.round(F.percentile("mean", F.lit(1 - tail)), 6).alias("upper"))
+    bounds = means.groupBy(*(F.col(k).alias(c) for k, c in zip(keys, by, strict=True))).agg(F.round(F.percentile("mean", F.lit(tail)), 6).alias("lower"), F.round(F.percentile("mean", F.lit(1 - tail)), 6).alias("upper"))
     return tasks.groupBy(*by).agg(F.round(F.avg("value"), 6).alias("estimate"), F.count("*").alias("tasks")).join(bounds, by)
 
 

@@ -98,19 +98,19 @@ add("a24_call_costs", lambda s, d: grading.call_costs(P.table(s, d, "lineitem").
 
 # Statistics
 N_BOOT, SEED = stats.RESAMPLES, stats.SEED
-_H = f"((r * {stats.DRAW[0]} + i * {stats.DRAW[1]} + {SEED}) & {stats.BITS})"
-_DRAWN = f"SELECT *, h % n AS j FROM (SELECT * EXCLUDE h, xor(h, h >> 15) AS h FROM (SELECT * EXCLUDE h, (xor(h, h >> 12) * {stats.DRAW[3]}) & {stats.BITS} AS h FROM (SELECT * EXCLUDE h, (xor(h, h >> 15) * {stats.DRAW[2]}) & {stats.BITS} AS h FROM (SELECT *, {_H} AS h FROM @placed@, range({N_BOOT}) t(r)))))"
+_NAMED = f"SELECT *, ('0x' || md5(task::VARCHAR)[1:8])::BIGINT & {stats.BITS} AS bits FROM @source@ WHERE value IS NOT NULL"
+_MIXED = f"SELECT * EXCLUDE h, xor(h, h >> 15) >> {31 - stats.WEIGHT_BITS} AS h FROM (SELECT * EXCLUDE h, (xor(h, h >> 12) * {stats.MIX[3]}) & {stats.BITS} AS h FROM (SELECT * EXCLUDE h, (xor(h, h >> 15) * {stats.MIX[2]}) & {stats.BITS} AS h FROM (SELECT *, (r * {stats.MIX[0]} + bits * {stats.MIX[1]} + {SEED}) & {stats.BITS} AS h FROM ({_NAMED}), range({N_BOOT}) t(r))))"
+_WEIGHT = " + ".join(f"(h >= {step})::INT" for step in stats.STEPS)
 TASKS = "SELECT source, doc_id AS task, outcome::INT::DOUBLE AS value FROM fx_forecast"
 
 
-def _boot(source: str, by: str, out: str, placed: str = "placed") -> str:
-    return f"""SELECT {by} AS {out}, estimate, tasks, lower, upper FROM (SELECT {by}, round(avg(value), 6) AS estimate, count(*) AS tasks FROM {source} GROUP BY 1) JOIN (
- SELECT {by}, round(quantile_cont(m, 0.025), 6) AS lower, round(quantile_cont(m, 0.975), 6) AS upper FROM (SELECT d.{by}, r, avg(value) AS m FROM (
-  SELECT {by}, r, j AS i FROM ({_DRAWN.replace('@placed@', placed)})) d JOIN {placed} p ON p.{by} = d.{by} AND p.i = d.i GROUP BY ALL) GROUP BY 1) USING ({by})"""
+def _boot(source: str, by: str) -> str:
+    return f"""SELECT {by}, estimate, tasks, lower, upper FROM (SELECT {by}, round(avg(value), 6) AS estimate, count(*) AS tasks FROM {source} GROUP BY 1) JOIN (
+ SELECT {by}, round(quantile_cont(m, 0.025), 6) AS lower, round(quantile_cont(m, 0.975), 6) AS upper FROM (
+  SELECT {by}, r, sum(w * value) / sum(w) AS m FROM (SELECT {by}, r, value, {_WEIGHT} AS w FROM ({_MIXED.replace('@source@', source)})) GROUP BY ALL HAVING sum(w) > 0) GROUP BY 1) USING ({by})"""
 
 
-PLACED = "SELECT *, row_number() OVER (PARTITION BY source ORDER BY task) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM tasks"
-add("e09_bootstrap", lambda s, d: stats.bootstrap(P.fx_forecast(s, d).select("source", F.col("doc_id").alias("task"), F.col("outcome").cast("double").alias("value")), ["source"], N_BOOT), oracle(_boot("tasks", "source", "source"), "fx_forecast", tasks=TASKS, placed=PLACED))
+add("e09_bootstrap", lambda s, d: stats.bootstrap(P.fx_forecast(s, d).select("source", F.col("doc_id").alias("task"), F.col("outcome").cast("double").alias("value")), ["source"], N_BOOT), oracle(_boot("tasks", "source"), "fx_forecast", tasks=TASKS))
 
 
 def _side(s, d, conf):
@@ -118,11 +118,10 @@ def _side(s, d, conf):
 
 
 PAIRED = "SELECT 'g' AS grader, task, a.outcome::INT::DOUBLE - b.outcome::INT AS value FROM fx_forecast a JOIN fx_forecast b USING (task) WHERE a.configuration = 'a' AND b.configuration = 'b'"
-PPLACED = PLACED.replace("source", "grader")
 add("j06_paired", lambda s, d: stats.paired_differences(_side(s, d, "a"), _side(s, d, "b"), ["grader", "task"]), oracle("SELECT * FROM tasks", "fx_forecast", tasks=PAIRED))
-add("e10_paired_bootstrap", lambda s, d: stats.paired_bootstrap(_side(s, d, "a"), _side(s, d, "b"), ["grader"], N_BOOT), oracle(f"SELECT *, lower > 0 OR upper < 0 AS excludes_zero FROM ({_boot('tasks', 'grader', 'grader')})", "fx_forecast", tasks=PAIRED, placed=PPLACED))
+add("e10_paired_bootstrap", lambda s, d: stats.paired_bootstrap(_side(s, d, "a"), _side(s, d, "b"), ["grader"], N_BOOT), oracle(f"SELECT *, lower > 0 OR upper < 0 AS excludes_zero FROM ({_boot('tasks', 'grader')})", "fx_forecast", tasks=PAIRED))
 add("e17_compare", lambda s, d: gate.compare(_side(s, d, "a"), _side(s, d, "b"), N_BOOT),
-    oracle(f"SELECT *, lower > 0 OR upper < 0 AS excludes_zero, (SELECT count(*) FILTER (n = 1) FROM (SELECT task, count(*) AS n FROM fx_forecast GROUP BY 1)) AS unpaired FROM ({_boot('tasks', 'grader', 'grader')})", "fx_forecast", tasks=PAIRED, placed=PPLACED))
+    oracle(f"SELECT *, lower > 0 OR upper < 0 AS excludes_zero, (SELECT count(*) FILTER (n = 1) FROM (SELECT task, count(*) AS n FROM fx_forecast GROUP BY 1)) AS unpaired FROM ({_boot('tasks', 'grader')})", "fx_forecast", tasks=PAIRED))
 
 
 def _checks(s, d, resamples=N_BOOT):
@@ -138,17 +137,17 @@ def _verdict(s, d):
     return gate.gate_verdict(_checks(s, d, stats.RESAMPLES), calibration, costs, b("a").agg(F.count_distinct("task").alias("tasks")))
 
 
-_CHECKED = f"SELECT estimate, lower, CASE WHEN lower >= -0.03 THEN 'passed' WHEN estimate >= -0.03 THEN 'underpowered' ELSE 'regressed' END AS c FROM ({_boot('tasks', 'grader', 'grader')})"
-add("e18_gate_checks", lambda s, d: _checks(s, d).select("grader", "estimate", "lower", "check"), oracle(f"SELECT 'root_cause' AS grader, estimate, lower, c AS \"check\" FROM ({_CHECKED})", "fx_forecast", tasks=PAIRED, placed=PPLACED))
+_CHECKED = f"SELECT estimate, lower, CASE WHEN lower >= -0.03 THEN 'passed' WHEN estimate >= -0.03 THEN 'underpowered' ELSE 'regressed' END AS c FROM ({_boot('tasks', 'grader')})"
+add("e18_gate_checks", lambda s, d: _checks(s, d).select("grader", "estimate", "lower", "check"), oracle(f"SELECT 'root_cause' AS grader, estimate, lower, c AS \"check\" FROM ({_CHECKED})", "fx_forecast", tasks=PAIRED))
 ERRORS = "SELECT 'c' AS grader, task, pow(a.confidence - a.outcome::INT, 2) - pow(b.confidence - b.outcome::INT, 2) AS value FROM fx_forecast a JOIN fx_forecast b USING (task) WHERE a.configuration = 'a' AND b.configuration = 'b'"
 add(
     "e18_gate_verdict", lambda s, d: _verdict(s, d),
     oracle(
         f"""SELECT n AS tasks, regressed, underpowered, CASE WHEN n < 10 THEN 'INCONCLUSIVE' WHEN regressed > 0 THEN 'FAIL_QUALITY' WHEN underpowered > 0 THEN 'INCONCLUSIVE'
  WHEN upper > 0.02 AND estimate <= 0.02 THEN 'INCONCLUSIVE' WHEN upper > 0.02 THEN 'FAIL_CALIBRATION' WHEN greatest(x, y) >= 0.01 AND y > 0 AND (x - y) / y > 0.2 THEN 'FAIL_COST' ELSE 'PASS' END AS verdict
- FROM (SELECT count(*) FILTER (c = 'regressed') AS regressed, count(*) FILTER (c = 'underpowered') AS underpowered FROM ({_CHECKED})), (SELECT estimate, upper FROM ({_boot("errors", "grader", "grader", "eplaced")})),
+ FROM (SELECT count(*) FILTER (c = 'regressed') AS regressed, count(*) FILTER (c = 'underpowered') AS underpowered FROM ({_CHECKED})), (SELECT estimate, upper FROM ({_boot("errors", "grader")})),
  (SELECT count(DISTINCT task) FILTER (configuration = 'a') AS n, median(n_chars / 1e4) FILTER (configuration = 'a') AS x, median(n_chars / 1e4) FILTER (configuration = 'b') AS y FROM fx_forecast)""",
-        "fx_forecast", tasks=PAIRED, placed=PPLACED, errors=ERRORS, eplaced=PPLACED.replace("tasks", "errors"),
+        "fx_forecast", tasks=PAIRED, errors=ERRORS,
     ),
 )
 add("e11_percentile", lambda s, d: stats.percentile(P.fx_forecast(s, d), "confidence", ["source"], 0.9), oracle("SELECT source, round(quantile_cont(confidence, 0.9), 6) AS percentile FROM fx_forecast GROUP BY 1", "fx_forecast"))

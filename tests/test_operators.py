@@ -1,15 +1,18 @@
 """Hand-built cases and invariants, and registered queries against their twins."""
 
+import re
 from datetime import datetime, timedelta
 from pathlib import Path
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quakelens import registry
 from quakelens.functions import columns as C
-from quakelens.operators import anomaly, evidence, governance, logs, retrieval, safety, stats, traces
+from quakelens.operators import anomaly, evidence, governance, logs, lookups, retrieval, safety, stats, traces
 from quakelens.operators.windows import choose_windows
 from quakelens.plans import graph
 
@@ -184,6 +187,81 @@ def test_path_rows_and_error_rows(spark):
     assert [r.span_id for r in traces.error_rows(spans, 1).collect()] == ["b"]
 
 
-def test_draws_are_even(spark):
-    counts = [r["count"] for r in spark.range(20_000).select(stats.draw(7, F.col("id"), F.lit(3), F.lit(10)).alias("i")).groupBy("i").count().collect()]
-    assert len(counts) == 10 and all(1_800 < n < 2_200 for n in counts)
+def test_weights_are_poisson():
+    """Means, variances and shares of the numbers of times that tasks are taken, by task and by resample."""
+    rng = np.random.default_rng(2)
+    w = stats.weights(rng.integers(0, stats.BITS, 2000), 3000, 7)
+    assert abs(w.mean() - 1) < 0.002 and abs(w.var() - 1) < 0.005 and w.max() <= 9
+    assert abs((w == 0).mean() - np.exp(-1)) < 0.001 and abs((w == 3).mean() - np.exp(-1) / 6) < 0.001
+    assert np.abs(w.mean(axis=0) - 1).max() < 0.15 and np.abs(w.mean(axis=1) - 1).max() < 0.12
+    assert abs(np.corrcoef(w[:500])[~np.eye(500, dtype=bool)]).max() < 0.12
+    assert (stats.weights(np.array([5, 6]), 300, 7) == stats.weights(np.array([6, 5]), 3000, 7)[::-1, :300]).all()
+
+
+def test_bootstrap_against_resampled_tasks(spark):
+    """The interval is that of resampling whole tasks with replacement, but for the draws' own spread; partitions don't matter."""
+    rng = np.random.default_rng(3)
+    groups = {"small": rng.random(40), "yes": (rng.random(400) < 0.3).astype(float), "one": np.array([0.25]), "wide": rng.normal(5, 9, 6000)}
+    rows = [(g, None if g == "small" and i == 7 else "x", i, float(v)) for g, values in groups.items() for i, v in enumerate(values)]
+    rows += [("small", "x", 900, None), ("none", "x", 1, None)]
+    df = spark.createDataFrame(rows, "g string, extra string, task long, value double")
+    found = stats.bootstrap(df.repartition(5), ["g"], 4000)
+    got = {r.g: r for r in found.collect()}
+    assert set(got) == set(groups) and (got["one"].lower, got["one"].upper) == (0.25, 0.25)
+    for g, values in groups.items():
+        if len(values) < 2:
+            continue
+        means = values[rng.integers(0, len(values), (4000, len(values)))].mean(axis=1)
+        lower, upper = np.percentile(means, [2.5, 97.5])
+        assert abs(got[g].lower - lower) < 0.12 * (upper - lower) and abs(got[g].upper - upper) < 0.12 * (upper - lower)
+    again = {r.g: r for r in stats.bootstrap(df.coalesce(1), ["g"], 4000).collect()}
+    assert {g: (r.lower, r.upper) for g, r in got.items()} == {g: (r.lower, r.upper) for g, r in again.items()}
+    two = stats.bootstrap(df.withColumn("h", F.lit(1.5)), ["g", "h"], 50)
+    assert two.columns == ["g", "h", "estimate", "tasks", "lower", "upper"] and two.count() == 4
+    assert stats.bootstrap(df.limit(0), ["g"], 50).count() == 0
+
+
+def test_bootstrap_shuffles_no_draws(spark):
+    """Between the tasks and the means a row passes for each group, resample and partition: never one for each draw."""
+    tasks = spark.range(9000).select((F.col("id") % 3).alias("g"), F.col("id").alias("task"), (F.col("id") % 7).cast("double").alias("value"))
+    plan = stats.bootstrap(tasks, ["g"], 500)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Cartesian|NestedLoop|Generate", plan) and plan.count("MapInArrow") == 1
+    counted = stats._weighed(1, 500, 1)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"] * 700 + ["b"] * 300), pa.array(range(1000)), pa.array([1.0] * 1000)], names=["k0", "bits", "value"])
+    out = list(counted(iter([batch.slice(0, 500), batch.slice(500)])))
+    assert [b.num_rows for b in out] == [500, 500] and out[0].column(2).to_pylist() == out[0].column(3).to_pylist()
+
+
+
+def test_neighbours_in_time(spark):
+    """J14, J15 against plain search, with a hot key, ties, gaps, and rows without key or time."""
+    rng = np.random.default_rng(5)
+    at = lambda n: [None if i % 50 == 49 else T0 + timedelta(milliseconds=int(x)) for i, x in enumerate(rng.integers(0, 4_000_000, n) // 250 * 250)]
+    key = lambda n: [None if i % 40 == 39 else "hot" if i % 2 else f"k{i % 7}" for i in range(n)]
+    points = list(zip(key(400), range(400), at(400), strict=True)) + [("never", 900, T0), ("hot", 901, T0 - timedelta(days=900)), ("k1", 3, T0)]
+    alerts = list(zip(key(300), at(300), [f"a{i % 9}" for i in range(300)], strict=True))
+    points_df = spark.createDataFrame(points, "key string, point_id long, at timestamp")
+    alerts_df = spark.createDataFrame(alerts, "key string, at timestamp, alert string")
+    for seconds, slices in ((60, 8), (7, 1), (600, 3), (100_000, 8), (0, 8)):
+        want = []
+        for k, i, t in points:
+            fit = [(u, a) for m, u, a in alerts if k is not None and m == k and t is not None and u is not None and t <= u <= t + timedelta(seconds=seconds)]
+            want.append((k, i, t, *min(fit, default=(None, None))))
+        got = [tuple(r) for r in lookups.first_alert_after(points_df, alerts_df, seconds, slices).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want)) and (not seconds or any(r[3] for r in want))
+        near = lookups.changes_near(points_df.withColumnsRenamed({"key": "service", "at": "onset_at"}), alerts_df.withColumnsRenamed({"key": "service"}), seconds)
+        want = [(k, i, t, u, a) for k, i, t in points for m, u, a in alerts if k is not None and m == k and t is not None and u is not None and t - timedelta(seconds=seconds) <= u <= t]
+        assert sorted(map(str, (tuple(r) for r in near.select("service", "point_id", "onset_at", "at", "alert").collect()))) == sorted(map(str, want))
+
+
+def test_no_plan_pairs_all_points_with_all_alerts(spark):
+    """One key of 20,000 points and 20,000 alerts: no operator makes more than a few rows for each."""
+    points = spark.range(20_000).select(F.lit("k").alias("key"), F.col("id").alias("point_id"), F.timestamp_seconds(F.col("id") * 10).alias("at"))
+    alerts = spark.range(20_000).select(F.lit("k").alias("key"), F.timestamp_seconds(F.col("id") * 10 + 5).alias("at"), F.lit("a").alias("alert"))
+    found = lookups.first_alert_after(points, alerts, 60)
+    near = lookups.changes_near(points.withColumnsRenamed({"key": "service", "at": "onset_at"}), alerts.withColumnsRenamed({"key": "service"}), 60)
+    assert found.filter("alert_at = at + interval 5 seconds").count() == 20_000 and near.count() == 6 * 20_000 - 21
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan(found)
+    joins = [line for line in plan(near).split("\n") if "Join" in line]
+    assert joins and all("__slice" in line for line in joins)

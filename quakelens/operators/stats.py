@@ -8,11 +8,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quakelens.functions import columns as C
-from quakelens.sources.staging import importable
+from quakelens.operators.prefix import running_sums
+from quakelens.sources.staging import importable, staged
 
 #: Odd multipliers of the mixed bits, and 31 of these, so that products stay within 64.
 MIX, BITS = (2_654_435_761, 2_246_822_519, 739_982_445, 695_872_825), (1 << 31) - 1
@@ -167,8 +168,12 @@ def risk_coverage(rows: DataFrame, by: list[str]) -> DataFrame:
     both = values.select(*by, F.col("confidence").alias("at"), F.lit(1).alias("kind"), "n", "a", "r").unionByName(
         marks.select(*by, F.col("threshold").alias("at"), F.lit(0).alias("kind"), F.lit(0).alias("n"), F.lit(0).alias("a"), F.lit(0).alias("r"))
     )
-    down = Window.partitionBy(*by).orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
-    summed = both.select(*by, "at", "kind", F.sum("a").over(down).alias("kept"), F.sum("r").over(down).alias("right"), F.sum("n").over(Window.partitionBy(*by)).alias("total")).filter("kind = 0")
+    summed = running_sums(both, by, [F.desc("at"), F.desc("kind")], ["a", "r"]).filter("kind = 0").withColumnsRenamed({"a": "kept", "r": "right"}).drop("n")
+    totals = values.groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg(F.sum("n").alias("total"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    summed = summed.join(totals, same)  # a row for each group
     accuracy = F.coalesce(F.try_divide("right", "kept"), F.lit(0.0))
     return summed.select(*by, F.col("at").alias("threshold"), F.round(F.col("kept") / F.col("total"), 6).alias("coverage"), F.round(accuracy, 6).alias("accuracy"), F.round(1.0 - accuracy, 6).alias("risk"))
 
@@ -191,11 +196,9 @@ def kappa(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def threshold_curve(rows: DataFrame) -> DataFrame:
     """Sensitivity, specificity and Youden's J at each distinct score (score, faulted)."""
-    values = rows.groupBy("score").agg(F.count_if("faulted").alias("f"), F.count_if(~F.col("faulted")).alias("q"))
-    totals = values.agg(F.sum("f").alias("all_f"), F.sum("q").alias("all_q"))
-    # The distinct scores are summed up in one order; they are what the curve consists of.
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    summed = values.select("score", F.sum("f").over(down).alias("hit"), F.sum("q").over(down).alias("alarm")).crossJoin(F.broadcast(totals))  # totals: one row
+    values = staged(rows.groupBy("score").agg(F.count_if("faulted").alias("hit"), F.count_if(~F.col("faulted")).alias("alarm")), "scores")
+    totals = values.agg(F.sum("hit").alias("all_f"), F.sum("alarm").alias("all_q"))
+    summed = running_sums(values, [], [F.desc("score")], ["hit", "alarm"]).crossJoin(F.broadcast(totals))  # totals: one row
     sensitivity, specificity = F.coalesce(F.try_divide("hit", "all_f"), F.lit(0.0)), 1.0 - F.coalesce(F.try_divide("alarm", "all_q"), F.lit(0.0))
     return summed.select("score", F.round(sensitivity, 6).alias("sensitivity"), F.round(specificity, 6).alias("specificity"), F.round(sensitivity + specificity - 1, 6).alias("youden"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quakelens import registry
 from quakelens.functions import columns as C
-from quakelens.operators import anomaly, evidence, governance, logs, lookups, retrieval, safety, stats, traces
+from quakelens.operators import anomaly, evidence, governance, logs, lookups, prefix, retrieval, safety, stats, traces
 from quakelens.operators.windows import choose_windows
 from quakelens.plans import graph
 
@@ -265,3 +265,30 @@ def test_no_plan_pairs_all_points_with_all_alerts(spark):
     assert "Join" not in plan(found)
     joins = [line for line in plan(near).split("\n") if "Join" in line]
     assert joins and all("__slice" in line for line in joins)
+
+
+@pytest.mark.parametrize("parts", [None, 1, 7])
+def test_running_sums(spark, parts):
+    """Against plain sums: one hot group over several ranges, small and null groups, descending order."""
+    rng = np.random.default_rng(4)
+    rows = [(None if i % 97 == 0 else "hot" if i % 3 else f"g{i % 5}", int(x), i, float(i % 11)) for i, x in enumerate(rng.permutation(3000))]
+    df = spark.createDataFrame(rows, "g string, at long, n long, v double").repartition(5)
+    for by in ([], ["g"]):
+        got = prefix.running_sums(df, by, [F.desc("at")], ["n", "v"], parts)
+        assert got.columns == df.columns
+        want, sums = [], {}
+        for g, at, n, v in sorted(rows, key=lambda r: -r[1]):
+            a, b = sums.get(g if by else 0, (0, 0.0))
+            sums[g if by else 0] = a + n, b + v
+            want.append((g, at, a + n, b + v))
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert prefix.running_sums(df.limit(0), ["g"], [F.col("at")], ["n"]).count() == 0
+
+
+def test_curves_need_no_window_over_all(spark):
+    rows = spark.range(4000).select(F.lit("g").alias("g"), (F.col("id") / 4000).alias("confidence"), (F.col("id") % 3 == 0).alias("outcome"), F.lit(True).alias("answered"), (F.col("id") % 2 == 0).alias("faulted"), F.col("id").alias("score"))
+    for df in (stats.threshold_curve(rows.select("score", "faulted")), stats.risk_coverage(rows, ["g"])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # Every window but the one over the ranges' own totals is cut by range.
+        assert plan.count("Window [") == 2 and len(re.findall(r"specifiedwindowframe[^\n]*\], \[[^\]]*__part", plan)) >= 1
+        assert df.count() >= 4000

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakelens.functions.columns import memory_tokens, runbook_tokens
+from quakelens.operators.topk import best
+from quakelens.sources.staging import staged
 
 K1, COVERS, SYMPTOM, TITLE = 1.2, 4.0, 2.5, 0.75  # fixed values
 TOP_SECTIONS, TOP_MATCHES, LEAST_SIMILARITY, SHARED_SERVICE = 5, 3, 0.10, 0.25  # fixed values
@@ -46,11 +48,47 @@ def score_sections(parts: DataFrame, questions: DataFrame) -> DataFrame:
     return found.groupBy("query_id", *key).agg(F.round(F.sum("points"), 6).alias("score"))
 
 
+def _features(parts: DataFrame) -> DataFrame:
+    """What can bring a section points: a row for each (runbook_id, number, feature) with the most that it brings.
+
+    A matched symptom brings less the more there are, so the first one's points bound each.
+    """
+    key = ["runbook_id", "number"]
+    tokens = lambda column: F.explode(F.array_distinct(runbook_tokens(column)))
+    named = lambda kind, word: F.concat(F.lit(kind), word).alias("feature")
+    words = parts.select(*key, F.explode(runbook_tokens(F.concat_ws(" ", "heading", "text"))).alias("w")).groupBy(*key, "w").agg(F.count("*").alias("tf"))
+    found = words.select(*key, named("w:", F.col("w")), (F.col("tf") / (F.col("tf") + K1)).alias("impact"))
+    titles = parts.select(*key, tokens(F.concat_ws(" ", "title", "heading")).alias("w"))
+    covers = parts.select(*key, F.explode(F.array_distinct("covers")).alias("w")).filter("w is not null")
+    found = found.unionByName(titles.select(*key, named("t:", F.col("w")), F.lit(TITLE).alias("impact"))).unionByName(covers.select(*key, named("c:", F.col("w")), F.lit(COVERS).alias("impact")))
+    if "symptoms" in parts.columns:
+        signs = parts.select(*key, tokens(F.array_join("symptoms", " ")).alias("w"))
+        found = found.unionByName(signs.select(*key, named("s:", F.col("w")), F.lit(SYMPTOM / (1 + K1)).alias("impact")))
+    return found
+
+
 def search(parts: DataFrame, questions: DataFrame, limit: int = TOP_SECTIONS) -> DataFrame:
-    """The best sections for each question."""
-    scored = score_sections(parts, questions).filter("score > 0").join(parts.select("runbook_id", "number", "heading"), ["runbook_id", "number"])
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "runbook_id", "heading", "number")
-    return scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+    """The best sections for each question, without scoring those that can't be among them (topk)."""
+    key = ["runbook_id", "number"]
+    postings = staged(_features(parts), "section-features")
+    # A section's features, so that a pair is scored in one row.
+    whole = postings.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("feature", "impact"))).alias("has"))
+    words = F.coalesce(F.array_distinct(runbook_tokens(F.col("text"))), F.array().cast("array<string>"))
+    kinds = ["w:", "t:", *(["s:"] if "symptoms" in parts.columns else [])]
+    of = lambda kind: F.transform(words, lambda w: F.concat(F.lit(kind), w))
+    features = F.array_compact(F.concat(*(of(k) for k in kinds), F.array(F.concat(F.lit("c:"), "service"))))
+    asks = staged(questions.select("query_id", features.alias("asks")), "asked-features")
+    asked = asks.select("query_id", F.explode("asks").alias("feature"), F.lit(1.0).alias("weight"))
+
+    def score(pairs: DataFrame) -> DataFrame:
+        shared = F.array_intersect("asks", F.map_keys("has"))
+        is_sign = lambda f: F.startswith(f, F.lit("s:"))
+        points = F.aggregate(F.filter(shared, lambda f: ~is_sign(f)), F.lit(0.0), lambda total, f: total + F.element_at("has", f))
+        signs = F.size(F.filter(shared, is_sign))
+        scored = pairs.join(whole, key).join(asks, "query_id").select("query_id", *key, F.round(points + SYMPTOM * signs / (signs + K1), 6).alias("score"))
+        return scored.filter("score > 0").join(parts.select(*key, "heading"), key)
+
+    return best(postings, asked, score, key, limit, ties=["runbook_id", "heading", "number"])
 
 
 def document_frequency(entries: DataFrame) -> DataFrame:
@@ -60,12 +98,17 @@ def document_frequency(entries: DataFrame) -> DataFrame:
     return seen.groupBy("token").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("token", "n", F.log(1.0 + F.col("total") / F.col("n")).alias("rarity"))  # total: one row
 
 
-def similarity(entries: DataFrame, questions: DataFrame) -> DataFrame:
-    """Share of a question's rarity-weighted tokens that an entry has; tokens that no entry has are the rarest."""
+def _weighted(entries: DataFrame, questions: DataFrame) -> DataFrame:
+    """query_id, token and its weight; tokens that no entry has are the rarest."""
     rarity = document_frequency(entries).select("token", "rarity")
     rarest = rarity.agg(F.max("rarity").alias("rarest"))
     asked = questions.select("query_id", F.explode(F.array_distinct(memory_tokens(F.col("text")))).alias("token"))
-    weighted = asked.join(rarity, "token", "left").crossJoin(F.broadcast(rarest)).select("query_id", "token", F.coalesce("rarity", "rarest").alias("w"))  # rarest: one row
+    return asked.join(rarity, "token", "left").crossJoin(F.broadcast(rarest)).select("query_id", "token", F.coalesce("rarity", "rarest").alias("w"))  # rarest: one row
+
+
+def similarity(entries: DataFrame, questions: DataFrame) -> DataFrame:
+    """Share of a question's rarity-weighted tokens that an entry has, for all pairs that share a token."""
+    weighted = _weighted(entries, questions)
     weights = weighted.groupBy("query_id").agg(F.sum("w").alias("whole"))
     held = entries.select("incident_id", F.explode(F.array_distinct(memory_tokens(F.col("symptom_summary")))).alias("token"))
     shared = held.join(weighted, "token").groupBy("query_id", "incident_id").agg(F.sum("w").alias("part"))
@@ -73,9 +116,22 @@ def similarity(entries: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def similar_incidents(entries: DataFrame, questions: DataFrame, limit: int = TOP_MATCHES, least: float = LEAST_SIMILARITY) -> DataFrame:
-    """The closest entries of each question (query_id, text, services), with a bonus for shared services."""
-    near = similarity(entries, questions).join(entries.select("incident_id", "services_involved"), "incident_id").join(questions.select("query_id", "services"), "query_id")
-    shared = F.size(F.array_intersect("services_involved", "services"))
-    scored = near.select("query_id", "incident_id", F.round(F.col("similarity") * (1.0 + SHARED_SERVICE * shared), 6).alias("score"), shared.alias("shared_services")).filter(F.col("score") >= least)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "incident_id")
-    return scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+    """The closest entries of each question (query_id, text, services), with a bonus for shared services.
+
+    Entries that can't be among the closest are not scored (topk); a bound takes the bonus as if all services were shared.
+    """
+    weighted = staged(_weighted(entries, questions), "question-tokens")
+    weights = weighted.groupBy("query_id").agg(F.sum("w").alias("whole"), F.map_from_entries(F.collect_list(F.struct("token", "w"))).alias("asks"))
+    whole = staged(questions.select("query_id", "services").join(weights, "query_id"), "questions")
+    all_shared = 1.0 + SHARED_SERVICE * F.greatest(F.size(F.array_distinct("services")), F.lit(0))
+    asked = weighted.join(whole.select("query_id", "whole", all_shared.alias("bonus")), "query_id").select("query_id", F.col("token").alias("feature"), (F.col("w") / F.col("whole") * F.col("bonus")).alias("weight"))
+    held = staged(entries.select("incident_id", "services_involved", F.array_distinct(memory_tokens(F.col("symptom_summary"))).alias("has")), "entry-tokens")
+
+    def score(pairs: DataFrame) -> DataFrame:
+        part = F.aggregate(F.array_intersect(F.map_keys("asks"), F.col("has")), F.lit(0.0), lambda total, t: total + F.element_at("asks", t))
+        shared = F.size(F.array_intersect("services_involved", "services"))
+        both = pairs.join(held, "incident_id").join(whole, "query_id")
+        return both.select("query_id", "incident_id", F.round(part / F.col("whole") * (1.0 + SHARED_SERVICE * shared), 6).alias("score"), shared.alias("shared_services"))
+
+    postings = held.select("incident_id", F.explode("has").alias("feature"), F.lit(1.0).alias("impact"))
+    return best(postings, asked, score, ["incident_id"], limit, least)

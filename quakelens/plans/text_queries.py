@@ -70,7 +70,7 @@ def _questions(s, d):
     return P.fx_queries(s, d)
 
 
-add("l06_section_scores", lambda s, d: retrieval.score_sections(retrieval.sentences(P.fx_runbooks(s, d)), _questions(s, d)).filter("score >= 6"), oracle("SELECT * FROM points WHERE score >= 6", "fx_runbooks", "fx_queries", parts=PARTS, terms=TERMS, points=POINTS))
+add("l06_section_scores", lambda s, d: retrieval.score_sections(retrieval.sentences(P.fx_runbooks(s, d)), _questions(s, d)), oracle("SELECT * FROM points", "fx_runbooks", "fx_queries", parts=PARTS, terms=TERMS, points=POINTS))
 add(
     "l07_search", lambda s, d: retrieval.search(retrieval.sentences(P.fx_runbooks(s, d)), _questions(s, d)).select("query_id", "runbook_id", "number", "score", "place"),
     oracle("SELECT * FROM (SELECT query_id, runbook_id, number, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, runbook_id, heading, number) AS place FROM points JOIN (SELECT runbook_id, number, heading FROM parts) USING (runbook_id, number) WHERE score > 0) WHERE place <= 5", "fx_runbooks", "fx_queries", parts=PARTS, terms=TERMS, points=POINTS),
@@ -92,7 +92,7 @@ def _asked(s, d):
 
 
 add("l08_rarity", lambda s, d: retrieval.document_frequency(_entries(s, d)).withColumn("rarity", F.round("rarity", 6)), oracle("SELECT token, n, round(rarity, 6) AS rarity FROM rarity", "fx_memory", held=HELD, rarity=RARITY))
-add("l09_similarity", lambda s, d: retrieval.similarity(_entries(s, d), _asked(s, d)).withColumn("similarity", F.round("similarity", 6)).filter("similarity >= 0.1"), oracle("SELECT query_id, incident_id, round(similarity, 6) AS similarity FROM near WHERE round(similarity, 6) >= 0.1", "fx_memory", "fx_queries", **_MEMORY))
+add("l09_similarity", lambda s, d: retrieval.similarity(_entries(s, d), _asked(s, d)).withColumn("similarity", F.round("similarity", 6)), oracle("SELECT query_id, incident_id, round(similarity, 6) AS similarity FROM near", "fx_memory", "fx_queries", **_MEMORY))
 add(
     "l10_similar_incidents", lambda s, d: retrieval.similar_incidents(_entries(s, d), _asked(s, d)),
     oracle("SELECT * FROM (SELECT query_id, incident_id, score, shared_services, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, incident_id) AS place FROM (SELECT query_id, incident_id, round(similarity * (1 + 0.25::DOUBLE * shared_services), 6) AS score, shared_services FROM (SELECT n.*, CAST(list_contains(m.services_involved, q.service) AS INT) AS shared_services FROM near n JOIN fx_memory m USING (incident_id) JOIN fx_queries q USING (query_id))) WHERE score >= 0.1) WHERE place <= 3", "fx_memory", "fx_queries", **_MEMORY),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quakelens import registry
 from quakelens.functions import columns as C
-from quakelens.operators import anomaly, evidence, governance, logs, lookups, prefix, retrieval, safety, stats, traces
+from quakelens.operators import anomaly, evidence, governance, logs, lookups, prefix, retrieval, safety, stats, topk, traces
 from quakelens.operators.windows import choose_windows
 from quakelens.plans import graph
 
@@ -292,3 +292,54 @@ def test_curves_need_no_window_over_all(spark):
         # Every window but the one over the ranges' own totals is cut by range.
         assert plan.count("Window [") == 2 and len(re.findall(r"specifiedwindowframe[^\n]*\], \[[^\]]*__part", plan)) >= 1
         assert df.count() >= 4000
+
+
+@pytest.mark.parametrize("first", [(1, 1), (8, 64)])
+def test_best_matches_are_those_of_full_scoring(spark, monkeypatch, first):
+    """Pruning loses nothing, with ties, symptoms, services, common words and questions that match nothing."""
+    monkeypatch.setattr(topk, "FIRST_FEATURES", first[0])
+    monkeypatch.setattr(topk, "FIRST_ITEMS", first[1])
+    rng = np.random.default_rng(8)
+    word = lambda: f"word{int(rng.zipf(1.4)) % 300:03d}"
+    prose = lambda n: " ".join(word() for _ in range(n))
+    parts = [(i // 3, i % 3, f"title {word()}", f"head {word()}", [f"svc{rng.integers(4)}"] * 2, [word(), prose(3)], prose(25)) for i in range(400)]
+    parts_df = spark.createDataFrame(parts, "runbook_id long, number int, title string, heading string, covers array<string>, symptoms array<string>, text string")
+    asked = [(i, prose(int(rng.integers(1, 9))), f"svc{rng.integers(5)}") for i in range(40)] + [(90, None, "svc1"), (91, "nowhere at all", "none"), (92, prose(4), None)]
+    asked_df = spark.createDataFrame(asked, "query_id long, text string, service string")
+    for parts_ in (parts_df, parts_df.drop("symptoms")):
+        full = retrieval.score_sections(parts_, asked_df).filter("score > 0").join(parts_.select("runbook_id", "number", "heading"), ["runbook_id", "number"]).collect()
+        want = []
+        for q in {r.query_id for r in full}:
+            own = sorted((r for r in full if r.query_id == q), key=lambda r: (-r.score, r.runbook_id, r.heading, r.number))[:5]
+            want += [(q, r.runbook_id, r.number, r.score, i) for i, r in enumerate(own, 1)]
+        got = [tuple(r) for r in retrieval.search(parts_, asked_df).select("query_id", "runbook_id", "number", "score", "place").collect()]
+        assert sorted(got) == sorted(want) and len(want) > 150
+    entries = spark.createDataFrame([(i, prose(12), [f"svc{j}" for j in range(i % 4)]) for i in range(300)], "incident_id long, symptom_summary string, services_involved array<string>")
+    questions = asked_df.withColumn("services", F.array("service", F.lit("svc2")))
+    involved = {r.incident_id: set(r.services_involved) for r in entries.collect()}
+    services = {i: {s, "svc2"} for i, _, s in asked}
+    want, by_query = [], {}
+    for r in retrieval.similarity(entries, questions).collect():
+        shared = len(involved[r.incident_id] & services[r.query_id])
+        by_query.setdefault(r.query_id, []).append((-round(r.similarity * (1 + 0.25 * shared), 6), r.incident_id, shared))
+    for q, rows in by_query.items():
+        want += [(q, i, -s, n, place) for place, (s, i, n) in enumerate(sorted(x for x in rows if -x[0] >= 0.1)[:3], 1)]
+    got = [tuple(r) for r in retrieval.similar_incidents(entries, questions).select("query_id", "incident_id", "score", "shared_services", "place").collect()]
+    assert sorted(got) == sorted(want) and len(want) > 90
+
+
+def test_common_words_are_not_met(spark):
+    """Of 3,000 entries that share common words with every question, only those with its rare ones are met."""
+    entries = spark.range(3000).select(F.col("id").alias("incident_id"), F.concat(F.lit("database timeout error service "), F.concat(F.lit("rare"), (F.col("id") % 500).cast("string")), F.concat(F.lit(" other"), (F.col("id") % 700).cast("string"))).alias("symptom_summary"), F.array(F.lit("a")).alias("services_involved"))
+    questions = spark.range(20).select(F.col("id").alias("query_id"), F.concat(F.lit("database timeout error service rare"), F.col("id").cast("string"), F.lit(" other"), F.col("id").cast("string")).alias("text"), F.array(F.lit("b")).alias("services"))
+    joined, met = [], topk.met
+
+    def counted(postings, wanted):
+        rows = met(postings, wanted)
+        joined.append(rows.count())
+        return rows
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(topk, "met", counted)
+        assert retrieval.similar_incidents(entries, questions).filter("place = 1 and query_id = incident_id").count() == 20
+    assert joined[0] < 20 * 20  # 240,000 without the bounds

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quakelens.llm.common import BATCH_ROWS, small_batches, table
+from quakelens.llm.common import BATCH_ROWS, carried, small_batches, table
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: The fewest salts.
@@ -111,9 +111,12 @@ def deduplicate(docs: DataFrame, salts: int | None = None) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    stay = deduplicate(docs).filter("kept").select(F.col("row").alias("__row"))
-    return numbered.join(stay, "__row", "left_semi").drop("__row")
+
+    def kept(docs: DataFrame) -> DataFrame:
+        numbered = docs.withColumn("row", F.monotonically_increasing_id())
+        return numbered.join(deduplicate(docs).filter("kept").select("row"), "row", "left_semi").drop("row")
+
+    return carried(docs, ("doc_id", "text"), kept)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ Every page becomes a tree of elements. Subtrees are hashed (tag, attributes, tex
 Spark; what recurs on many pages of a host is template and is deleted, together with menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and comments that their tags, roles or class names give away. Passages
 (paragraphs, lists, tables, quotations) and headings recur by articles of different headings, so that copies and versions
-of one article keep what they share; an article's h1 is never counted.
+of one article keep what they share; an article's h1 is never counted. What an article says may recur by itself, like a licence
+or a saying, so passages go only at an article's edge and only if they stand there on half of the host's articles.
 
 Defined results: null or empty html gives an empty text; null or scheme-less urls share the empty host; unclosed and stray
 tags are read as browsers do in the simple cases (a new paragraph or item ends the last, an end tag closes down to its
@@ -15,7 +16,7 @@ are extracted each for itself, but rows of one host with equal main text count a
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -28,6 +29,8 @@ from quakelens.llm.common import small_batches, staged, table
 
 #: A subtree is template from this many pages of a host on.
 MANY_PAGES = 3
+#: A passage must also stand at an edge of the article, among so many blocks, on this share of the host's headings.
+EDGE, PASSAGE_SHARE = 3, 0.5
 #: A whole tag without < or > in its attributes, as nearly all are.
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/><]*+)((?:[^<>"']++|"[^"<>]*+"|'[^'<>]*+')*+)>""")
 _NAME = re.compile(r"</?([a-zA-Z][^\s/><]*)")
@@ -123,40 +126,37 @@ def parse(html: str) -> Node:
     """The page's tree; texts are strings among the children, still with their character references."""
     root = Node("html", "")
     stack = [root]
-    open_: Counter[str] = Counter()
+    # Places in the stack of the open elements of each tag, and of those that an inline end tag doesn't reach across.
+    where: defaultdict[str, list[int]] = defaultdict(list)
+    fences: list[int] = []
 
     def close(i: int) -> None:
-        open_.subtract(n.tag for n in stack[i:])
+        for n in reversed(stack[i:]):
+            where[n.tag].pop()
         del stack[i:]
+        while fences and fences[-1] >= i:
+            fences.pop()
 
     for tag, end, rest in tokens(html):
         if not tag:
             stack[-1].children.append(rest)
             continue
         if end:
-            if not open_[tag]:
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
-                if stack[i].tag in _FENCE and tag not in _BLOCKS:
-                    break
+            if where[tag] and (tag in _BLOCKS or not fences or fences[-1] <= where[tag][-1]):
+                close(where[tag][-1])
             continue
         if tag == "html":
             continue
-        if any(open_[k] for k in _CLOSES.get(tag, ())):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in _CLOSES[tag]:
-                    close(i)
-                    break
-                if stack[i].tag in _FENCE:
-                    break
+        last = max((where[k][-1] for k in _CLOSES.get(tag, ()) if where[k]), default=0)
+        if last and (not fences or fences[-1] <= last):
+            close(last)
         node = Node(tag, rest)
         stack[-1].children.append(node)
         if tag not in _RAW and tag not in _VOID:
+            where[tag].append(len(stack))
+            if tag in _FENCE:
+                fences.append(len(stack))
             stack.append(node)
-            open_[tag] += 1
     return root
 
 
@@ -218,11 +218,14 @@ def _tops(root: Node) -> list[Node]:
     return []
 
 
-def _walk(root: Node, templates: set[int], found: dict[int, bool] | None = None) -> list[tuple[str, str]]:
-    """Tag and text of each block that is left; an empty text stands for what the count takes. found gets the keys that can count, and whether articles count them."""
+def _walk(root: Node, templates: set[int], found: list[tuple[int, bool, int]] | None = None) -> list[tuple[str, str]]:
+    """Tag and text of each block that is left; an empty text stands for what the count takes.
+
+    found gets the keys that can count, whether articles count them, and the number of blocks before them."""
     _hash(root)
     tops = _tops(root)
     inside = bool(tops)
+    is_top = {id(top) for top in tops}
     blocks: list[tuple[str, str]] = []
     held: list[str] = []
     tag = ""
@@ -244,10 +247,12 @@ def _walk(root: Node, templates: set[int], found: dict[int, bool] | None = None)
             held.append(x)
         elif x.tag == "br" or x.tag == "wbr":
             held.append(" " if x.tag == "br" else "")
-        elif x in tops or not _given_away(x, inside):
-            counted = x not in tops and _counted(x, inside, flowing)
+        elif id(x) in is_top or not _given_away(x, inside):
+            counted = id(x) not in is_top and _counted(x, inside, flowing)
             if counted and found is not None:
-                found[x.key] = x.tag in _PASSAGES or x.tag in _HEADINGS
+                if x.tag in _BLOCKS:
+                    close()
+                found.append((x.key, x.tag in _PASSAGES or x.tag in _HEADINGS, len(blocks)))
             if counted and x.key in templates:
                 if x.tag not in _HEADINGS:
                     if x.tag in _BLOCKS:
@@ -288,24 +293,28 @@ def main_text(root: Node, templates: set[int]) -> str:
 
 
 def page_keys(root: Node) -> tuple[int, int, dict[int, bool]]:
-    """Hashes of a page's text and of its first heading (or else the text), and the keys of the subtrees that may be template: True for those that count by heading."""
-    found: dict[int, bool] = {}
+    """Hashes of a page's text and of its first heading (or else the text), and the keys of the subtrees that may be template: True for passages.
+
+    A passage may be template only among the first EDGE or the last EDGE blocks: templates stand round an article."""
+    found: list[tuple[int, bool, int]] = []
     blocks = _walk(root, set(), found)
     page = xxhash.xxh64_intdigest("\n".join(text for _, text in blocks)) >> 1
     title = next((text for tag, text in blocks if tag in _HEADINGS), None)
-    return page, page if title is None else xxhash.xxh64_intdigest(title) >> 1, found
+    keys = {key: passage for key, passage, at in found if not passage or at < EDGE or at >= len(blocks) - EDGE}
+    return page, page if title is None else xxhash.xxh64_intdigest(title) >> 1, keys
 
 
-_KEYS = pa.list_(pa.struct([("key", pa.int64()), ("page", pa.int64())]))
+_KEYS = pa.list_(pa.struct([("key", pa.int64()), ("page", pa.int64()), ("passage", pa.bool_())]))
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = []
+        keys, titles = [], []
         for h in batch.column(2).to_pylist():
             page, title, found = page_keys(parse(h)) if h else (0, 0, {})
-            keys.append([{"key": k, "page": title if passage else page} for k, passage in sorted(found.items())])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, _KEYS)], names=["row", "host", "keys"])
+            titles.append(title)
+            keys.append([{"key": k, "page": title if passage else page, "passage": passage} for k, passage in sorted(found.items())])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(titles, pa.int64()), pa.array(keys, _KEYS)], names=["row", "host", "title", "keys"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,10 +330,12 @@ def extract(pages: DataFrame, many_pages: int = MANY_PAGES) -> DataFrame:
     small_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^:/?#]*://([^/?#]*)", 1))
     rows = pages.select(F.monotonically_increasing_id().alias("row"), host.alias("host"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    keyed = staged(rows.select("row", "host", "html").mapInArrow(_keys, "row long, host string, keys array<struct<key:long,page:long>>"), "subtrees")
+    keyed = staged(rows.select("row", "host", "html").mapInArrow(_keys, "row long, host string, title long, keys array<struct<key:long,page:long,passage:boolean>>"), "subtrees")
     each = keyed.select("row", "host", F.inline("keys"))
-    templates = each.groupBy("host", "key").agg(F.count_distinct("page").alias("n")).filter(F.col("n") >= many_pages).select("host", "key")
-    of_page = each.join(templates, ["host", "key"]).groupBy("row").agg(F.collect_list("key").alias("keys"))  # no more than the page has
+    titles = keyed.groupBy("host").agg(F.count_distinct("title").alias("titles"))
+    counts = each.groupBy("host", "key").agg(F.count_distinct("page").alias("n"), F.bool_or("passage").alias("passage")).filter(F.col("n") >= many_pages)
+    templates = counts.join(titles, "host").filter(~F.col("passage") | (F.col("n") >= PASSAGE_SHARE * F.col("titles"))).select("host", "key")
+    of_page = each.select("row", "host", "key").join(templates, ["host", "key"]).groupBy("row").agg(F.collect_list("key").alias("keys"))  # no more than the page has
     return rows.join(of_page, "row", "left").select("page_id", "url", "html", "keys").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
 
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quakelens.llm.common import small_batches, staged, table
+from quakelens.llm.common import carried, small_batches, staged, table
 
 WORDS = 5
 BANDS, ROWS = 50, 5
@@ -186,9 +186,22 @@ def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """Of labelled rows (key, id, component): the keys with several components, their rows and pairs across components."""
+    """Of labelled rows (key, id, component): the keys with several components, the largest one, rows and pairs across."""
     parts = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
-    return parts.groupBy("key").agg(F.sum("c").alias("members"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("across")).filter("across > 0")
+    across = (F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2
+    return parts.groupBy("key").agg(F.sum("c").alias("members"), across.alias("across"), F.max(F.struct("c", "component"))["component"].alias("largest")).filter("across > 0")
+
+
+def _across(rows: DataFrame, small: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components in the buckets of small (key, largest).
+
+    Only members outside a bucket's largest component are joined with all of it, so the rows made are about the pairs
+    across components, however many members the largest one has.
+    """
+    open_ = rows.join(small, "key")
+    outside = open_.filter("component <> largest").select("key", F.col("id").alias("x"), F.col("component").alias("c_x"))
+    pairs = outside.join(open_.select("key", F.col("id").alias("y"), F.col("component").alias("c_y")), "key").filter("c_x <> c_y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,10 +259,7 @@ def link_table(docs: DataFrame, signed: DataFrame) -> DataFrame:
     mixed = staged(_mixed(labelled), "near-mixed")
     if mixed.isEmpty():
         return found
-    small = mixed.filter(F.col("across") <= CROSS * F.col("members")).select("key")
-    open_ = labelled.join(small, "key", "left_semi")
-    x, y = (open_.select("key", F.col("id").alias(s), F.col("component").alias(f"c_{s}")) for s in "ab")
-    pairs = x.join(y, "key").filter("a < b and c_a <> c_b").select("a", "b").distinct()
+    pairs = _across(labelled, mixed.filter(F.col("across") <= CROSS * F.col("members")).select("key", "largest"))
     large = mixed.filter(F.col("across") > CROSS * F.col("members")).select("key")
     in_large = staged(labelled.join(large, "key", "left_semi"), "near-large-rows")
     held = staged(in_large.select("id", "component").distinct().join(known.select("id", "text"), "id"), "near-large")
@@ -281,5 +291,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs without those near copies that don't stay, with all their columns."""
+
+    def kept(docs: DataFrame) -> DataFrame:
+        gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+    return carried(docs, ("doc_id", "text"), kept)
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

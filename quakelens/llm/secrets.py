@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakelens.llm.common import table
+from quakelens.llm.common import carried, table
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A whole run of too few characters never matches, so these equal a match of one or more with short ones dropped.
@@ -198,13 +198,17 @@ def _redacted(text: Column, spans: Column, mark: str) -> Column:
 
 def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
     """docs with each secret in text replaced by a mark (overlapping ones by one mark), and n_chars of the new text."""
-    columns = docs.columns
-    found = with_spans(docs, train(docs))
-    some = F.size("__secret_spans") > 0
-    found = found.withColumn("text", F.when(some, _redacted(F.col("__secret_text"), _merged(F.col("__secret_spans")), mark)).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        found = found.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(*columns)
+
+    def redacted(docs: DataFrame) -> DataFrame:
+        columns = docs.columns
+        found = with_spans(docs, train(docs))
+        some = F.size("__secret_spans") > 0
+        found = found.withColumn("text", F.when(some, _redacted(F.col("__secret_text"), _merged(F.col("__secret_spans")), mark)).otherwise(F.col("text")))
+        if "n_chars" in columns:
+            found = found.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        return found.select(*columns)
+
+    return carried(docs, ("doc_id", "text", "n_chars"), redacted)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

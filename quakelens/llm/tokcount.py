@@ -1,9 +1,11 @@
 """Token counts: pieces are counted once for each distinct pre-token and joined to per-document frequencies.
 
-A document's pre-tokens are reduced to frequencies in its task; ids are never made. The HEAD most frequent pre-tokens of a
-bounded sample are counted first and shipped to all tasks (their number is bounded), which keeps the hot keys out of the
-join; every other pre-token is counted once, joined to the documents' frequencies by its text, and summed by document.
-The sample only decides which way a pre-token takes; the counts are the same either way.
+1. A task reduces each document to the frequencies of its pre-tokens and numbers the pre-tokens of a block of documents.
+2. All blocks' pre-tokens meet: each distinct one is tokenized once and its count joined back to the blocks that have it, so
+   a frequent pre-token is one row for each block, not for each document.
+3. A block's counts meet its documents' frequencies, which are summed. Ids are never made.
+
+Blocks end after BLOCK_PIECES pre-tokens or BLOCK_BYTES of text, whatever a task's share of the table.
 
 Defined results: null and empty texts have 0 bytes and tokens; a special string in a text counts as one token; repeated
 rows are counted each for itself; texts are read whole. Other columns are ignored.
@@ -15,8 +17,10 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +28,9 @@ from quakelens.llm.common import small_batches, staged, table
 from quakelens.llm.pretokens import SPECIAL, chunks, pre_tokens
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-SAMPLE_ROWS = 8_000
-HEAD = 150_000
+BLOCK_PIECES, BLOCK_BYTES = 150_000, 64 << 20
 LIMIT = 512
-_SEEN = "doc_id long, row long, n_bytes long, known long, rest array<struct<piece:string,times:int>>"
+_SEEN = "block long, doc_id long, n_bytes long, special long, pieces binary, times binary, place int, piece string"
 
 
 @lru_cache(maxsize=2)
@@ -50,18 +53,6 @@ def _parts(text: str) -> tuple[Counter, int]:
     return whole, len(segments) - 1
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found: Counter = Counter()
-        for text in batch.column(0).to_pylist():
-            for whole, times in _parts(text or "")[0].items():
-                found[whole] += times
-                if len(pre := pre_tokens(whole)) > 1:
-                    for p in pre:
-                        found[p] += times
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["piece", "times"])
-
-
 def _counted(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
@@ -72,56 +63,92 @@ def _counted(path: str):
     return run
 
 
-def _seen(head):
+class _Block:
+    """Numbers of a block's pre-tokens, and which of them a chunk consists of."""
+
+    def __init__(self) -> None:
+        self.pieces: dict[str, int] = {}
+        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.size = 0
+
+    def frequencies(self, text: str) -> tuple[bytes, bytes, int]:
+        """The numbers of a text's pre-tokens and how often each comes (one may stand there more than once), and its special strings."""
+        found, special = _parts(text)
+        numbers: list[int] = []
+        times: list[int] = []
+        for chunk, n in found.items():
+            own = self.chunks.get(chunk)
+            if own is None:
+                own = self.chunks[chunk] = tuple([self.pieces.setdefault(p, len(self.pieces)) for p in pre_tokens(chunk)])
+            numbers += own
+            times += [n] * len(own)
+        return np.array(numbers, "<u4").tobytes(), np.array(times, "<u4").tobytes(), special
+
+
+def _seen(block_pieces: int, block_bytes: int):
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.string()]
+    names = ["block", "doc_id", "n_bytes", "special", "pieces", "times", "place", "piece"]
+
+    def emitted(*columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = head.value
+        number, block = TaskContext.get().partitionId() << 31, _Block()
+
+        def vocabulary() -> pa.RecordBatch:
+            n = len(block.pieces)
+            return emitted([number] * n, *([None] * n for _ in range(5)), list(block.pieces.values()), list(block.pieces))
+
         for batch in batches:
-            sizes, known, rest = [], [], []
-            for text in batch.column(2).to_pylist():
-                found, total = _parts(text or "")
-                more: Counter = Counter()
-                for whole, times in found.items():
-                    n = tokens.get(whole)
-                    if n is not None:
-                        total += n * times
-                        continue
-                    for piece in pre_tokens(whole):
-                        n = tokens.get(piece)
-                        if n is not None:
-                            total += n * times
-                        else:
-                            more[piece] += times
-                sizes.append(len((text or "").encode("utf-8")))
-                known.append(total)
-                rest.append([{"piece": p, "times": k} for p, k in more.items()])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(rest, pa.list_(pa.struct([("piece", pa.string()), ("times", pa.int32())])))],
-                names=["doc_id", "row", "n_bytes", "known", "rest"],
-            )
+            rows: list[tuple] = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                size = len((text or "").encode("utf-8"))
+                pieces, times, special = block.frequencies(text or "")
+                rows.append((number, doc, size, special, pieces, times, None, None))
+                block.size += size
+                if len(block.pieces) >= block_pieces or block.size >= block_bytes:
+                    yield emitted(*map(list, zip(*rows, strict=True)))
+                    yield vocabulary()
+                    rows, number, block = [], number + 1, _Block()
+            if rows:
+                yield emitted(*map(list, zip(*rows, strict=True)))
+        if block.pieces:
+            yield vocabulary()
 
     return run
 
 
-def frequent(docs: DataFrame, path: str, rows: int = SAMPLE_ROWS, head: int = HEAD) -> dict[str, int]:
-    """Tokens of the most frequent pre-tokens of about `rows` documents; at most `head` of them."""
-    share = min(1.0, rows / max(1, docs.count()))
-    seen = docs.select("text").sample(False, share, 11).mapInArrow(_sampled, "piece string, times long")
-    top = seen.groupBy("piece").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "piece").limit(head)
-    return {r.piece: r.tokens for r in top.select("piece").mapInArrow(_counted(path), "piece string, tokens long").collect()}
+def _summed(docs: pa.Table, counts: pa.Table) -> pa.Table:
+    places = np.array(counts.column("place").to_pylist(), np.int64)
+    tokens = np.zeros(int(places.max(initial=-1)) + 1, np.int64)
+    tokens[places] = np.array(counts.column("tokens").to_pylist(), np.int64)
+    sums = [
+        int(tokens[np.frombuffer(p, "<u4")] @ np.frombuffer(t, "<u4").astype(np.int64)) + special
+        for p, t, special in zip(docs.column("pieces").to_pylist(), docs.column("times").to_pylist(), docs.column("special").to_pylist(), strict=True)
+    ]
+    return pa.table([docs.column("doc_id"), docs.column("n_bytes"), pa.array(sums, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+
+
+def frequencies(docs: DataFrame, block_pieces: int = BLOCK_PIECES, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Each document's pre-token frequencies (block, doc_id, ...) and each block's pre-tokens (block, place, piece)."""
+    small_batches(docs.sparkSession)
+    seen = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_seen(block_pieces, block_bytes), _SEEN), "pre-tokens")
+    return seen.filter("piece is null").select("block", "doc_id", "n_bytes", "special", "pieces", "times"), seen.filter("piece is not null").select("block", "place", "piece")
+
+
+def counted(pieces: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """pieces (piece, ...) with the tokens of each; every distinct piece is tokenized once."""
+    small_batches(pieces.sparkSession)
+    tokens = pieces.select("piece").distinct().mapInArrow(_counted(path), "piece string, tokens long")
+    return pieces.join(tokens, "piece")
 
 
-def count_tokens(docs: DataFrame, path: str = VOCABULARY, limit: int = LIMIT) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str = VOCABULARY, limit: int = LIMIT, block_pieces: int = BLOCK_PIECES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row of docs (doc_id, text, ...)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    head = spark.sparkContext.broadcast(frequent(docs, path))
-    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
-    seen = staged(numbered.mapInArrow(_seen(head), _SEEN), "pre-tokens")
-    rest = seen.select("row", F.inline("rest"))
-    tokens = rest.select("piece").distinct().mapInArrow(_counted(path), "piece string, tokens long")
-    sums = rest.join(tokens, "piece").groupBy("row").agg(F.sum(F.col("times") * F.col("tokens")).alias("more"))
-    n = F.col("known") + F.coalesce("more", F.lit(0))
-    return seen.select("doc_id", "row", "n_bytes", "known").join(sums, "row", "left").select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
+    documents, pieces = frequencies(docs, block_pieces, block_bytes)
+    counts = counted(pieces, path).select(F.col("block").alias("of"), "place", "tokens")
+    found = documents.groupBy("block").cogroup(counts.groupBy("of")).applyInArrow(_summed, "doc_id long, n_bytes long, n_tokens long")
+    return found.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

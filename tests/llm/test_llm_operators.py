@@ -455,13 +455,16 @@ def test_html_counts_remove(spark):
     table = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, keys string, row int").repartition(5)
     got = {r.page_id: r.text for r in html.extract(staged(table, "pages")).collect()}
     trees = {i: html.parse(h) for i, _, h in rows}
-    plain, seen = {}, {}
+    plain, seen, titles = {}, {}, {}
     for i, url, _ in rows:
         text, title, found = html.page_keys(trees[i])
         for key, passage in found.items():
-            seen.setdefault((url.split("/")[2], key), set()).add(title if passage else text)
+            seen.setdefault((url.split("/")[2], key, passage), set()).add(title if passage else text)
+            titles.setdefault(url.split("/")[2], set()).add(title)
     for i, url, _ in rows:
-        plain[i] = html.main_text(trees[i], {k for (h, k), pages in seen.items() if h == url.split("/")[2] and len(pages) >= html.MANY_PAGES})
+        host, found = url.split("/")[2], html.page_keys(trees[i])[2]
+        many = {k for (h, k, passage), pages in seen.items() if h == host and len(pages) >= html.MANY_PAGES and (not passage or 2 * len(pages) >= len(titles[h]))}
+        plain[i] = html.main_text(trees[i], many & set(found))
     assert got == plain
     assert all(got[i] == f"own words {i}" for i in range(90)) and all(got[100 + i] == f"home more\nown {i}\nBuy now at our shop" for i in range(2))
 
@@ -482,13 +485,84 @@ def test_html_keeps_articles(spark):
 
 
 def test_html_counts_inside_articles(spark):
-    """Unmarked notices, menus and tables go from articles, on hosts of any size; titles, versions of an article and words within lines stay."""
+    """Unmarked notices, menus and tables round a host's articles go; what some articles say, or say in their midst, stays."""
     notice = "<p>All <b>rights</b> kept.</p><h2>More</h2><ul><li>one<li>two</ul><table><tr><td>x</td></tr></table>"
-    own = "<article><h1>T{i}</h1><h2>Part</h2><h3>{i}</h3><p>own {i} <b>Note</b></p><ul><li>yes<li>{i}</ul>{n}</article>"
-    rows = [(i, f"http://a/{i}", own.replace("{i}", str(i)).replace("{n}", notice if i < 4 else "")) for i in range(60)]
+    own = "<article><h1>T{i}</h1><h2>Part</h2><h3>{i}</h3><p>own {i} <b>Note</b></p><p>so</p><p>a{i}</p><p>b</p><p>c{i}</p><ul><li>yes<li>{i}</ul>{n}</article>"
+    rows = [(i, f"http://a/{i}", own.replace("{i}", str(i)).replace("{n}", notice if i < 40 else "<p>A saying.</p>" if i < 50 else "")) for i in range(60)]
     rows += [(100 + i, f"http://b/{i}", f"<article><h1>same</h1><p>shared</p><p>version {i}</p></article>") for i in range(5)]
     rows += [(200 + i, f"http://c/{i}", f"<article><h1>t{i}</h1><p>only this</p></article>") for i in range(4)]
     rows += [(300 + i, f"http://d/{i}", f"<ul><li><a href='/'>home</a><li>now {i}</ul><table><tr><td>yes<td>{i}</table><p><b>Note</b> {i}</p>") for i in range(4)]
     text = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(text[i] == f"T{i}\nPart\n{i}\nown {i} Note\nyes\n{i}" for i in range(60))
+    saying = lambda i: "\nA saying." if 40 <= i < 50 else ""
+    assert all(text[i] == f"T{i}\nPart\n{i}\nown {i} Note\nso\na{i}\nb\nc{i}\nyes\n{i}{saying(i)}" for i in range(60))
     assert all(text[100 + i] == f"same\nshared\nversion {i}" and text[200 + i] == f"t{i}\nonly this" and text[300 + i] == f"now {i}\nyes\n{i}\nNote {i}" for i in range(4))
+
+
+def test_html_of_many_elements():
+    """Many articles, and end tags that find nothing to close behind a fence, take time in proportion."""
+    begin = time.process_time()
+    for page in ("<article>a</article>" * 50_000, "<i>" + "<div>" + "<b>" * 25_000 + "</i>" * 50_000, "<p>" + "<div>" * 20_000 + "<p>x" * 50_000, "<li><ul>" * 30_000 + "<li>x" * 30_000):
+        tree = html.parse(page)
+        html.page_keys(tree)
+        html.main_text(tree, set())
+    assert time.process_time() - begin < 60
+    assert html.main_text(html.parse("<article>a</article>" * 3), set()) == "a\na\na"
+
+
+def test_html_against_plain_counts(spark):
+    """Every page's text is that which plain counting over all pages of the same hosts gives."""
+    rng = random.Random(9)
+    line = lambda: rng.choice(["<p>Les.</p>", "<p>Sign up now.</p>", "<p>And.</p>", "<ul><li>a<li>b</ul>", "<div>promo</div>", "<blockquote>q</blockquote>", f"<p>own {rng.random()}</p>"])
+    rows = []
+    for i in range(160):
+        host = rng.choice(["h0", "h1", "h1", "h2", ""])
+        edge = "<p>Sign up now.</p>" if host == "h1" and rng.random() < 0.8 else ""
+        rows.append((i, f"http://{host}/{i}" if i % 50 else None, f"<body><div>{line()}</div><article><h1>t{rng.randint(0, 60)}</h1>{''.join(line() for _ in range(rng.randint(0, 9)))}{edge}</article></body>" if i % 31 else None))
+    trees = {i: html.parse(h or "") for i, _, h in rows}
+    host_of = {i: (re.match("[^:/?#]*://([^/?#]*)", u or "") or ["", ""])[1] for i, u, _ in rows}
+    seen, passages, titles, own = {}, set(), {}, {}
+    for i, _, h in rows:
+        page, title, own[i] = html.page_keys(trees[i]) if h else (0, 0, {})
+        titles.setdefault(host_of[i], set()).add(title)
+        for key, passage in own[i].items():
+            seen.setdefault((host_of[i], key), set()).add(title if passage else page)
+            if passage:
+                passages.add((host_of[i], key))
+    want = {i: html.main_text(trees[i], {k for k in own[i] if len(seen[host_of[i], k]) >= 3 and ((host_of[i], k) not in passages or 2 * len(seen[host_of[i], k]) >= len(titles[host_of[i]]))}) if h else "" for i, _, h in rows}
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == want and any(got[i] != html.main_text(trees[i], set()) for i in got)
+
+
+def test_every_pre_token_is_joined(spark, library):
+    """Token counts by blocks of every size: each distinct pre-token is tokenized once, by the join, and none is left out."""
+    rng = random.Random(4)
+    texts = [prose(rng.randint(0, 60)) + rng.choice(["", "  ", "<|endoftext|>", " \n"]) + "hot hot" * rng.randint(0, 3) for _ in range(150)] + [None, "", "<|endoftext|>", " " * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(3, texts[3])], "doc_id long, text string").repartition(3)
+    for block_pieces, block_bytes in ((1, 1), (40, 1 << 20), (10**6, 500), (tokcount.BLOCK_PIECES, tokcount.BLOCK_BYTES)):
+        _, pieces = tokcount.frequencies(docs, block_pieces, block_bytes)
+        distinct = pieces.select("piece").distinct().count()
+        counts = tokcount.counted(pieces)
+        assert counts.count() == pieces.count() and counts.select("piece").distinct().count() == distinct > 100
+        assert pieces.groupBy("block", "place").count().filter("count > 1").isEmpty()
+        got = tokcount.count_tokens(docs, block_pieces=block_pieces, block_bytes=block_bytes).collect()
+        assert len(got) == len(texts) + 1
+        for r in got:
+            text = texts[r.doc_id] or ""
+            n = len(library.encode(text, add_special_tokens=False).ids)
+            assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len(text.encode()), n > 512)
+
+
+def test_outsiders_of_a_large_bucket(spark):
+    """100,000 members of one component and 3 others in one bucket: the rows made are the pairs across, not all pairs."""
+    rows = spark.range(100_003).select(F.lit(7).cast("long").alias("key"), "id", F.when(F.col("id") < 100_000, F.lit(0)).otherwise(F.col("id")).cast("long").alias("component")).repartition(4)
+    begin = time.perf_counter()
+    mixed = minhash._mixed(rows)
+    (r,) = mixed.collect()
+    assert (r.members, r.across, r.largest) == (100_003, 300_003, 0)
+    pairs = minhash._across(rows, mixed.select("key", "largest"))
+    got = pairs.agg(F.count("*"), F.count_distinct("a", "b"), F.count_if(F.col("a") >= F.col("b"))).first()
+    assert tuple(got) == (300_003, 300_003, 0) and time.perf_counter() - begin < 60
+    few = spark.createDataFrame([(k, i, c) for k, members in ((1, "aabc"), (2, "ab"), (3, "aa"), (4, "aabbb")) for i, c in enumerate(map(ord, members))], "key long, id long, component long")
+    of = {k: [(i, c) for kk, i, c in [tuple(r) for r in few.collect()] if kk == k] for k in (1, 2, 4)}
+    want = {(x, y) for members in of.values() for x, c in members for y, d in members if x < y and c != d}
+    assert {tuple(r) for r in minhash._across(few, minhash._mixed(few).select("key", "largest")).collect()} == want

@@ -21,6 +21,28 @@ def checksum_findings(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return both.select("name", finding.alias("finding")).filter("finding is not null")
 
 
+def bundle_findings(files: DataFrame, manifest: DataFrame, required: list[str], forbidden: list[str], own: str = "manifest.json") -> DataFrame:
+    """What is wrong with recorded bundles, from their files (bundle_id, name, sha256) and what their manifests list.
+
+    missing: listed, not there; changed: other content than listed; unlisted: there, not listed; forbidden: a file that holds
+    answers; omitted: a required file that the manifest doesn't list; bare: a folder without a manifest. The manifest itself
+    needs no listing.
+    """
+    key = ["bundle_id", "name"]
+    listed = manifest.filter("name is not null").select(*key, F.col("sha256").alias("want")).withColumn("listed", F.lit(True))
+    there = files.select(*key, F.col("sha256").alias("have")).withColumn("there", F.lit(True))
+    both = listed.join(there, key, "full")
+    finding = (
+        F.when(F.col("there").isNull(), "missing").when(F.col("listed").isNull() & (F.col("name") != own), "unlisted")
+        .when(F.col("listed") & ~F.coalesce(F.col("want") == F.col("have"), F.lit(False)), "changed")
+    )
+    found = both.select(*key, finding.alias("finding")).filter("finding is not null")
+    answers = files.filter(F.col("name").isin(forbidden)).select(*key, F.lit("forbidden").alias("finding"))
+    needed = manifest.groupBy("bundle_id").agg(F.collect_set("name").alias("names")).select("bundle_id", F.explode(F.array_except(F.array(*(F.lit(r) for r in required)).cast("array<string>"), "names")).alias("name"), F.lit("omitted").alias("finding"))
+    bare = files.select("bundle_id").distinct().join(manifest.select("bundle_id").distinct(), "bundle_id", "left_anti").select("bundle_id", F.lit(own).alias("name"), F.lit("bare").alias("finding"))
+    return found.unionByName(answers).unionByName(needed).unionByName(bare)
+
+
 def split_of(key: Column, recorded: Column | None = None, salt: str = "split:", shares: tuple[float, float] = (0.5, 0.7)) -> Column:
     """The recorded split, else one by a salted digest's place between 0 and 1."""
     part = F.conv(F.substring(F.sha2(F.concat(F.lit(salt), key), 256), 1, 13), 16, 10).cast("double") / float(2**52)

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quakelens.functions import columns as C
+from quakelens.sources.staging import importable
 
-SHORT_MARKERS = 1_000
+#: Characters of texts, and of markers, that meet in one task.
+PART_CHARS, PART_MARKERS = 32 << 20, 8 << 20
 
 
 def classified(rows: DataFrame, column: str) -> DataFrame:
@@ -24,27 +30,64 @@ def sanitised(rows: DataFrame, fields: list[str]) -> DataFrame:
     return rows.withColumn("withheld", total).withColumns({f: C.withheld(F.col(f)) for f in fields})
 
 
-def canary_hits(texts: DataFrame, canaries: DataFrame, text: str, text_key: str, key: str, canary: str) -> DataFrame:
-    """Which markers occur in which texts.
-
-    Marker and text meet where both hold the marker's second and third words, an equi-join on ids and words alone; then
-    the whole marker is looked for once in each text that it met. Markers of fewer than four words, of which there may be
-    SHORT_MARKERS, are looked for in every text.
+def _found_in(sides: tuple[str, str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(texts: pa.Table, markers: pa.Table) -> pa.Table:
+        numbers, keys = [], []
+        if texts.num_rows and markers.num_rows:
+            search = ahocorasick.Automaton()
+            of: dict[str, list[int]] = {}
+            for i, marker in enumerate(markers.column("marker").to_pylist()):
+                of.setdefault(marker, []).append(i)
+            for marker in of:
+                search.add_word(marker, marker)
+            search.make_automaton()
+            for i, text in enumerate(texts.column("text").to_pylist()):
+                own = [k for marker in {m for _, m in search.iter(text)} for k in of[marker]]
+                numbers += own
+                keys += [i] * len(own)
+        take = lambda t, name, rows: t.column(name).take(pa.array(rows, pa.int64()))
+        return pa.table([take(markers, sides[0], numbers), take(texts, sides[1], keys)], names=list(sides))
+
+    return run
+
+
+def canary_hits(texts: DataFrame, canaries: DataFrame, text: str, text_key: str, key: str, canary: str, part_chars: int = PART_CHARS, part_markers: int = PART_MARKERS) -> DataFrame:
+    """Which markers occur in which texts, for any number of markers of any length.
+
+    Markers and texts are dealt into parts of bounded size, and each part of texts is read once for each part of markers, by
+    one automaton over all of these (Aho-Corasick): time goes with the texts' length, not with texts times markers. Empty
+    and null markers and null texts find nothing; repeated rows count once.
+    """
+    importable(texts.sparkSession)
+    mine, theirs = "item", "place"
+    rows = texts.select(F.col(text_key).alias(theirs), F.col(text).alias("text")).filter("text is not null and text <> ''")
+    marks = canaries.select(F.col(key).alias(mine), F.col(canary).alias("marker")).filter("marker is not null and marker <> ''")
+    chars, n = rows.agg(F.sum(F.length("text"))).first()[0] or 0, marks.agg(F.sum(F.length("marker"))).first()[0] or 0
+    parts, turns = max(1, -(-chars // part_chars)), max(1, -(-n // part_markers))
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    dealt = rows.select(theirs, "text", F.pmod(F.xxhash64("text"), F.lit(parts)).cast("int").alias("part"), every(turns).alias("turn"))
+    asked = marks.select(mine, "marker", F.pmod(F.xxhash64("marker"), F.lit(turns)).cast("int").alias("of_turn"), every(parts).alias("of_part"))
+    kinds = {**dict(asked.dtypes), **dict(dealt.dtypes)}
+    found = dealt.groupBy("part", "turn").cogroup(asked.groupBy("of_part", "of_turn")).applyInArrow(_found_in((mine, theirs)), f"{mine} {kinds[mine]}, {theirs} {kinds[theirs]}")
+    return found.distinct().toDF(key, text_key)
+
+
+def leakage_findings(texts: DataFrame, rules: DataFrame, text: str, key: str) -> DataFrame:
+    """What stands in texts that must not, by rules (rule, kind, value); rows (rule, key, value).
+
+    kind text: the value, in either case, anywhere (flag names, scenario ids); token: the value as a whole word, in either
+    case (fault classes); field: the value as a quoted field name (what only the answers have); shape: a text that doesn't
+    match the value as a pattern (ids that must not speak). Rules of kind shape are few, as patterns are code.
     """
-    words = F.split(F.regexp_replace(F.col(canary), r"\s", " "), " ")
-    pairs = F.array_distinct(F.expr("transform(sequence(0, greatest(size(__w) - 2, 0)), i -> concat_ws(' ', __w[i], get(__w, i + 1)))"))
-    markers = canaries.select(F.col(key), F.col(canary).alias("__marker"), words.alias("__words"))
-    long_ = markers.filter(F.size("__words") >= 4).select(key, "__marker", F.array_join(F.slice("__words", 2, 2), " ").alias("__k"))
-    grams = texts.select(text_key, F.split(F.regexp_replace(F.col(text), r"\s", " "), " ").alias("__w")).select(text_key, F.explode(pairs).alias("__k"))
-    met = grams.join(long_, "__k").select(text_key, key, "__marker").distinct()
-    hits = met.join(texts.select(text_key, text), text_key).filter(F.contains(F.col(text), F.col("__marker"))).select(key, text_key)
-    short = markers.filter(F.size("__words") < 4).select(key, "__marker").limit(SHORT_MARKERS + 1).collect()
-    if len(short) > SHORT_MARKERS:
-        raise ValueError(f"more than {SHORT_MARKERS} markers of under four words")
-    if short:
-        listed = F.broadcast(canaries.sparkSession.createDataFrame([(r[0], r[1]) for r in short], canaries.select(key, F.col(canary).alias("__marker")).schema))
-        hits = hits.unionByName(texts.join(listed, F.contains(F.col(text), F.col("__marker"))).select(key, text_key))
-    return hits.distinct()
+    lower = texts.select(key, F.lower(F.col(text)).alias("__text"))
+    anywhere = rules.filter("kind = 'text'").select("rule", "value", F.lower("value").alias("marker"))
+    quoted = rules.filter("kind = 'field'").select("rule", "value", F.concat(F.lit('"'), "value", F.lit('"')).alias("marker"))
+    named = lambda own, table, column: canary_hits(table, own.withColumn("__of", F.struct("rule", "value")), column, key, "__of", "marker").select("__of.rule", key, "__of.value")
+    words = lower.select(key, F.explode(F.array_distinct(F.regexp_extract_all("__text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("word"))
+    tokens = words.join(rules.filter("kind = 'token'").withColumn("word", F.lower("value")), "word").select("rule", key, "value")
+    shapes = rules.filter("kind = 'shape'").agg(F.collect_list(F.struct("rule", "value")).alias("shapes"))  # one row
+    spoken = texts.crossJoin(F.broadcast(shapes)).select(key, F.inline(F.filter("shapes", lambda r: ~F.rlike(F.col(text), r["value"])))).select("rule", key, "value")
+    return named(anywhere, lower, "__text").unionByName(named(quoted, texts, text)).unionByName(tokens).unionByName(spoken).distinct()
 
 
 def vocabulary_findings(texts: DataFrame, words: DataFrame, text: str, key: str, rule: str) -> DataFrame:

@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakelens.functions import columns as C
-from quakelens.sources.staging import importable, staged
+from quakelens.sources.staging import importable, staged, staged_at
 
 RESTART_ALPHA, SHARPNESS, ONSET_BONUS = 0.15, 1.0, 1.25  # fixed values
 TOLERANCE, MAX_ROUNDS = 1e-8, 200
+#: Nodes and edges of a bundle that is walked in one task, some tens of MB there.
+GROUP_ROWS = 200_000
 ABSTENTION = 22.717
 EDGE = ["bundle_id", "client", "server"]
 
@@ -66,33 +68,66 @@ def restart_vector(nodes: DataFrame, anomalies: DataFrame, sharpness: float = SH
     return raw.select("bundle_id", "service", F.when(F.sum("raw").over(of) > 0, F.col("raw") / F.sum("raw").over(of)).otherwise(1.0 / F.count("*").over(of)).alias("restart"))
 
 
-def pagerank_rounds(graph: DataFrame, restart: DataFrame, rounds: int, damping: float = 1 - RESTART_ALPHA, every: int = 6) -> DataFrame:
-    """G6 for graphs of any size: a number of rounds as joins and sums; ranks are written every few rounds.
-
-    A node without outgoing weight passes its rank to all nodes by their restart shares.
-    """
+def _parts(graph: DataFrame, restart: DataFrame, damping: float) -> tuple[DataFrame, DataFrame]:
+    """What each node passes along its edges, and each node's restart share and whether it has no outgoing weight; both written."""
     own = restart.withColumnRenamed("restart", "share")
     out = graph.groupBy("bundle_id", F.col("client").alias("service")).agg(F.sum("weight").alias("out")).filter("out > 0")
-    moves = graph.join(out.withColumnRenamed("service", "client"), ["bundle_id", "client"]).select("bundle_id", F.col("client").alias("service"), "server", (damping * F.col("weight") / F.col("out")).alias("p"))
-    moves = staged(moves, "moves")
+    moves = graph.filter("weight > 0").join(out.withColumnRenamed("service", "client"), ["bundle_id", "client"]).select("bundle_id", F.col("client").alias("service"), "server", (damping * F.col("weight") / F.col("out")).alias("p"))
     leaves = own.join(out, ["bundle_id", "service"], "left_anti").select("bundle_id", "service").withColumn("leaf", F.lit(True))
-    base = staged(own.join(leaves, ["bundle_id", "service"], "left").select("bundle_id", "service", "share", F.coalesce("leaf", F.lit(False)).alias("leaf")), "restart")
+    base = own.join(leaves, ["bundle_id", "service"], "left").select("bundle_id", "service", "share", F.coalesce("leaf", F.lit(False)).alias("leaf"))
+    return staged(moves, "moves"), staged(base, "restart")
+
+
+def _round(ranks: DataFrame, moves: DataFrame, damping: float) -> DataFrame:
+    """One round from written ranks (bundle_id, service, share, leaf, rank), with what each rank was `before`.
+
+    What leaves lose is a row for each bundle; what nodes get is summed before and after the shuffle, so a service that
+    many call is no hot key.
+    """
+    lost = ranks.filter("leaf").groupBy("bundle_id").agg(F.sum("rank").alias("lost"))
+    sent = ranks.join(moves, ["bundle_id", "service"]).groupBy("bundle_id", F.col("server").alias("service")).agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
+    fixed = (damping * F.coalesce("lost", F.lit(0.0)) + 1 - damping) * F.col("share")
+    return ranks.join(lost, "bundle_id", "left").join(sent, ["bundle_id", "service"], "left").select(
+        "bundle_id", "service", "share", "leaf", F.col("rank").alias("before"), (fixed + F.coalesce("got", F.lit(0.0))).alias("rank")
+    )
+
+
+def pagerank_rounds(graph: DataFrame, restart: DataFrame, rounds: int, damping: float = 1 - RESTART_ALPHA) -> DataFrame:
+    """G6 for graphs of any size: a number of rounds as joins and sums, each written.
+
+    A node without outgoing weight passes its rank to all nodes by their restart shares.
+    """
+    moves, base = _parts(graph, restart, damping)
     ranks = base.withColumn("rank", F.col("share"))
-    of = Window.partitionBy("bundle_id")
-    for k in range(1, rounds + 1):
-        lost = F.sum(F.when(F.col("leaf"), F.col("rank")).otherwise(0.0)).over(of)
-        ranks = ranks.withColumn("fixed", (damping * lost + 1 - damping) * F.col("share"))
-        # Each node's own row carries what it gets anyway; its outgoing rows carry what it passes on.
-        sent = ranks.join(moves, ["bundle_id", "service"], "left").select(
-            "bundle_id", F.inline(F.array(F.struct(F.col("server").alias("service"), (F.col("rank") * F.col("p")).alias("got"))))
-        ).filter("service is not null").groupBy("bundle_id", "service").agg(F.sum("got").alias("got"))
-        kept = ranks.select("bundle_id", "service", "share", "leaf", "fixed")
-        ranks = kept.join(sent, ["bundle_id", "service"], "left").select("bundle_id", "service", "share", "leaf", (F.col("fixed") + F.coalesce("got", F.lit(0.0))).alias("rank"))
-        if k % 2 == 0 or k == rounds:
-            ranks = staged(ranks, "ranks")
+    for _ in range(rounds):
+        ranks = staged(_round(ranks, moves, damping).drop("before"), "ranks")
     return ranks.select("bundle_id", "service", F.col("rank").alias("graph_score"))
 
 
+def pagerank_settled(graph: DataFrame, restart: DataFrame, damping: float = 1 - RESTART_ALPHA, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """G6 to convergence for graphs of any size: rounds as joins and sums until no bundle's ranks move by the tolerance in all.
+
+    A bundle whose ranks have settled is put by and takes no part in further rounds.
+    """
+    moves, base = _parts(graph, restart, damping)
+    ranks = base.withColumn("rank", F.col("share"))
+    done: list[str] = []
+    scored = "bundle_id string, service string, graph_score double"
+    for _ in range(max_rounds):
+        ranks = staged(_round(ranks, moves, damping), "ranks")
+        moved = ranks.groupBy("bundle_id").agg(F.sum(F.abs(F.col("rank") - F.col("before"))).alias("moved"))
+        settled = moved.filter(F.col("moved") < tolerance).select("bundle_id")
+        found = ranks.join(settled, "bundle_id", "left_semi").select(F.col("bundle_id").cast("string"), "service", F.col("rank").alias("graph_score"))
+        open_ = ranks.join(settled, "bundle_id", "left_anti").drop("before")
+        at = moved.agg(F.count("*").alias("all"), F.count_if(F.col("moved") < tolerance).alias("settled")).first()
+        if at["settled"]:
+            done.append(staged_at(found, "settled"))
+        if at["settled"] == at["all"]:
+            return graph.sparkSession.read.schema(scored).parquet(*done) if done else graph.sparkSession.createDataFrame([], scored)
+        ranks = staged(open_, "ranks") if at["settled"] else ranks.drop("before")
+    raise ArithmeticError(f"ranks did not settle in {max_rounds} rounds")
+
+
 def _walk(damping: float, tolerance: float, max_rounds: int) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def run(key: tuple, graph: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
         nodes = nodes.sort_values("service", ignore_index=True)
@@ -114,15 +149,20 @@ def _walk(damping: float, tolerance: float, max_rounds: int) -> Callable[[tuple,
     return run
 
 
-def pagerank(graph: DataFrame, restart: DataFrame, damping: float = 1 - RESTART_ALPHA, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """G6 to convergence for many graphs of services: each bundle's walk runs in one group, a few hundred nodes at most.
-
-    Bundles are the unit of parallelism here; a graph too large for one task goes through pagerank_rounds.
-    """
+def pagerank(
+    graph: DataFrame, restart: DataFrame, damping: float = 1 - RESTART_ALPHA, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS, group_rows: int = GROUP_ROWS
+) -> DataFrame:
+    """G6 to convergence. A bundle of at most `group_rows` nodes and edges is walked in one group, a larger one by joins and sums."""
     importable(graph.sparkSession)
-    # Both sides may come from one table; new names tell their columns apart.
-    graph, restart = (x.toDF(*(f"{p}_{c}" for c in x.columns)).toDF(*x.columns) for p, x in (("g", graph), ("r", restart)))
-    return graph.groupBy("bundle_id").cogroup(restart.groupBy("bundle_id")).applyInPandas(_walk(damping, tolerance, max_rounds), "bundle_id string, service string, graph_score double")
+    graph, restart = staged(graph.select(*EDGE, "weight"), "graph"), staged(restart.select("bundle_id", "service", "restart"), "shares")
+    sizes = graph.select("bundle_id").unionByName(restart.select("bundle_id")).groupBy("bundle_id").agg(F.count("*").alias("rows"))
+    large = staged(sizes.filter(F.col("rows") > group_rows).select("bundle_id"), "large-bundles")
+    some = not large.isEmpty()
+    small = [x.join(large, "bundle_id", "left_anti") if some else x for x in (graph, restart)]
+    found = small[0].groupBy("bundle_id").cogroup(small[1].groupBy("bundle_id")).applyInPandas(_walk(damping, tolerance, max_rounds), "bundle_id string, service string, graph_score double")
+    if not some:
+        return found
+    return found.unionByName(pagerank_settled(*(x.join(large, "bundle_id", "left_semi") for x in (graph, restart)), damping, tolerance, max_rounds))
 
 
 def rank_candidates(

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quakelens.operators import governance
 from quakelens.sources import normalise, readers, schemas, writers
 from quakelens.sources import projections as P
 from quakelens.sources.projections import Query, oracle
@@ -22,17 +23,18 @@ def add(name: str, query: Query, sql: str) -> None:
     QUERIES[name], ORACLE[name] = query, sql
 
 
-def by_folder(df: DataFrame, name: str) -> str:
-    """df as a JSON document for each row, each in the folder of its bundle; returns the root."""
+def by_folder(df: DataFrame, name: str, named: bool = True) -> str:
+    """df as a JSON document for each row, each in the folder of its bundle; returns the root. named: whether documents bear their bundle's id."""
     root = shared_path(df.sparkSession, name)
-    df.withColumn("folder", F.col("bundle_id")).repartition("folder").write.partitionBy("folder").json(root)
+    whole = df.withColumn("folder", F.col("bundle_id")).repartition("folder")
+    (whole if named else whole.drop("bundle_id")).write.partitionBy("folder").json(root)
     return root
 
 
 def _topology(s: SparkSession, d: str) -> DataFrame:
     # A bundle's edges are those between services, whatever the number of its calls.
     edges = P.fx_edges(s, d).groupBy("bundle_id").agg(F.collect_list(F.struct("client", "server", "requests_per_second", "failures_per_second", F.lit(9.0).alias("error_ratio"))).alias("edges"))
-    found = readers.read_topology(s, by_folder(edges, "topology"), "*.json")
+    found = readers.read_topology(s, by_folder(edges, "topology", named=False), "*.json")
     return found.select(F.substring_index("bundle_id", "=", -1).alias("bundle_id"), "client", "server", F.round("requests_per_second", 9).alias("requests_per_second"), "error_ratio")
 
 
@@ -180,3 +182,22 @@ def _feedback(s: SparkSession, d: str) -> DataFrame:
 
 
 add("s15_feedback", _feedback, "SELECT doc_id, 'first' AS reviewer, CAST(quality AS BIGINT) AS mark FROM labels UNION ALL SELECT doc_id, 'second', CAST(toxic AS BIGINT) FROM labels")
+
+
+def _bundles(s: SparkSession, d: str) -> DataFrame:
+    """Passages in a folder for each of five bundles, with manifests that are right, stale, short, too long, and one beside an answer."""
+    root = shared_path(s, "bundles")
+    P.table(s, d, "benchmark").withColumn("folder", F.col("item_id") % 5).repartition("folder").write.partitionBy("folder").json(root)
+    path = s.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/folder=4/label.json")
+    path.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).create(path).close()
+    files = readers.bundle_files(s, root)
+    turned = F.when(F.col("bundle_id") == "folder=1", F.reverse("sha256")).otherwise(F.col("sha256")).alias("sha256")
+    listed = files.filter("name <> 'label.json' and bundle_id <> 'folder=2'").select("bundle_id", "name", turned)
+    gone = files.filter("bundle_id = 'folder=3'").select("bundle_id", F.lit("gone.json").alias("name"), F.lit("0").alias("sha256")).distinct()
+    none = files.filter("bundle_id = 'folder=2'").select("bundle_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("sha256")).distinct()
+    found = governance.bundle_findings(files, listed.unionByName(gone).unionByName(none), [], ["label.json"])
+    return found.groupBy("bundle_id", "finding").agg(F.count("*").alias("files"))
+
+
+add("v10_files", _bundles, """SELECT DISTINCT 'folder=' || (item_id % 5) AS bundle_id, finding, 1::BIGINT AS files FROM benchmark
+ JOIN (VALUES (1, 'changed'), (2, 'unlisted'), (3, 'missing'), (4, 'unlisted'), (4, 'forbidden')) v(b, finding) ON b = item_id % 5""")

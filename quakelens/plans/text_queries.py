@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quakelens.functions import columns as C
+from quakelens.functions import sql
 from quakelens.operators import governance, logs, lookups, retrieval, safety
 from quakelens.sources import projections as P
 from quakelens.sources.projections import Query, oracle
@@ -114,6 +115,33 @@ add("j12_canaries", lambda s, d: safety.canary_hits(P.table(s, d, "documents").s
 _FLAGGED = ["the", "than", "nation_3"]
 _FLAG_ROWS = ", ".join(f"('{w}')" for w in _FLAGGED)
 add("l14_leakage", lambda s, d: safety.vocabulary_findings(P.table(s, d, "benchmark"), s.createDataFrame([(w,) for w in _FLAGGED], "word string"), "text", "item_id", "token"), f"SELECT DISTINCT 'token' AS rule, item_id, word FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS word FROM benchmark) JOIN (VALUES {_FLAG_ROWS}) v(word) USING (word)")
+_RULES = """SELECT 'scenario' AS rule, 'text' AS kind, canary AS value FROM fx_canaries UNION ALL SELECT * FROM (VALUES ('flag', 'text', 'TION THE'), ('class', 'token', 'the'), ('class', 'token', 'Nation_3'), ('answer', 'field', 'k'), ('name', 'shape', '^[A-Z]')) v"""
+
+
+def _rules(s, d):
+    fixed = [("flag", "text", "TION THE"), ("class", "token", "the"), ("class", "token", "Nation_3"), ("answer", "field", "k"), ("name", "shape", "^[A-Z]")]
+    return P.fx_canaries(s, d).select(F.lit("scenario").alias("rule"), F.lit("text").alias("kind"), F.col("canary").alias("value")).unionByName(s.createDataFrame(fixed, "rule string, kind string, value string"))
+
+
+def _readable(s, d):
+    """What may be read: passages, and the properties of events."""
+    passages = P.table(s, d, "benchmark").select(F.concat(F.lit("passage/"), F.col("item_id").cast("string")).alias("place"), "text")
+    return passages.unionByName(P.table(s, d, "events").select(F.concat(F.lit("event/"), F.col("event_id").cast("string")).alias("place"), F.col("props").alias("text")))
+
+
+add("l14_rules", lambda s, d: safety.leakage_findings(_readable(s, d), _rules(s, d), "text", "place"), oracle(r"""SELECT DISTINCT rule, place, value FROM texts JOIN rules ON
+ (kind = 'text' AND contains(lower(text), lower(value))) OR (kind = 'field' AND contains(text, '"' || value || '"')) OR (kind = 'token' AND list_contains(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lower(value)))
+ OR (kind = 'shape' AND NOT regexp_matches(text, value))""".replace("\\\\", "\\"), "fx_canaries", rules=_RULES, texts="SELECT 'passage/' || item_id AS place, text FROM benchmark UNION ALL SELECT 'event/' || event_id, props FROM events"))
+
+
+def _in_sql(s, d):
+    """Masked lines and ratios by SQL text, through the registered functions."""
+    sql.register(s)
+    P.fx_logs(s, d).createOrReplaceTempView("logs_in_sql")
+    return s.sql("SELECT mask_log(body) AS template, count(*) AS lines, error_ratio(count_if(severity = 'ERROR'), count(*)) AS ratio, min(iso_utc(timestamp)) AS first_seen FROM logs_in_sql GROUP BY 1")
+
+
+add("c15_sql_functions", _in_sql, oracle(f"SELECT {MASKED} AS template, count(*) AS lines, round(count(*) FILTER (severity = 'ERROR') / count(*), 6) AS ratio, strftime(min(timestamp), '%Y-%m-%dT%H:%M:%S.%gZ') AS first_seen FROM fx_logs GROUP BY 1", "fx_logs"))
 add("l15_without_flags", lambda s, d: safety.without_flags(P.fx_changes(s, d), ["2-high", "svc-3"]).select("change_id"), oracle("SELECT change_id FROM fx_changes WHERE detail <> '2-HIGH' AND service <> 'svc-3'", "fx_changes"))
 add("l16_policy_lines", lambda s, d: safety.policy_lines(P.table(s, d, "benchmark"), s.createDataFrame([(w,) for w in _FLAGGED], "word string"), "text", "item_id"), f"SELECT DISTINCT item_id, n AS line_number, word FROM (SELECT item_id, n, unnest(regexp_extract_all(lower(t), '[a-z]+')) AS word FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM benchmark)) JOIN (VALUES {_FLAG_ROWS}) v(word) USING (word)")
 LINKS = r"""SELECT DISTINCT page_id, regexp_replace(t, '[?#].*$', '') AS path FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?:href|src)="([^"]*)"', 1)) AS t FROM pages) WHERE NOT regexp_matches(t, '^(#|[a-zA-Z][a-zA-Z0-9+.-]*:|//)') AND regexp_replace(t, '[?#].*$', '') <> ''"""

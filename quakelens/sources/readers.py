@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -24,15 +26,52 @@ def read_facts(spark: SparkSession, root: str, kind: str) -> DataFrame:
 
 
 def read_topology(spark: SparkSession, root: str, files: str = "topology.json") -> DataFrame:
-    """Call edges of all bundles; an edge without ends or with a missing or negative rate stops the job."""
-    whole = _with_bundle(spark.read.schema(schemas.TOPOLOGY).option("multiLine", True).option("mode", "FAILFAST").json(f"{root}/*/{files}"))
-    edges = whole.select("bundle_id", F.inline("edges"))
+    """Call edges of all bundles; an edge without ends or with a missing or negative rate stops the job, and so does an
+    unknown field of a file or an edge: who writes them has changed the format. A file is read whole, one to a bundle."""
+    text = _with_bundle(spark.read.text(f"{root}/*/{files}", wholetext=True))
+    parsed = text.select(
+        "bundle_id", F.from_json("value", schemas.TOPOLOGY, {"mode": "FAILFAST"}).alias("file"), F.json_object_keys("value").alias("fields"),
+        F.transform(F.from_json(F.get_json_object("value", "$.edges"), "array<map<string,string>>"), lambda e: F.map_keys(e)).alias("edge_fields"),
+    )
+    named = lambda known: F.array(*(F.lit(n) for n in known))
+    unknown = F.array_union(F.array_except("fields", named(schemas.TOPOLOGY.names)), F.array_except(F.flatten("edge_fields"), named([*schemas.EDGE.names, "error_ratio"])))
+    stop = F.raise_error(F.concat(F.lit("unknown fields in a topology file: "), F.array_join(unknown, ", "))).cast("string")
+    whole = parsed.withColumn("bundle_id", F.when(F.size(unknown) > 0, stop).otherwise(F.col("bundle_id")))
+    edges = whole.select("bundle_id", F.inline("file.edges"))
     bad = F.col("client").isNull() | F.col("server").isNull() | ~F.coalesce(F.col("requests_per_second") >= 0, F.lit(False)) | ~F.coalesce(F.col("failures_per_second") >= 0, F.lit(False))
     rate = F.when(bad, F.raise_error(F.lit("an edge is malformed")).cast("double")).otherwise(F.col("requests_per_second"))
     ratio = F.when(rate > 0, F.col("failures_per_second") / rate).otherwise(0.0)  # what the file says isn't trusted
     return edges.select("bundle_id", "client", "server", rate.alias("requests_per_second"), "failures_per_second", F.round(ratio, 6).alias("error_ratio"))
 
 
+def _unseen(spark: SparkSession, root: str) -> DataFrame:
+    """Files that Spark's readers pass over: empty ones, and those whose names begin with _ or a dot (without a digest)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root}/*/*")
+    found = []
+    for status in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []:
+        name, empty = status.getPath().getName(), status.getLen() == 0
+        if status.isFile() and (empty or name[0] in "_.") and not name.endswith(".crc"):
+            found.append((status.getPath().getParent().getName(), name, status.getLen(), hashlib.sha256().hexdigest() if empty else None))
+    return spark.createDataFrame(found, "bundle_id string, name string, bytes long, sha256 string")
+
+
+def bundle_files(spark: SparkSession, root: str) -> DataFrame:
+    """Name, size and SHA-256 of every file in the bundles' folders under a root; each file is read whole by one task.
+
+    Names come from a listing on the driver, as for every read; checksum files of the file system itself are left out.
+    """
+    found = _with_bundle(spark.read.format("binaryFile").load(f"{root}/*/*"))
+    read = found.select("bundle_id", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return read.unionByName(_unseen(spark, root))
+
+
+def manifest_files(spark: SparkSession, root: str, files: str = "manifest.json") -> DataFrame:
+    """The files that each bundle's manifest lists; a row without a name for one that lists none."""
+    read = _with_bundle(spark.read.schema(schemas.MANIFEST).option("multiLine", True).json(f"{root}/*/{files}").withColumnRenamed("bundle_id", "__own"))
+    return read.select("bundle_id", F.explode_outer("files").alias("f")).select("bundle_id", "f.name", "f.bytes", "f.sha256")
+
+
 def read_changes(spark: SparkSession, root: str) -> DataFrame:
     """The change log of all bundles."""
     return _with_bundle(spark.read.schema(schemas.CHANGE).option("multiLine", True).json(f"{root}/*/changes.json")).select("bundle_id", *schemas.CHANGE.names)

@@ -6,12 +6,14 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quakelens import registry
 from quakelens.functions import columns as C
+from quakelens.functions import sql
 from quakelens.operators import anomaly, evidence, governance, logs, lookups, prefix, retrieval, safety, stats, topk, traces
 from quakelens.operators.windows import choose_windows
 from quakelens.plans import graph
@@ -167,9 +169,54 @@ def test_gate_verdict_takes_all_resamples(spark, monkeypatch):
 
 def test_markers_of_any_length(spark):
     texts = spark.createDataFrame([(1, "say the quick brown\nfox jumps now"), (2, "a canary-7 here"), (3, "nothing"), (4, None)], "doc_id int, text string")
-    marks = spark.createDataFrame([("long", "the quick brown\nfox"), ("inner", "ay the quick brown"), ("short", "canary-7"), ("none", "the quick red fox")], "item_id string, canary string")
-    got = {tuple(r) for r in safety.canary_hits(texts, marks, "text", "doc_id", "item_id", "canary").collect()}
-    assert got == {("long", 1), ("inner", 1), ("short", 2)}
+    marks = spark.createDataFrame([("long", "the quick brown\nfox"), ("inner", "ay the quick brown"), ("short", "canary-7"), ("none", "the quick red fox"), ("empty", ""), ("null", None)], "item_id string, canary string")
+    got = [tuple(r) for r in safety.canary_hits(texts, marks, "text", "doc_id", "item_id", "canary").collect()]
+    assert sorted(got) == [("inner", 1), ("long", 1), ("short", 2)]
+
+
+def test_very_many_markers(spark):
+    """100,000 markers, short and long, in several parts of texts and markers, against plain search."""
+    rng = np.random.default_rng(1)
+    letters = np.array(list("abcdefghij é"))
+    texts = [(i, "".join(rng.choice(letters, 3000))) for i in range(40)]
+    markers = [(i, "".join(rng.choice(letters, int(rng.integers(3, 12))))) for i in range(100_000)] + [(200_000 + i, t[i * 7 : i * 7 + 400]) for i, t in texts]
+    texts_df, marks_df = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(markers, "item_id long, canary string")
+    found = safety.canary_hits(texts_df, marks_df, "text", "doc_id", "item_id", "canary", part_chars=30_000, part_markers=300_000)
+    assert found.columns == ["item_id", "doc_id"]
+    got = {tuple(r) for r in found.collect()}
+    grams = {}
+    for i, t in texts:
+        for size in range(3, 12):
+            for k in range(len(t) - size + 1):
+                grams.setdefault(t[k : k + size], set()).add(i)
+    want = {(m, i) for m, marker in markers for i in (grams.get(marker, ()) if m < 200_000 else [m - 200_000])}
+    assert got == want and len(want) > 10_000
+
+
+def test_leakage_rules(spark):
+    texts = spark.createDataFrame([("a", "The FlagOne is on"), ("b", "a memory_leak here, no memory_leaks"), ("c", '{"fault_class": 1, "x": "fault_class"}'), ("d", "fine"), ("payment-50", "x"), ("e", None)], "place string, text string")
+    rules = spark.createDataFrame([("flag", "text", "flagone"), ("class", "token", "memory_leak"), ("class", "token", "memory"), ("answer", "field", "fault_class"), ("answer", "field", "fine")], "rule string, kind string, value string")
+    got = {tuple(r) for r in safety.leakage_findings(texts, rules, "text", "place").collect()}
+    assert got == {("flag", "a", "flagone"), ("class", "b", "memory_leak"), ("answer", "c", "fault_class")}
+    names = texts.select("place", F.col("place").alias("name"))
+    shapes = spark.createDataFrame([("name", "shape", "^[a-z]$")], "rule string, kind string, value string")
+    assert [tuple(r) for r in safety.leakage_findings(names, shapes, "name", "place").collect()] == [("name", "payment-50", "^[a-z]$")]
+
+
+def test_sql_functions_are_the_builders(spark):
+    names = sql.register(spark)
+    rows = [(m, a, n, r, s, d) for m in (0.0, 3.0, -2.0, None) for a in (0.0, 0.4, None) for n, r, s, d in ((1, 5.0, 2.0, "UP"), (9, 0.0, -1.5, "DOWN"), (9, None, 0.0, "EITHER"), (9, 7.0, None, None))]
+    df = spark.createDataFrame(rows, "m double, a double, n long, r double, s double, d string")
+    both = {
+        "robust_scale(m, a, n, r)": C.robust_scale(F.col("m"), F.col("a"), F.col("n"), F.col("r")), "robust_z(m, r, 0.5D)": C.robust_z(F.col("m"), F.col("r"), F.lit(0.5)), "directed(s, d)": C.directed(F.col("s"), F.col("d")),
+        "error_ratio(m, r)": C.error_ratio(F.col("m"), F.col("r")), "confidence_from_ratio(m, r)": C.confidence_from_ratio(F.col("m"), F.col("r")),
+        "seconds_between(timestamp_seconds(n), timestamp_seconds(m))": C.seconds_between(F.timestamp_seconds("n"), F.timestamp_seconds("m")), "iso_utc(timestamp_seconds(n))": C.iso_utc(F.timestamp_seconds("n")),
+    }
+    assert {text.split("(")[0] for text in both} == set(names) - {"mask_log"}
+    for text, column in both.items():
+        assert df.select(F.expr(text).alias("x")).collect() == df.select(column.alias("x")).collect(), text
+    lines = spark.createDataFrame([("id 123e4567-e89b-12d3-a456-426614174000 at 2024-01-01 10:00:00.5Z from 10.0.0.1: 'x' \"y\" -3.5 deadbeef99",), (None,)], "body string")
+    assert lines.select(F.expr("mask_log(body)")).collect() == lines.select(C.mask_log(F.col("body"))).collect()
 
 
 def test_masks_next_to_accents(spark):
@@ -343,3 +390,21 @@ def test_common_words_are_not_met(spark):
         patch.setattr(topk, "met", counted)
         assert retrieval.similar_incidents(entries, questions).filter("place = 1 and query_id = incident_id").count() == 20
     assert joined[0] < 20 * 20  # 240,000 without the bounds
+
+
+def test_walks_of_any_size_agree(spark):
+    """Bundles beyond the group's limit go by joins and sums and settle alike, one of 100,000 nodes among small ones."""
+    rng = np.random.default_rng(6)
+    n = 100_000
+    ends = lambda i: int(min(n - 1, rng.zipf(1.3))) if i % 3 else int(rng.integers(n))
+    edges = [("big", f"n{rng.integers(n)}", f"n{ends(i)}", float(rng.integers(1, 9))) for i in range(150_000)] + [(b, f"n{i}", f"n{(i * 7 + 1) % 20}", 1.0 + i) for b in ("x", "y") for i in range(15)]
+    restart = [("big", f"n{i}", 1.0 / n) for i in range(n)] + [(b, f"n{i}", 1 / 20) for b in ("x", "y") for i in range(20)]
+    g = spark.createDataFrame(pd.DataFrame(edges, columns=["bundle_id", "client", "server", "weight"])).groupBy("bundle_id", "client", "server").agg(F.sum("weight").alias("weight"))
+    r = spark.createDataFrame(pd.DataFrame(restart, columns=["bundle_id", "service", "restart"]))
+    damping, tolerance = 0.4, 1e-10
+    want = {(x.bundle_id, x.service): x.graph_score for x in graph.pagerank(g, r, damping, tolerance).collect()}
+    got = {(x.bundle_id, x.service): x.graph_score for x in graph.pagerank(g, r, damping, tolerance, group_rows=1000).collect()}
+    assert set(got) == set(want) and len(got) == n + 40 and max(abs(got[k] - want[k]) for k in got) < 1e-8
+    assert abs(sum(v for (b, _), v in got.items() if b == "big") - 1) < 1e-8
+    with pytest.raises(ArithmeticError):
+        graph.pagerank_settled(g.filter("bundle_id = 'x'"), r.filter("bundle_id = 'x'"), 0.85, 1e-12, 3)

@@ -1,7 +1,9 @@
+import hashlib
 import json
 
 import pytest
 
+from quakelens.operators import governance
 from quakelens.sources import normalise, readers, schemas, writers
 
 
@@ -61,3 +63,33 @@ def test_contract(spark, tmp_path):
         schemas.enforced(good.selectExpr("*", "1 as x"), schemas.METRICS)
     with pytest.raises(Exception, match="required column value is null"):
         writers.write_table(good.selectExpr("timestamp", "metric_name", "service_name", "labels_json", "cast(null as double) as value"), schemas.METRICS, str(tmp_path / "n"))
+
+
+def test_files_against_manifests(spark, tmp_path):
+    """V10 over real files: what is missing, changed, unlisted, forbidden or omitted, and a folder without a manifest."""
+    files = {"good": {"a.bin": b"1" * 5000, "b.json": b"{}"}, "bad": {"a.bin": b"2", "more.txt": b"", "labels.json": b"[]"}, "bare": {"x": b"x"}}
+    for bundle, own in files.items():
+        (tmp_path / bundle).mkdir()
+        for name, content in own.items():
+            (tmp_path / bundle / name).write_bytes(content)
+    listed = lambda *names: [{"name": n, "sha256": hashlib.sha256(c).hexdigest(), "bytes": len(c)} for n, c in names]
+    (tmp_path / "good" / "manifest.json").write_text(json.dumps({"bundle_id": "good", "files": listed(*files["good"].items())}))
+    (tmp_path / "bad" / "manifest.json").write_text(json.dumps({"bundle_id": "bad", "files": listed(("a.bin", b"changed"), ("gone", b""), ("labels.json", b"[]"))}))
+    found = readers.bundle_files(spark, str(tmp_path))
+    assert {(r.bundle_id, r.name, r.bytes) for r in found.collect() if r.name != "manifest.json"} == {(b, n, len(c)) for b, own in files.items() for n, c in own.items()}
+    got = governance.bundle_findings(found, readers.manifest_files(spark, str(tmp_path)), ["a.bin", "b.json"], ["labels.json"])
+    want = {("bad", "a.bin", "changed"), ("bad", "gone", "missing"), ("bad", "more.txt", "unlisted"), ("bad", "labels.json", "forbidden"), ("bad", "b.json", "omitted"), ("bare", "x", "unlisted"), ("bare", "manifest.json", "bare")}
+    assert {tuple(r) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize(("top", "edge"), [({}, {}), ({"note": 1}, {}), ({}, {"protocol": "grpc"})])
+def test_unknown_topology_fields_stop(spark, tmp_path, top, edge):
+    (tmp_path / "b").mkdir()
+    edges = [{"client": "a", "server": "b", "requests_per_second": 2.0, "failures_per_second": 1.0, "error_ratio": 0.9}, {"client": "b", "server": "c", "requests_per_second": 1, "failures_per_second": 0, **edge}]
+    (tmp_path / "b" / "topology.json").write_text(json.dumps({"window_start": "2024-01-01T00:00:00Z", "services": ["a"], "edges": edges, **top}, indent=1))
+    found = readers.read_topology(spark, str(tmp_path))
+    if top or edge:
+        with pytest.raises(Exception, match="unknown fields.*(note|protocol)"):
+            found.collect()
+    else:
+        assert [(r.bundle_id, r.client, r.error_ratio) for r in found.orderBy("client").collect()] == [("b", "a", 0.5), ("b", "b", 0.0)]

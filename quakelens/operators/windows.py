@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BASELINE_FRACTION, GUARD_SECONDS = 0.3333333333333333, 30.0  # fixed values
 
 
-def choose_windows(manifests: DataFrame, fraction: float = BASELINE_FRACTION, guard: float = GUARD_SECONDS) -> DataFrame:
-    """Baseline and incident window of every manifest row (bundle_id, window_start, window_end, alert_fired_at)."""
+def choose_windows(manifests: DataFrame, fraction: float | Column = BASELINE_FRACTION, guard: float = GUARD_SECONDS) -> DataFrame:
+    """Baseline and incident window of every manifest row (bundle_id, window_start, window_end, alert_fired_at).
+
+    The fraction may be a column of the manifests."""
     start, end, alert = (F.unix_micros(c) for c in ("window_start", "window_end", "alert_fired_at"))
     guarded = int(guard * 1_000_000)
     usable = alert.isNotNull() & (start + 2 * guarded < alert) & (alert < end)

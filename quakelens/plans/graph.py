@@ -192,6 +192,44 @@ def rank_candidates(
     return found.withColumn("place", F.row_number().over(Window.partitionBy("bundle_id").orderBy(F.desc("score"), "service")))
 
 
+def rank_under_settings(edges: DataFrame, anomalies: DataFrame, settings: DataFrame, onset_times: DataFrame | None = None) -> DataFrame:
+    """G7 under many settings at once: candidates by configuration and bundle, in one walk over all of them.
+
+    settings: a row for each configuration with scaling (boolean), loops, backward, sharpness and bonus. Edges and scores are
+    summed once; then every key has the configuration in it, and each step takes its parameters from the row.
+    """
+    keys = ["configuration", "scaling", "loops", "backward", "sharpness", "bonus"]
+    listed = F.broadcast(settings.agg(F.collect_list(F.struct(*keys)).alias("all")))  # one row
+    under = lambda df: df.crossJoin(listed).select("*", F.inline("all")).drop("all").withColumns({"of": F.col("bundle_id"), "bundle_id": F.concat("configuration", F.lit("\0"), "bundle_id")})
+    base = call_graph(edges)
+    nodes = staged(under(graph_nodes(base, anomalies).join(anomalies, ["bundle_id", "service"], "left")), "settings-nodes")
+    graph = under(base)
+    back = graph.filter("backward > 0").select(F.col("server").alias("client"), F.col("client").alias("server"), (F.col("weight") * F.col("backward")).alias("weight"), "bundle_id", "scaling")
+    both = graph.select("client", "server", "weight", "bundle_id", "scaling").unionByName(back).groupBy(*EDGE, "scaling").agg(F.sum("weight").alias("weight"))
+    ends = [nodes.select("bundle_id", F.col("service").alias(e), F.col("anomaly").alias(f"a_{e}")) for e in ("client", "server")]
+    root = lambda c: F.sqrt(1.0 + F.coalesce(F.col(c), F.lit(0.0)))
+    weight = F.when(F.col("scaling"), F.col("weight") * root("a_client") * root("a_server")).otherwise(F.col("weight"))
+    walked = staged(both.join(ends[0], ["bundle_id", "client"], "left").join(ends[1], ["bundle_id", "server"], "left").select(*EDGE, weight.alias("weight")), "settings-graph")
+    out = walked.groupBy("bundle_id", F.col("client").alias("service")).agg(F.sum("weight").alias("out"))
+    loops = nodes.filter("loops > 0").join(out, ["bundle_id", "service"], "left").select(
+        "bundle_id", F.col("service").alias("client"), F.col("service").alias("server"), F.when(F.col("out") > 0, F.col("out") * F.col("loops")).otherwise(1.0).alias("weight")
+    )
+    walked = walked.unionByName(loops).groupBy(*EDGE).agg(F.sum("weight").alias("weight"))
+    raw = F.pow(F.greatest(F.coalesce("anomaly", F.lit(0.0)), F.lit(0.0)), F.col("sharpness"))
+    sums = nodes.groupBy("bundle_id").agg(F.sum(raw).alias("whole"), F.count("*").alias("n"))
+    restart = nodes.join(sums, "bundle_id").select("bundle_id", "service", F.when(F.col("whole") > 0, raw / F.col("whole")).otherwise(1.0 / F.col("n")).alias("restart"))
+    found = pagerank(walked, restart).join(nodes, ["bundle_id", "service"])
+    onset = F.lit(None).cast("double").alias("onset_seconds")
+    if onset_times is None:
+        found = found.withColumn("onset_seconds", onset)
+    else:
+        found = found.join(onset_times.select(F.col("bundle_id").alias("of"), F.col("service_name").alias("service"), "onset_seconds"), ["of", "service"], "left")
+    first = F.coalesce(F.col("onset_seconds") <= F.min("onset_seconds").over(Window.partitionBy("bundle_id")), F.lit(False))
+    scored = found.withColumn("score", F.round(F.col("graph_score") * F.when(first, F.col("bonus")).otherwise(1.0), 10))
+    placed = scored.withColumn("place", F.row_number().over(Window.partitionBy("bundle_id").orderBy(F.desc("score"), "service")))
+    return placed.select("configuration", F.col("of").alias("bundle_id"), "service", "score", "place")
+
+
 def confidence(candidates: DataFrame) -> DataFrame:
     """The first candidate of each bundle and how far it stands from the second, by raw graph scores."""
     two = candidates.filter("place <= 2").groupBy("bundle_id").agg(

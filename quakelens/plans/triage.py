@@ -51,16 +51,23 @@ def report_rows(found: DataFrame, manifests: DataFrame, edges: DataFrame, change
     )
 
 
-def fraction_trials(facts: DataFrame, manifests: DataFrame, edges: DataFrame, directions: DataFrame, truths: DataFrame, fraction: float) -> DataFrame:
-    """For one baseline fraction, how often the truth (bundle_id, truth) ranks first or among three, and the share of
-    bundles whose onsets differ, so that their order says something."""
-    windows = choose_windows(manifests, fraction)
+def fraction_trials(facts: DataFrame, manifests: DataFrame, edges: DataFrame, directions: DataFrame, truths: DataFrame, fractions: dict[str, float]) -> DataFrame:
+    """For each baseline fraction (by its configuration's name), how often the truth (bundle_id, truth) ranks first or
+    among three, and the share of bundles whose onsets differ, so that their order says something.
+
+    All fractions are tried in one job: every bundle stands for one trial with each, with the configuration in its key, and
+    the facts are read once.
+    """
+    tried = F.array(*(F.struct(F.lit(name).alias("configuration"), F.lit(f).alias("fraction")) for name, f in fractions.items()))
+    under = lambda df: df.select("*", F.inline(tried)).withColumn("bundle_id", F.concat("configuration", F.lit("\0"), "bundle_id"))
+    facts, edges, truths = (under(df).drop("configuration", "fraction") for df in (facts, edges, truths))
+    windows = choose_windows(under(manifests), F.col("fraction"))
     worst = anomaly.worst_scores(anomaly.score_services(facts, windows, directions)).withColumnRenamed("service_name", "service")
     onset_times = anomaly.onsets(facts, windows)
     places = graph.rank_candidates(edges, worst, onset_times).join(truths, "bundle_id").filter("service = truth").select("bundle_id", "place")
     distinct = onset_times.groupBy("bundle_id").agg(F.count_distinct("onset_seconds").alias("onsets"))
     trials = windows.select("bundle_id").join(places, "bundle_id", "left").join(distinct, "bundle_id", "left")
-    return trials.agg(
+    return trials.groupBy(F.substring_index("bundle_id", "\0", 1).alias("configuration")).agg(
         F.count("*").alias("trials"), F.count_if(F.col("place") == 1).alias("top1"), F.count_if(F.col("place") <= 3).alias("top3"), F.count_if(F.col("onsets") > 1).alias("onset_order_survives"),
         F.round(F.coalesce(F.try_divide(F.count_if(F.col("onsets") > 1), F.count("*")), F.lit(0.0)), 4).alias("survival_share"),
     )

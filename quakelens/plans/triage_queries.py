@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quakelens.operators import anomaly, gate
+from quakelens.operators import anomaly
 from quakelens.operators.windows import choose_windows
 from quakelens.plans import graph, triage
-from quakelens.plans.graph_queries import LEAF, MOVES, SETTLED, walk
+from quakelens.plans.graph_queries import GRAPH, LEAF, MOVES, SETTLED, walk
 from quakelens.plans.metric_queries import CHAIN, ONSETS
 from quakelens.sources import projections as P
 from quakelens.sources.projections import Query, oracle
@@ -74,7 +74,32 @@ SELECT bundle_id, coalesce(top, 0) AS top_anomaly, coalesce(top, 0) < {THRESHOLD
 FROM pairs LEFT JOIN tops USING (bundle_id)"""
 QUERIES["g13_triage"] = lambda s, d: _triage(s, d).withColumn("candidates", F.array_join("candidates", ","))
 QUERIES["g15_report_rows"] = _report
-QUERIES["e21_sweep"] = lambda s, d: gate.sweep(lambda c: graph.rank_candidates(P.fx_edges(s, d), _scores(s, d), **c).filter("place <= 3").select("bundle_id", "service", "place"), SWEEP)
+
+
+def _settings(s):
+    default = {"scaling": True, "loops": 0.0, "backward": 0.0, "sharpness": graph.SHARPNESS, "bonus": graph.ONSET_BONUS}
+    return s.createDataFrame([(name, *(default | own).values()) for name, own in SWEEP.items()], "configuration string, scaling boolean, loops double, backward double, sharpness double, bonus double")
+
+
+QUERIES["e21_sweep"] = lambda s, d: graph.rank_under_settings(P.fx_edges(s, d), _scores(s, d), _settings(s)).filter("place <= 3").select("configuration", "bundle_id", "service", "place")
+_CFG = ", ".join(f"('{n}', {str(c.get('scaling', True)).lower()}, {float(c.get('loops', 0))}::DOUBLE, {float(c.get('backward', 0))}::DOUBLE, {float(c.get('sharpness', 1))}::DOUBLE)" for n, c in SWEEP.items())
+_SWEPT = {
+    "cfg": f"SELECT * FROM (VALUES {_CFG}) v(name, scaling, loops, backward, sharpness)",
+    "base": GRAPH,
+    "g": """SELECT name || '|' || of AS bundle_id, name, client, server, sum(weight) AS weight FROM (SELECT name, bundle_id AS of, client, server, weight FROM base, cfg
+ UNION ALL SELECT name, bundle_id, server, client, weight * backward FROM base, cfg WHERE backward > 0) GROUP BY ALL""",
+    "scored": "SELECT name || '|' || bundle_id AS bundle_id, name, bundle_id AS of, service, anomaly FROM (SELECT DISTINCT bundle_id FROM fx_edges), fx_anomaly, cfg",
+    "weighed": """SELECT bundle_id, name, client, server, weight * CASE WHEN scaling THEN sqrt(1 + a.anomaly) * sqrt(1 + b.anomaly) ELSE 1 END AS weight FROM g JOIN cfg USING (name)
+ JOIN fx_anomaly a ON a.service = client JOIN fx_anomaly b ON b.service = server""",
+    "scaled": """SELECT bundle_id, client, server, sum(weight) AS weight FROM (SELECT bundle_id, client, server, weight FROM weighed UNION ALL
+ SELECT s.bundle_id, s.service, s.service, CASE WHEN o > 0 THEN o * loops ELSE 1 END FROM scored s JOIN cfg USING (name) LEFT JOIN (SELECT bundle_id, client AS service, sum(weight) AS o FROM weighed GROUP BY ALL) t USING (bundle_id, service) WHERE loops > 0) GROUP BY ALL""",
+    "restart": """SELECT bundle_id, service, CASE WHEN sum(raw) OVER p > 0 THEN raw / sum(raw) OVER p ELSE 1.0::DOUBLE / count(*) OVER p END AS restart
+ FROM (SELECT s.*, pow(greatest(anomaly, 0), sharpness) AS raw FROM scored s JOIN cfg USING (name)) WINDOW p AS (PARTITION BY bundle_id)""",
+    "nodes": LEAF,
+    "moves": MOVES,
+}
+ORACLE["e21_sweep"] = f"""{oracle("", "fx_edges", "fx_anomaly", **_SWEPT).rstrip()}, {walk(SETTLED)} SELECT name AS configuration, of AS bundle_id, service, place FROM (
+ SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY round(rank, 10) DESC, service) AS place FROM r{SETTLED} JOIN (SELECT DISTINCT bundle_id, name, of FROM scored) USING (bundle_id)) WHERE place <= 3"""
 FRACTIONS = (0.2, 0.25, 0.3333333333333333, 0.4)
 
 
@@ -84,8 +109,27 @@ def _truths(s, d):
     return errors.groupBy("bundle_id").agg(F.max_by("service_name", F.struct("n", "service_name")).alias("truth"))
 
 
-def _trials(s, d, fraction: float):
-    return triage.fraction_trials(P.fx_metrics(s, d), P.fx_windows(s, d), _edges(s, d), P.fx_directions(s, d), _truths(s, d), fraction)
+def _trials(s, d):
+    fractions = {f"fraction_{f:.4f}": f for f in FRACTIONS}
+    return triage.fraction_trials(P.fx_metrics(s, d), P.fx_windows(s, d), _edges(s, d), P.fx_directions(s, d), _truths(s, d), fractions)
+
 
+QUERIES["e21_fraction_sweep"] = _trials
 
-QUERIES["e21_fraction_sweep"] = lambda s, d: gate.sweep(lambda c: _trials(s, d, **c), {f"fraction_{f:.4f}": {"fraction": f} for f in FRACTIONS})
+# The fractions' twin: the views of g13 over metrics and windows that stand once for each fraction.
+_FRACTIONS = ", ".join(f"('fraction_{f:.4f}', {f!r}::DOUBLE)" for f in FRACTIONS)
+_UNDER = {
+    "fractions": f"SELECT * FROM (VALUES {_FRACTIONS}) v(configuration, fraction)",
+    "m0": P.SQL["fx_metrics"],
+    "w0": P.SQL["fx_windows"].replace("FROM fx_metrics", "FROM m0"),
+    "fx_metrics": "SELECT configuration || '|' || bundle_id AS bundle_id, * EXCLUDE (bundle_id, configuration, fraction) FROM m0, fractions",
+    "fx_windows": "SELECT configuration || '|' || bundle_id AS bundle_id, * EXCLUDE (bundle_id, configuration) FROM w0, fractions",
+    "fx_directions": P.SQL["fx_directions"],
+    **_VIEWS,
+}
+_UNDER["windows"] = _UNDER["windows"].replace("0.3333333333333333::DOUBLE", "fraction")
+ORACLE["e21_fraction_sweep"] = f"""{oracle("", **_UNDER).rstrip()}, {walk(SETTLED)}, candidates AS ({_CANDIDATES}),
+ truths AS (SELECT bundle_id, max_by(service_name, (n, service_name)) AS service FROM (SELECT bundle_id, service_name, count(*) AS n FROM fx_metrics WHERE metric_name = 'error' GROUP BY ALL) GROUP BY 1),
+ differing AS (SELECT bundle_id, count(DISTINCT onset_seconds) AS k FROM onsets GROUP BY 1)
+SELECT split_part(w.bundle_id, '|', 1) AS configuration, count(*) AS trials, count(*) FILTER (place = 1) AS top1, count(*) FILTER (place <= 3) AS top3, count(*) FILTER (k > 1) AS onset_order_survives,
+ round(count(*) FILTER (k > 1) / count(*), 4) AS survival_share FROM fx_windows w LEFT JOIN (SELECT bundle_id, place FROM candidates JOIN truths USING (bundle_id, service)) USING (bundle_id) LEFT JOIN differing USING (bundle_id) GROUP BY 1"""

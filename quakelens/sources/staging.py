@@ -43,13 +43,13 @@ def drop_staged(spark: SparkSession) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def staged_at(df: DataFrame, name: str) -> str:
+def staged_at(df: DataFrame, name: str, **options: str) -> str:
     """The new path in the shared folder to which df is written."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return path
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df, written and read back: lineage ends here, and a lost executor costs a reread. drop_staged deletes such tables."""
-    return df.sparkSession.read.schema(df.schema).parquet(staged_at(df, name))
+    return df.sparkSession.read.schema(df.schema).parquet(staged_at(df, name, **options))

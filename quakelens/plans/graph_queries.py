@@ -123,8 +123,16 @@ add(
     oracle("SELECT bundle_id, client, server, round(requests_per_second * 2, 9) AS requests_per_second FROM fx_edges", "fx_edges"),
 )
 add("s18_windows", lambda s, d: governance.windows_of(P.fx_edges(s, d), "bundle_id"), oracle("SELECT DISTINCT bundle_id FROM fx_edges ORDER BY 1 DESC", "fx_edges"))
-add("u03_set_sizes", lambda s, d: lookups.set_sizes(P.fx_edges(s, d).filter("bundle_id = '1997'").select(F.concat_ws(">", "client", "server").alias("edge")), P.fx_edges(s, d).filter("bundle_id = '2003'").select(F.concat_ws(">", "client", "server").alias("edge"))),
-    oracle("SELECT count(*) FILTER (t IS NOT NULL AND c IS NOT NULL) AS shared, count(*) FILTER (c IS NULL) AS only_treatment, count(*) FILTER (t IS NULL) AS only_control FROM (SELECT DISTINCT client || '>' || server AS t FROM fx_edges WHERE bundle_id = '1997') FULL JOIN (SELECT DISTINCT client || '>' || server AS c FROM fx_edges WHERE bundle_id = '2003') ON t = c", "fx_edges"))
+
+
+def _years(s, d, end):
+    """The edges of the first or the last year that the table has."""
+    edges = P.fx_edges(s, d)
+    return edges.join(F.broadcast(edges.agg(end("bundle_id").alias("bundle_id"))), "bundle_id").select(F.concat_ws(">", "client", "server").alias("edge"))  # one row
+
+
+add("u03_set_sizes", lambda s, d: lookups.set_sizes(_years(s, d, F.min), _years(s, d, F.max)),
+    oracle("SELECT count(*) FILTER (t IS NOT NULL AND c IS NOT NULL) AS shared, count(*) FILTER (c IS NULL) AS only_treatment, count(*) FILTER (t IS NULL) AS only_control FROM (SELECT DISTINCT client || '>' || server AS t FROM fx_edges WHERE bundle_id = (SELECT min(bundle_id) FROM fx_edges)) FULL JOIN (SELECT DISTINCT client || '>' || server AS c FROM fx_edges WHERE bundle_id = (SELECT max(bundle_id) FROM fx_edges)) ON t = c", "fx_edges"))
 
 # Traces
 

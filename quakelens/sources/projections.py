@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK_SECONDS = 518_400
-BLOCKS = 5
 DIRECTIONS = [("click", "EITHER"), ("error", "UP"), ("purchase", "DOWN"), ("signup", "UP"), ("view", "UP")]
 
 
@@ -34,13 +33,14 @@ def fx_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fx_error_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Hourly errors by bundle and service, zero where there are none."""
+    """Hourly errors by bundle with events and service, zero where there are none."""
     m = fx_metrics(spark, d)
     hour = F.date_trunc("hour", "timestamp")
     seen = m.filter("metric_name = 'error'").groupBy("bundle_id", "service_name", hour.alias("timestamp")).agg(F.count("*").alias("n"))
-    hours = spark.range(BLOCKS * BLOCK_SECONDS // 3600).select(
-        F.concat(F.lit("inc_"), F.floor(F.col("id") * 3600 / BLOCK_SECONDS).cast("string")).alias("bundle_id"), F.timestamp_seconds(F.col("id") * 3600 + 1_704_067_200).alias("timestamp")
-    )
+    block = F.substring_index("bundle_id", "_", -1).cast("long")
+    blocks = m.select("bundle_id").distinct()
+    start = block * (BLOCK_SECONDS // 3600)
+    hours = blocks.select("bundle_id", F.explode(F.sequence(start, start + BLOCK_SECONDS // 3600 - 1)).alias("id")).select("bundle_id", F.timestamp_seconds(F.col("id") * 3600 + 1_704_067_200).alias("timestamp"))
     grid = hours.crossJoin(F.broadcast(spark.range(8).select(F.concat(F.lit("svc-"), F.col("id").cast("string")).alias("service_name"))))
     keys = ["bundle_id", "service_name", "timestamp"]
     return grid.join(seen, keys, "left").select(*keys, F.lit("error_count").alias("metric_name"), F.coalesce("n", F.lit(0)).cast("double").alias("value"))
@@ -170,7 +170,7 @@ def fx_calls(spark: SparkSession, d: str) -> DataFrame:
 SQL: dict[str, str] = {
     "fx_metrics": "SELECT 'inc_' || CAST(floor((floor(epoch_us(ts) / 1000000.0) - 1704067200) / 518400.0) AS BIGINT) AS bundle_id, ts AS timestamp, event_type AS metric_name, 'svc-' || (user_id % 8) AS service_name, props AS labels_json, CASE WHEN event_type = 'error' THEN 'STATUS_CODE_ERROR' ELSE 'STATUS_CODE_OK' END AS status_code, value FROM events",
     "fx_windows": "SELECT 'inc_' || i AS bundle_id, TIMESTAMP '2024-01-01' + to_seconds(i * 518400) AS window_start, TIMESTAMP '2024-01-01' + to_seconds((i + 1) * 518400) AS window_end, CASE WHEN i % 2 = 0 THEN TIMESTAMP '2024-01-01' + to_seconds(i * 518400 + 259200) END AS alert_fired_at FROM (SELECT DISTINCT CAST(substr(bundle_id, 5) AS BIGINT) AS i FROM fx_metrics)",
-    "fx_error_counts": "SELECT g.bundle_id, g.service_name, g.timestamp, 'error_count' AS metric_name, CAST(coalesce(n, 0) AS DOUBLE) AS value FROM (SELECT 'inc_' || (h * 3600 // 518400) AS bundle_id, TIMESTAMP '2024-01-01' + to_seconds(h * 3600) AS timestamp, 'svc-' || s AS service_name FROM range(720) a(h), range(8) b(s)) g LEFT JOIN (SELECT bundle_id, service_name, date_trunc('hour', timestamp) AS timestamp, count(*) AS n FROM fx_metrics WHERE metric_name = 'error' GROUP BY ALL) USING (bundle_id, service_name, timestamp)",
+    "fx_error_counts": "SELECT g.bundle_id, g.service_name, g.timestamp, 'error_count' AS metric_name, CAST(coalesce(n, 0) AS DOUBLE) AS value FROM (SELECT bundle_id, TIMESTAMP '2024-01-01' + to_seconds((i * 144 + h) * 3600) AS timestamp, 'svc-' || s AS service_name FROM (SELECT DISTINCT bundle_id, CAST(substr(bundle_id, 5) AS BIGINT) AS i FROM fx_metrics), range(144) a(h), range(8) b(s)) g LEFT JOIN (SELECT bundle_id, service_name, date_trunc('hour', timestamp) AS timestamp, count(*) AS n FROM fx_metrics WHERE metric_name = 'error' GROUP BY ALL) USING (bundle_id, service_name, timestamp)",
     "fx_directions": "SELECT * FROM (VALUES ('click', 'EITHER'), ('error', 'UP'), ('purchase', 'DOWN'), ('signup', 'UP'), ('view', 'UP')) t(metric_name, direction)",
     "fx_spans": "SELECT o_orderkey AS trace_id, 'o' AS span_id, CAST(NULL AS VARCHAR) AS parent_span_id, 'prio-' || o_orderpriority AS service_name, o_orderstatus AS span_name, o_orderdate AS start_time, o_totalprice / 1000 AS duration_ms, 'OK' AS status_code FROM orders UNION ALL SELECT l_orderkey, 'l' || rn, CASE WHEN l_returnflag = 'A' AND rn % 5 = 0 THEN 'x' WHEN rn = 1 THEN 'o' ELSE 'l' || (rn // 2) END, 'supp-' || (l_suppkey % 12), 'op-' || (l_partkey % 5), l_shipdate, l_extendedprice / 1000, CASE WHEN l_returnflag = 'R' THEN 'ERROR' ELSE 'OK' END FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS rn FROM lineitem)",
     "fx_edges": "SELECT CAST(year(l_shipdate) AS VARCHAR) AS bundle_id, c.n_name AS client, s.n_name AS server, count(*) / 86400.0::DOUBLE AS requests_per_second, count(*) FILTER (l_returnflag = 'R') / 86400.0::DOUBLE AS failures_per_second FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation c ON c.n_nationkey = c_nationkey JOIN nation s ON s.n_nationkey = s_nationkey WHERE c_nationkey <> s_nationkey GROUP BY ALL",

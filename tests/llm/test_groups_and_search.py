@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quakelens.llm import binary_packing, hard_negatives, ids, packing, spelling
+from quakelens.llm import binary_packing, hard_negatives, ids, packing, quality, secrets, spelling
 
 SCHEMA = "doc_id long, text string, word string, n int, part string, block string"
 
@@ -188,3 +188,64 @@ def test_bounds_spare_scores():
     for i in range(4):
         assert set(np.argsort(-exact[i], kind="stable")[:5]) <= set(columns[open_[i]].tolist())
         assert (scores[i] == exact[i, columns]).all()
+
+
+def test_quality_scores_against_plain_ones(spark):
+    """op4: the model minimises the pairwise loss, computed plainly, and every score is the plain one of its text."""
+    rng = random.Random(6)
+    good, bad = [f"w{i}" for i in range(300)], ["zz", "!!", "BUY", "now"]
+    texts = [" ".join(rng.choice(good if i % 3 else bad) for _ in range(rng.randint(5, 60))) + ("." if i % 3 else "") for i in range(240)] + [None, "", "word " * 20_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0) if i % 10 else 1 - int(i % 3 > 0)) for i in range(240)], "doc_id long, quality int")
+    marks = {r.doc_id: r.quality for r in labels.collect()}
+    order = [r.doc_id for r in docs.filter("doc_id < 240").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    chosen = [i for i in order if zlib.crc32(str(i).encode()) % 4 != 2]
+    x, y = np.array([quality.features(texts[i]) for i in chosen], float), np.array([marks[i] for i in chosen])
+    model = quality.fit(x, y)
+    mean, scale = x.mean(0), x.std(0) + 1e-6
+
+    def basis(rows):
+        z = np.clip((rows - mean) / scale, -6, 6)
+        return np.hstack([z, z * z])
+
+    draws = np.random.default_rng(7)
+    better, worse = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    first, second = draws.choice(better, quality.PAIRS), draws.choice(worse, quality.PAIRS)
+    differences = basis(x)[first] - basis(x)[second]
+    loss = lambda w: np.log1p(np.exp(-differences @ w)).mean() + 0.5e-3 * w @ w
+    least = loss(model.weights)
+    for i in range(len(model.weights)):
+        for step in (-1e-3, 1e-3):
+            moved = model.weights.copy()
+            moved[i] += step
+            assert loss(moved) >= least
+    at = np.quantile(basis(x) @ model.weights, (y == 0).mean())
+    raw = basis(np.array([quality.features(t or "") for t in texts], float)) @ model.weights
+    want = 1 / (1 + np.exp(-(raw - at + np.log(0.7 / 0.3))))
+    rows = {r.doc_id: r for r in quality.score(docs, labels).collect()}
+    assert len(rows) == len(texts)
+    for i, r in rows.items():
+        assert abs(r.score - want[i]) < 1e-9 and r.predicted == int(r.score >= 0.7) and r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+    assert sum(rows[i].predicted == marks[i] for i in marks) > 0.8 * len(marks)
+
+
+def test_recall_of_random_strings(spark):
+    """op2: the character models find planted random strings that no pattern gives away, and leave ordinary identifiers alone."""
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    names = ["get", "user", "account", "request", "handler", "parse", "config", "value", "index", "message", "buffer", "stream", "record"]
+    planted, rows = {}, []
+    for i in range(300):
+        words = [rng.choice(["the", "of", "reading", "service", "returns", "_".join(rng.sample(names, 3)), "".join(w.title() for w in rng.sample(names, 3))]) for _ in range(60)]
+        if i % 2:
+            planted[i] = "".join(rng.choice(letters) for _ in range(rng.randint(24, 44)))
+            words.insert(rng.randint(0, 60), planted[i])
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    found = {}
+    for r in secrets.scan(docs).collect():
+        found[r.doc_id] = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s]
+    hit = sum(any(text[i][a:b] in p or p in text[i][a:b] for a, b in found[i]) for i, p in planted.items())
+    false = sum(not any(text[i][a:b] in planted.get(i, "") or planted.get(i, "\0") in text[i][a:b] for a, b in [s]) for i, spans in found.items() for s in spans)
+    assert hit >= 0.75 * len(planted) and false <= 3, (hit, len(planted), false)  # 122 of 150 and none when this was written

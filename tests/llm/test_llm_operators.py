@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 from quakelens.llm import bpe, exact, html, minhash, packing, quality, secrets, tiff, tokcount, urls
 from quakelens.llm.common import staged
+from quakelens.llm.pretokens import pre_tokens
 
 random.seed(5)
 WORDS = ["the", "erth", "tion", "anble", "of", "shed", "ing", "wh", "Ünd", "日本", "42", "é"]
@@ -538,13 +539,14 @@ def test_every_pre_token_is_joined(spark, library):
     rng = random.Random(4)
     texts = [prose(rng.randint(0, 60)) + rng.choice(["", "  ", "<|endoftext|>", " \n"]) + "hot hot" * rng.randint(0, 3) for _ in range(150)] + [None, "", "<|endoftext|>", " " * 3000]
     docs = spark.createDataFrame(list(enumerate(texts)) + [(3, texts[3])], "doc_id long, text string").repartition(3)
-    for block_pieces, block_bytes in ((1, 1), (40, 1 << 20), (10**6, 500), (tokcount.BLOCK_PIECES, tokcount.BLOCK_BYTES)):
-        _, pieces = tokcount.frequencies(docs, block_pieces, block_bytes)
-        distinct = pieces.select("piece").distinct().count()
-        counts = tokcount.counted(pieces)
-        assert counts.count() == pieces.count() and counts.select("piece").distinct().count() == distinct > 100
-        assert pieces.groupBy("block", "place").count().filter("count > 1").isEmpty()
-        got = tokcount.count_tokens(docs, block_pieces=block_pieces, block_bytes=block_bytes).collect()
+    want = {p for t in texts for part in (t or "").split("<|endoftext|>") for p in pre_tokens(part)}
+    for block_pieces, block_bytes, bucket_chars in ((1, 1, 1), (40, 1 << 20, 5000), (10**6, 500, 200), (tokcount.BLOCK_PIECES, tokcount.BLOCK_BYTES, tokcount.BUCKET_CHARS)):
+        _, words = tokcount.frequencies(docs, block_pieces, block_bytes, bucket_chars)
+        rows = [(r.bucket, r.block, word) for r in words.collect() for word in tokcount._words(r.words)]
+        assert {word for _, _, word in rows} == want and len({(block, word) for _, block, word in rows}) == len(rows)
+        assert len({(bucket, word) for bucket, _, word in rows}) == len(want)  # all of a pre-token's rows meet in one bucket
+        assert tokcount.counted(words).agg(F.sum(F.length("tokens")), F.sum(F.length("places"))).first()[:] == (4 * len(rows), 4 * len(rows))
+        got = tokcount.count_tokens(docs, block_pieces=block_pieces, block_bytes=block_bytes, bucket_chars=bucket_chars).collect()
         assert len(got) == len(texts) + 1
         for r in got:
             text = texts[r.doc_id] or ""

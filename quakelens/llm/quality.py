@@ -4,8 +4,11 @@ A document's features are shape statistics of its whole text. Each labelled good
 ones; weights are learned by logistic loss on feature differences. The threshold is the score quantile at the share of
 bad labels among the training rows, and scores are placed so that the threshold is at 0.7.
 
-The model is fitted on at most TRAIN_ROWS labelled rows (a hash of doc_id chooses them), so the driver holds a bounded
-table; scoring covers every row. Rows whose crc32(doc_id) mod 4 is 2 are held out and never trained on.
+Every labelled row that is not held out (crc32(doc_id) mod 4 is 2) is trained on. Up to SMALL_ROWS of them are fitted by
+one process on drawn pairs, so many that each row is drawn. More are dealt into blocks of about BLOCK_ROWS rows of the more
+frequent label; in a block each good row is preferred to each bad one, and a Newton step sums the blocks' gradients and
+Hessians in Spark. A rare label's rows go to several blocks, so that no block lacks them. The threshold is the exact
+quantile over all training rows. The driver holds sums and counts only.
 
 Defined results: null texts count as empty and get a score like any other; labels of unknown documents, null labels and
 null ids are ignored; of contradicting labels for one document the lower counts; with no label, or labels of one kind
@@ -14,7 +17,7 @@ only, every weight is 0 and every score is 0.7 (nothing is rejected). Labels, la
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quakelens.llm.common import carried, small_batches, staged, table
 
-TRAIN_ROWS = 20_000
+SMALL_ROWS, BLOCK_ROWS, LEAST_RARE = 2_000, 256, 32
 PAIRS = 60_000
 THRESHOLD = 0.7
 _OWN = "__quality_"
@@ -88,11 +91,15 @@ class Model:
 
     def column(self, prefix: str = "") -> Column:
         """The score as a Spark expression over the feature columns."""
+        return F.lit(1.0) / (1.0 + F.exp(-(self.above(prefix) + float(np.log(THRESHOLD / (1 - THRESHOLD))))))
+
+    def above(self, prefix: str = "") -> Column:
+        """How far the raw score stands above the threshold, as a Spark expression."""
         z = [F.greatest(F.lit(-6.0), F.least(F.lit(6.0), (F.col(prefix + f) - float(m)) / float(s))) for f, m, s in zip(FEATURES, self.mean, self.scale, strict=True)]
         total = F.lit(float(-self.at))
         for v, w in zip([*z, *(x * x for x in z)], self.weights, strict=True):
             total = total + v * float(w)
-        return F.lit(1.0) / (1.0 + F.exp(-(total + float(np.log(THRESHOLD / (1 - THRESHOLD))))))
+        return total
 
 
 def _basis(z: np.ndarray) -> np.ndarray:
@@ -122,14 +129,102 @@ def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, seed: int = 7) -> M
     return model
 
 
-def train(shapes: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most `rows` labelled, not held-out rows of a feature table."""
+def _packed(mean: np.ndarray, scale: np.ndarray) -> Callable[[pa.Table], pa.Table]:
+    """A block's rows as two matrices in one row."""
+
+    def run(block: pa.Table) -> pa.Table:
+        x = np.column_stack([block.column(f).to_numpy() for f in FEATURES])
+        z, good = np.clip((x - mean) / scale, -6, 6), block.column("quality").to_numpy()
+        return pa.table({"better": pa.array([z[good == 1].tobytes()], pa.binary()), "worse": pa.array([z[good == 0].tobytes()], pa.binary())})
+
+    return run
+
+
+def _pair_sums(weights: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Gradient, Hessian and number of all pairs of the blocks of a partition, one after another by position."""
+    width = len(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gradient, hessian, n = np.zeros(width), np.zeros((width, width)), 0
+        for batch in batches:
+            for first, second in zip(batch.column(0), batch.column(1), strict=True):
+                better, worse = (_basis(np.frombuffer(c.as_buffer(), np.float64).reshape(-1, len(FEATURES))) for c in (first, second))
+                low = worse @ weights
+                for at in range(0, len(better), BLOCK_ROWS):
+                    some = better[at : at + BLOCK_ROWS]
+                    p = 1 / (1 + np.exp(np.clip((some @ weights)[:, None] - low, -40, 40)))  # the chance of the wrong order
+                    q = p * (1 - p)
+                    gradient += p.sum(1) @ some - p.sum(0) @ worse
+                    cross = some.T @ q @ worse
+                    hessian += (some * q.sum(1)[:, None]).T @ some + (worse * q.sum(0)[:, None]).T @ worse - cross - cross.T
+                n += len(better) * len(worse)
+        values = np.concatenate([gradient, hessian.ravel(), [n]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["position", "value"])
+
+    return run
+
+
+def _ranked(values: DataFrame, rank: int, bins: int = 1024, few: int = 1000) -> float:
+    """The value of a rank (from 0) in a column `raw`, exactly: counts by bins, then by bins of the bin that holds it."""
+    low, high = values.agg(F.min("raw"), F.max("raw")).first()
+    while low < high:
+        number = F.least(F.floor((F.col("raw") - low) / (high - low) * bins), F.lit(bins - 1))
+        inside = values.filter(F.col("raw").between(low, high))
+        for found in inside.groupBy(number.alias("bin")).agg(F.count("*").alias("n"), F.min("raw").alias("low"), F.max("raw").alias("high")).orderBy("bin").collect():
+            if rank < found.n:
+                break
+            rank -= found.n
+        low, high = found.low, found.high
+        if found.n <= few:
+            return sorted(r.raw for r in values.filter(F.col("raw").between(low, high)).collect())[rank]
+    return low
+
+
+def _rounded(values: np.ndarray, digits: int = 9) -> np.ndarray:
+    """So that the order in which Spark adds does not show."""
+    return np.array([float(f"{v:.{digits}g}") for v in values])
+
+
+def fit_blocks(labelled: DataFrame, n_good: int, n_bad: int, n: int) -> Model:
+    """Bradley-Terry weights as in `fit`, from every row of a written table (doc_id, features, quality)."""
+    moments = labelled.agg(*(f(c) for f in (F.avg, F.stddev_pop) for c in FEATURES)).first()
+    mean, scale = _rounded(moments[: len(FEATURES)]), _rounded(moments[len(FEATURES) :]) + 1e-6
+    width = 2 * len(FEATURES)
+    if not n_good or not n_bad:
+        return Model(mean, scale, np.zeros(width), 0.0)
+    blocks = -(-max(n_good, n_bad) // BLOCK_ROWS)
+    rare, copies = int(n_good < n_bad), min(blocks, -(-LEAST_RARE * blocks // min(n_good, n_bad)))
+    first = F.pmod(F.xxhash64("doc_id", *FEATURES), F.lit(blocks))
+    turns = F.sequence(F.lit(0), F.when(F.col("quality") == rare, F.lit(copies - 1)).otherwise(F.lit(0)))
+    dealt = labelled.filter("quality in (0, 1)").withColumn("block", F.explode(F.transform(turns, lambda i: F.pmod(first + i * (blocks // copies), F.lit(blocks)))))
+    small_batches(labelled.sparkSession)
+    packed = staged(dealt.groupBy("block").applyInArrow(_packed(mean, scale), "better binary, worse binary"), "quality-blocks")
+    w = np.zeros(width)
+    for _ in range(25):
+        sums = packed.mapInArrow(_pair_sums(w), "position int, value double").groupBy("position").agg(F.sum("value")).orderBy("position").collect()
+        values = np.array([r[1] for r in sums])
+        gradient, hessian, pairs = values[:width], values[width:-1].reshape(width, width), values[-1]
+        step = np.linalg.solve(hessian / pairs + 1e-3 * np.eye(width), gradient / pairs - 1e-3 * w)
+        w += step
+        if np.abs(step).max() < 1e-7:
+            break
+    model = Model(mean, scale, np.round(w, 6), 0.0)
+    raw = staged(labelled.select(model.above().alias("raw")), "quality-raw")
+    at = n_bad / n * (n - 1)
+    low = _ranked(raw, int(at))
+    model.at = low + (_ranked(raw, min(int(at) + 1, n - 1)) - low) * (at - int(at))
+    return model
+
+
+def train(shapes: DataFrame, labels: DataFrame) -> Model:
+    """Fit on all labelled, not held-out rows of a feature table."""
     marks = labels.filter("doc_id is not null and quality is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    # By hash, about the wanted share of the marks goes on, so that no task sends the driver more than its part.
-    share = min(1.0, 1.1 * rows / max(1, marks.count()))
-    some = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    chosen = shapes.join(some, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(rows).select(*FEATURES, "quality").collect()
-    got = np.array([tuple(r) for r in chosen], dtype=np.float64).reshape(-1, len(FEATURES) + 1)
+    labelled = staged(shapes.join(marks, "doc_id"), "quality-labelled")
+    n_good, n_bad, n = labelled.agg(F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") == 0), F.count("*")).first()
+    if n > SMALL_ROWS:
+        return fit_blocks(labelled, n_good, n_bad, n)
+    rows = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).select(*FEATURES, "quality").collect()
+    got = np.array([tuple(r) for r in rows], dtype=np.float64).reshape(-1, len(FEATURES) + 1)
     return fit(got[:, :-1], got[:, -1])
 
 

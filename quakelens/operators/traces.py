@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quakelens.sources.staging import staged
 
-MAX_HOPS = 40
+MAX_HOPS, HOPS = 40, 5
 ERROR_SPANS = 20  # fixed value
 
 
@@ -18,25 +18,45 @@ def roots(spans: DataFrame) -> DataFrame:
     return spans.filter("parent_span_id is null").unionByName(lost)
 
 
-def _longest(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """The span of the largest (duration, span id) for each key."""
-    rest = [c for c in ("duration_ms", "span_id", "service_name", "span_name") if c not in keys]
-    return spans.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("best")).select(*keys, "best.*")
+def _best_children(spans: DataFrame) -> DataFrame:
+    """The child of the largest (duration, span id) of each node that spans name as their parent, and whether it exists.
+
+    A span counts as a node and as its parent's child, so that one grouping tells both; spans of nodes that don't exist are
+    roots. Spans are dealt by trace once, and everything that follows within traces stays where it is.
+    """
+    child = F.struct("duration_ms", "span_id", "service_name", "span_name")
+    as_node, as_child = F.struct(F.col("span_id").alias("node"), F.lit(None).alias("child")), F.struct(F.col("parent_span_id").alias("node"), child.alias("child"))
+    sides = spans.repartition("trace_id").select("trace_id", F.inline(F.array(as_node, as_child)))
+    exists = F.bool_or(F.col("child").isNull() & F.col("node").isNotNull() & F.col("trace_id").isNotNull())
+    return sides.groupBy("trace_id", "node").agg(exists.alias("known"), F.max("child").alias("child")).filter("child is not null")
 
 
 def critical_paths(spans: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
-    """From each trace's longest root, the longest child again and again; a row for each hop of each trace."""
-    spans = spans.select("trace_id", "span_id", "parent_span_id", "service_name", "span_name", "duration_ms")
-    best = staged(_longest(spans.filter("parent_span_id is not null").withColumnRenamed("parent_span_id", "parent"), ["trace_id", "parent"]), "best-children")
-    level = staged(_longest(roots(spans), ["trace_id"]).withColumn("hop", F.lit(0)), "path")
-    found = level
-    for hop in range(1, max_hops + 1):
-        step = level.select("trace_id", F.col("span_id").alias("parent")).join(best, ["trace_id", "parent"])
-        level = staged(step.select("trace_id", "duration_ms", "span_id", "service_name", "span_name", F.lit(hop).alias("hop")), "path")
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
-    return found
+    """From each trace's longest root, the longest child again and again; a row for each hop of each trace.
+
+    A round follows HOPS hops by windows over traces, which need no further shuffle; only longer paths go to the next one.
+    """
+    trace = Window.partitionBy("trace_id")
+    best = _best_children(spans.select("trace_id", "span_id", "parent_span_id", "service_name", "span_name", "duration_ms"))
+    root = F.max(F.when(~F.col("known"), F.col("child"))).over(trace)
+    # Of a trace's nodes that don't exist only one has the root, unless spans repeat: then the smallest node.
+    open_ = best.withColumn("tip", root).withColumn("start", F.min(F.when(~F.col("known") & (F.col("child") == F.col("tip")), F.struct(F.coalesce("node", F.lit("")).alias("name"), F.col("node").isNull().alias("no_node")))).over(trace))
+    own = F.struct(F.coalesce("node", F.lit("")).alias("name"), F.col("node").isNull().alias("no_node"))
+    first = ~F.col("known") & (F.col("child") == F.col("tip")) & (own == F.col("start"))
+    open_ = open_.withColumn("hops", F.when(first, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))).withColumn("tip", F.col("tip.span_id")).drop("start")
+    found, hop = None, 0
+    while True:
+        for _ in range(min(HOPS, max_hops - hop)):
+            hop += 1
+            here = F.col("node") == F.col("tip")
+            open_ = open_.withColumn("hops", F.when(here, F.array_append("hops", F.lit(hop))).otherwise(F.col("hops"))).withColumn("tip", F.max(F.when(here, F.col("child.span_id"))).over(trace))
+        level = staged(open_.filter("tip is not null or size(hops) > 0"), "path")
+        rows = level.select("trace_id", "child.*", F.explode("hops").alias("hop"))
+        found = rows if found is None else found.unionByName(rows)
+        more = level.filter("tip is not null and trace_id is not null")
+        if hop >= max_hops or more.isEmpty():
+            return found
+        open_ = more.repartition("trace_id").withColumn("hops", F.array().cast("array<int>"))
 
 
 def self_times(spans: DataFrame) -> DataFrame:

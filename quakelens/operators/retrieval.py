@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakelens.functions.columns import memory_tokens, runbook_tokens
@@ -10,6 +10,8 @@ from quakelens.operators.topk import best
 from quakelens.sources.staging import staged
 
 K1, COVERS, SYMPTOM, TITLE = 1.2, 4.0, 2.5, 0.75  # fixed values
+#: Characters of sections times questions in one part.
+PAIR_CHARS = 1 << 29
 TOP_SECTIONS, TOP_MATCHES, LEAST_SIMILARITY, SHARED_SERVICE = 5, 3, 0.10, 0.25  # fixed values
 
 
@@ -28,67 +30,41 @@ def sentences(runbooks: DataFrame) -> DataFrame:
     return lines.filter(F.col("text").endswith(".")).select("runbook_id", "title", "covers", "number", F.col("title").alias("heading"), "text")
 
 
+def _sources(parts: DataFrame) -> list[tuple[str, Column]]:
+    """What a section's points come from: kinds, and the words of each (repeated words of text count)."""
+    found = [
+        ("w", runbook_tokens(F.concat_ws(" ", "heading", "text"))), ("t", F.array_distinct(runbook_tokens(F.concat_ws(" ", "title", "heading")))), ("c", F.array_distinct("covers")),
+    ]
+    return [*found, ("s", F.array_distinct(runbook_tokens(F.array_join("symptoms", " "))))] if "symptoms" in parts.columns else found
+
+
 def score_sections(parts: DataFrame, questions: DataFrame) -> DataFrame:
     """Score of each section for each question (query_id, text, service) that shares a term or names what it covers.
 
-    Terms meet in an equi-join on the word; a section's own terms are counted once for all questions.
-    """
-    key = ["runbook_id", "number"]
-    terms = questions.select("query_id", F.explode(F.array_distinct(runbook_tokens(F.col("text")))).alias("term"))
-    words = parts.select(*key, F.explode(runbook_tokens(F.concat_ws(" ", "heading", "text"))).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
-    prose = words.join(terms, "term").select("query_id", *key, (F.col("tf") / (F.col("tf") + K1)).alias("points"))
-    titles = parts.select(*key, F.explode(F.array_distinct(runbook_tokens(F.concat_ws(" ", "title", "heading")))).alias("term"))
-    named = titles.join(terms, "term").select("query_id", *key, F.lit(TITLE).alias("points"))
-    covers = parts.select(*key, F.explode(F.array_distinct("covers")).alias("service")).join(questions.select("query_id", "service"), "service").select("query_id", *key, F.lit(COVERS).alias("points"))
-    found = prose.unionByName(named).unionByName(covers)
-    if "symptoms" in parts.columns:
-        signs = parts.select(*key, F.explode(F.array_distinct(runbook_tokens(F.array_join("symptoms", " ")))).alias("term"))
-        matched = signs.join(terms, "term").groupBy("query_id", *key).agg(F.count("*").alias("m"))
-        found = found.unionByName(matched.select("query_id", *key, (SYMPTOM * F.col("m") / (F.col("m") + K1)).alias("points")))
-    return found.groupBy("query_id", *key).agg(F.round(F.sum("points"), 6).alias("score"))
-
-
-def _features(parts: DataFrame) -> DataFrame:
-    """What can bring a section points: a row for each (runbook_id, number, feature) with the most that it brings.
-
-    A matched symptom brings less the more there are, so the first one's points bound each.
+    Words meet in an equi-join, a section's own being counted once for all questions. Sections are dealt once, into parts
+    small enough for all their scores; as long as the questions' words are few enough that Spark broadcasts them, both
+    groupings stay within these parts, so that neither words nor points are shuffled.
     """
     key = ["runbook_id", "number"]
-    tokens = lambda column: F.explode(F.array_distinct(runbook_tokens(column)))
-    named = lambda kind, word: F.concat(F.lit(kind), word).alias("feature")
-    words = parts.select(*key, F.explode(runbook_tokens(F.concat_ws(" ", "heading", "text"))).alias("w")).groupBy(*key, "w").agg(F.count("*").alias("tf"))
-    found = words.select(*key, named("w:", F.col("w")), (F.col("tf") / (F.col("tf") + K1)).alias("impact"))
-    titles = parts.select(*key, tokens(F.concat_ws(" ", "title", "heading")).alias("w"))
-    covers = parts.select(*key, F.explode(F.array_distinct("covers")).alias("w")).filter("w is not null")
-    found = found.unionByName(titles.select(*key, named("t:", F.col("w")), F.lit(TITLE).alias("impact"))).unionByName(covers.select(*key, named("c:", F.col("w")), F.lit(COVERS).alias("impact")))
-    if "symptoms" in parts.columns:
-        signs = parts.select(*key, tokens(F.array_join("symptoms", " ")).alias("w"))
-        found = found.unionByName(signs.select(*key, named("s:", F.col("w")), F.lit(SYMPTOM / (1 + K1)).alias("impact")))
-    return found
+    size = parts.agg(F.sum(F.length("text") + 1)).first()[0] or 0
+    dealt = parts.repartition(max(1, -(-size * questions.count() // PAIR_CHARS)), *key)
+    of = lambda kind, words: F.transform(F.coalesce(words, F.array().cast("array<string>")), lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("word")))
+    words = dealt.select(*key, F.inline(F.concat(*(of(kind, own) for kind, own in _sources(parts))))).groupBy(*key, "kind", "word").agg(F.count("*").alias("tf"))
+    terms = F.array_distinct(runbook_tokens(F.col("text")))
+    asked = questions.select("query_id", F.inline(F.concat(*(of(kind, terms) for kind in "wts"), of("c", F.array("service")))))
+    points = F.when(F.col("kind") == "w", F.col("tf") / (F.col("tf") + K1)).when(F.col("kind") == "t", F.lit(TITLE)).when(F.col("kind") == "c", F.lit(COVERS)).otherwise(F.lit(0.0))
+    met = words.join(asked, ["kind", "word"]).select("query_id", *key, points.alias("points"), (F.col("kind") == "s").cast("int").alias("sign"))
+    found = met.groupBy("query_id", *key).agg(F.sum("points").alias("points"), F.sum("sign").alias("signs"))
+    return found.select("query_id", *key, F.round(F.col("points") + SYMPTOM * F.col("signs") / (F.col("signs") + K1), 6).alias("score"))
 
 
 def search(parts: DataFrame, questions: DataFrame, limit: int = TOP_SECTIONS) -> DataFrame:
-    """The best sections for each question, without scoring those that can't be among them (topk)."""
+    """The best sections for each question. Each part of the sections gives up its best, ties included, then they are placed."""
     key = ["runbook_id", "number"]
-    postings = staged(_features(parts), "section-features")
-    # A section's features, so that a pair is scored in one row.
-    whole = postings.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("feature", "impact"))).alias("has"))
-    words = F.coalesce(F.array_distinct(runbook_tokens(F.col("text"))), F.array().cast("array<string>"))
-    kinds = ["w:", "t:", *(["s:"] if "symptoms" in parts.columns else [])]
-    of = lambda kind: F.transform(words, lambda w: F.concat(F.lit(kind), w))
-    features = F.array_compact(F.concat(*(of(k) for k in kinds), F.array(F.concat(F.lit("c:"), "service"))))
-    asks = staged(questions.select("query_id", features.alias("asks")), "asked-features")
-    asked = asks.select("query_id", F.explode("asks").alias("feature"), F.lit(1.0).alias("weight"))
-
-    def score(pairs: DataFrame) -> DataFrame:
-        shared = F.array_intersect("asks", F.map_keys("has"))
-        is_sign = lambda f: F.startswith(f, F.lit("s:"))
-        points = F.aggregate(F.filter(shared, lambda f: ~is_sign(f)), F.lit(0.0), lambda total, f: total + F.element_at("has", f))
-        signs = F.size(F.filter(shared, is_sign))
-        scored = pairs.join(whole, key).join(asks, "query_id").select("query_id", *key, F.round(points + SYMPTOM * signs / (signs + K1), 6).alias("score"))
-        return scored.filter("score > 0").join(parts.select(*key, "heading"), key)
-
-    return best(postings, asked, score, key, limit, ties=["runbook_id", "heading", "number"])
+    near = Window.partitionBy("query_id").orderBy(F.desc("score"), "runbook_id")
+    top = staged(score_sections(parts, questions).filter("score > 0").withColumn("near", F.rank().over(near)).filter(F.col("near") <= limit).drop("near"), "best-sections")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "runbook_id", "heading", "number")
+    return top.join(parts.select(*key, "heading"), key).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
 
 
 def document_frequency(entries: DataFrame) -> DataFrame:

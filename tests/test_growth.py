@@ -59,7 +59,7 @@ def test_points_of_sections_are_not_shuffled(spark, tmp_path):
     asked.write.parquet(str(tmp_path / "asked"))
     found = retrieval.score_sections(parts, spark.read.parquet(str(tmp_path / "asked")))
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(") == 1
+    assert "hashpartitioning(query_id" not in plan and plan.count("hashpartitioning(") <= 1
     assert {(r.query_id, r.runbook_id): r.score for r in found.collect()}[(1, 3)] == round(2 / 2.2 + 4.0, 6)
 
 

@@ -9,7 +9,7 @@ from quakelens.operators import topology
 from quakelens.sources import projections as P
 from quakelens.sources import readers
 from quakelens.sources.projections import Query, oracle
-from quakelens.sources.staging import shared_path
+from quakelens.sources.staging import shared_path, staged
 from quakelens.streaming import alerts, rollups, watch
 from quakelens.streaming.totals import Totals
 
@@ -67,10 +67,34 @@ def watermark(column: str, table: str, seconds: int) -> str:
 _CALLS, _SERVED = "(span_id <> 'o' OR trace_id % 2 = 0)", "parent_span_id IS NOT NULL"
 
 
-def _unmatched(s: SparkSession, d: str) -> DataFrame:
-    """Calling and called spans as two streams: pairs, and lone spans once the watermark has passed their time to live."""
-    calls, served = (_source(P.fx_spans(s, d).filter(part), "spans") for part in (_CALLS, _SERVED))
-    return _to_end(rollups.paired_or_unknown(calls, served, "40 days"), "pairs").select("trace_id", "client", "server", "start_time", "duration_ms", "status_code")
+#: Rows of both streams that one run takes in.
+SLICE_ROWS = 10_000_000
+
+
+def _unmatched(s: SparkSession, d: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Calling and called spans as two streams: pairs, and lone spans once the watermark has passed their time to live.
+
+    The streams bring slices of time one after another, each in a run of its own from the same checkpoint, so that state
+    holds a slice and a time to live of spans, not the table; the watermark never passes what is still to come.
+    """
+    spans = staged(P.fx_spans(s, d), "all-spans")
+    at = F.unix_micros("start_time")
+    n = spans.count()
+    slices = -(-n // slice_rows) or 1
+    cuts = sorted(set(spans.agg(F.percentile_approx(at, [i / slices for i in range(1, slices)], 10_000)).first()[0])) if slices > 1 else []
+    paths = [shared_path(s, name) for name in ("calls", "served", "pairs")]
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = spans
+        if low is not None:
+            part = part.filter(at > low)
+        if high is not None:
+            part = part.filter(at <= high)
+        for path, kind in zip(paths, (_CALLS, _SERVED), strict=False):
+            part.filter(kind).write.mode("append").parquet(path)
+        calls, served = (s.readStream.schema(spans.schema).parquet(path) for path in paths[:2])
+        stream = rollups.paired_or_unknown(calls, served, "40 days")
+        stream.writeStream.format("parquet").option("path", paths[2]).option("checkpointLocation", f"{paths[2]}-checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(stream.schema).parquet(paths[2]).select("trace_id", "client", "server", "start_time", "duration_ms", "status_code")
 
 
 add("r05_unmatched", _unmatched,

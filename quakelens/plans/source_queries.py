@@ -143,7 +143,7 @@ def _span_exports(s: SparkSession, d: str) -> DataFrame:
         F.collect_list(span).alias("spans"), F.map_from_entries(F.collect_set(F.struct(F.col("service_name").alias("k"), F.struct(F.concat(F.lit("the "), "service_name").alias("serviceName")).alias("v")))).alias("processes")
     )
     path = shared_path(s, "traces")
-    traces.select(F.array(F.struct("spans", "processes")).alias("data")).write.json(path)
+    traces.select(F.array(F.struct("spans", "processes")).alias("data")).write.option("compression", "gzip").json(path)
     found = normalise.span_rows(s.read.schema(normalise.SPAN_EXPORT).json(path))
     return found.select("trace_id", "span_id", "parent_span_id", "service_name", "span_name", "span_kind", "start_time", F.round("duration_ms", 3).alias("duration_ms"), "status_code")
 

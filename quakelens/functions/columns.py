@@ -77,10 +77,19 @@ def pass_hat_k(correct: Column, trials: Column, k: int) -> Column:
 _BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
+_WORD = "[A-Za-z0-9_]"
+
+
 def ascii_bounded(pattern: str) -> str:
     return pattern.replace(r"\b", _BOUNDARY)
 
 
+def _bounded_mask(pattern: str) -> str:
+    """A mask whose match starts and ends with a word character needs only to look to the outside."""
+    inner = pattern.removeprefix(r"\b").removesuffix(r"\b")
+    return pattern if inner == pattern else f"(?<!{_WORD}){inner}(?!{_WORD})"
+
+
 #: Patterns of a log line's variable parts and what stands for them, in this order: fixed values.
 MASK = [
     (r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", "<uuid>"),
@@ -93,11 +102,16 @@ MASK = [
 ]
 
 
+#: What a line must hold for any mask to match.
+_MASKED = r"""[0-9"']|[a-fA-F]{8}"""
+
+
 def mask_log(body: Column) -> Column:
     """A log line with its variable parts replaced, so that lines of one kind are equal."""
+    found = body
     for pattern, mark in MASK:
-        body = F.regexp_replace(body, ascii_bounded(pattern), mark)
-    return body
+        found = F.regexp_replace(found, _bounded_mask(pattern), mark)
+    return F.when(body.rlike(_MASKED), found).otherwise(body)
 
 
 #: Words that say nothing: fixed values.

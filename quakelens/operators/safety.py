@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +14,10 @@ from pyspark.sql import functions as F
 from quakelens.functions import columns as C
 from quakelens.sources.staging import importable
 
-#: Characters of texts, and of markers, that meet in one task.
-PART_CHARS, PART_MARKERS = 32 << 20, 8 << 20
+#: Characters of texts, and of markers, that meet in one task; a row counts as ROW_CHARS more, as objects take room too.
+PART_CHARS, PART_MARKERS, ROW_CHARS = 8 << 20, 1 << 20, 100
+#: Texts that are Python objects at one time.
+TEXTS_AT_ONCE = 10_000
 
 
 def classified(rows: DataFrame, column: str) -> DataFrame:
@@ -32,7 +36,7 @@ def sanitised(rows: DataFrame, fields: list[str]) -> DataFrame:
 
 def _found_in(sides: tuple[str, str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(texts: pa.Table, markers: pa.Table) -> pa.Table:
-        numbers, keys = [], []
+        numbers, keys = array("q"), array("q")
         if texts.num_rows and markers.num_rows:
             search = ahocorasick.Automaton()
             of: dict[str, list[int]] = {}
@@ -41,11 +45,12 @@ def _found_in(sides: tuple[str, str]) -> Callable[[pa.Table, pa.Table], pa.Table
             for marker in of:
                 search.add_word(marker, marker)
             search.make_automaton()
-            for i, text in enumerate(texts.column("text").to_pylist()):
-                own = [k for marker in {m for _, m in search.iter(text)} for k in of[marker]]
-                numbers += own
-                keys += [i] * len(own)
-        take = lambda t, name, rows: t.column(name).take(pa.array(rows, pa.int64()))
+            for at in range(0, texts.num_rows, TEXTS_AT_ONCE):
+                for i, text in enumerate(texts.column("text").slice(at, TEXTS_AT_ONCE).to_pylist(), at):
+                    own = [k for marker in {m for _, m in search.iter(text)} for k in of[marker]]
+                    numbers.extend(own)
+                    keys.extend([i] * len(own))
+        take = lambda t, name, rows: t.column(name).take(pa.array(np.frombuffer(rows, np.int64)))
         return pa.table([take(markers, sides[0], numbers), take(texts, sides[1], keys)], names=list(sides))
 
     return run
@@ -62,7 +67,7 @@ def canary_hits(texts: DataFrame, canaries: DataFrame, text: str, text_key: str,
     mine, theirs = "item", "place"
     rows = texts.select(F.col(text_key).alias(theirs), F.col(text).alias("text")).filter("text is not null and text <> ''")
     marks = canaries.select(F.col(key).alias(mine), F.col(canary).alias("marker")).filter("marker is not null and marker <> ''")
-    chars, n = rows.agg(F.sum(F.length("text"))).first()[0] or 0, marks.agg(F.sum(F.length("marker"))).first()[0] or 0
+    chars, n = (t.agg(F.sum(F.length(c) + ROW_CHARS)).first()[0] or 0 for t, c in ((rows, "text"), (marks, "marker")))
     parts, turns = max(1, -(-chars // part_chars)), max(1, -(-n // part_markers))
     every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
     dealt = rows.select(theirs, "text", F.pmod(F.xxhash64("text"), F.lit(parts)).cast("int").alias("part"), every(turns).alias("turn"))

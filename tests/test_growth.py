@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quakelens.functions import columns as C
-from quakelens.operators import retrieval, traces
+from quakelens.operators import retrieval, safety, traces
 from quakelens.plans import source_queries, stream_queries
 from quakelens.sources.staging import shared_dir
 
@@ -67,3 +68,11 @@ def test_spans_come_in_slices_of_time(spark):
     """Slices of time, each a run from one checkpoint, give the rows of a single run."""
     one, many = (stream_queries._unmatched(spark, SMALL, n) for n in (10_000_000, 3000))
     assert one.count() > 7000 and one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
+
+
+def test_texts_become_objects_by_pieces(monkeypatch):
+    """Pieces of a part give the hits of the whole, each at its own text."""
+    monkeypatch.setattr(safety, "TEXTS_AT_ONCE", 7)
+    texts = pa.table({"place": list(range(100)), "text": [f"a {i}." for i in range(100)]})
+    found = safety._found_in(("item", "place"))(texts, pa.table({"item": ["x", "y"], "marker": [" 31.", "5."]}))
+    assert sorted(zip(*found.to_pydict().values(), strict=True)) == [("x", 31), *(("y", i) for i in range(5, 100, 10))]

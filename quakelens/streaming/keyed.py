@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -80,6 +81,41 @@ class InOrder(StatefulProcessor):
         return pd.DataFrame(out, columns=self.given)
 
 
+#: Rows of one Arrow table in the state.
+PIECE_ROWS = 10_000
+
+
+class Tables:
+    """Many rows of one key's state, as Arrow tables of at most PIECE_ROWS rows in a list state."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, schema: pa.Schema):
+        self.schema, self.pieces = schema, handle.getListState(name, "piece binary")
+
+    def get(self) -> pd.DataFrame:
+        pieces = self.pieces.get() if self.pieces.exists() else ()
+        tables = [pa.ipc.open_stream(bytes(p[0])).read_all() for p in pieces]
+        return pa.concat_tables([self.schema.empty_table(), *tables]).to_pandas()
+
+    def add(self, rows: pd.DataFrame) -> None:
+        if len(rows):
+            self.pieces.appendList(self._pieces(rows))
+
+    def put(self, rows: pd.DataFrame) -> None:
+        if len(rows):
+            self.pieces.put(self._pieces(rows))
+        elif self.pieces.exists():
+            self.pieces.clear()
+
+    def _pieces(self, rows: pd.DataFrame) -> list[tuple]:
+        table, found = pa.Table.from_pandas(rows, self.schema, preserve_index=False), []
+        for batch in table.to_batches(PIECE_ROWS):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, self.schema) as out:
+                out.write_batch(batch)
+            found.append((bytearray(sink.getvalue().to_pybytes()),))
+        return found
+
+
 def processed(rows: GroupedData, processor: StatefulProcessor, schema: str) -> DataFrame:
     """The processor's rows, in append mode and event time."""
     return rows.transformWithStateInPandas(processor, schema, "append", "EventTime")

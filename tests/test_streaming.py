@@ -270,3 +270,23 @@ def test_pairs_repeats_and_delivery(spark, tmp_path):
     assert run(spark, alerts.without_repeats(stream), tmp_path, "once").count() == 2
     alerts.deliver(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.json(str(tmp_path / "out")).count() == 3
+
+
+def test_watches_are_kept_in_buckets(spark, tmp_path):
+    """State and calls are a few for each bucket, whatever the number of watches; results are those of one watch after another."""
+    rng = random.Random(11)
+    names = [None, *(f"w{i}" for i in range(200))]
+    reading = lambda w: (w, T0 + timedelta(milliseconds=rng.randrange(1000, 500_000)), rng.choice([None, 0.5, 1.0, 9.0, 9.0]), rng.choice([1.0, 1.0, 0.0, None]), T0)
+    batches = [[reading(w) for w in names for _ in range(5)] for _ in range(2)]
+    clock = lambda i: [("clock", T0 + timedelta(seconds=i), 9.0, 1.0, T0 + timedelta(seconds=i))]
+    schema = "watch string, at timestamp, value double, baseline double, acted_at timestamp"
+    sizes, got = in_steps(spark, [*batches, clock(700), clock(1200)], schema, tmp_path, "buckets", lambda s: watch.recovery_watch(s, 2, 300.0, "10 minutes", 3))
+    want = {}
+    for w in names:
+        count, want[w] = 0, ("unknown", None)
+        for _, at, value, baseline, _ in sorted((r for rows in batches for r in rows if r[0] == w), key=lambda r: r[1]):
+            if at <= T0 + timedelta(seconds=300) and None not in (value, baseline) and want[w][0] != "recovered":
+                count = count + 1 if value <= (1.25 * baseline if baseline > 0 else watch.RECOVERY_FLOOR) else 0
+                want[w] = ("recovered", (at - T0) / timedelta(seconds=1)) if count == 2 else ("not_recovered", None)
+    assert sorted(((r.watch or "", r.status, r.after_seconds) for r in got if r.watch != "clock"), key=str) == sorted(((w or "", *x) for w, x in want.items()), key=str)
+    assert {s for s, _ in want.values()} >= {"recovered", "not_recovered"} and max(sizes) <= 20

@@ -18,40 +18,68 @@ def roots(spans: DataFrame) -> DataFrame:
     return spans.filter("parent_span_id is null").unionByName(lost)
 
 
-def _best_children(spans: DataFrame) -> DataFrame:
+def _best_children(spans: DataFrame, timed: bool, dealt: bool) -> DataFrame:
     """The child of the largest (duration, span id) of each node that spans name as their parent, and whether it exists.
 
     A span counts as a node and as its parent's child, so that one grouping tells both; spans of nodes that don't exist are
-    roots. Spans are dealt by trace once, and everything that follows within traces stays where it is.
+    roots. Spans are dealt by trace once, and everything that follows within traces stays where it is. `timed` adds what the
+    children took together and, where spans repeat, the durations of all spans of a node's id.
     """
     child = F.struct("duration_ms", "span_id", "service_name", "span_name")
-    as_node, as_child = F.struct(F.col("span_id").alias("node"), F.lit(None).alias("child")), F.struct(F.col("parent_span_id").alias("node"), child.alias("child"))
-    sides = spans.repartition("trace_id").select("trace_id", F.inline(F.array(as_node, as_child)))
+    own = F.struct("duration_ms")
+    as_node = F.struct(F.col("span_id").alias("node"), F.lit(None).alias("child"), *([own.alias("own")] if timed else []))
+    as_child = F.struct(F.col("parent_span_id").alias("node"), child.alias("child"), *([F.lit(None).alias("own")] if timed else []))
+    sides = (spans if dealt else spans.repartition("trace_id")).select("trace_id", F.inline(F.array(as_node, as_child)))
     exists = F.bool_or(F.col("child").isNull() & F.col("node").isNotNull() & F.col("trace_id").isNotNull())
-    return sides.groupBy("trace_id", "node").agg(exists.alias("known"), F.max("child").alias("child")).filter("child is not null")
+    found = sides.groupBy("trace_id", "node").agg(exists.alias("known"), F.max("child").alias("child"), *([F.sum("child.duration_ms").alias("held"), F.collect_list("own").alias("own")] if timed else []))
+    if not timed:
+        return found.filter("child is not null")
+    return found.withColumn("own", F.when(F.col("known") & (F.size("own") > 1), F.col("own"))).filter("child is not null or own is not null")
 
 
-def critical_paths(spans: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+def critical_paths(spans: DataFrame, max_hops: int = MAX_HOPS, timed: bool = False, dealt: bool = False) -> DataFrame:
     """From each trace's longest root, the longest child again and again; a row for each hop of each trace.
 
     A round follows HOPS hops by windows over traces, which need no further shuffle; only longer paths go to the next one.
+    `timed` adds the self times of the spans of each hop's id (`selves`: one, unless spans repeat), which the step to the
+    next hop meets anyway. `dealt`: the spans lie by trace already.
     """
     trace = Window.partitionBy("trace_id")
-    best = _best_children(spans.select("trace_id", "span_id", "parent_span_id", "service_name", "span_name", "duration_ms"))
+    best = _best_children(spans.select("trace_id", "span_id", "parent_span_id", "service_name", "span_name", "duration_ms"), timed, dealt)
     root = F.max(F.when(~F.col("known"), F.col("child"))).over(trace)
     # Of a trace's nodes that don't exist only one has the root, unless spans repeat: then the smallest node.
     open_ = best.withColumn("tip", root).withColumn("start", F.min(F.when(~F.col("known") & (F.col("child") == F.col("tip")), F.struct(F.coalesce("node", F.lit("")).alias("name"), F.col("node").isNull().alias("no_node")))).over(trace))
     own = F.struct(F.coalesce("node", F.lit("")).alias("name"), F.col("node").isNull().alias("no_node"))
     first = ~F.col("known") & (F.col("child") == F.col("tip")) & (own == F.col("start"))
     open_ = open_.withColumn("hops", F.when(first, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))).withColumn("tip", F.col("tip.span_id")).drop("start")
+    here, at_tip = F.col("node") == F.col("tip"), ["held", "own"] if timed else []
+    none = F.array().cast("array<struct<held:double,own:array<struct<duration_ms:double>>>>")
+
+    def met(df: DataFrame, *child) -> DataFrame:
+        """The tip's node, of which each trace has one at most; the row of the hop to it keeps what its children took."""
+        df = df.withColumn("next", F.max(F.when(here, F.struct(*child, *at_tip))).over(trace))
+        if not timed:
+            return df
+        return df.withColumn("selves", F.when(F.size("hops") > F.size("selves"), F.array_append("selves", F.struct("next.held", "next.own"))).otherwise(F.col("selves")))
+
     found, hop = None, 0
     while True:
+        if timed:
+            open_ = open_.withColumn("selves", none)
         for _ in range(min(HOPS, max_hops - hop)):
             hop += 1
-            here = F.col("node") == F.col("tip")
-            open_ = open_.withColumn("hops", F.when(here, F.array_append("hops", F.lit(hop))).otherwise(F.col("hops"))).withColumn("tip", F.max(F.when(here, F.col("child.span_id"))).over(trace))
-        level = staged(open_.filter("tip is not null or size(hops) > 0"), "path")
-        rows = level.select("trace_id", "child.*", F.explode("hops").alias("hop"))
+            open_ = met(open_, F.col("child.span_id").alias("id"))
+            open_ = open_.withColumn("hops", F.when(here & F.col("child").isNotNull(), F.array_append("hops", F.lit(hop))).otherwise(F.col("hops"))).withColumn("tip", F.col("next.id")).drop("next")
+        if timed:
+            open_ = met(open_).drop("next")
+        followed = {c: F.when(F.col("tip").isNotNull(), F.col(c)) for c in ("node", *at_tip)}  # ended paths need only their hops
+        level = staged(open_.filter("tip is not null or size(hops) > 0").withColumns(followed), "path")
+        if timed:
+            spans_of = F.coalesce("at.selves.own", F.array(F.struct("duration_ms")))
+            selves = F.transform(spans_of, lambda x: F.greatest(x["duration_ms"] - F.coalesce("at.selves.held", F.lit(0.0)), F.lit(0.0)))
+            rows = level.select("trace_id", "child.*", F.explode(F.arrays_zip("hops", "selves")).alias("at")).select("trace_id", "duration_ms", "span_id", "service_name", "span_name", F.col("at.hops").alias("hop"), selves.alias("selves"))
+        else:
+            rows = level.select("trace_id", "child.*", F.explode("hops").alias("hop"))
         found = rows if found is None else found.unionByName(rows)
         more = level.filter("tip is not null and trace_id is not null")
         if hop >= max_hops or more.isEmpty():
@@ -67,8 +95,11 @@ def self_times(spans: DataFrame) -> DataFrame:
 
 
 def path_rows(spans: DataFrame, paths: DataFrame) -> DataFrame:
-    """The hops of each trace's critical path with their self times."""
-    timed = paths.join(self_times(spans).select("trace_id", "span_id", "self_ms"), ["trace_id", "span_id"])
+    """The hops of each trace's critical path with their self times, which timed paths bring with them."""
+    if "selves" in paths.columns:
+        timed = paths.filter("trace_id is not null and span_id is not null").withColumn("self_ms", F.explode("selves"))
+    else:
+        timed = paths.join(self_times(spans).select("trace_id", "span_id", "self_ms"), ["trace_id", "span_id"])
     return timed.select("trace_id", "hop", "span_id", "service_name", "span_name", "duration_ms", "self_ms")
 
 

@@ -143,8 +143,8 @@ def _spans(s, d):
 
 
 def _with_paths(s, d, of):
-    spans = _spans(s, d)
-    return of(spans, traces.critical_paths(spans))
+    spans = P.fx_spans(s, d, dealt=True)
+    return of(spans, traces.critical_paths(spans, timed=True, dealt=True))
 
 
 add("s02_scan_spans", lambda s, d: P.fx_spans(s, d).groupBy("service_name").agg(F.count("*").alias("spans")), oracle("SELECT service_name, count(*) AS spans FROM fx_spans GROUP BY 1", "fx_spans"))
@@ -163,7 +163,7 @@ add("x01_roots", lambda s, d: traces.roots(P.fx_spans(s, d)).select("trace_id",
 BEST = "SELECT trace_id, parent_span_id AS parent, max((duration_ms, span_id, service_name, span_name)) AS b FROM fx_spans WHERE parent_span_id IS NOT NULL GROUP BY ALL"
 PATHS = f"SELECT trace_id, max((duration_ms, span_id, service_name, span_name)) AS b, 0 AS hop FROM ({ROOTS}) GROUP BY 1 UNION ALL SELECT p.trace_id, best.b, hop + 1 FROM path p JOIN best ON best.trace_id = p.trace_id AND best.parent = p.b[2] WHERE hop < 40"
 HOPS = "SELECT trace_id, hop, b[1] AS duration_ms, b[2] AS span_id, b[3] AS service_name, b[4] AS span_name FROM path"
-add("x02_critical_path", lambda s, d: traces.critical_paths(P.fx_spans(s, d)), oracle("SELECT * FROM hops", "fx_spans", best=BEST, path=PATHS, hops=HOPS))
+add("x02_critical_path", lambda s, d: traces.critical_paths(P.fx_spans(s, d, dealt=True), dealt=True), oracle("SELECT * FROM hops", "fx_spans", best=BEST, path=PATHS, hops=HOPS))
 SELF = "SELECT s.trace_id, s.span_id, s.service_name, s.duration_ms, greatest(s.duration_ms - coalesce(h, 0), 0) AS self_ms FROM fx_spans s LEFT JOIN (SELECT trace_id, parent_span_id AS span_id, sum(duration_ms) AS h FROM fx_spans GROUP BY ALL) USING (trace_id, span_id)"
 add("x03_self_time", lambda s, d: traces.self_times(P.fx_spans(s, d)).withColumn("self_ms", F.round("self_ms", 6)), oracle(f"SELECT trace_id, span_id, service_name, duration_ms, round(self_ms, 6) AS self_ms FROM ({SELF})", "fx_spans"))
 add(
@@ -175,7 +175,7 @@ add("x04_path_rows", lambda s, d: _with_paths(s, d, traces.path_rows).withColumn
 add("x04_error_spans", lambda s, d: traces.error_rows(P.fx_spans(s, d)),
     oracle("SELECT trace_id, span_id, service_name, span_name, duration_ms, place FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY start_time, span_id) AS place FROM fx_spans WHERE status_code = 'ERROR') WHERE place <= 20", "fx_spans"))
 TEXT = "SELECT trace_id, string_agg(service_name || ':' || span_name, ' -> ' ORDER BY hop) || ' (' || CAST(round(max_by(duration_ms, (duration_ms, -hop))) AS BIGINT) || 'ms slowest: ' || max_by(service_name, (duration_ms, -hop)) || ')' AS path FROM hops GROUP BY 1"
-add("x06_path_text", lambda s, d: traces.path_text(traces.critical_paths(P.fx_spans(s, d))), oracle(TEXT, "fx_spans", best=BEST, path=PATHS, hops=HOPS))
+add("x06_path_text", lambda s, d: traces.path_text(traces.critical_paths(P.fx_spans(s, d, dealt=True), dealt=True)), oracle(TEXT, "fx_spans", best=BEST, path=PATHS, hops=HOPS))
 add(
     "x05_find_traces", lambda s, d: traces.find_traces(_spans(s, d), "ERROR"),
     oracle(f"SELECT t.trace_id, slowest_ms, x.path, has_error, root_ms FROM (SELECT trace_id, max(duration_ms) AS slowest_ms FROM fx_spans WHERE status_code = 'ERROR' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10) t JOIN ({TEXT}) x USING (trace_id) JOIN (SELECT trace_id, bool_or(status_code = 'ERROR') AS has_error FROM fx_spans GROUP BY 1) USING (trace_id) JOIN (SELECT trace_id, duration_ms AS root_ms FROM hops WHERE hop = 0) USING (trace_id)", "fx_spans", best=BEST, path=PATHS, hops=HOPS),

@@ -61,8 +61,10 @@ def fx_directions(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(DIRECTIONS, "metric_name string, direction string")
 
 
-def fx_spans(spark: SparkSession, d: str) -> DataFrame:
-    roots = table(spark, d, "orders").select(
+def fx_spans(spark: SparkSession, d: str, dealt: bool = False) -> DataFrame:
+    """`dealt`: orders are dealt by trace as the lines are for their numbers, so that what follows within traces needs no shuffle."""
+    orders = table(spark, d, "orders")
+    roots = (orders.repartition("o_orderkey") if dealt else orders).select(
         F.col("o_orderkey").alias("trace_id"), F.lit("o").alias("span_id"), F.lit(None).cast("string").alias("parent_span_id"), F.concat(F.lit("prio-"), "o_orderpriority").alias("service_name"),
         F.col("o_orderstatus").alias("span_name"), F.col("o_orderdate").cast("timestamp").alias("start_time"), (F.col("o_totalprice") / 1000).alias("duration_ms"), F.lit("OK").alias("status_code"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quakelens.functions import columns as C
 from quakelens.operators import retrieval, safety, traces
-from quakelens.plans import source_queries, stream_queries
+from quakelens.plans import graph_queries, source_queries, stream_queries
 from quakelens.sources.staging import shared_dir
 
 SMALL = "/root/testdata/sf0.001"
@@ -76,3 +76,25 @@ def test_texts_become_objects_by_pieces(monkeypatch):
     texts = pa.table({"place": list(range(100)), "text": [f"a {i}." for i in range(100)]})
     found = safety._found_in(("item", "place"))(texts, pa.table({"item": ["x", "y"], "marker": [" 31.", "5."]}))
     assert sorted(zip(*found.to_pydict().values(), strict=True)) == [("x", 31), *(("y", i) for i in range(5, 100, 10))]
+
+
+def test_timed_paths_are_those_of_the_join(spark):
+    """Self times that paths meet on their way are those of a join, also where spans repeat, lack values or go round."""
+    rng = random.Random(5)
+    value = lambda: rng.choice([None, 1.0, 2.0, 5.0, float(rng.randint(1, 30))])
+    spans = [(rng.randint(0, 150) or None, rng.choice([*"abcdefgh", None]), rng.choice([*"abcdefgh", None, "gone"]), rng.choice("st"), "n", value()) for _ in range(900)]
+    spans += [(1000 + k, f"c{i:02}", f"c{i - 1:02}" if i else None, "s", "n", float(i)) for k in range(3) for i in range((4, 13, 60)[k]) for _ in range(1 + (i % 6 == 5))]
+    table = spark.createDataFrame(spans, SPAN)
+    joined = traces.path_rows(table, traces.critical_paths(table))
+    timed = traces.path_rows(table, traces.critical_paths(table, timed=True))
+    assert timed.columns == joined.columns and joined.count() > 300
+    assert joined.exceptAll(timed).count() == 0 and timed.exceptAll(joined).count() == 0
+
+
+def test_spans_are_dealt_once(spark, monkeypatch):
+    """Orders and lines are shuffled once each, and nothing more within traces; X4's rows need no shuffle after."""
+    shuffles, staged = [], traces.staged
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    monkeypatch.setattr(traces, "staged", lambda df, name: shuffles.append(exchanges(df)) or staged(df, name))
+    left = {q: exchanges(graph_queries.QUERIES[q](spark, SMALL)) for q in ("x02_critical_path", "x04_path_rows", "x06_path_text")}
+    assert shuffles == [2, 2, 2] and left["x02_critical_path"] == left["x04_path_rows"] == 0 and left["x06_path_text"] <= 1

@@ -37,12 +37,13 @@ def _best_children(spans: DataFrame, timed: bool, dealt: bool) -> DataFrame:
     return found.withColumn("own", F.when(F.col("known") & (F.size("own") > 1), F.col("own"))).filter("child is not null or own is not null")
 
 
-def critical_paths(spans: DataFrame, max_hops: int = MAX_HOPS, timed: bool = False, dealt: bool = False) -> DataFrame:
+def critical_paths(spans: DataFrame, max_hops: int = MAX_HOPS, timed: bool = False, dealt: bool = False, gathered: bool = False) -> DataFrame:
     """From each trace's longest root, the longest child again and again; a row for each hop of each trace.
 
     A round follows HOPS hops by windows over traces, which need no further shuffle; only longer paths go to the next one.
     `timed` adds the self times of the spans of each hop's id (`selves`: one, unless spans repeat), which the step to the
-    next hop meets anyway. `dealt`: the spans lie by trace already.
+    next hop meets anyway. `dealt`: the spans lie by trace already. `gathered` gives a round's hops of a trace as one row with
+    an array (`path`, at most HOPS + 1 hops), and whether they are the whole path.
     """
     trace = Window.partitionBy("trace_id")
     best = _best_children(spans.select("trace_id", "span_id", "parent_span_id", "service_name", "span_name", "duration_ms"), timed, dealt)
@@ -64,6 +65,7 @@ def critical_paths(spans: DataFrame, max_hops: int = MAX_HOPS, timed: bool = Fal
 
     found, hop = None, 0
     while True:
+        begin = hop + 1 if hop else 0
         if timed:
             open_ = open_.withColumn("selves", none)
         for _ in range(min(HOPS, max_hops - hop)):
@@ -72,19 +74,26 @@ def critical_paths(spans: DataFrame, max_hops: int = MAX_HOPS, timed: bool = Fal
             open_ = open_.withColumn("hops", F.when(here & F.col("child").isNotNull(), F.array_append("hops", F.lit(hop))).otherwise(F.col("hops"))).withColumn("tip", F.col("next.id")).drop("next")
         if timed:
             open_ = met(open_).drop("next")
-        followed = {c: F.when(F.col("tip").isNotNull(), F.col(c)) for c in ("node", *at_tip)}  # ended paths need only their hops
+        followed = {c: F.when(F.col("tip").isNotNull(), F.col(c)) for c in ("node", *at_tip, *(["child"] if gathered else []))}  # ended paths need only their hops
+        if gathered:
+            hops_of = F.collect_list(F.when(F.size("hops") > 0, F.struct("hops", "child"))).over(trace)
+            hops_of = F.flatten(F.transform(hops_of, lambda x: F.transform(x["hops"], lambda h: F.struct(h.alias("hop"), *(x["child"][c].alias(c) for c in ("duration_ms", "service_name", "span_name"))))))
+            open_ = open_.withColumn("path", hops_of).withColumn("path", F.when(F.get("hops", F.lit(0)) == begin, F.col("path")))
         level = staged(open_.filter("tip is not null or size(hops) > 0").withColumns(followed), "path")
         if timed:
             spans_of = F.coalesce("at.selves.own", F.array(F.struct("duration_ms")))
             selves = F.transform(spans_of, lambda x: F.greatest(x["duration_ms"] - F.coalesce("at.selves.held", F.lit(0.0)), F.lit(0.0)))
             rows = level.select("trace_id", "child.*", F.explode(F.arrays_zip("hops", "selves")).alias("at")).select("trace_id", "duration_ms", "span_id", "service_name", "span_name", F.col("at.hops").alias("hop"), selves.alias("selves"))
+        elif gathered:
+            ended = F.lit(True) if hop >= max_hops else F.expr("tip is null or trace_id is null")
+            rows = level.filter("path is not null").select("trace_id", "path", (ended & F.lit(begin == 0)).alias("whole"))
         else:
             rows = level.select("trace_id", "child.*", F.explode("hops").alias("hop"))
         found = rows if found is None else found.unionByName(rows)
         more = level.filter("tip is not null and trace_id is not null")
         if hop >= max_hops or more.isEmpty():
             return found
-        open_ = more.repartition("trace_id").withColumn("hops", F.array().cast("array<int>"))
+        open_ = more.drop("path").repartition("trace_id").withColumn("hops", F.array().cast("array<int>"))
 
 
 def self_times(spans: DataFrame) -> DataFrame:
@@ -121,11 +130,15 @@ def breakdown(spans: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def path_text(paths: DataFrame) -> DataFrame:
-    """Service:span hops in order, with the slowest of them."""
-    hop = F.struct("hop", F.concat("service_name", F.lit(":"), "span_name").alias("text"))
-    in_order = F.transform(F.array_sort(F.collect_list(hop)), lambda x: x["text"])  # at most MAX_HOPS of a trace
-    slowest = F.max_by(F.struct("duration_ms", "service_name"), F.struct(F.col("duration_ms"), -F.col("hop")))
-    return paths.groupBy("trace_id").agg(in_order.alias("hops"), slowest.alias("s")).select(
+    """Service:span hops in order, with the slowest of them; gathered paths are grouped only where they took several rounds."""
+    if "path" in paths.columns:
+        longer = paths.filter("not whole").groupBy("trace_id").agg(F.flatten(F.collect_list("path")).alias("path"))  # at most MAX_HOPS of a trace
+        whole = paths.filter("whole").select("trace_id", "path").unionByName(longer)
+    else:
+        whole = paths.groupBy("trace_id").agg(F.collect_list(F.struct("hop", "duration_ms", "service_name", "span_name")).alias("path"))
+    texts = F.transform(F.array_sort("path"), lambda x: F.concat(x["service_name"], F.lit(":"), x["span_name"]))
+    slowest = F.array_max(F.transform("path", lambda x: F.struct(x["duration_ms"].alias("duration_ms"), (-x["hop"]).alias("place"), x["service_name"].alias("service_name"))))
+    return whole.select("trace_id", texts.alias("hops"), slowest.alias("s")).select(
         "trace_id", F.concat(F.array_join("hops", " -> "), F.lit(" ("), F.round("s.duration_ms", 0).cast("long").cast("string"), F.lit("ms slowest: "), "s.service_name", F.lit(")")).alias("path")
     )
 

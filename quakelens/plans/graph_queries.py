@@ -175,7 +175,7 @@ add("x04_path_rows", lambda s, d: _with_paths(s, d, traces.path_rows).withColumn
 add("x04_error_spans", lambda s, d: traces.error_rows(P.fx_spans(s, d)),
     oracle("SELECT trace_id, span_id, service_name, span_name, duration_ms, place FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY start_time, span_id) AS place FROM fx_spans WHERE status_code = 'ERROR') WHERE place <= 20", "fx_spans"))
 TEXT = "SELECT trace_id, string_agg(service_name || ':' || span_name, ' -> ' ORDER BY hop) || ' (' || CAST(round(max_by(duration_ms, (duration_ms, -hop))) AS BIGINT) || 'ms slowest: ' || max_by(service_name, (duration_ms, -hop)) || ')' AS path FROM hops GROUP BY 1"
-add("x06_path_text", lambda s, d: traces.path_text(traces.critical_paths(P.fx_spans(s, d, dealt=True), dealt=True)), oracle(TEXT, "fx_spans", best=BEST, path=PATHS, hops=HOPS))
+add("x06_path_text", lambda s, d: traces.path_text(traces.critical_paths(P.fx_spans(s, d, dealt=True), dealt=True, gathered=True)), oracle(TEXT, "fx_spans", best=BEST, path=PATHS, hops=HOPS))
 add(
     "x05_find_traces", lambda s, d: traces.find_traces(_spans(s, d), "ERROR"),
     oracle(f"SELECT t.trace_id, slowest_ms, x.path, has_error, root_ms FROM (SELECT trace_id, max(duration_ms) AS slowest_ms FROM fx_spans WHERE status_code = 'ERROR' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10) t JOIN ({TEXT}) x USING (trace_id) JOIN (SELECT trace_id, bool_or(status_code = 'ERROR') AS has_error FROM fx_spans GROUP BY 1) USING (trace_id) JOIN (SELECT trace_id, duration_ms AS root_ms FROM hops WHERE hop = 0) USING (trace_id)", "fx_spans", best=BEST, path=PATHS, hops=HOPS),

@@ -98,3 +98,18 @@ def test_spans_are_dealt_once(spark, monkeypatch):
     monkeypatch.setattr(traces, "staged", lambda df, name: shuffles.append(exchanges(df)) or staged(df, name))
     left = {q: exchanges(graph_queries.QUERIES[q](spark, SMALL)) for q in ("x02_critical_path", "x04_path_rows", "x06_path_text")}
     assert shuffles == [2, 2, 2] and left["x02_critical_path"] == left["x04_path_rows"] == 0 and left["x06_path_text"] <= 1
+
+
+def test_gathered_paths_give_the_same_texts(spark):
+    """Texts of gathered hops are those of paths grouped row by row, over one round and several."""
+    rng = random.Random(6)
+    value = lambda: rng.choice([None, 2.0, float(rng.randint(1, 30))])
+    spans = [(rng.randint(0, 120) or None, rng.choice([*"abcdef", None]), rng.choice([*"abcdef", None, "gone"]), rng.choice(["s", "t", None]), "n", value()) for _ in range(700)]
+    spans += [(1000 + k, f"c{i:02}", f"c{i - 1:02}" if i else None, "s", f"n{i}", float(i % 7)) for k in range(4) for i in range((4, 6, 13, 60)[k])]
+    table = spark.createDataFrame(spans, SPAN)
+    texts = traces.path_text(traces.critical_paths(table, gathered=True))
+    plain = {r.trace_id: sorted((h.hop, h.duration_ms, h.service_name, h.span_name) for h in r.path) for r in traces.critical_paths(table).filter("trace_id >= 1000").groupBy("trace_id").agg(F.collect_list(F.struct("hop", "duration_ms", "service_name", "span_name")).alias("path")).collect()}
+    rowwise = traces.path_text(traces.critical_paths(table))
+    assert rowwise.exceptAll(texts).count() == 0 and texts.exceptAll(rowwise).count() == 0 and texts.count() > 100
+    want = {t: " -> ".join(f"{x[2]}:{x[3]}" for x in p) + f" ({max(x[1] for x in p):.0f}ms slowest: s)" for t, p in plain.items()}
+    assert len(plain[1003]) == traces.MAX_HOPS + 1 and {r.trace_id: r.path for r in texts.collect() if (r.trace_id or 0) >= 1000} == want

@@ -330,7 +330,8 @@ def extract(pages: DataFrame, many_pages: int = MANY_PAGES) -> DataFrame:
     small_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^:/?#]*://([^/?#]*)", 1))
     rows = pages.select(F.monotonically_increasing_id().alias("row"), host.alias("host"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    keyed = staged(rows.select("row", "host", "html").mapInArrow(_keys, "row long, host string, title long, keys array<struct<key:long,page:long,passage:boolean>>"), "subtrees")
+    # Both reads take the same columns: a shuffle before this deals rows by all of them, and row numbers must agree.
+    keyed = staged(rows.select("row", "host", "html", "page_id").mapInArrow(_keys, "row long, host string, title long, keys array<struct<key:long,page:long,passage:boolean>>"), "subtrees")
     each = keyed.select("row", "host", F.inline("keys"))
     titles = keyed.groupBy("host").agg(F.count_distinct("title").alias("titles"))
     counts = each.groupBy("host", "key").agg(F.count_distinct("page").alias("n"), F.bool_or("passage").alias("passage")).filter(F.col("n") >= many_pages)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quakelens.operators import topology
 from quakelens.sources import projections as P
 from quakelens.sources import readers
 from quakelens.sources.projections import Query, oracle
-from quakelens.sources.staging import shared_path, staged
+from quakelens.sources.staging import moved, shared_path
 from quakelens.streaming import alerts, rollups, watch
 from quakelens.streaming.totals import Totals
 
@@ -67,34 +67,32 @@ def watermark(column: str, table: str, seconds: int) -> str:
 _CALLS, _SERVED = "(span_id <> 'o' OR trace_id % 2 = 0)", "parent_span_id IS NOT NULL"
 
 
-#: Rows of both streams that one run takes in.
-SLICE_ROWS = 10_000_000
+#: Spans that one run takes in.
+SLICE_ROWS = 30_000_000
 
 
 def _unmatched(s: SparkSession, d: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Calling and called spans as two streams: pairs, and lone spans once the watermark has passed their time to live.
 
-    The streams bring slices of time one after another, each in a run of its own from the same checkpoint, so that state
-    holds a slice and a time to live of spans, not the table; the watermark never passes what is still to come.
+    Spans are written once, dealt to slices of time of whole hours. The streams find one slice after another, each in a run
+    of its own from the same checkpoint, so that a run holds a slice and what waits, not the table; the watermark never
+    passes what is still to come.
     """
-    spans = staged(P.fx_spans(s, d), "all-spans")
-    at = F.unix_micros("start_time")
-    n = spans.count()
-    slices = -(-n // slice_rows) or 1
-    cuts = sorted(set(spans.agg(F.percentile_approx(at, [i / slices for i in range(1, slices)], 10_000)).first()[0])) if slices > 1 else []
-    paths = [shared_path(s, name) for name in ("calls", "served", "pairs")]
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        part = spans
-        if low is not None:
-            part = part.filter(at > low)
-        if high is not None:
-            part = part.filter(at <= high)
-        for path, kind in zip(paths, (_CALLS, _SERVED), strict=False):
-            part.filter(kind).write.mode("append").parquet(path)
-        calls, served = (s.readStream.schema(spans.schema).parquet(path) for path in paths[:2])
-        stream = rollups.paired_or_unknown(calls, served, "40 days")
-        stream.writeStream.format("parquet").option("path", paths[2]).option("checkpointLocation", f"{paths[2]}-checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return s.read.schema(stream.schema).parquet(paths[2]).select("trace_id", "client", "server", "start_time", "duration_ms", "status_code")
+    spans = P.fx_spans(s, d).drop("span_name")
+    hour = F.expr("unix_micros(start_time) div 3600000000")
+    hours = spans.filter("start_time is not null").groupBy(hour.alias("hour")).agg(F.count("*").alias("n"))
+    slices = hours.withColumn("slice", F.floor((F.sum("n").over(Window.orderBy("hour")) - 1) / slice_rows))
+    starts = sorted(r.start for r in slices.groupBy("slice").agg(F.min("hour").alias("start")).collect())
+    dealt, path, found = (shared_path(s, name) for name in ("slices", "spans", "pairs"))
+    number = sum((F.coalesce(hour >= start, F.lit(False)).cast("int") for start in starts[1:]), F.lit(0))
+    spans.withColumn("slice", number).write.partitionBy("slice").parquet(dealt)
+    for i in range(max(len(starts), 1)):
+        if not moved(s, f"{dealt}/slice={i}", f"{path}/{i}"):
+            spans.limit(0).write.parquet(f"{path}/{i}")
+        calls, served = (s.readStream.schema(spans.schema).parquet(f"{path}/*").filter(kind) for kind in (_CALLS, _SERVED))
+        rollups.paired_in_batches(calls, served, found, "40 days").option("checkpointLocation", f"{found}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    columns = "trace_id long, client string, server string, start_time timestamp, duration_ms double, status_code string"
+    return s.read.schema(columns).parquet(f"{found}/pairs/batch=*")
 
 
 add("r05_unmatched", _unmatched,

@@ -43,6 +43,18 @@ def drop_staged(spark: SparkSession) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def moved(spark: SparkSession, source: str, target: str) -> bool:
+    """Give a written folder another name, under which a stream finds its files all at once; false if there is none."""
+    source, target = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    files = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(source):
+        return False
+    files.mkdirs(target.getParent())
+    if not files.rename(source, target):
+        raise OSError(f"{source} could not be moved to {target}")
+    return True
+
+
 def staged_at(df: DataFrame, name: str, **options: str) -> str:
     """The new path in the shared folder to which df is written."""
     path = shared_path(df.sparkSession, name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from datetime import datetime, timedelta
 from pathlib import Path
 
 import pyarrow as pa
@@ -12,6 +13,7 @@ from quakelens.functions import columns as C
 from quakelens.operators import retrieval, safety, traces
 from quakelens.plans import graph_queries, source_queries, stream_queries
 from quakelens.sources.staging import shared_dir
+from quakelens.streaming import rollups
 
 SMALL = "/root/testdata/sf0.001"
 SPAN = "trace_id long, span_id string, parent_span_id string, service_name string, span_name string, duration_ms double"
@@ -70,6 +72,66 @@ def test_spans_come_in_slices_of_time(spark):
     assert one.count() > 7000 and one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
 
 
+TIMED = "trace_id long, span_id string, parent_span_id string, service_name string, status_code string, start_time timestamp, duration_ms double"
+
+
+def test_batches_pair_as_the_stateful_join_does(spark, tmp_path):
+    """Pairs and lone spans of a stateless run by batches are those of the join with state, late rows and repeats included."""
+    rng = random.Random(7)
+    start = datetime(2024, 1, 1)
+    ends = (rollups.paired_or_unknown, "state"), (rollups.paired_in_batches, "batches")
+    for n in range(5):
+        rows = []
+        for _ in range(300):
+            at = start + timedelta(seconds=60 * n + rng.randint(-50, 60), milliseconds=rng.choice([0, 0, 7]), microseconds=rng.choice([0, 1]))
+            rows.append((rng.choice([None, *range(12)]), rng.choice("abcdef"), rng.choice([*"abcdef", None]), rng.choice(["s", "t", None]), "OK", rng.choice([at, at, at, None]) if n else at, 1.0))
+        rows += rows[:20]
+        spark.createDataFrame(rows, TIMED).write.mode("append").parquet(str(tmp_path / "in"))
+        for pairing, name in ends:
+            callers, called = (spark.readStream.schema(TIMED).parquet(str(tmp_path / "in")).filter(kind) for kind in ("span_id in ('a', 'b', 'c', 'd')", "parent_span_id is null or span_id > 'a'"))
+            if name == "state":
+                stream = pairing(callers, called)
+                writer = stream.writeStream.format("parquet").option("path", str(tmp_path / name)).outputMode("append")
+            else:
+                writer = pairing(callers, called, str(tmp_path / name))
+            query = writer.option("checkpointLocation", str(tmp_path / f"{name}-checkpoint")).trigger(availableNow=True).start()
+            query.awaitTermination()
+            assert bool(query.lastProgress.stateOperators) == (name == "state")
+    want = spark.read.schema(stream.schema).parquet(str(tmp_path / "state"))
+    got = spark.read.schema(stream.schema).parquet(str(tmp_path / "batches" / "pairs" / "batch=*"))
+    # A trace's null equals no other, as in SQL; a join with state takes nulls for equal.
+    assert got.filter("trace_id is null").count() > 10 and got.filter("trace_id is null and client <> 'unknown' and server <> 'unknown'").count() == 0
+    want, got = (x.filter("trace_id is not null") for x in (want, got))
+    kinds = {(r.client == "unknown", r.server == "unknown") for r in want.collect()}
+    assert want.count() > 1000 and {(False, False), (False, True), (True, False)} <= kinds
+    assert want.exceptAll(got).count() == 0 and got.exceptAll(want).count() == 0
+    # What waits for the next batch: two times to live and the lateness, not what has been seen.
+    waiting = spark.read.parquet(str(tmp_path / "batches" / "waiting" / "0"))
+    first, last = waiting.agg(F.min("start_time"), F.max("start_time")).first()
+    assert last - first <= timedelta(seconds=2 * 10 + 30 + 1) and waiting.count() < 700
+
+
+def test_slices_are_written_and_read_once(spark, monkeypatch):
+    """A run reads its slice and no other; no run keeps rows in a state."""
+    runs, pairing = [], rollups.paired_in_batches
+    before = set(Path(shared_dir(spark)).glob("staged-*/spans-*"))
+    seen = lambda: [f for p in Path(shared_dir(spark)).glob("staged-*/spans-*") if p not in before for f in p.glob("*/part-*")]
+    monkeypatch.setattr(rollups, "paired_in_batches", lambda *given: runs.append(seen()) or pairing(*given))
+    found = stream_queries._unmatched(spark, SMALL, 2000)
+    folders = [{f.parent.name for f in files} for files in runs]
+    assert folders == [{str(k) for k in range(i + 1)} for i in range(len(runs))] and len(runs) == 4
+    slices = [spark.read.parquet(*{str(f.parent) for f in runs[-1] if f.parent.name == str(i)}) for i in range(4)]
+    bounds = [tuple(x.agg(F.min("start_time"), F.max("start_time")).first()) for x in slices]
+    assert sum(x.count() for x in slices) == 7500 and all(a[1] < b[0] for a, b in zip(bounds, bounds[1:], strict=False))
+    assert found.exceptAll(stream_queries._unmatched(spark, SMALL)).count() == 0
+
+
+def test_pairs_of_no_spans(spark, tmp_path):
+    for name in ("orders", "lineitem"):
+        spark.read.parquet(f"{SMALL}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert stream_queries._unmatched(spark, str(tmp_path)).count() == 0
+
+
 def test_texts_become_objects_by_pieces(monkeypatch):
     """Pieces of a part give the hits of the whole, each at its own text."""
     monkeypatch.setattr(safety, "TEXTS_AT_ONCE", 7)
